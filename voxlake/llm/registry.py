@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import mixing, quality_rules
 
 QUERIES = {
+    "op3_mixing": mixing.op3_mixing,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLES = {
+    "op3_mixing": mixing.ORACLE_SQL,
     "op10_quality_rules": quality_rules.ORACLE_SQL,
 }
