@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, quality_rules
+from . import chat, embedding_dedup, mixing, quality_rules
 
 QUERIES = {
     "op3_mixing": mixing.op3_mixing,
+    "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op9_chat": chat.op9_chat,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLES = {
     "op3_mixing": mixing.ORACLE_SQL,
+    "op8_embedding_dedup": embedding_dedup.ORACLE_SQL,
     "op9_chat": chat.ORACLE_SQL,
     "op10_quality_rules": quality_rules.ORACLE_SQL,
 }
