@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat, embedding_dedup, mixing, quality_rules
+from . import chat, embedding_dedup, minhash, mixing, quality_rules
 
 QUERIES = {
+    "op1_minhash": minhash.op1_minhash,
     "op3_mixing": mixing.op3_mixing,
     "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op9_chat": chat.op9_chat,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLES = {
+    "op1_minhash": minhash.oracle_sql(),
     "op3_mixing": mixing.ORACLE_SQL,
     "op8_embedding_dedup": embedding_dedup.ORACLE_SQL,
     "op9_chat": chat.ORACLE_SQL,
