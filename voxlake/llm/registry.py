@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, embedding_dedup, html_text, language_id, minhash, mixing, quality_rules
+from . import chat, embedding_dedup, html_text, language_id, minhash, mixing, pii, quality_rules
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
+    "op2_pii": pii.op2_pii,
     "op3_mixing": mixing.op3_mixing,
     "op4_html_text": html_text.op4_html_text,
     "op5_language_id": language_id.op5_language_id,
