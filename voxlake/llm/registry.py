@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, embedding_dedup, html_text, language_id, minhash, mixing, pii, quality_rules
+from . import chat, embedding_dedup, html_text, language_id, minhash, mixing, pii, quality_rules, sentencepiece_fst
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op4_html_text": html_text.op4_html_text,
     "op5_language_id": language_id.op5_language_id,
+    "op6_sentencepiece": sentencepiece_fst.op6_sentencepiece,
     "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op9_chat": chat.op9_chat,
     "op10_quality_rules": quality_rules.op10_quality_rules,
