@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, embedding_dedup, html_text, language_id, minhash, mixing, pii, quality_rules, sentencepiece_fst
+from . import chat, embedding_dedup, html_text, language_id, minhash, mixing, ngram_lm, pii, quality_rules, sentencepiece_fst
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_html_text": html_text.op4_html_text,
     "op5_language_id": language_id.op5_language_id,
     "op6_sentencepiece": sentencepiece_fst.op6_sentencepiece,
+    "op7_stupid_backoff": ngram_lm.op7_stupid_backoff,
     "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op9_chat": chat.op9_chat,
     "op10_quality_rules": quality_rules.op10_quality_rules,
@@ -18,6 +19,7 @@ QUERIES = {
 ORACLES = {
     "op1_minhash": minhash.oracle_sql(),
     "op3_mixing": mixing.ORACLE_SQL,
+    "op7_stupid_backoff": ngram_lm.ORACLE_SQL,
     "op8_embedding_dedup": embedding_dedup.ORACLE_SQL,
     "op9_chat": chat.ORACLE_SQL,
     "op10_quality_rules": quality_rules.ORACLE_SQL,
