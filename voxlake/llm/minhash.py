@@ -1,15 +1,18 @@
 """Near-duplicates by a chosen-path set similarity join over minwise tokens.
 
-A document's set holds the hashes of its distinct word shingles. Each of ``trees`` trees starts from one minwise token; a
-node is a path of chosen coordinates and their tokens, and a document goes down to the children of one coordinate, or of
-two for a quarter of the nodes (1.25 on average, the inverse of the least similarity, so that a similar pair still has one
-common node at each depth on average). Nodes of up to ``leaf`` documents are compared exhaustively. A pair of similarity
-0.8 misses all trees with a chance of 0.2^16 where the first nodes are leaves.
-
-A node whose documents are one component already has nothing to add and is left; so every node first links its documents
-with its smallest one (a star), and only what then stands in several components is branched and compared. Nodes still
-larger than a leaf at the last depth are compared block by block, all of them. Candidates pass a sketch of 128 minwise
-bytes (kept down to ``slack`` below the least similarity, five standard deviations) and are confirmed on full sets.
+A document's set holds the hashes of its distinct word shingles; equal sets are folded. Each of ``trees`` trees sends a set
+along the minwise tokens of three coordinates of its own, so that sets that merely share a passage part early. Nodes with
+one set are done. A larger node goes on to the children of one further coordinate, or of two for a quarter of the nodes
+(1.25 on average, the inverse of the least similarity, so that a similar pair keeps one common node on average), until it
+has up to ``leaf`` sets, which are compared exhaustively. A pair of similarity 0.8 parts in all 24 trees before the first
+node with a chance of (1 - 0.8^3)^24 = 3e-8.
+
+Only components are asked for, and a node whose sets are one component already has nothing to add. So links are found in
+rounds: in each node every set with the one that came first there or last (its best such pivot), then in each leaf every
+set with the likeliest partner of another component, and at last all pairs of different components that are left. Nodes
+still larger than a leaf at the last depth are compared block by block, all of them. Candidates pass a sketch of 256
+minwise bytes (kept down to ``slack`` below the least similarity, almost five standard deviations) and are confirmed on
+full sets.
 
 Results for odd rows: a null or empty text has an empty set, n_shingles 0, and links with nothing; a text of fewer words
 than a shingle is one shingle of all its words; rows with one doc_id are one node and share its component; a null doc_id
@@ -31,17 +34,17 @@ from pyspark.sql import functions as F
 from .common import slices, stored, table
 from .components import connected_components
 
-SKETCH, BRANCH = 128, 64
+SKETCH, STEPS, SMALL = 256, 3, 1_000_000
 
 
 @dataclass(frozen=True)
 class PathJoin:
     words: int = 5
     percent: int = 80
-    trees: int = 16
-    leaf: int = 128
+    trees: int = 24
+    leaf: int = 256
     depth: int = 6
-    slack: float = 0.18
+    slack: float = 0.12
 
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -76,22 +79,31 @@ def minima(s: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(32)).astype(np.uint32)
 
 
-_SIGNATURE = "doc_id long, n long, d1 long, d2 long, mins array<int>, sketch binary"
+_SIGNATURE = "doc_id long, n long, d1 long, d2 long, nodes array<long>, sketch binary"
+
+
+def _nodes(m: np.ndarray, trees: int) -> np.ndarray:
+    """The first node of a set in each tree."""
+    x = np.arange(1, trees + 1, dtype=np.uint64)
+    for step in m[: trees * STEPS].reshape(trees, STEPS).T.astype(np.uint64):
+        x = (x * _M1 + step) * _M2
+        x ^= x >> np.uint64(31)
+    return x.view(np.int64)
 
 
-def _signatures(batches, k: int):
+def _signatures(batches, p: PathJoin):
     for b in slices(batches):
-        n, d1, d2, mins, sketch = [], [], [], [], []
+        n, d1, d2, nodes, sketch = [], [], [], [np.empty(0, np.int64)], []
         for text in b.column(1).to_pylist():
-            s = shingles(text, k)
+            s = shingles(text, p.words)
             m = minima(s)
             n.append(len(s))
             d1.append(int((s * _M1 ^ (s >> np.uint64(29))).sum().view(np.int64)))
             d2.append(int(np.bitwise_xor.reduce(s * _M2 + (s >> np.uint64(31))).view(np.int64)) if len(s) else 0)
-            mins.append(m[:BRANCH].view(np.int32))
+            nodes.append(_nodes(m, p.trees))
             sketch.append((m & 255).astype(np.uint8).tobytes())
-        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BRANCH), pa.array(np.concatenate(mins) if mins else np.empty(0, np.int32)))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), flat, pa.array(sketch, pa.binary())], names=["doc_id", "n", "d1", "d2", "mins", "sketch"])
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * p.trees), pa.array(np.concatenate(nodes)))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists, pa.array(sketch, pa.binary())], names=["doc_id", "n", "d1", "d2", "nodes", "sketch"])
 
 
 def _sets(batches, k: int):
@@ -99,36 +111,39 @@ def _sets(batches, k: int):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, k).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["id", "s"])
 
 
-def _leaf_pairs(batches, p: PathJoin):
-    """The pairs of different components within each node that may be similar enough."""
+def _leaf_pairs(batches, p: PathJoin, best: bool):
+    """Within each node the pairs of different components that may be similar enough; of each set, the likeliest if ``best``."""
     least = (p.percent / 100 - p.slack) * SKETCH
     for b in batches:
         nodes = b.column(0)
-        got_a, got_b = [], []
+        got_a, got_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for k in range(len(nodes)):
             v = nodes[k].values
             ids, c, n = (np.asarray(v.field(f), np.int64) for f in ("id", "c", "n"))
             order = np.argsort(ids, kind="stable")
             sk = np.frombuffer(b"".join(v.field("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)[order]
             ids, c, n = ids[order], c[order], n[order]
-            for i in range(len(ids) - 1):
-                ok = (c[i + 1 :] != c[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= p.percent * np.maximum(n[i + 1 :], n[i]))
-                if ok.any():
-                    j = np.flatnonzero(ok) + i + 1
-                    j = j[(sk[j] == sk[i]).sum(1) >= least]
-                    got_a.append(np.full(len(j), ids[i]))
-                    got_b.append(ids[j])
-        empty = np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([empty, *got_a])), pa.array(np.concatenate([empty, *got_b]))], names=["a", "b"])
+            for i in range(len(ids)):
+                j = np.flatnonzero((c != c[i]) & (100 * np.minimum(n, n[i]) >= p.percent * np.maximum(n, n[i])))
+                j = j if best else j[j > i]
+                if not len(j):
+                    continue
+                same = (sk[j] == sk[i]).sum(1)
+                j = j[[same.argmax()]] if best and same.max() >= least else j[:0] if best else j[same >= least]
+                got_a.append(np.minimum(ids[i], ids[j]))
+                got_b.append(np.maximum(ids[i], ids[j]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got_a)), pa.array(np.concatenate(got_b))], names=["a", "b"])
 
 
 def _close(batches, p: PathJoin):
-    """The pairs whose sketches and sizes let them be similar enough."""
+    """The pairs whose sketches and sizes let them be similar enough, with the number of equal bytes."""
     least = (p.percent / 100 - p.slack) * SKETCH
     for b in batches:
         x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("xs", "ys"))
         n, m = (np.asarray(b.column(c), np.int64) for c in ("xn", "yn"))
-        yield b.select(["a", "b"]).filter(pa.array(((x == y).sum(1) >= least) & (100 * np.minimum(n, m) >= p.percent * np.maximum(n, m))))
+        same = (x == y).sum(1)
+        ok = (same >= least) & (100 * np.minimum(n, m) >= p.percent * np.maximum(n, m))
+        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(same)], names=["a", "b", "same"]).filter(pa.array(ok))
 
 
 def _similar(batches, p: PathJoin):
@@ -144,87 +159,103 @@ def _similar(batches, p: PathJoin):
         yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
+def _near(df: DataFrame, key: str, ids: DataFrame, id_: str) -> DataFrame:
+    """``df`` joined with the rows of ``ids`` on key = id_: by broadcast up to SMALL rows, else by shuffle."""
+    return df.join(F.broadcast(ids) if ids.count() <= SMALL else ids, F.col(key) == F.col(id_))
+
+
 class _Join:
     """The steps of one join over the folded documents ``reps``."""
 
     def __init__(self, docs: DataFrame, p: PathJoin):
         self.p = p
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        self.signed = stored(texts.mapInArrow(lambda b: _signatures(b, p.words), _SIGNATURE))
+        self.signed = stored(texts.mapInArrow(lambda b: _signatures(b, p), _SIGNATURE))
         alike = self.signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n")
-        self.reps = stored(alike.agg(F.min("doc_id").alias("id"), F.first("mins").alias("mins"), F.first("sketch").alias("sketch")))
-        tree = F.array(*[F.xxhash64(F.lit(t), F.col("mins")[t]) for t in range(p.trees)])
-        rows = self.reps.select("id", F.explode(tree).alias("node"))
+        self.reps = stored(alike.agg(F.min("doc_id").alias("id"), F.first("nodes").alias("nodes"), F.first("sketch").alias("sketch")))
+        rows = self.reps.select("id", F.explode("nodes").alias("node"))
         shared = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1").select("node")
         self.rows = stored(rows.join(shared, "node"))
-        needed = self.rows.select("id").distinct()
-        self.sets = stored(texts.join(needed, F.col("doc_id") == F.col("id")).select("doc_id", "text").mapInArrow(lambda b: _sets(b, p.words), "id long, s binary"))
-
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        p = self.p
-        x, y = self.sets.select(F.col("id").alias("a"), F.col("s").alias("x")), self.sets.select(F.col("id").alias("b"), F.col("s").alias("y"))
-        return stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lambda b: _similar(b, p), "a long, b long"))
-
-    def stars(self, nodes: DataFrame) -> DataFrame:
-        """Links of the documents of each node with its smallest."""
-        p, pairs = self.p, nodes.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-        x, y = (self.reps.select(F.col("id").alias(k), F.col("n").alias(f"{v}n"), F.col("sketch").alias(f"{v}s")) for k, v in (("a", "x"), ("b", "y")))
-        near = pairs.join(x, "a").join(y, "b").select("a", "b", "xn", "yn", "xs", "ys").mapInArrow(lambda b: _close(b, p), "a long, b long")
-        return self.confirmed(near.distinct())
-
-    def open(self, rows: DataFrame, groups: DataFrame | None) -> DataFrame:
-        """The rows of the nodes that hold several components, with the node's size and smallest document."""
-        if groups is None:
+        self.links: DataFrame | None = None
+        self.groups: DataFrame | None = None
+        needed = stored(self.rows.select(F.col("id").alias("needed")).distinct())
+        self.sets = stored(_near(texts, "doc_id", needed, "needed").select("doc_id", "text").mapInArrow(lambda b: _sets(b, p.words), "id long, s binary"))
+        self.sketches = stored(_near(self.reps.select("id", "n", "sketch"), "id", needed, "needed").drop("needed"))
+
+    def confirm(self, pairs: DataFrame) -> None:
+        """Adds the pairs that are links to the links, and makes the components again."""
+        p, pairs = self.p, stored(pairs.select("a", "b").distinct())
+        x = _near(self.sets.select("id", F.col("s").alias("x")), "id", pairs, "a").select("a", "b", "x")
+        y = _near(self.sets.select("id", F.col("s").alias("y")), "id", stored(pairs.select(F.col("b").alias("other")).distinct()), "other").select(F.col("id").alias("b"), "y")
+        found = stored(x.join(y, "b").select("a", "b", "x", "y").mapInArrow(lambda b: _similar(b, p), "a long, b long"))
+        self.links = found if self.links is None else self.links.union(found)
+        self.groups = stored(connected_components(self.links, "a", "b"))
+
+    def open(self, rows: DataFrame) -> DataFrame:
+        """The rows of the nodes that hold several components, with the node's size and its first and last set."""
+        if self.groups is None:
             rows = rows.withColumn("c", F.col("id"))
         else:
-            rows = rows.join(groups.select(F.col("id").alias("m"), "component"), F.col("id") == F.col("m"), "left").select("node", "id", F.coalesce("component", "id").alias("c"))
-        stat = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("id").alias("pivot")).where("lo <> hi")
-        return rows.join(stat.select("node", "size", "pivot"), "node")
-
-    def compared(self, nodes: DataFrame, key: list[str]) -> DataFrame:
+            groups = self.groups.select(F.col("id").alias("m"), "component")
+            rows = rows.join(groups, F.col("id") == F.col("m"), "left").select("node", "id", F.coalesce("component", "id").alias("c"))
+        ends = (F.min("id").alias("first"), F.min_by("id", F.xxhash64("id", "node")).alias("other"))
+        stat = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi"), *ends).where("lo <> hi")
+        return stored(rows.join(stat.drop("lo", "hi"), "node"))
+
+    def star(self, nodes: DataFrame, pivot: str) -> None:
+        """Links each set with the likeliest of its nodes' pivots."""
+        p, pairs = self.p, nodes.where(F.col("id") != F.col(pivot)).select(F.col(pivot).alias("a"), F.col("id").alias("b")).distinct()
+        x, y = (self.sketches.select(F.col("id").alias(k), F.col("n").alias(f"{v}n"), F.col("sketch").alias(f"{v}s")) for k, v in (("a", "x"), ("b", "y")))
+        near = pairs.join(x, "a").join(y, "b").select("a", "b", "xn", "yn", "xs", "ys").mapInArrow(lambda b: _close(b, p), "a long, b long, same long")
+        best = near.groupBy("b").agg(F.max(F.struct("same", (-F.col("a")).alias("a"))).alias("x"))
+        self.confirm(best.select((-F.col("x.a")).alias("a"), "b"))
+
+    def compared(self, nodes: DataFrame, key: list[str], best: bool) -> DataFrame:
         """Pairs that may be links within groups of bounded size."""
-        p, rows = self.p, nodes.join(self.reps.select("id", "n", "sketch"), "id")
+        p, rows = self.p, nodes.join(self.sketches, "id")
         groups = rows.groupBy(*key).agg(F.collect_list(F.struct("id", "c", "n", "sketch")).alias("rows")).select("rows")
-        return groups.mapInArrow(lambda b: _leaf_pairs(b, p), "a long, b long")
+        return groups.mapInArrow(lambda b: _leaf_pairs(b, p, best), "a long, b long")
 
     def branched(self, nodes: DataFrame) -> DataFrame:
-        """The rows of the next depth."""
+        """The rows of the next depth, by the minwise bytes of the coordinates that the node draws."""
         draw = lambda k, n: F.pmod(F.xxhash64("node", F.lit(k)), F.lit(n)).cast("int")
-        coords = F.when(draw(2, 4) == 0, F.array(draw(1, BRANCH), draw(3, BRANCH))).otherwise(F.array(draw(1, BRANCH)))
-        rows = nodes.select("node", "id").join(self.reps.select("id", "mins"), "id").withColumn("at", F.explode(F.array_distinct(coords)))
-        return rows.select("id", F.xxhash64("node", "at", F.element_at("mins", F.col("at") + 1)).alias("node")).distinct()
+        coords = F.when(draw(2, 4) == 0, F.array(draw(1, SKETCH), draw(3, SKETCH))).otherwise(F.array(draw(1, SKETCH)))
+        rows = nodes.select("node", "id").join(self.sketches, "id").withColumn("at", F.explode(F.array_distinct(coords)))
+        return stored(rows.select("id", F.xxhash64("node", "at", F.expr("substring(sketch, at + 1, 1)")).alias("node")).distinct())
 
     def blocks(self, nodes: DataFrame) -> DataFrame:
         """Every pair of blocks of the nodes that stayed large."""
         n = F.ceil(F.col("size") / self.p.leaf)
         own = nodes.withColumn("n", n).withColumn("k", F.pmod(F.xxhash64("id"), F.col("n"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-        return self.compared(own.select("node", "id", "c", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j")), ["node", "i", "j"])
+        return self.compared(own.select("node", "id", "c", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j")), ["node", "i", "j"], False)
 
-    def groups(self) -> DataFrame:
+    def run(self) -> DataFrame:
         """id and component of the linked ids."""
-        p, rows, found, links, groups = self.p, self.rows, [], None, None
+        p, rows, leaves, rest = self.p, self.rows, [], None
+        self.star(self.open(rows), "first")
+        nodes = self.open(rows)
+        self.star(nodes, "other")
         for depth in range(p.depth):
-            nodes = self.open(rows, groups)
-            star = self.stars(nodes if depth == 0 else nodes.where(F.col("size") > p.leaf))
-            links = star if links is None else links.union(star)
-            groups = stored(connected_components(links, "a", "b"))
-            nodes = stored(self.open(rows, groups))
-            found.append(self.compared(nodes.where(F.col("size") <= p.leaf), ["node"]))
+            nodes = self.open(nodes.select("node", "id") if depth == 0 else rows)
+            leaves.append(nodes.where(F.col("size") <= p.leaf).select("node", "id"))
             large = nodes.where(F.col("size") > p.leaf)
             if large.isEmpty():
                 break
             if depth + 1 == p.depth:
-                found.append(self.blocks(large))
+                rest = large
             else:
-                rows = stored(self.branched(large))
-        pairs = reduce(DataFrame.union, found).distinct()
-        return connected_components(links.union(self.confirmed(pairs)), "a", "b")
+                rows = self.branched(large)
+        nodes = self.open(reduce(DataFrame.union, leaves))
+        self.confirm(self.compared(nodes, ["node"], True))
+        pairs = self.compared(self.open(nodes.select("node", "id")), ["node"], False)
+        self.confirm(pairs if rest is None else pairs.union(self.blocks(rest)))
+        return self.groups
 
 
 def near_duplicates(docs: DataFrame, p: PathJoin = PathJoin()) -> DataFrame:
     """doc_id, n_shingles, component_id and kept: a row for each row of ``docs``."""
     join = _Join(docs, p)
-    groups = join.groups().select(F.col("id").alias("m"), "component")
+    groups = join.run().select(F.col("id").alias("m"), "component")
     known = join.reps.select("d1", "d2", "n", "id").join(groups, F.col("id") == F.col("m"), "left").select("d1", "d2", "n", F.coalesce("component", "id").alias("component"))
     rows = join.signed.select("doc_id", "n", "d1", "d2").join(known, ["d1", "d2", "n"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
