@@ -247,6 +247,19 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: (_predicted(model, b) for b in slices(it, 512)), schema)
 
 
+def accepted(docs: DataFrame, model: Model | None, least_score: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text gets a language with at least this score."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for b in slices(batches, 512):
+            found = _predicted(model, pa.RecordBatch.from_arrays([pa.nulls(b.num_rows), b.column(at)], names=["doc_id", "text"]))
+            lang, score = found.column("lang_pred").to_pylist(), found.column("score").to_pylist()
+            yield b.filter(pa.array([x != "und" and s >= least_score for x, s in zip(lang, score, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 

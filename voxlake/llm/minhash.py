@@ -262,6 +262,13 @@ def near_duplicates(docs: DataFrame, p: PathJoin = PathJoin()) -> DataFrame:
     return rows.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def first_of_groups(docs: DataFrame, p: PathJoin = PathJoin()) -> DataFrame:
+    """The rows of ``docs`` without those whose doc_id is a near-duplicate of a smaller one."""
+    gone = stored(near_duplicates(docs, p).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct())
+    gone = F.broadcast(gone) if gone.count() <= SMALL else gone
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
+
+
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), PathJoin(words=4))
 

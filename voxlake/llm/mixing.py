@@ -120,11 +120,18 @@ def taken_words(m: Mix) -> DataFrame:
     return joined.groupBy("source", "part", "nth", "doc_id", "size", "source_size", "target").agg(got.cast("long").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def copies(m: Mix) -> DataFrame:
-    """doc_id and how often the mix takes the block with the document's first word: 0 to cap. A row for each document."""
+def mixed(docs: DataFrame, small: int = 1_000_000, **options) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes the block with their first word: not at all, once, or up to cap times.
+
+    Texts without a word are in no block and go; rows with one doc_id stay together, by the most that one of them gets."""
+    m = mix(docs, **options)
     uses = m.schedule.groupBy("source", "block").agg(F.count("*").alias("uses")).select(F.col("source").alias("s"), F.col("block").alias("b"), "uses")
     first = m.placements.where("block IS NOT NULL").groupBy("source", "part", "nth", "doc_id").agg(F.min("block").alias("block"))
-    return first.join(uses, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).select("doc_id", "uses")
+    taken = first.join(uses, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
+    taken = stored(taken.groupBy(F.col("doc_id").alias("_taken")).agg(F.max("uses").cast("int").alias("_uses")))
+    taken = F.broadcast(taken) if taken.count() <= small else taken
+    rows = docs.join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col("_taken")))
+    return rows.withColumn("_uses", F.explode(F.array_repeat(F.lit(0), F.col("_uses")))).select(*docs.columns)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
