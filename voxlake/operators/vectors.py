@@ -109,3 +109,67 @@ def separation(centroid_rows: DataFrame, group: str) -> DataFrame:
     a = centroid_rows.select(F.col(group).alias("a"), F.col("centroid").alias("x"))
     b = centroid_rows.select(F.col(group).alias("b"), F.col("centroid").alias("y"))
     return a.join(b, F.col("a") < F.col("b")).agg(F.count("*").alias("pairs"), F.round(F.avg(dot("x", "y") / (norm("x") * norm("y"))), 6).alias("mean_cosine"))
+
+
+def embed(docs: DataFrame, id_column: str, text: str = "text", dims: int = 64, encode=None) -> DataFrame:
+    """doc_id and a unit vector for each text. ``encode`` turns a list of texts into an array of vectors (a model loaded by the
+    caller's code in the worker); the default hashes words into ``dims`` signed sums."""
+    import zlib
+
+    def hashed(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), dims))
+        for i, t in enumerate(texts):
+            for w in t.lower().split():
+                h = zlib.crc32(w.encode())
+                out[i, h % dims] += 1.0 if h & 0x10000 else -1.0
+        return out
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                v = np.asarray((encode or hashed)([t or "" for t in part.column(1).to_pylist()]), float)
+                v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(v), pa.list_(pa.float64()))], names=["doc_id", "vector"])
+
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, vector array<double>")
+
+
+def approximate_neighbours(queries: DataFrame, docs: DataFrame, k: int, distance: float, bucket: float = 0.5, tables: int = 8, seed: int = 42) -> DataFrame:
+    """Top-k of unit vectors by random projections; exact search stays the default. Recall depends on ``tables`` and ``bucket``."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    as_vector = lambda df, name: df.select(name, array_to_vector(F.transform("vector", lambda x: x.cast("double"))).alias("features"))
+    q, x = as_vector(queries, "query_id"), as_vector(docs, "doc_id")
+    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(x)
+    pairs = model.approxSimilarityJoin(q, x, distance, "distance").select("datasetA.query_id", "datasetB.doc_id", (1 - F.col("distance") ** 2 / 2).alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def evidence_rows(found: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """Evidence of each query at or above the threshold: text ids, capped texts, a preview, metadata, score."""
+    from ..functions.text import capped
+
+    rows = found.where(F.coalesce("score", F.lit(0.0)) >= threshold).join(docs, "doc_id")
+    meta = F.create_map(F.lit("platform"), F.col("platform"), F.lit("sentiment_label"), F.col("sentiment_label"), F.lit("rating"), F.col("rating").cast("string"))
+    return rows.select("query_id", F.col("doc_id").cast("string").alias("id"), capped("text", 1000).alias("text"), capped("text", 200).alias("preview"), meta.alias("metadata"), F.round("score", 4).alias("score"))
+
+
+def answer_table(questions: DataFrame, docs: DataFrame, threshold: float, k: int = MMR_K, fetch_k: int = FETCH_K) -> DataFrame:
+    """Questions (query_id, text, vector) with their scope, platform, grounded evidence block and outcome.
+
+    ``docs``: doc_id, vector, text, platform, rating, sentiment_label. A named platform filters the documents, as its own search."""
+    from ..functions import text as X
+    from .evaluation import outcome
+
+    q = questions.withColumn("in_scope", X.in_scope("text")).withColumn("named", X.named_platform("text"))
+    found = grounded(q.where("in_scope AND named IS NULL").select("query_id", "vector"), docs.select("doc_id", "vector"), threshold, k, fetch_k)
+    for name in ("amazon", "yelp", "twitter_airline"):
+        own = docs.where(F.col("platform") == name).select("doc_id", "vector")
+        found = found.union(grounded(q.where(F.col("in_scope") & (F.col("named") == name)).select("query_id", "vector"), own, threshold, k, 50))
+    lines = found.join(docs, "doc_id").select("query_id", F.struct("pick", X.evidence_line("platform", "rating", "sentiment_label", "doc_id", "text").alias("line")).alias("l"))
+    blocks = lines.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n\n").alias("evidence"), F.count("*").alias("kept"))
+    out = q.join(blocks, "query_id", "left").na.fill(0, ["kept"])
+    return out.select("query_id", "in_scope", F.col("named").alias("platform"), "kept", "evidence", outcome().alias("outcome"))

@@ -111,7 +111,11 @@ def a10(spark, d):
 
 
 def upload(spark, d) -> DataFrame:
-    e, i = V.table(spark, d, "events"), F.col("event_id")
+    return upload_of(V.table(spark, d, "events"))
+
+
+def upload_of(e: DataFrame) -> DataFrame:
+    i = F.col("event_id")
     return e.where("event_id % 3 <> 1").select(
         i.alias("source_row"), F.when(i % 23 == 0, "  \x07 ").otherwise(F.concat(F.lit(" "), "event_type", F.lit("\x00 "), (i % 701).cast("string"), F.lit("\n"))).alias("Comment"),
         F.when(i % 5 > 0, F.concat(F.lit("ext"), (i % 4000).cast("string"))).alias(" ID "), F.when(i % 29 == 0, "yesterday").when(i % 2 == 0, "2026/02/01").alias("Date"),
