@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices, table
 
@@ -257,7 +258,7 @@ def compiled(path: str) -> Transducer:
 def encoded(docs: DataFrame, model: str = MODEL, id_column: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """The id column, ``keep``, and ``piece_ids`` of ``text``. The model file must be at ``model`` on every machine."""
     cols = [id_column, *keep]
-    schema = docs.select(*cols).withColumn("piece_ids", F.array(F.lit(0))).schema
+    schema = T.StructType(docs.select(*cols).schema.fields).add("piece_ids", T.ArrayType(T.IntegerType()))
 
     def run(batches):
         fst = compiled(model)
@@ -277,7 +278,7 @@ def decoded(pieces: DataFrame, model: str = MODEL, id_column: str = "doc_id") ->
         for b in slices(batches, 64):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if t is None else fst.decode(t) for t in b.column(1).to_pylist()], pa.string())], names=[id_column, "text"])
 
-    return pieces.select(id_column, "piece_ids").mapInArrow(run, pieces.select(id_column).withColumn("text", F.lit("")).schema)
+    return pieces.select(id_column, "piece_ids").mapInArrow(run, T.StructType(pieces.select(id_column).schema.fields).add("text", T.StringType()))
 
 
 def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
