@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.where("v > u").join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -20,8 +20,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return low.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.col("u") % 1000003), F.sum(F.col("v") % 1000003), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _kept(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """The edges as a table, and their number and sums as they were written."""
+    seen = Observation()
+    table = stored(edges.observe(seen, F.count("*").alias("n"), F.sum(F.col("u") % 1000003).alias("u"), F.sum(F.col("v") % 1000003).alias("v"), F.bit_xor(F.xxhash64("u", "v")).alias("x")))
+    return table, dict(seen.get)
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -29,11 +32,9 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     Both steps group by node with map-side minima and join the minima back, so a node with very many neighbours is a
     skewed join that AQE splits, not a group in one task. Only four numbers for each round come to the driver."""
-    edges = cut(edges.where(f"{a} <> {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    mark = _mark(edges)
+    edges, mark = _kept(edges.where(f"{a} <> {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     while True:
-        edges = cut(_small_star(_large_star(edges)))
-        now = _mark(edges)
+        edges, now = _kept(_small_star(_large_star(edges)))
         if now == mark:
             break
         mark = now

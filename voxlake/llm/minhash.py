@@ -8,9 +8,9 @@ has up to ``leaf`` sets, which are compared exhaustively. A pair of similarity 0
 node with a chance of (1 - 0.8^3)^24 = 3e-8.
 
 Only components are asked for, and a node whose sets are one component already has nothing to add. So links are found in
-rounds: in each node every set with the one that came first there or last (its best such pivot), then in each leaf every
-set with the likeliest partner of another component, and at last all pairs of different components that are left. Nodes
-still larger than a leaf at the last depth are compared block by block, all of them. Candidates pass a sketch of 256
+rounds: first every set of a large node with the first set there (the likeliest of several), then in each leaf every set
+with its likeliest partner of another component, and at last all pairs of different components that are left. Nodes still
+larger than a leaf at the last depth are compared block by block, all of them. Candidates pass a sketch of 256
 minwise bytes (kept down to ``slack`` below the least similarity, almost five standard deviations) and are confirmed on
 full sets.
 
@@ -198,13 +198,12 @@ class _Join:
         else:
             groups = self.groups.select(F.col("id").alias("m"), "component")
             rows = rows.join(groups, F.col("id") == F.col("m"), "left").select("node", "id", F.coalesce("component", "id").alias("c"))
-        ends = (F.min("id").alias("first"), F.min_by("id", F.xxhash64("id", "node")).alias("other"))
-        stat = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi"), *ends).where("lo <> hi")
+        stat = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("id").alias("first")).where("lo <> hi")
         return stored(rows.join(stat.drop("lo", "hi"), "node"))
 
-    def star(self, nodes: DataFrame, pivot: str) -> None:
-        """Links each set with the likeliest of its nodes' pivots."""
-        p, pairs = self.p, nodes.where(F.col("id") != F.col(pivot)).select(F.col(pivot).alias("a"), F.col("id").alias("b")).distinct()
+    def star(self, nodes: DataFrame) -> None:
+        """Links each set with the likeliest of the first sets of its nodes."""
+        p, pairs = self.p, nodes.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
         x, y = (self.sketches.select(F.col("id").alias(k), F.col("n").alias(f"{v}n"), F.col("sketch").alias(f"{v}s")) for k, v in (("a", "x"), ("b", "y")))
         near = pairs.join(x, "a").join(y, "b").select("a", "b", "xn", "yn", "xs", "ys").mapInArrow(lambda b: _close(b, p), "a long, b long, same long")
         best = near.groupBy("b").agg(F.max(F.struct("same", (-F.col("a")).alias("a"))).alias("x"))
@@ -232,20 +231,22 @@ class _Join:
     def run(self) -> DataFrame:
         """id and component of the linked ids."""
         p, rows, leaves, rest = self.p, self.rows, [], None
-        self.star(self.open(rows), "first")
-        nodes = self.open(rows)
-        self.star(nodes, "other")
         for depth in range(p.depth):
-            nodes = self.open(nodes.select("node", "id") if depth == 0 else rows)
-            leaves.append(nodes.where(F.col("size") <= p.leaf).select("node", "id"))
+            nodes = self.open(rows)
             large = nodes.where(F.col("size") > p.leaf)
             if large.isEmpty():
+                leaves.append(nodes)
                 break
+            if depth == 0:
+                self.star(large)
+                nodes = self.open(nodes.select("node", "id"))
+                large = nodes.where(F.col("size") > p.leaf)
+            leaves.append(nodes.where(F.col("size") <= p.leaf))
             if depth + 1 == p.depth:
                 rest = large
             else:
                 rows = self.branched(large)
-        nodes = self.open(reduce(DataFrame.union, leaves))
+        nodes = reduce(DataFrame.union, leaves)
         self.confirm(self.compared(nodes, ["node"], True))
         pairs = self.compared(self.open(nodes.select("node", "id")), ["node"], False)
         self.confirm(pairs if rest is None else pairs.union(self.blocks(rest)))
