@@ -8,8 +8,8 @@ has up to ``leaf`` sets, which are compared exhaustively. A pair of similarity 0
 node with a chance of (1 - 0.8^3)^24 = 3e-8.
 
 Only components are asked for, and a node whose sets are one component already has nothing to add. So links are found in
-rounds: first every set of a large node with the first set there (the likeliest of several), then in each leaf every set
-with its likeliest partner of another component, and at last all pairs of different components that are left. Nodes still
+rounds: first every set of a large node with the first set there (the likeliest of several), then ``rounds`` times in each leaf every
+set with its likeliest partner of another component, and at last all pairs of different components that are left. Nodes still
 larger than a leaf at the last depth are compared block by block, all of them. Candidates pass a sketch of 256
 minwise bytes (kept down to ``slack`` below the least similarity, almost five standard deviations) and are confirmed on
 full sets.
@@ -44,6 +44,7 @@ class PathJoin:
     trees: int = 24
     leaf: int = 256
     depth: int = 6
+    rounds: int = 2
     slack: float = 0.12
 
 
@@ -247,8 +248,10 @@ class _Join:
             else:
                 rows = self.branched(large)
         nodes = reduce(DataFrame.union, leaves)
-        self.confirm(self.compared(nodes, ["node"], True))
-        pairs = self.compared(self.open(nodes.select("node", "id")), ["node"], False)
+        for _ in range(p.rounds):
+            self.confirm(self.compared(nodes, ["node"], True))
+            nodes = self.open(nodes.select("node", "id"))
+        pairs = self.compared(nodes, ["node"], False)
         self.confirm(pairs if rest is None else pairs.union(self.blocks(rest)))
         return self.groups
 
