@@ -32,7 +32,7 @@ def month_trend(reviews: DataFrame) -> DataFrame:
 def tenant_summary(base: DataFrame, jobs: DataFrame) -> DataFrame:
     """One row in one pass: totals, labels and their shares of the analysed, open and failed imports, ratings and dates."""
     state = jobs.withColumn("state", job_state()).select("import_id", "state")
-    rows = base.join(F.broadcast(state), F.col("import_batch_id").cast("string") == F.col("import_id"), "left")
+    rows = base.join(state, F.col("import_batch_id").cast("string") == F.col("import_id"), "left")
     done = F.col("has_result").isNotNull()
     n, analysed = F.count("*"), F.count_if(done)
     labels = [c for x in LABELS for c in (F.count_if(F.col("label") == x).alias(x), share(F.count_if(F.col("label") == x), analysed).alias(f"{x}_pct"))]

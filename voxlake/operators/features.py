@@ -89,7 +89,7 @@ def stop_word_language(docs: DataFrame, stop_words: DataFrame, id_column: str, t
 
     ``stop_words``: word, language."""
     tokens = docs.select(F.col(id_column).alias("doc"), F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?U)\w+"), F.lit(0)).alias("ws"))
-    hits = tokens.select("doc", F.explode("ws").alias("word")).join(F.broadcast(stop_words.limit(1000)), "word").groupBy("doc", "language").agg(F.count("*").alias("n"))
+    hits = tokens.select("doc", F.explode("ws").alias("word")).join(stop_words, "word").groupBy("doc", "language").agg(F.count("*").alias("n"))
     best = hits.groupBy("doc").agg(F.min_by("language", F.struct(-F.col("n"), F.col("language"))).alias("language"))
     out = tokens.select("doc", F.size("ws").alias("n_words")).join(best, "doc", "left")
     return out.select("doc", "language", ((F.col("n_words") < least_words) | F.col("language").isNull() | (F.col("language") == "en")).alias("kept_as_english"))

@@ -30,7 +30,7 @@ def cluster(vectors: DataFrame, k: int, least_size: int, least_cosine: float = 0
     c = centroids(rows, "topic", "vector").join(rows.groupBy("topic").agg(F.count("*").alias("members")), "topic")
     near = dot("vector", "centroid") / (norm("vector") * norm("centroid"))
     keep = (F.col("members") >= least_size) & (near >= least_cosine)
-    return rows.join(F.broadcast(c), "topic").withColumn("topic", F.when(keep, F.col("topic")).otherwise(-1)).drop("members", "centroid")
+    return rows.join(c, "topic").withColumn("topic", F.when(keep, F.col("topic")).otherwise(-1)).drop("members", "centroid")
 
 
 def discover(vectors: DataFrame, k: int, least_size: int, wanted: int = 5, floor: int = 15, **options) -> DataFrame:
