@@ -1,6 +1,6 @@
 """The corpus pipeline: stages that each take (spark, docs, sf_dir) and return the documents they keep.
 
-language ID drops texts without a language (score under 0.5 or no letter); MinHash near-dedup keeps the smallest doc_id of
+language ID drops texts without a language (score under 0.4 or no letter); MinHash near-dedup keeps the smallest doc_id of
 each group (five-word shingles, similarity 0.8); PII puts surrogates into the texts; mixing repeats or drops documents by
 their source's target; SentencePiece gives each text its piece ids. All but the last return the columns of documents.
 """

@@ -247,7 +247,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: (_predicted(model, b) for b in slices(it, 512)), schema)
 
 
-def accepted(docs: DataFrame, model: Model | None, least_score: float = 0.5) -> DataFrame:
+def accepted(docs: DataFrame, model: Model | None, least_score: float = 0.4) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose text gets a language with at least this score."""
     at = docs.columns.index("text")
 
