@@ -112,28 +112,74 @@ def _sets(batches, k: int):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, k).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["id", "s"])
 
 
-def _leaf_pairs(batches, p: PathJoin, best: bool):
-    """Within each node the pairs of different components that may be similar enough; of each set, the likeliest if ``best``."""
-    least = (p.percent / 100 - p.slack) * SKETCH
+def _leaf(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """order, ids, components, sizes and sketches of a node's list of structs, in order of the ids."""
+    ids, c, n = (np.asarray(rows.field(f), np.int64) for f in ("id", "c", "n"))
+    order = np.argsort(ids, kind="stable")
+    sketch = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+    return order, ids[order], c[order], n[order], sketch[order]
+
+
+def _candidates(i: int, c: np.ndarray, n: np.ndarray, sketch: np.ndarray, p: PathJoin) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of other components that may be similar enough to set i, and their numbers of equal bytes."""
+    j = np.flatnonzero((c != c[i]) & (100 * np.minimum(n, n[i]) >= p.percent * np.maximum(n, n[i])))
+    same = (sketch[j] == sketch[i]).sum(1)
+    near = same >= (p.percent / 100 - p.slack) * SKETCH
+    return j[near], same[near]
+
+
+def _best_pairs(batches, p: PathJoin):
+    """Within each node, each set with its likeliest partner of another component."""
+    for b in batches:
+        got_a, got_b = [], []
+        for k in range(b.num_rows):
+            _, ids, c, n, sketch = _leaf(b.column("rows")[k].values)
+            for i in range(len(ids)):
+                j, same = _candidates(i, c, n, sketch, p)
+                if len(j):
+                    x = ids[j[same.argmax()]]
+                    got_a.append(min(ids[i], x))
+                    got_b.append(max(ids[i], x))
+        yield pa.RecordBatch.from_arrays([pa.array(got_a, pa.int64()), pa.array(got_b, pa.int64())], names=["a", "b"])
+
+
+def _involved(batches, p: PathJoin):
+    """Within each node, the sets that have a possible partner of another component."""
     for b in batches:
-        nodes = b.column(0)
-        got_a, got_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for k in range(len(nodes)):
-            v = nodes[k].values
-            ids, c, n = (np.asarray(v.field(f), np.int64) for f in ("id", "c", "n"))
-            order = np.argsort(ids, kind="stable")
-            sk = np.frombuffer(b"".join(v.field("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)[order]
-            ids, c, n = ids[order], c[order], n[order]
+        keys, got, comps = [], [], []
+        for k in range(b.num_rows):
+            _, ids, c, n, sketch = _leaf(b.column("rows")[k].values)
+            own = [i for i in range(len(ids)) if len(_candidates(i, c, n, sketch, p)[0])]
+            keys += [b.column("key")[k].as_py()] * len(own)
+            got += ids[own].tolist()
+            comps += c[own].tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, got, comps)], names=["key", "id", "c"])
+
+
+def _all_links(batches, p: PathJoin):
+    """Within each node, links between different components by full sets: all pairs are compared, a forest of them returned."""
+    for b in batches:
+        got_a, got_b = [], []
+        for k in range(b.num_rows):
+            rows = b.column("rows")[k].values
+            order, ids, c, n, sketch = _leaf(rows)
+            sets = rows.field("s")
+            full = [np.frombuffer(sets[int(o)].as_buffer(), np.uint64) for o in order]
+            group = c.copy()
             for i in range(len(ids)):
-                j = np.flatnonzero((c != c[i]) & (100 * np.minimum(n, n[i]) >= p.percent * np.maximum(n, n[i])))
-                j = j if best else j[j > i]
-                if not len(j):
-                    continue
-                same = (sk[j] == sk[i]).sum(1)
-                j = j[[same.argmax()]] if best and same.max() >= least else j[:0] if best else j[same >= least]
-                got_a.append(np.minimum(ids[i], ids[j]))
-                got_b.append(np.maximum(ids[i], ids[j]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got_a)), pa.array(np.concatenate(got_b))], names=["a", "b"])
+                for j in _candidates(i, c, n, sketch, p)[0]:
+                    if j > i and group[i] != group[j] and _similar_sets(full[i], full[j], p):
+                        got_a.append(ids[i])
+                        got_b.append(ids[j])
+                        group[group == group[j]] = group[i]
+        yield pa.RecordBatch.from_arrays([pa.array(got_a, pa.int64()), pa.array(got_b, pa.int64())], names=["a", "b"])
+
+
+def _similar_sets(x: np.ndarray, y: np.ndarray, p: PathJoin) -> bool:
+    s = np.concatenate([x, y])
+    s.sort(kind="stable")
+    both = int((s[1:] == s[:-1]).sum())
+    return both > 0 and 100 * both >= p.percent * (len(s) - both)
 
 
 def _close(batches, p: PathJoin):
@@ -150,13 +196,8 @@ def _close(batches, p: PathJoin):
 def _similar(batches, p: PathJoin):
     """The pairs whose full sets are similar enough."""
     for b in slices(batches, 64):
-        ok = []
-        for x, y in zip(b.column("x"), b.column("y"), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            s = np.concatenate([x, y])
-            s.sort(kind="stable")
-            both = int((s[1:] == s[:-1]).sum())
-            ok.append(both > 0 and 100 * both >= p.percent * (len(s) - both))
+        sets = zip(b.column("x"), b.column("y"), strict=True)
+        ok = [_similar_sets(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), p) for x, y in sets]
         yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
@@ -189,8 +230,7 @@ class _Join:
         x = _near(self.sets.select("id", F.col("s").alias("x")), "id", pairs, "a").select("a", "b", "x")
         y = _near(self.sets.select("id", F.col("s").alias("y")), "id", stored(pairs.select(F.col("b").alias("other")).distinct()), "other").select(F.col("id").alias("b"), "y")
         found = stored(x.join(y, "b").select("a", "b", "x", "y").mapInArrow(lambda b: _similar(b, p), "a long, b long"))
-        self.links = found if self.links is None else self.links.union(found)
-        self.groups = stored(connected_components(self.links, "a", "b"))
+        self.add(found)
 
     def open(self, rows: DataFrame) -> DataFrame:
         """The rows of the nodes that hold several components, with the node's size and its first and last set."""
@@ -210,11 +250,22 @@ class _Join:
         best = near.groupBy("b").agg(F.max(F.struct("same", (-F.col("a")).alias("a"))).alias("x"))
         self.confirm(best.select((-F.col("x.a")).alias("a"), "b"))
 
-    def compared(self, nodes: DataFrame, key: list[str], best: bool) -> DataFrame:
-        """Pairs that may be links within groups of bounded size."""
-        p, rows = self.p, nodes.join(self.sketches, "id")
-        groups = rows.groupBy(*key).agg(F.collect_list(F.struct("id", "c", "n", "sketch")).alias("rows")).select("rows")
-        return groups.mapInArrow(lambda b: _leaf_pairs(b, p, best), "a long, b long")
+    def grouped(self, nodes: DataFrame) -> DataFrame:
+        """key and the rows of each group of bounded size, with their sketches."""
+        rows = nodes.join(self.sketches, "id")
+        return rows.groupBy("key").agg(F.collect_list(F.struct("id", "c", "n", "sketch")).alias("rows"))
+
+    def add(self, found: DataFrame) -> None:
+        self.links = found if self.links is None else self.links.union(found)
+        self.groups = stored(connected_components(self.links, "a", "b"))
+
+    def compare(self, nodes: DataFrame) -> None:
+        """Adds the links between the components within each group, by its full sets: pairs stay inside the group."""
+        p = self.p
+        left = stored(self.grouped(nodes).mapInArrow(lambda b: _involved(b, p), "key long, id long, c long"))
+        rows = left.join(self.sketches, "id").join(self.sets, "id")
+        groups = rows.groupBy("key").agg(F.collect_list(F.struct("id", "c", "n", "sketch", "s")).alias("rows"))
+        self.add(stored(groups.mapInArrow(lambda b: _all_links(b, p), "a long, b long")))
 
     def branched(self, nodes: DataFrame) -> DataFrame:
         """The rows of the next depth, by the minwise bytes of the coordinates that the node draws."""
@@ -224,10 +275,10 @@ class _Join:
         return stored(rows.select("id", F.xxhash64("node", "at", F.expr("substring(sketch, at + 1, 1)")).alias("node")).distinct())
 
     def blocks(self, nodes: DataFrame) -> DataFrame:
-        """Every pair of blocks of the nodes that stayed large."""
+        """The rows of every pair of blocks of the nodes that stayed large."""
         n = F.ceil(F.col("size") / self.p.leaf)
         own = nodes.withColumn("n", n).withColumn("k", F.pmod(F.xxhash64("id"), F.col("n"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-        return self.compared(own.select("node", "id", "c", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j")), ["node", "i", "j"], False)
+        return own.select(F.xxhash64("node", F.least("k", "other"), F.greatest("k", "other")).alias("key"), "id", "c")
 
     def run(self) -> DataFrame:
         """id and component of the linked ids."""
@@ -249,10 +300,11 @@ class _Join:
                 rows = self.branched(large)
         nodes = reduce(DataFrame.union, leaves)
         for _ in range(p.rounds):
-            self.confirm(self.compared(nodes, ["node"], True))
+            best = self.grouped(nodes.withColumnRenamed("node", "key")).mapInArrow(lambda b: _best_pairs(b, p), "a long, b long")
+            self.confirm(best)
             nodes = self.open(nodes.select("node", "id"))
-        pairs = self.compared(nodes, ["node"], False)
-        self.confirm(pairs if rest is None else pairs.union(self.blocks(rest)))
+        last = nodes.select(F.col("node").alias("key"), "id", "c")
+        self.compare(last if rest is None else last.union(self.blocks(rest)))
         return self.groups
 
 
