@@ -44,7 +44,7 @@ class PathJoin:
     trees: int = 24
     leaf: int = 256
     depth: int = 6
-    rounds: int = 2
+    rounds: int = 1
     slack: float = 0.12
 
 
