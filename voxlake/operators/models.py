@@ -66,16 +66,22 @@ class MacroF1(Evaluator):
 
 
 def tuned(train: DataFrame, kind: str, id_column: str, k: int = 3, grid: tuple[float, ...] | None = None) -> tuple[float, list[tuple[float, float]]]:
-    """The best grid value by mean macro F1 over k hash folds, and the mean of each value. The loop is over grid and folds."""
-    rows, means = folds(train, k, id_column).persist(), []
-    n = rows.count()
-    for value in grid or (C_GRID if kind == "lr" else ALPHA_GRID):
-        found = []
-        for f in range(k):
-            part = rows.where(F.col("fold") != f)
-            model = fit(part, logistic_regression(value, n) if kind == "lr" else naive_bayes(value))
-            found.append(MacroF1()._evaluate(model.transform(rows.where(F.col("fold") == f))))
-        means.append((value, sum(found) / k))
+    """The best grid value by mean macro F1 over k hash folds, and the mean of each value. A fold's vocabulary and idf see only
+    its own training part and serve every value. The loop is over folds and grid."""
+    rows, values = folds(train, k, id_column).select("label", "terms", "fold").persist(), grid or (C_GRID if kind == "lr" else ALPHA_GRID)
+    found: dict[float, list[float]] = {value: [] for value in values}
+    for f in range(k):
+        part = rows.where(F.col("fold") != f)
+        features = Pipeline(stages=feature_stages()).fit(part)
+        seen, rest = (features.transform(x).select("label", "features").persist() for x in (part, rows.where(F.col("fold") == f)))
+        n = seen.count()
+        for value in values:
+            model = (logistic_regression(value, n) if kind == "lr" else naive_bayes(value)).fit(seen)
+            found[value].append(MacroF1()._evaluate(model.transform(rest)))
+        seen.unpersist()
+        rest.unpersist()
+    rows.unpersist()
+    means = [(value, sum(found[value]) / k) for value in values]
     return max(means, key=lambda m: (m[1], -m[0]))[0], means
 
 

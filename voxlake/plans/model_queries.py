@@ -203,7 +203,7 @@ def p23(spark, d):
 
 def labelled(spark, d):
     label = F.when(F.col("lang") == "en", "negative").when(F.col("lang") == "fr", "neutral").otherwise("positive")
-    return M.prepared(V.table(spark, d, "documents").select("doc_id", F.substring("text", 1, 2000).alias("text"), label.alias("sentiment_label")))
+    return M.prepared(V.table(spark, d, "documents").select("doc_id", "text", label.alias("sentiment_label"))).drop("text")
 
 
 @query("m1_t1_prepared", "SELECT doc_id, CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 ELSE 2 END::DOUBLE AS label FROM documents")
@@ -216,7 +216,8 @@ def m1(spark, d):
 def m2(spark, d):
     rows = S.split(labelled(spark, d), {"train": 0.8, "test": 0.2}, "doc_id").persist()
     train = rows.where("split = 'train'")
-    model = M.fit(train, M.logistic_regression(1.0, train.count()), 20_000)
+    c, _ = M.tuned(train, "lr", "doc_id")
+    model = M.fit(train, M.logistic_regression(c, train.count()))
     from ..operators.evaluation import overall
 
     return overall(M.score(model, rows.where("split = 'test'")).select(F.col("sentiment_label").alias("true_label"), "pred")).select("n", "accuracy", "macro_f1")
@@ -225,7 +226,9 @@ def m2(spark, d):
 @query("m3_m6_naive_bayes")
 def m3(spark, d):
     rows = S.split(labelled(spark, d), {"train": 0.8, "test": 0.2}, "doc_id").persist()
-    model = M.fit(rows.where("split = 'train'"), M.naive_bayes(0.1), 20_000)
+    train = rows.where("split = 'train'")
+    alpha, _ = M.tuned(train, "nb", "doc_id")
+    model = M.fit(train, M.naive_bayes(alpha))
     from ..operators.evaluation import overall
 
     return overall(M.score(model, rows.where("split = 'test'")).select(F.col("sentiment_label").alias("true_label"), "pred")).select("n", "accuracy", "macro_f1")
@@ -333,7 +336,7 @@ def x11(spark, d):
 
 @query("m4_w14_cross_validation")
 def m4(spark, d):
-    return M.fold_summary(M.cross_validated(labelled(spark, d), M.naive_bayes(0.1), "doc_id", 3))
+    return M.fold_summary(M.cross_validated(labelled(spark, d), M.naive_bayes(0.1), "doc_id", 5))
 
 
 @query("tx13_single_source_audit")
