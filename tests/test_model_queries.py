@@ -43,3 +43,14 @@ def test_five_folds(spark, folder, monkeypatch):
     monkeypatch.setattr(M, "fold_summary", lambda scores: seen.append(scores) or summary(scores))
     assert Q.m4(spark, folder).first()["mean"] == 1.0
     assert sorted(r.fold for r in seen[0].collect()) == [0, 1, 2, 3, 4]
+
+
+def test_analyse_keeps_reviews_without_a_vector(spark, folder):
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, [1.0, 0.5 * (i % 2)], i % 2) for i in range(10)], "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    documents.selectExpr("doc_id", "'aa xyz xyz xyz xyz' AS text", "lang", "'src0' AS source", "10L AS n_chars").write.parquet(f"{folder}/plain/documents.parquet")
+    spark.read.parquet(f"{folder}/embeddings.parquet").write.parquet(f"{folder}/plain/embeddings.parquet")
+    rows = {r.id: r for r in Q.x1(spark, f"{folder}/plain").collect()}
+    assert len(rows) == 60 and all(r.label and r.status == "ok" for r in rows.values())
+    assert all(r.skipped == "no vector" and r.category is None for i, r in rows.items() if i >= 10)
+    assert all(r.skipped is None and r.category for i, r in rows.items() if i < 10)

@@ -90,10 +90,12 @@ def categorise(items: DataFrame, categories: DataFrame, threshold: float = CATEG
 
 
 def analyse(items: DataFrame, score: Callable[[Column], Column], categories: DataFrame | None = None, vector: str | None = None) -> DataFrame:
-    """One result for each item (id, text and, to categorise, a vector): status, sentiment, category, the reason for none."""
+    """One result for each item (id, text and, to categorise, a vector): status, sentiment, category, the reason for none. An
+    item whose vector is null keeps its sentiment and gets no category."""
     rows = items.withColumn("text", X.normalise("text")).withColumn("sentiment", score(F.col("text")))
     rows = rows.withColumn("status", F.when(F.col("sentiment.error").isNotNull(), "failed").otherwise("ok")).withColumn("label", F.col("sentiment.label")).withColumn("skipped", gate("label"))
     if categories is not None and vector is not None:
+        rows = rows.withColumn("skipped", F.coalesce("skipped", F.when(F.col(vector).isNull(), "no vector")))
         open_ = rows.where("skipped IS NULL AND status = 'ok'").select("id", F.col(vector).alias("vector"))
         rows = rows.join(categorise(open_, categories), "id", "left")
     else:

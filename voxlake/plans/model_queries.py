@@ -53,7 +53,7 @@ def x1(spark, d):
     score = N.sentiment_udf(N.word_rule_model, "word-rule-1")
     r = V.reviews(spark, d).join(V.table(spark, d, "embeddings"), F.col("review_id") == F.col("vec_id"), "left")
     items = r.select(F.col("review_id").alias("id"), "text", F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
-    out = N.analyse(items.where("vector IS NOT NULL"), score, taxonomy_vectors(spark, d), "vector")
+    out = N.analyse(items, score, taxonomy_vectors(spark, d), "vector")
     return out.select("id", "status", "label", "confidence", "category", "score", "is_unclassified", "skipped")
 
 
