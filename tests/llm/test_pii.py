@@ -60,3 +60,27 @@ def test_empty_and_counts(spark):
     assert {r.doc_id: r.n_replaced for r in rows} == {1: 2, 2: 0}
     one = next(r.text for r in rows if r.doc_id == 1)
     assert re.sub(r"\D", "", one)[:16] == re.sub(r"\D", "", one)[16:]
+
+
+def test_a_person_named_again_gets_the_same_surrogate(spark):
+    schema = "doc_id long, text string"
+    text = "Mr. John Michael Smith met Will Ou. SMITH said that John and Smith's wife agree; Smithers and a.smith@x.example.org too."
+    new = surrogated(spark.createDataFrame([(1, text)], schema)).first().text
+    words = re.findall(r"\w+", new)
+    assert not {"john", "michael", "smith"} & {w.lower() for w in words} and "Smithers" in words
+    first, _, last = words[1:4]
+    assert f"{last.upper()} said that {first} and {last}'s wife" in new
+    common = "Mr. Smith The old man. The man and the dog."
+    assert surrogated(spark.createDataFrame([(1, common)], schema)).first().text.endswith("The man and the dog.")
+
+
+def test_every_mention_passes_the_prefilter(spark):
+    texts = [
+        "call +٩٧١ ٥٠ ١٢٣ ٤٥٦٧ now", "card ٤١١١ ١١١١ ١١١١ ١١١١", "१२३-४५-६७८९", "١٠.٠.٠.١", "\U0001e4f1" * 16, "a@b.example", "AKIA" + "B" * 16, "ghp_" + "a" * 36, "ghs_" + "Z" * 36, "sk-" + "x" * 30,
+        "abcdef" * 6, "ABCDEF" * 6, "Mr. Smith", "Dr Who", "Mary Jones", "г-н Иван Петров", "κύριος Νίκος", TEXT,
+    ]
+    df = spark.createDataFrame(enumerate(texts), "doc_id long, text string")
+    assert all(mentions(t) for t in texts)
+    got = {r.doc_id: r for r in surrogated(df, counted="n_replaced").collect()}
+    assert all(got[i].n_replaced and got[i].text != t for i, t in enumerate(texts))
+    assert re.fullmatch(r"card [٠-٩]{4} [٠-٩]{4} [٠-٩]{4} [٠-٩]{4}", got[1].text)

@@ -2,9 +2,11 @@
 
 Entities are e-mail addresses, phone numbers, card numbers (13 to 19 digits), social security numbers, IBANs, IPv4
 addresses, hexadecimal secrets and access keys, and person names (after a title, or a known given name before a capitalised
-word). Each distinct entity, in its canonical form (lower case, no separators, name part by name part), gets one surrogate
+word; a third word of a name is taken where one of the first two is a known given name). A found name part stands for the
+person wherever it is a whole, capitalised word of the same text, unless the text also has it in lower case as a common
+word. Each distinct entity, in its canonical form (lower case, no separators, ASCII digits, name part by name part), gets one surrogate
 in the whole corpus, so mentions of one entity stay mentions of one; a mention then takes its own format back (separators,
-case). Candidates come from a keyed hash; a candidate that another entity has, or that is itself an entity of the corpus,
+case, digits of its script). Candidates come from a keyed hash; a candidate that another entity has, or that is itself an entity of the corpus,
 is drawn again, in joins over the distinct entities, until all differ.
 
 Results for odd rows: a null text stays null, an empty one empty; repeated rows get the same text each; rows with one
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from functools import reduce
 
 import pyarrow as pa
@@ -55,11 +58,11 @@ _ENTITY = re.compile(
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<phone>(?<![\w+])(?:\+?\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<!\w)\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\d.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-]))"
     r"|(?P<card>(?<!\d)\d(?:[ -]?\d){12,18}(?!\d))"
-    rf"|(?P<titled>(?<!\w)(?P<title>{_ALL(TITLES)})\.?[ ]+(?P<one>{_CAP})(?:[ ]+(?P<two>{_CAP}))?)"
-    rf"|(?P<named>(?<!\w)(?P<given>{_ALL(GIVEN)})[ ]+(?P<last>{_CAP}))"
+    rf"|(?P<titled>(?<!\w)(?P<title>{_ALL(TITLES)})\.?[ ]+(?P<one>{_CAP})(?:[ ]+(?P<two>{_CAP})(?:[ ]+(?P<three>{_CAP}))?)?)"
+    rf"|(?P<named>(?<!\w)(?P<given>{_ALL(GIVEN)})[ ]+(?P<last>{_CAP})(?:[ ]+(?P<more>{_CAP}))?)"
 )
-#: What a text must hold for an entity to be possible, as a Java pattern.
-TRIGGER = rf"[0-9@]|AKIA|(?=[A-ZͰ-ӿ])(?<![\p{{L}}\p{{N}}_])(?:{_ALL(TITLES)}|{_ALL(GIVEN)})(?![\p{{L}}\p{{N}}_])"
+#: What a text must hold for an entity to be possible, as a Java pattern. Digits newer than Java's tables are unassigned there.
+TRIGGER = rf"[\p{{Nd}}\p{{Cn}}@]|AKIA|gh[pousr]_|sk-|[0-9A-Fa-f]{{32}}|(?=[A-ZͰ-ӿ])(?<![\p{{L}}\p{{N}}_])(?:{_ALL(TITLES)}|{_ALL(GIVEN)})(?![\p{{L}}\p{{N}}_])"
 _GENDER = {w.lower(): g for g, ws in GIVEN.items() for w in ws}
 _TITLE = {w: g for g, ws in TITLES.items() for w in ws}
 
@@ -68,26 +71,56 @@ def _alnum(s: str) -> str:
     return "".join(c for c in s if c.isalnum())
 
 
+def _ascii_digits(s: str) -> str:
+    return s if s.isascii() else "".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in s)
+
+
+def _again(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """The further mentions of the name parts found: whole words that aren't within another entity."""
+    names: dict[str, str] = {}
+    for _, _, kind, canon in found:
+        if kind.startswith("name") and (len(canon) > 1 or _script(canon) == "han"):
+            names.setdefault(canon, kind)
+    if not names:
+        return []
+    words = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(map(re.escape, names), key=lambda w: (-len(w), w)))})(?!\w)", re.I)
+    hits, common, at = [], set(), 0
+    for m in words.finditer(text):
+        while at < len(found) and found[at][1] <= m.start():
+            at += 1
+        canon = m[0].lower()
+        if canon not in names or at < len(found) and found[at][0] < m.end():
+            continue
+        if m[0][0].isupper() or _script(m[0]) == "han":
+            hits.append((m.start(), m.end(), names[canon], canon))
+        elif canon not in _GENDER:
+            common.add(canon)
+    return [h for h in hits if h[3] not in common]
+
+
 def mentions(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form) of each entity part, in order, none overlapping."""
     found = []
     for m in _ENTITY.finditer(text):
         kind = next(k for k in ("email", "secret", "iban", "ip", "ssn", "phone", "card", "titled", "named") if m[k] is not None)
         if kind in ("titled", "named"):
-            parts = [g for g in (("one", "two") if kind == "titled" else ("given", "last")) if m[g] is not None]
+            parts = [g for g in (("one", "two", "three") if kind == "titled" else ("given", "last", "more")) if m[g] is not None]
             parts = parts[: next((i for i, g in enumerate(parts) if not m[g][0].isupper() and _script(m[g]) != "han"), len(parts))]
             if kind == "named" and len(parts) < 2:
                 continue
+            if len(parts) == 3 and not (m[parts[0]].lower() in _GENDER or m[parts[1]].lower() in _GENDER):
+                parts.pop()
             for g in parts:
                 first = g != parts[-1] or (g == "one" and m[g].lower() in _GENDER)
                 gender = "n" if not first else _GENDER.get(m[g].lower(), _TITLE.get(m["title"], "n") if kind == "titled" else "n")
-                found.append((m.start(g), m.end(g), f"name_{gender}" if first else "name_last", m[g].lower()))
+                name = re.sub("['’]s$", "", m[g], flags=re.I) or m[g]
+                found.append((m.start(g), m.start(g) + len(name), f"name_{gender}" if first else "name_last", name.lower()))
         elif kind in ("email", "ip"):
-            found.append((m.start(), m.end(), kind, m[0].lower()))
+            found.append((m.start(), m.end(), kind, m[0].lower() if kind == "email" else _ascii_digits(m[0])))
         else:
-            canon = _alnum(m[0])
+            canon = _ascii_digits(_alnum(m[0]))
             found.append((m.start(), m.end(), kind, canon if kind == "secret" and not re.fullmatch("[0-9a-fA-F]+", canon) else canon.lower()))
-    return found
+    return sorted(found + _again(text, found))
 
 
 def _script(s: str) -> str:
@@ -164,6 +197,10 @@ def candidate(key: bytes, kind: str, canon: str, attempt: int) -> str:
 
 def render(raw: str, kind: str, canon: str) -> str:
     """The canonical surrogate in the format of the mention."""
+    digit = next((c for c in raw if c.isdecimal() and not c.isascii()), None) if kind != "email" else None
+    if digit:
+        zero = ord(digit) - unicodedata.decimal(digit)
+        return "".join(chr(zero + int(c)) if c.isdecimal() else c for c in render(_ascii_digits(raw), kind, canon))
     if kind == "ip":
         return canon
     if kind.startswith("name"):
