@@ -30,3 +30,9 @@ def test_rows(spark):
     got = sorted(tuple(r) for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).fillna("", ["url"]).collect())
     assert got == [(1, "u", P1, len(P1)), (1, "u", P1, len(P1)), (2, "", "", 0)]
     assert extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_letters_that_grow_in_lower_case_before_a_raw_element():
+    text = "A long enough sentence of the article, with commas, words and more words. " * 3
+    page = f"<html><body><div><p>{'İ' * 20} {text}</p><script>var a = 1;</ScRiPt><p>After: {text}</p></div></body></html>"
+    assert "After:" in main_text(page) and "var a" not in main_text(page)

@@ -37,6 +37,7 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden
 _LETTERS = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+_RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 BLOCK = frozenset(
     "address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -80,7 +81,7 @@ def _says_never(tag: str, attrs: str) -> bool:
 def parse(html: str) -> tuple[_Node, list[_Node]]:
     """The body (or the root, without one) and all nodes in page order."""
     root = _Node("html", None, False)
-    nodes, stack, body, at, low = [root], [root], None, 0, None
+    nodes, stack, body, at = [root], [root], None, 0
     while at < len(html):
         m = _TOKEN.match(html, at)
         at = m.end()
@@ -122,9 +123,8 @@ def parse(html: str) -> tuple[_Node, list[_Node]]:
         stack[-1].kids.append(node)
         nodes.append(node)
         if tag in RAW:
-            low = low if low is not None else html.lower()
-            end = low.find(f"</{tag}", at)
-            at = len(html) if end < 0 else end
+            end = _RAW_END[tag].search(html, at)
+            at = end.start() if end else len(html)
             stack.append(node)
         elif tag not in VOID and not (attrs or "").endswith("/"):
             stack.append(node)
