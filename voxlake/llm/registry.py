@@ -12,6 +12,7 @@ QUERIES = {
     "op5_language_id": language_id.op5_language_id,
     "op6_sentencepiece": sentencepiece_fst.op6_sentencepiece,
     "op7_stupid_backoff": ngram_lm.op7_stupid_backoff,
+    "op7_trigram_backoff": ngram_lm.op7_trigram_backoff,
     "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op9_chat": chat.op9_chat,
     "op10_quality_rules": quality_rules.op10_quality_rules,
@@ -20,6 +21,7 @@ ORACLES = {
     "op1_minhash": minhash.oracle_sql(),
     "op3_mixing": mixing.ORACLE_SQL,
     "op7_stupid_backoff": ngram_lm.ORACLE_SQL,
+    "op7_trigram_backoff": ngram_lm.TRIGRAM_SQL,
     "op8_embedding_dedup": embedding_dedup.ORACLE_SQL,
     "op9_chat": chat.ORACLE_SQL,
     "op10_quality_rules": quality_rules.ORACLE_SQL,
