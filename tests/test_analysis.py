@@ -164,3 +164,15 @@ def test_classical_models(spark, tmp_path):
     assert best in (0.1, 1.0) and len(means) == 2
     folds = M.cross_validated(train, M.naive_bayes(0.1), "id", k=2)
     assert folds.count() == 2 and M.fold_summary(folds).first()["mean"] > 0.9
+
+
+def test_approximate_neighbours_against_exact_search(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(12, 16))[rng.integers(0, 12, 400)] + 0.3 * rng.normal(size=(400, 16))
+    x[0] = -x[1:].sum(0) * 10
+    docs = spark.createDataFrame([(i, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(x)], "doc_id long, vector array<double>")
+    queries = docs.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    near, exact = ({(r.query_id, r.doc_id) for r in f.collect()} for f in (VEC.approximate_neighbours(queries, docs, 5, 1.2), VEC.top_k(queries, docs, 5)))
+    tight = VEC.approximate_neighbours(queries, docs, 5, 0.1).groupBy("query_id").count().collect()
+    assert len(near) == 100 and len(near & exact) >= 90
+    assert len(tight) == 20 and all(r["count"] == 5 for r in tight)

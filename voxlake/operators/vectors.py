@@ -136,7 +136,8 @@ def embed(docs: DataFrame, id_column: str, text: str = "text", dims: int = 64, e
 
 
 def approximate_neighbours(queries: DataFrame, docs: DataFrame, k: int, distance: float, bucket: float = 0.5, tables: int = 8, seed: int = 42) -> DataFrame:
-    """Top-k of unit vectors by random projections; exact search stays the default. Recall depends on ``tables`` and ``bucket``."""
+    """Top-k of unit vectors by random projections; exact search stays the default. Recall depends on ``tables`` and ``bucket``.
+    Queries with fewer than k neighbours within ``distance`` get theirs by exact search."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
@@ -145,7 +146,10 @@ def approximate_neighbours(queries: DataFrame, docs: DataFrame, k: int, distance
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(x)
     pairs = model.approxSimilarityJoin(q, x, distance, "distance").select("datasetA.query_id", "datasetB.doc_id", (1 - F.col("distance") ** 2 / 2).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    near = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).persist()
+    full = near.where(F.col("rank") == k).select("query_id")
+    exact = top_k(queries.join(full, "query_id", "left_anti"), docs, k).select("query_id", "doc_id", "score", "rank")
+    return near.join(full, "query_id", "left_semi").select("query_id", "doc_id", "score", "rank").union(exact)
 
 
 def evidence_rows(found: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
