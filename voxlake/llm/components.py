@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """child and its least parent, as a table: both sides of the joins below are then plain scans, whose hot keys AQE can split."""
+    return stored(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("child"), "m"))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    """Every child goes to the least parent of its parent; a parent without parents keeps its children."""
+    return edges.join(_least(edges), F.col("v") == F.col("child"), "left").select("u", F.coalesce("m", "v").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    low = edges.join(least.select(F.col("u").alias("c"), "m"), F.col("u") == F.col("c")).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return low.union(least.select("u", F.col("m").alias("v"))).distinct()
+    """A child keeps its least parent, to which its other parents go."""
+    least = _least(edges)
+    low = edges.join(least, F.col("u") == F.col("child")).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return low.union(least.select(F.col("child").alias("u"), F.col("m").alias("v"))).distinct()
 
 
 def _kept(edges: DataFrame) -> tuple[DataFrame, dict]:
@@ -30,11 +35,11 @@ def _kept(edges: DataFrame) -> tuple[DataFrame, dict]:
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """id and component (the smallest id reachable) for every id on an edge; loops and nulls are left out, repeats do no harm.
 
-    Both steps group by node with map-side minima and join the minima back, so a node with very many neighbours is a
-    skewed join that AQE splits, not a group in one task. Only four numbers for each round come to the driver."""
+    Edges point from the larger id (child) to the smaller (parent). Both steps group by child with map-side minima and join
+    the minima back; only four numbers for each round come to the driver."""
     edges, mark = _kept(edges.where(f"{a} <> {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     while True:
-        edges, now = _kept(_small_star(_large_star(edges)))
+        edges, now = _kept(_small_star(stored(_large_star(edges))))
         if now == mark:
             break
         mark = now

@@ -1,27 +1,30 @@
 """Near-duplicates by a chosen-path set similarity join over minwise tokens.
 
-A document's set holds the hashes of its distinct word shingles; equal sets are folded. Each of ``trees`` trees sends a set
-along the minwise tokens of three coordinates of its own, so that sets that merely share a passage part early. Nodes with
-one set are done. A larger node goes on to the children of one further coordinate, or of two for a quarter of the nodes
-(1.25 on average, the inverse of the least similarity, so that a similar pair keeps one common node on average), until it
-has up to ``leaf`` sets, which are compared exhaustively. A pair of similarity 0.8 parts in all 24 trees before the first
-node with a chance of (1 - 0.8^3)^24 = 3e-8.
-
-Only components are asked for, and a node whose sets are one component already has nothing to add. So links are found in
-rounds: first every set of a large node with the first set there (the likeliest of several), then ``rounds`` times in each leaf every
-set with its likeliest partner of another component, and at last all pairs of different components that are left. Nodes still
-larger than a leaf at the last depth are compared block by block, all of them. Candidates pass a sketch of 256
-minwise bytes (kept down to ``slack`` below the least similarity, almost five standard deviations) and are confirmed on
-full sets.
+A document's set holds the hashes of its distinct word shingles; equal sets are folded. Each tree sends a set along the
+minwise tokens of three coordinates of its own, so that sets that merely share a passage part early. Nodes with one set are
+done. A node of more than ``leaf`` sets goes on to the children of one further coordinate, or of two for a quarter of the
+nodes (1.25 on average, the inverse of the least similarity, so that a similar pair keeps one common node on average). The
+number of trees follows from ``target_recall``: a pair of the least similarity s parts in one tree's first node with
+1 - s^3, so in all T of them with (1 - s^3)^T, which has to be 1 - ``target_recall`` at most (17 trees for 0.8).
+
+Only components are asked for, and a node whose sets are of one component has nothing to add. So the trees are taken in two
+batches: the first ``first`` trees, whose links make components, then the rest, where only nodes of several components are
+opened. In large nodes of the first batch every set is first held against the node's first set (its pivot): what is similar
+to it has its component and leaves. Inside a leaf all sets are compared exhaustively: a sketch of 256 minwise bytes tells
+which sets have a possible partner of another component (down to ``slack`` below the least similarity, almost five standard
+deviations), and those are compared on full sets, in blocks of ``block_bytes``, by one count of common shingles for all
+pairs. A leaf returns at most one link for each of its components, never its pairs. Nodes still large at the last depth
+are compared block by block: the sets outside the node's largest component with each other and with that component.
 
 Results for odd rows: a null or empty text has an empty set, n_shingles 0, and links with nothing; a text of fewer words
-than a shingle is one shingle of all its words; rows with one doc_id are one node and share its component; a null doc_id
+than a shingle is one shingle of all its words; rows with text and one doc_id are one node and share its component; a null doc_id
 links with nothing, its component_id is null and it is kept; an empty table gives no row. Only ``doc_id`` and ``text`` are
 read. Texts of any length are read whole.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 
@@ -31,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, stored, table
+from .common import in_arrow, runs, slices, stored, table, together
 from .components import connected_components
 
 SKETCH, STEPS, SMALL = 256, 3, 1_000_000
@@ -41,11 +44,19 @@ SKETCH, STEPS, SMALL = 256, 3, 1_000_000
 class PathJoin:
     words: int = 5
     percent: int = 80
-    trees: int = 24
-    leaf: int = 256
-    depth: int = 6
-    rounds: int = 1
+    target_recall: float = 0.99999
+    first: int = 2
+    leaf: int = 512
+    depth: int = 10
     slack: float = 0.12
+    block_bytes: int = 32 << 20
+
+    @property
+    def trees(self) -> int:
+        trees = math.ceil(math.log(1 - self.target_recall) / math.log(1 - min(self.percent / 100, 0.999) ** STEPS))
+        if trees * STEPS > SKETCH:
+            raise ValueError("the recall needs more coordinates than a sketch has")
+        return max(trees, self.first + 1)
 
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -93,10 +104,11 @@ def _nodes(m: np.ndarray, trees: int) -> np.ndarray:
 
 
 def _signatures(batches, p: PathJoin):
+    """Everything that the trees need of a text; the full sets are made again where they are compared."""
     for b in slices(batches):
         n, d1, d2, nodes, sketch = [], [], [], [np.empty(0, np.int64)], []
-        for text in b.column(1).to_pylist():
-            s = shingles(text, p.words)
+        for text in b.column(1):
+            s = shingles(text.as_py(), p.words)
             m = minima(s)
             n.append(len(s))
             d1.append(int((s * _M1 ^ (s >> np.uint64(29))).sum().view(np.int64)))
@@ -108,96 +120,119 @@ def _signatures(batches, p: PathJoin):
 
 
 def _sets(batches, k: int):
-    for b in slices(batches):
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, k).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["id", "s"])
-
-
-def _leaf(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """order, ids, components, sizes and sketches of a node's list of structs, in order of the ids."""
-    ids, c, n = (np.asarray(rows.field(f), np.int64) for f in ("id", "c", "n"))
-    order = np.argsort(ids, kind="stable")
-    sketch = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
-    return order, ids[order], c[order], n[order], sketch[order]
+    for b in slices(batches, 64):
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), k).tobytes() for t in b.column(1)], pa.binary())], names=["id", "s"])
 
 
-def _candidates(i: int, c: np.ndarray, n: np.ndarray, sketch: np.ndarray, p: PathJoin) -> tuple[np.ndarray, np.ndarray]:
-    """The sets of other components that may be similar enough to set i, and their numbers of equal bytes."""
-    j = np.flatnonzero((c != c[i]) & (100 * np.minimum(n, n[i]) >= p.percent * np.maximum(n, n[i])))
-    same = (sketch[j] == sketch[i]).sum(1)
-    near = same >= (p.percent / 100 - p.slack) * SKETCH
-    return j[near], same[near]
+def _possible(n: np.ndarray, sketch: np.ndarray, p: PathJoin, i: int, to: int) -> np.ndarray:
+    """Whether each of the sets i to ``to`` may be similar enough to each set, by sizes and sketches."""
+    sizes = 100 * np.minimum(n[i:to, None], n) >= p.percent * np.maximum(n[i:to, None], n)
+    return sizes & ((sketch[i:to, None] == sketch).sum(2, dtype=np.int16) >= (p.percent / 100 - p.slack) * SKETCH)
 
 
-def _best_pairs(batches, p: PathJoin):
-    """Within each node, each set with its likeliest partner of another component."""
-    for b in batches:
-        got_a, got_b = [], []
-        for k in range(b.num_rows):
-            _, ids, c, n, sketch = _leaf(b.column("rows")[k].values)
-            for i in range(len(ids)):
-                j, same = _candidates(i, c, n, sketch, p)
-                if len(j):
-                    x = ids[j[same.argmax()]]
-                    got_a.append(min(ids[i], x))
-                    got_b.append(max(ids[i], x))
-        yield pa.RecordBatch.from_arrays([pa.array(got_a, pa.int64()), pa.array(got_b, pa.int64())], names=["a", "b"])
+def _blocks(n: np.ndarray, limit: int) -> np.ndarray:
+    """The block of each set, so that a block's sets have up to ``limit`` bytes, or it has one set."""
+    out, block, held = np.zeros(len(n), np.int64), 0, 0
+    for i, size in enumerate((8 * n).tolist()):
+        if held and held + size > limit:
+            block, held = block + 1, 0
+        held += size
+        out[i] = block
+    return out
 
 
 def _involved(batches, p: PathJoin):
-    """Within each node, the sets that have a possible partner of another component."""
-    for b in batches:
-        keys, got, comps = [], [], []
-        for k in range(b.num_rows):
-            _, ids, c, n, sketch = _leaf(b.column("rows")[k].values)
-            own = [i for i in range(len(ids)) if len(_candidates(i, c, n, sketch, p)[0])]
-            keys += [b.column("key")[k].as_py()] * len(own)
-            got += ids[own].tolist()
-            comps += c[own].tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, got, comps)], names=["key", "id", "c"])
-
-
-def _all_links(batches, p: PathJoin):
-    """Within each node, links between different components by full sets: all pairs are compared, a forest of them returned."""
-    for b in batches:
-        got_a, got_b = [], []
-        for k in range(b.num_rows):
-            rows = b.column("rows")[k].values
-            order, ids, c, n, sketch = _leaf(rows)
-            sets = rows.field("s")
-            full = [np.frombuffer(sets[int(o)].as_buffer(), np.uint64) for o in order]
-            group = c.copy()
-            for i in range(len(ids)):
-                for j in _candidates(i, c, n, sketch, p)[0]:
-                    if j > i and group[i] != group[j] and _similar_sets(full[i], full[j], p):
-                        got_a.append(ids[i])
-                        got_b.append(ids[j])
-                        group[group == group[j]] = group[i]
-        yield pa.RecordBatch.from_arrays([pa.array(got_a, pa.int64()), pa.array(got_b, pa.int64())], names=["a", "b"])
-
-
-def _similar_sets(x: np.ndarray, y: np.ndarray, p: PathJoin) -> bool:
-    s = np.concatenate([x, y])
-    s.sort(kind="stable")
-    both = int((s[1:] == s[:-1]).sum())
-    return both > 0 and 100 * both >= p.percent * (len(s) - both)
+    """The sets of each node with a possible partner of another component: key, id, c; a key is a node or two blocks of it."""
+    for node in runs(batches):
+        ids, c, n = (node.column(f).to_numpy() for f in ("id", "c", "n"))
+        sketch = np.frombuffer(b"".join(node.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+        own, step = np.zeros(len(ids), bool), max(1, (4 << 20) // (len(ids) * SKETCH))
+        for i in range(0, len(ids), step):
+            own[i : i + step] = (_possible(n, sketch, p, i, i + step) & (c[i : i + step, None] != c)).any(1)
+        ids, c, n, key = ids[own], c[own], n[own], node.column("key")[0].as_py()
+        if not len(ids):
+            continue
+        block = _blocks(n, p.block_bytes)
+        last = int(block[-1])
+        pairs = [(a, b) for a in range(last + 1) for b in range(a + 1, last + 1)] or [(0, 0)]
+        for a, b in pairs:
+            some = (block == a) | (block == b)
+            at = key if last == 0 else xxhash.xxh3_64_intdigest(b"%d %d %d" % (key, a, b)) - 2**63
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.full(some.sum(), at), ids[some], c[some])], names=["key", "id", "c"])
+
+
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of all pairs of sets, by products of slices of their incidence matrix."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    new = np.concatenate(([True], flat[1:] != flat[:-1]))
+    item = np.cumsum(new) - 1
+    shared = np.bincount(item)[item] > 1
+    owner, item = owner[shared], item[shared]
+    if not len(item):
+        return np.zeros((len(sets), len(sets)))
+    column = np.cumsum(np.concatenate(([0], item[1:] != item[:-1])))
+    total, width = np.zeros((len(sets), len(sets))), max(256, (4 << 20) // len(sets))
+    for at in range(0, int(column[-1]) + 1, width):
+        a, z = np.searchsorted(column, [at, at + width])
+        x = np.zeros((len(sets), min(width, int(column[-1]) + 1 - at)), np.float32)
+        x[owner[a:z], column[a:z] - at] = 1
+        total += x @ x.T
+    return total
+
+
+def _forest(c: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
+    """The component of least id that each component of ``c`` is joined with by a matrix of links between its members."""
+    names, at = np.unique(c, return_inverse=True)
+    x, y = at[np.argwhere(linked)].reshape(-1, 2).T
+    near = np.zeros((len(names), len(names)), bool)
+    near[x, y] = near[y, x] = True
+    root, out = np.full(len(names), -1), []
+    for r in range(len(names)):
+        if root[r] < 0:
+            reached = np.zeros(len(names), bool)
+            reached[r], front = True, np.array([r])
+            while len(front):
+                front = np.flatnonzero(near[front].any(0) & ~reached)
+                reached[front] = True
+            root[reached] = r
+            out += [(int(names[r]), int(names[k])) for k in np.flatnonzero(reached) if k != r]
+    return out
+
+
+def _links(batches, p: PathJoin):
+    """Between the components of each group: the links that full sets confirm, as a forest."""
+    for group in runs(batches):
+        c = group.column("c").to_numpy()
+        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in group.column("s")]
+        n, both = np.array([len(s) for s in sets]), common_counts(sets)
+        found = _forest(c, (both > 0) & (100 * both >= p.percent * (n[:, None] + n - both)) & (c[:, None] != c))
+        if found:
+            a, b = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _close(batches, p: PathJoin):
     """The pairs whose sketches and sizes let them be similar enough, with the number of equal bytes."""
-    least = (p.percent / 100 - p.slack) * SKETCH
     for b in batches:
         x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("xs", "ys"))
         n, m = (np.asarray(b.column(c), np.int64) for c in ("xn", "yn"))
         same = (x == y).sum(1)
-        ok = (same >= least) & (100 * np.minimum(n, m) >= p.percent * np.maximum(n, m))
+        ok = (same >= (p.percent / 100 - p.slack) * SKETCH) & (100 * np.minimum(n, m) >= p.percent * np.maximum(n, m))
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(same)], names=["a", "b", "same"]).filter(pa.array(ok))
 
 
 def _similar(batches, p: PathJoin):
     """The pairs whose full sets are similar enough."""
     for b in slices(batches, 64):
-        sets = zip(b.column("x"), b.column("y"), strict=True)
-        ok = [_similar_sets(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), p) for x, y in sets]
+        ok = []
+        for x, y in zip(b.column("x"), b.column("y"), strict=True):
+            s = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)])
+            s.sort(kind="stable")
+            both = int((s[1:] == s[:-1]).sum())
+            ok.append(both > 0 and 100 * both >= p.percent * (len(s) - both))
         yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
@@ -206,116 +241,108 @@ def _near(df: DataFrame, key: str, ids: DataFrame, id_: str) -> DataFrame:
     return df.join(F.broadcast(ids) if ids.count() <= SMALL else ids, F.col(key) == F.col(id_))
 
 
+def _open(rows: DataFrame) -> DataFrame:
+    """The rows (node, id, c) of the nodes that hold several components, with the node's size and its first set."""
+    stat = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("id").alias("first"))
+    return stored(rows.join(stored(stat.where("lo <> hi").drop("lo", "hi")), "node"))
+
+
 class _Join:
     """The steps of one join over the folded documents ``reps``."""
 
     def __init__(self, docs: DataFrame, p: PathJoin):
         self.p = p
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        self.signed = stored(texts.mapInArrow(lambda b: _signatures(b, p), _SIGNATURE))
+        self.texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        self.signed = stored(in_arrow(self.texts, lambda b: _signatures(b, p), _SIGNATURE))
         alike = self.signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n")
         self.reps = stored(alike.agg(F.min("doc_id").alias("id"), F.first("nodes").alias("nodes"), F.first("sketch").alias("sketch")))
-        rows = self.reps.select("id", F.explode("nodes").alias("node"))
-        shared = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1").select("node")
-        self.rows = stored(rows.join(shared, "node"))
-        self.links: DataFrame | None = None
-        self.groups: DataFrame | None = None
-        needed = stored(self.rows.select(F.col("id").alias("needed")).distinct())
-        self.sets = stored(_near(texts, "doc_id", needed, "needed").select("doc_id", "text").mapInArrow(lambda b: _sets(b, p.words), "id long, s binary"))
-        self.sketches = stored(_near(self.reps.select("id", "n", "sketch"), "id", needed, "needed").drop("needed"))
-
-    def confirm(self, pairs: DataFrame) -> None:
-        """Adds the pairs that are links to the links, and makes the components again."""
-        p, pairs = self.p, stored(pairs.select("a", "b").distinct())
-        x = _near(self.sets.select("id", F.col("s").alias("x")), "id", pairs, "a").select("a", "b", "x")
-        y = _near(self.sets.select("id", F.col("s").alias("y")), "id", stored(pairs.select(F.col("b").alias("other")).distinct()), "other").select(F.col("id").alias("b"), "y")
-        found = stored(x.join(y, "b").select("a", "b", "x", "y").mapInArrow(lambda b: _similar(b, p), "a long, b long"))
-        self.add(found)
-
-    def open(self, rows: DataFrame) -> DataFrame:
-        """The rows of the nodes that hold several components, with the node's size and its first and last set."""
-        if self.groups is None:
-            rows = rows.withColumn("c", F.col("id"))
-        else:
-            groups = self.groups.select(F.col("id").alias("m"), "component")
-            rows = rows.join(groups, F.col("id") == F.col("m"), "left").select("node", "id", F.coalesce("component", "id").alias("c"))
-        stat = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("id").alias("first")).where("lo <> hi")
-        return stored(rows.join(stat.drop("lo", "hi"), "node"))
-
-    def star(self, nodes: DataFrame) -> None:
-        """Links each set with the likeliest of the first sets of its nodes."""
-        p, pairs = self.p, nodes.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-        x, y = (self.sketches.select(F.col("id").alias(k), F.col("n").alias(f"{v}n"), F.col("sketch").alias(f"{v}s")) for k, v in (("a", "x"), ("b", "y")))
-        near = pairs.join(x, "a").join(y, "b").select("a", "b", "xn", "yn", "xs", "ys").mapInArrow(lambda b: _close(b, p), "a long, b long, same long")
-        best = near.groupBy("b").agg(F.max(F.struct("same", (-F.col("a")).alias("a"))).alias("x"))
-        self.confirm(best.select((-F.col("x.a")).alias("a"), "b"))
-
-    def grouped(self, nodes: DataFrame) -> DataFrame:
-        """key and the rows of each group of bounded size, with their sketches."""
-        rows = nodes.join(self.sketches, "id")
-        return rows.groupBy("key").agg(F.collect_list(F.struct("id", "c", "n", "sketch")).alias("rows"))
 
-    def add(self, found: DataFrame) -> None:
-        self.links = found if self.links is None else self.links.union(found)
-        self.groups = stored(connected_components(self.links, "a", "b"))
+    def sets_of(self, ids: DataFrame) -> DataFrame:
+        """id and full set of the ids of a table's column ``wanted``."""
+        p, texts = self.p, _near(self.texts, "doc_id", ids, "wanted").select("doc_id", "text")
+        return stored(in_arrow(texts, lambda b: _sets(b, p.words), "id long, s binary"))
 
-    def compare(self, nodes: DataFrame) -> None:
-        """Adds the links between the components within each group, by its full sets: pairs stay inside the group."""
-        p = self.p
-        left = stored(self.grouped(nodes).mapInArrow(lambda b: _involved(b, p), "key long, id long, c long"))
-        rows = left.join(self.sketches, "id").join(self.sets, "id")
-        groups = rows.groupBy("key").agg(F.collect_list(F.struct("id", "c", "n", "sketch", "s")).alias("rows"))
-        self.add(stored(groups.mapInArrow(lambda b: _all_links(b, p), "a long, b long")))
+    def star(self, large: DataFrame, sketches: DataFrame) -> DataFrame:
+        """The links between sets of large nodes and the likeliest of their nodes' first sets."""
+        p, pairs = self.p, stored(large.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
+        x, y = (sketches.select(F.col("id").alias(k), F.col("n").alias(f"{v}n"), F.col("sketch").alias(f"{v}s")) for k, v in (("a", "x"), ("b", "y")))
+        near = in_arrow(pairs.join(x, "a").join(y, "b").select("a", "b", "xn", "yn", "xs", "ys"), lambda b: _close(b, p), "a long, b long, same long")
+        best = near.groupBy("b").agg(F.max(F.struct("same", (-F.col("a")).alias("a"))).alias("x"))
+        pairs = stored(best.select((-F.col("x.a")).alias("a"), "b"))
+        sets = self.sets_of(stored(pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()))
+        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+        return stored(in_arrow(both.select("a", "b", "x", "y"), lambda b: _similar(b, p), "a long, b long"))
 
-    def branched(self, nodes: DataFrame) -> DataFrame:
+    def branched(self, nodes: DataFrame, sketches: DataFrame) -> DataFrame:
         """The rows of the next depth, by the minwise bytes of the coordinates that the node draws."""
         draw = lambda k, n: F.pmod(F.xxhash64("node", F.lit(k)), F.lit(n)).cast("int")
         coords = F.when(draw(2, 4) == 0, F.array(draw(1, SKETCH), draw(3, SKETCH))).otherwise(F.array(draw(1, SKETCH)))
-        rows = nodes.select("node", "id").join(self.sketches, "id").withColumn("at", F.explode(F.array_distinct(coords)))
-        return stored(rows.select("id", F.xxhash64("node", "at", F.expr("substring(sketch, at + 1, 1)")).alias("node")).distinct())
+        rows = nodes.select("node", "id", "c").join(sketches, "id").withColumn("at", F.explode(F.array_distinct(coords)))
+        return stored(rows.select("id", "c", F.xxhash64("node", "at", F.expr("substring(sketch, at + 1, 1)")).alias("node")).distinct())
 
     def blocks(self, nodes: DataFrame) -> DataFrame:
-        """The rows of every pair of blocks of the nodes that stayed large."""
-        n = F.ceil(F.col("size") / self.p.leaf)
-        own = nodes.withColumn("n", n).withColumn("k", F.pmod(F.xxhash64("id"), F.col("n"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-        return own.select(F.xxhash64("node", F.least("k", "other"), F.greatest("k", "other")).alias("key"), "id", "c")
-
-    def run(self) -> DataFrame:
-        """id and component of the linked ids."""
-        p, rows, leaves, rest = self.p, self.rows, [], None
-        for depth in range(p.depth):
-            nodes = self.open(rows)
+        """Rows node, id, c: a node for each two blocks to be compared in nodes that stayed large, its largest component in blocks of its own."""
+        sizes = nodes.groupBy("node", "c").agg(F.count("*").alias("n"))
+        most = stored(sizes.groupBy("node").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.max("n").alias("inside"), F.sum("n").alias("all")))
+        half = max(1, self.p.leaf // 2)
+        rows = nodes.join(most, "node").withColumn("is_main", F.col("c") == F.col("main"))
+        rows = rows.withColumn("mains", F.ceil(F.col("inside") / half)).withColumn("others", F.ceil((F.col("all") - F.col("inside")) / half))
+        rows = rows.withColumn("k", F.pmod(F.xxhash64("id"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))))
+        across = F.expr("CASE WHEN is_main THEN transform(sequence(0L, others - 1), o -> xxhash64(node, 0, k, o)) ELSE transform(sequence(0L, mains - 1), m -> xxhash64(node, 0, m, k)) END")
+        among = F.expr("CASE WHEN is_main THEN array() ELSE transform(sequence(0L, others - 1), o -> xxhash64(node, 1, least(k, o), greatest(k, o))) END")
+        return rows.select(F.explode(F.concat(across, among)).alias("node"), "id", "c")
+
+    def compare(self, rows: DataFrame, first: bool) -> DataFrame:
+        """Links (a, b) between the components of the sets in the nodes of ``rows``."""
+        p, nodes, leaves, links = self.p, _open(rows), [], None
+        wanted = stored(nodes.select(F.col("id").alias("wanted")).distinct())
+        sketches = stored(_near(self.reps.select("id", "n", "sketch"), "id", wanted, "wanted").drop("wanted"))
+        for depth in range(p.depth + 1):
             large = nodes.where(F.col("size") > p.leaf)
             if large.isEmpty():
                 leaves.append(nodes)
                 break
-            if depth == 0:
-                self.star(large)
-                nodes = self.open(nodes.select("node", "id"))
+            if first and depth == 0:
+                links = self.star(large, sketches)
+                pivots = links.select(F.col("b").alias("id"), F.col("a").alias("pivot"))
+                nodes = _open(nodes.select("node", "id").join(pivots, "id", "left").select("node", "id", F.coalesce("pivot", "id").alias("c")))
                 large = nodes.where(F.col("size") > p.leaf)
             leaves.append(nodes.where(F.col("size") <= p.leaf))
-            if depth + 1 == p.depth:
-                rest = large
+            if depth == p.depth:
+                leaves.append(self.blocks(large))
             else:
-                rows = self.branched(large)
-        nodes = reduce(DataFrame.union, leaves)
-        for _ in range(p.rounds):
-            best = self.grouped(nodes.withColumnRenamed("node", "key")).mapInArrow(lambda b: _best_pairs(b, p), "a long, b long")
-            self.confirm(best)
-            nodes = self.open(nodes.select("node", "id"))
-        last = nodes.select(F.col("node").alias("key"), "id", "c")
-        self.compare(last if rest is None else last.union(self.blocks(rest)))
-        return self.groups
+                nodes = _open(self.branched(large, sketches))
+        keyed = reduce(DataFrame.union, [x.select(F.col("node").alias("key"), "id", "c") for x in leaves])
+        own = stored(in_arrow(together(keyed.join(sketches, "id").select("key", "id", "c", "n", "sketch"), "key"), lambda b: _involved(b, p), "key long, id long, c long"))
+        sets = self.sets_of(stored(own.select(F.col("id").alias("wanted")).distinct()))
+        found = stored(in_arrow(together(own.join(sets, "id").select("key", "c", "s"), "key"), lambda b: _links(b, p), "a long, b long"))
+        return found if links is None else found.union(links)
+
+    def repeated_ids(self) -> DataFrame:
+        """Links from a doc_id that stands in rows of different texts to their sets."""
+        twice = self.signed.where("n > 0").groupBy("doc_id").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("doc_id IS NOT NULL AND lo <> hi").select("doc_id")
+        rows = self.signed.select("doc_id", "n", "d1", "d2").join(stored(twice), "doc_id")
+        return rows.join(self.reps.select("d1", "d2", "n", "id"), ["d1", "d2", "n"]).select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+
+    def run(self) -> DataFrame:
+        """d1, d2, n and component of every set."""
+        p = self.p
+        rows = self.reps.select("id", F.explode(F.slice("nodes", 1, p.first)).alias("node"), F.col("id").alias("c"))
+        groups = stored(connected_components(self.compare(rows, True).union(self.repeated_ids()), "a", "b"))
+        sets = stored(self.reps.select("d1", "d2", "n", "id", F.slice("nodes", p.first + 1, p.trees).alias("nodes")).join(groups, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component"))
+        more = stored(connected_components(self.compare(sets.select("id", F.explode("nodes").alias("node"), "c"), False), "a", "b"))
+        return sets.drop("nodes").join(more.withColumnRenamed("id", "c"), "c", "left").select("d1", "d2", "n", F.coalesce("component", "c").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, p: PathJoin = PathJoin()) -> DataFrame:
     """doc_id, n_shingles, component_id and kept: a row for each row of ``docs``."""
     join = _Join(docs, p)
-    groups = join.run().select(F.col("id").alias("m"), "component")
-    known = join.reps.select("d1", "d2", "n", "id").join(groups, F.col("id") == F.col("m"), "left").select("d1", "d2", "n", F.coalesce("component", "id").alias("component"))
-    rows = join.signed.select("doc_id", "n", "d1", "d2").join(known, ["d1", "d2", "n"], "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
+    known, rows = stored(join.run()), join.signed.select("doc_id", "n", "d1", "d2")
+    alone = F.expr("n = 0 OR doc_id IS NULL")
+    found = rows.where(~alone).join(known, ["d1", "d2", "n"]).select("doc_id", "n", "component")
+    found = found.union(rows.where(alone).select("doc_id", "n", F.col("doc_id").alias("component")))
+    kept = F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
 
 
 def first_of_groups(docs: DataFrame, p: PathJoin = PathJoin()) -> DataFrame:
