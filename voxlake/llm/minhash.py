@@ -3,18 +3,19 @@
 A document's set holds the hashes of its distinct word shingles; equal sets are folded. Each tree sends a set along the
 minwise tokens of three coordinates of its own, so that sets that merely share a passage part early. Nodes with one set are
 done. A node of more than ``leaf`` sets goes on to the children of one further coordinate, or of two for a quarter of the
-nodes (1.25 on average, the inverse of the least similarity, so that a similar pair keeps one common node on average). The
-number of trees follows from ``target_recall``: a pair of the least similarity s parts in one tree's first node with
-1 - s^3, so in all T of them with (1 - s^3)^T, which has to be 1 - ``target_recall`` at most (17 trees for 0.8).
-
-Only components are asked for, and a node whose sets are of one component has nothing to add. So the trees are taken in two
-batches: the first ``first`` trees, whose links make components, then the rest, where only nodes of several components are
-opened. In large nodes of the first batch every set is first held against the node's first set (its pivot): what is similar
-to it has its component and leaves. Inside a leaf all sets are compared exhaustively: a sketch of 256 minwise bytes tells
-which sets have a possible partner of another component (down to ``slack`` below the least similarity, almost five standard
-deviations), and those are compared on full sets, in blocks of ``block_bytes``, by one count of common shingles for all
-pairs. A leaf returns at most one link for each of its components, never its pairs. Nodes still large at the last depth
-are compared block by block: the sets outside the node's largest component with each other and with that component.
+nodes (1.25 on average, the inverse of the least similarity, so that a similar pair keeps one common node on average); so
+many such levels are taken at once as would bring it to a leaf if half of the sets parted at each. The number of trees
+follows from ``target_recall``: a pair of the least similarity s parts in one tree's first node with 1 - s^3, so in all T
+of them with (1 - s^3)^T, which has to be 1 - ``target_recall`` at most (17 trees for 0.8).
+
+Only components are asked for, and a node whose sets are of one component has nothing to add. So ``first`` trees come before
+the others: their large nodes are cut at random into leaves, otherwise in each tree, which joins nearly all that is alike.
+Their links make components, and then only nodes of several components are opened, those large ones once more. Inside a
+leaf all sets are compared exhaustively: a sketch of 256 minwise bytes tells which sets have a possible partner of another
+component (down to ``slack`` below the least similarity, almost five standard deviations), and those are compared on full
+sets, in blocks of ``block_bytes``, by one count of common shingles for all pairs. A leaf returns at most one link for each
+of its components, never its pairs. In nodes that are large at the last depth, or where few sets stand outside the largest
+component, those sets are compared with each other and with that component, block by block.
 
 Results for odd rows: a null or empty text has an empty set, n_shingles 0, and links with nothing; a text of fewer words
 than a shingle is one shingle of all its words; rows with text and one doc_id are one node and share its component; a null doc_id
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import in_arrow, runs, slices, stored, table, together
 from .components import connected_components
 
-SKETCH, STEPS, SMALL = 256, 3, 1_000_000
+SKETCH, STEPS, LEVELS, SMALL = 256, 3, 6, 1_000_000
 
 
 @dataclass(frozen=True)
@@ -47,7 +48,7 @@ class PathJoin:
     target_recall: float = 0.99999
     first: int = 2
     leaf: int = 512
-    depth: int = 10
+    depth: int = 5
     slack: float = 0.12
     block_bytes: int = 32 << 20
 
@@ -214,28 +215,6 @@ def _links(batches, p: PathJoin):
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _close(batches, p: PathJoin):
-    """The pairs whose sketches and sizes let them be similar enough, with the number of equal bytes."""
-    for b in batches:
-        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("xs", "ys"))
-        n, m = (np.asarray(b.column(c), np.int64) for c in ("xn", "yn"))
-        same = (x == y).sum(1)
-        ok = (same >= (p.percent / 100 - p.slack) * SKETCH) & (100 * np.minimum(n, m) >= p.percent * np.maximum(n, m))
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(same)], names=["a", "b", "same"]).filter(pa.array(ok))
-
-
-def _similar(batches, p: PathJoin):
-    """The pairs whose full sets are similar enough."""
-    for b in slices(batches, 64):
-        ok = []
-        for x, y in zip(b.column("x"), b.column("y"), strict=True):
-            s = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)])
-            s.sort(kind="stable")
-            both = int((s[1:] == s[:-1]).sum())
-            ok.append(both > 0 and 100 * both >= p.percent * (len(s) - both))
-        yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-
 def _near(df: DataFrame, key: str, ids: DataFrame, id_: str) -> DataFrame:
     """``df`` joined with the rows of ``ids`` on key = id_: by broadcast up to SMALL rows, else by shuffle."""
     return df.join(F.broadcast(ids) if ids.count() <= SMALL else ids, F.col(key) == F.col(id_))
@@ -262,61 +241,60 @@ class _Join:
         p, texts = self.p, _near(self.texts, "doc_id", ids, "wanted").select("doc_id", "text")
         return stored(in_arrow(texts, lambda b: _sets(b, p.words), "id long, s binary"))
 
-    def star(self, large: DataFrame, sketches: DataFrame) -> DataFrame:
-        """The links between sets of large nodes and the likeliest of their nodes' first sets."""
-        p, pairs = self.p, stored(large.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
-        x, y = (sketches.select(F.col("id").alias(k), F.col("n").alias(f"{v}n"), F.col("sketch").alias(f"{v}s")) for k, v in (("a", "x"), ("b", "y")))
-        near = in_arrow(pairs.join(x, "a").join(y, "b").select("a", "b", "xn", "yn", "xs", "ys"), lambda b: _close(b, p), "a long, b long, same long")
-        best = near.groupBy("b").agg(F.max(F.struct("same", (-F.col("a")).alias("a"))).alias("x"))
-        pairs = stored(best.select((-F.col("x.a")).alias("a"), "b"))
-        sets = self.sets_of(stored(pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()))
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
-        return stored(in_arrow(both.select("a", "b", "x", "y"), lambda b: _similar(b, p), "a long, b long"))
-
-    def branched(self, nodes: DataFrame, sketches: DataFrame) -> DataFrame:
-        """The rows of the next depth, by the minwise bytes of the coordinates that the node draws."""
+    def branched(self, nodes: DataFrame, sketches: DataFrame, largest: int) -> DataFrame:
+        """The rows of the next nodes, by the minwise bytes of the coordinates that each node on the way draws."""
+        levels = lambda size: F.least(F.lit(LEVELS), F.ceil(F.log2(size / self.p.leaf)))
         draw = lambda k, n: F.pmod(F.xxhash64("node", F.lit(k)), F.lit(n)).cast("int")
-        coords = F.when(draw(2, 4) == 0, F.array(draw(1, SKETCH), draw(3, SKETCH))).otherwise(F.array(draw(1, SKETCH)))
-        rows = nodes.select("node", "id", "c").join(sketches, "id").withColumn("at", F.explode(F.array_distinct(coords)))
-        return stored(rows.select("id", "c", F.xxhash64("node", "at", F.expr("substring(sketch, at + 1, 1)")).alias("node")).distinct())
-
-    def blocks(self, nodes: DataFrame) -> DataFrame:
-        """Rows node, id, c: a node for each two blocks to be compared in nodes that stayed large, its largest component in blocks of its own."""
+        coords = F.array_distinct(F.when(draw(2, 4) == 0, F.array(draw(1, SKETCH), draw(3, SKETCH))).otherwise(F.array(draw(1, SKETCH))))
+        rows = nodes.select("node", "id", "c", levels(F.col("size")).alias("levels")).join(sketches.select("id", "sketch"), "id")
+        for k in range(min(LEVELS, math.ceil(math.log2(largest / self.p.leaf)))):
+            rows = rows.withColumn("at", F.explode(F.when(F.col("levels") > k, coords).otherwise(F.array(F.lit(-1)))))
+            rows = rows.withColumn("node", F.when(F.col("at") >= 0, F.xxhash64("node", "at", F.expr("substring(sketch, at + 1, 1)"))).otherwise(F.col("node")))
+        return stored(rows.select("node", "id", "c"))
+
+    def most(self, nodes: DataFrame) -> DataFrame:
+        """node, its largest component, that one's number of sets, all sets and half a leaf."""
         sizes = nodes.groupBy("node", "c").agg(F.count("*").alias("n"))
-        most = stored(sizes.groupBy("node").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.max("n").alias("inside"), F.sum("n").alias("all")))
-        half = max(1, self.p.leaf // 2)
-        rows = nodes.join(most, "node").withColumn("is_main", F.col("c") == F.col("main"))
-        rows = rows.withColumn("mains", F.ceil(F.col("inside") / half)).withColumn("others", F.ceil((F.col("all") - F.col("inside")) / half))
+        return stored(sizes.groupBy("node").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.max("n").alias("inside"), F.sum("n").alias("all"), F.lit(max(1, self.p.leaf // 2)).alias("half")))
+
+    def blocks(self, rows: DataFrame) -> DataFrame:
+        """Rows node, id, c: a node for each two blocks to be compared, the largest component in blocks of its own, not compared with each other."""
+        rows = rows.withColumn("is_main", F.col("c") == F.col("main"))
+        rows = rows.withColumn("mains", F.ceil(F.col("inside") / F.col("half"))).withColumn("others", F.ceil((F.col("all") - F.col("inside")) / F.col("half")))
         rows = rows.withColumn("k", F.pmod(F.xxhash64("id"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))))
         across = F.expr("CASE WHEN is_main THEN transform(sequence(0L, others - 1), o -> xxhash64(node, 0, k, o)) ELSE transform(sequence(0L, mains - 1), m -> xxhash64(node, 0, m, k)) END")
         among = F.expr("CASE WHEN is_main THEN array() ELSE transform(sequence(0L, others - 1), o -> xxhash64(node, 1, least(k, o), greatest(k, o))) END")
         return rows.select(F.explode(F.concat(across, among)).alias("node"), "id", "c")
 
-    def compare(self, rows: DataFrame, first: bool) -> DataFrame:
-        """Links (a, b) between the components of the sets in the nodes of ``rows``."""
-        p, nodes, leaves, links = self.p, _open(rows), [], None
-        wanted = stored(nodes.select(F.col("id").alias("wanted")).distinct())
-        sketches = stored(_near(self.reps.select("id", "n", "sketch"), "id", wanted, "wanted").drop("wanted"))
+    def leaves(self, nodes: DataFrame, sketches: DataFrame) -> DataFrame:
+        """key, id and c of the leaves under ``nodes``."""
+        p, done, named = self.p, [], lambda x: x.select(F.col("node").alias("key"), "id", "c")
         for depth in range(p.depth + 1):
-            large = nodes.where(F.col("size") > p.leaf)
-            if large.isEmpty():
-                leaves.append(nodes)
+            done.append(named(nodes.where(F.col("size") <= p.leaf)))
+            nodes = nodes.where(F.col("size") > p.leaf)
+            most, last = self.most(nodes), depth == p.depth
+            done.append(named(self.blocks(nodes.join(most if last else most.where("all - inside <= half"), "node"))))
+            many = most.where("all - inside > half")
+            largest = None if last else many.agg(F.max("all")).first()[0]
+            if largest is None:
                 break
-            if first and depth == 0:
-                links = self.star(large, sketches)
-                pivots = links.select(F.col("b").alias("id"), F.col("a").alias("pivot"))
-                nodes = _open(nodes.select("node", "id").join(pivots, "id", "left").select("node", "id", F.coalesce("pivot", "id").alias("c")))
-                large = nodes.where(F.col("size") > p.leaf)
-            leaves.append(nodes.where(F.col("size") <= p.leaf))
-            if depth == p.depth:
-                leaves.append(self.blocks(large))
-            else:
-                nodes = _open(self.branched(large, sketches))
-        keyed = reduce(DataFrame.union, [x.select(F.col("node").alias("key"), "id", "c") for x in leaves])
+            nodes = _open(self.branched(nodes.join(many.select("node"), "node"), sketches, largest))
+        return reduce(DataFrame.union, done)
+
+    def compare(self, rows: DataFrame, first: bool) -> tuple[DataFrame, DataFrame]:
+        """Links (a, b) between the components of the sets in the nodes of ``rows``; the rows of nodes that stay to be compared."""
+        p, nodes = self.p, _open(rows)
+        wanted = stored(nodes.select(F.col("id").alias("wanted")).distinct())
+        sketches = stored(_near(self.reps.select("id", "n", "sketch"), "id", wanted, "wanted").drop("wanted"))
+        if first:
+            part = F.xxhash64("node", F.pmod(F.xxhash64("node", "id"), F.ceil(F.col("size") / p.leaf)))
+            keyed = nodes.select(F.when(F.col("size") > p.leaf, part).otherwise(F.col("node")).alias("key"), "id", "c")
+        else:
+            keyed = self.leaves(nodes, sketches)
         own = stored(in_arrow(together(keyed.join(sketches, "id").select("key", "id", "c", "n", "sketch"), "key"), lambda b: _involved(b, p), "key long, id long, c long"))
         sets = self.sets_of(stored(own.select(F.col("id").alias("wanted")).distinct()))
         found = stored(in_arrow(together(own.join(sets, "id").select("key", "c", "s"), "key"), lambda b: _links(b, p), "a long, b long"))
-        return found if links is None else found.union(links)
+        return found, nodes.where(F.col("size") > p.leaf).select("node", "id")
 
     def repeated_ids(self) -> DataFrame:
         """Links from a doc_id that stands in rows of different texts to their sets."""
@@ -328,9 +306,11 @@ class _Join:
         """d1, d2, n and component of every set."""
         p = self.p
         rows = self.reps.select("id", F.explode(F.slice("nodes", 1, p.first)).alias("node"), F.col("id").alias("c"))
-        groups = stored(connected_components(self.compare(rows, True).union(self.repeated_ids()), "a", "b"))
+        found, left = self.compare(rows, True)
+        groups = connected_components(found.union(self.repeated_ids()), "a", "b")
         sets = stored(self.reps.select("d1", "d2", "n", "id", F.slice("nodes", p.first + 1, p.trees).alias("nodes")).join(groups, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component"))
-        more = stored(connected_components(self.compare(sets.select("id", F.explode("nodes").alias("node"), "c"), False), "a", "b"))
+        rows = sets.select(F.explode("nodes").alias("node"), "id", "c").union(left.join(sets.select("id", "c"), "id").select("node", "id", "c"))
+        more = connected_components(self.compare(rows, False)[0], "a", "b")
         return sets.drop("nodes").join(more.withColumnRenamed("id", "c"), "c", "left").select("d1", "d2", "n", F.coalesce("component", "c").alias("component"))
 
 
