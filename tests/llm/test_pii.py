@@ -1,6 +1,8 @@
 import re
 
-from voxlake.llm.pii import candidate, mentions, render, surrogated
+import pytest
+
+from voxlake.llm.pii import TRIGGER, candidate, mentions, render, surrogated, surrogates
 
 TEXT = (
     "Mail ré.15@mail5.example.com, +1 (743) 555-3824, card 4111 1111 1111 1111, ip 233.233.171.252, token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\"; "
@@ -10,12 +12,17 @@ TEXT = (
 
 def brute(rows, key):
     """Texts with surrogates, entity by entity in order, without Spark."""
-    entities = sorted({(k, c) for _, t in rows if t for *_, k, c in mentions(t)})
+    told = {}
+    for k, c in ((k, c) for _, t in rows if t for *_, k, c in mentions(t)):
+        kind = k.split("_")[0]
+        told.setdefault((kind, c), []).append({"name_m": 1, "name_f": -1}.get(k, 0))
+    form = {(k, c): k if k != "name" else "name_" + ("m" if sum(x) > 0 else "f" if sum(x) < 0 else "n") for (k, c), x in told.items()}
+    entities = sorted(told)
     found, left, attempt = {}, entities, 0
     while left:
         drawn = {}
         for k, c in left:
-            drawn.setdefault((k, candidate(key.encode(), k, c, attempt)), []).append(c)
+            drawn.setdefault((k, candidate(key.encode(), form[k, c], c, attempt)), []).append(c)
         taken = set(entities) | {(k, s) for (k, _), s in found.items()}
         for (k, s), cs in drawn.items():
             if (k, s) not in taken:
@@ -25,7 +32,7 @@ def brute(rows, key):
     out = []
     for i, t in rows:
         for a, b, k, c in reversed(mentions(t or "")):
-            t = t[:a] + render(t[a:b], k, found[k, c]) + t[b:]
+            t = t[:a] + render(t[a:b], k, found[k.split("_")[0], c]) + t[b:]
         out.append((i, t))
     return out, found
 
@@ -55,8 +62,8 @@ def test_format_type_and_gender():
 
 def test_empty_and_counts(spark):
     schema = "doc_id long, text string"
-    assert surrogated(spark.createDataFrame([], schema)).count() == 0
-    rows = surrogated(spark.createDataFrame([(1, "a 4111111111111111 b 4111 1111 1111 1111"), (2, "c")], schema), counted="n_replaced").collect()
+    assert surrogated(spark.createDataFrame([], schema), "k").count() == 0
+    rows = surrogated(spark.createDataFrame([(1, "a 4111111111111111 b 4111 1111 1111 1111"), (2, "c")], schema), "k", counted="n_replaced").collect()
     assert {r.doc_id: r.n_replaced for r in rows} == {1: 2, 2: 0}
     one = next(r.text for r in rows if r.doc_id == 1)
     assert re.sub(r"\D", "", one)[:16] == re.sub(r"\D", "", one)[16:]
@@ -65,13 +72,13 @@ def test_empty_and_counts(spark):
 def test_a_person_named_again_gets_the_same_surrogate(spark):
     schema = "doc_id long, text string"
     text = "Mr. John Michael Smith met Will Ou. SMITH said that John and Smith's wife agree; Smithers and a.smith@x.example.org too."
-    new = surrogated(spark.createDataFrame([(1, text)], schema)).first().text
+    new = surrogated(spark.createDataFrame([(1, text)], schema), "k").first().text
     words = re.findall(r"\w+", new)
     assert not {"john", "michael", "smith"} & {w.lower() for w in words} and "Smithers" in words
     first, _, last = words[1:4]
     assert f"{last.upper()} said that {first} and {last}'s wife" in new
     common = "Mr. Smith The old man. The man and the dog."
-    assert surrogated(spark.createDataFrame([(1, common)], schema)).first().text.endswith("The man and the dog.")
+    assert surrogated(spark.createDataFrame([(1, common)], schema), "k").first().text.endswith("The man and the dog.")
 
 
 def test_every_mention_passes_the_prefilter(spark):
@@ -81,6 +88,59 @@ def test_every_mention_passes_the_prefilter(spark):
     ]
     df = spark.createDataFrame(enumerate(texts), "doc_id long, text string")
     assert all(mentions(t) for t in texts)
-    got = {r.doc_id: r for r in surrogated(df, counted="n_replaced").collect()}
+    got = {r.doc_id: r for r in surrogated(df, "k", counted="n_replaced").collect()}
     assert all(got[i].n_replaced and got[i].text != t for i, t in enumerate(texts))
     assert re.fullmatch(r"card [٠-٩]{4} [٠-٩]{4} [٠-٩]{4} [٠-٩]{4}", got[1].text)
+
+
+#: Entities as they are built here, without the module's patterns.
+HEX, LOWER = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz"
+
+
+def built(rnd):
+    pick = lambda chars, n: "".join(rnd.choice(chars) for _ in range(n))
+    digits = lambda n: pick("0123456789", n)
+    name = lambda: pick(LOWER, rnd.randint(3, 8)).capitalize()
+    return rnd.choice([
+        lambda: f"{pick(LOWER, 5)}.{digits(2)}@{pick(LOWER, 6)}.org", lambda: f"({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"+49 {digits(3)} {digits(4)} {digits(3)}", lambda: "sk-" + pick(LOWER, 24),
+        lambda: "ghp_" + pick(LOWER, 36), lambda: pick("abcdef", 40), lambda: pick(HEX.upper()[10:], 32), lambda: "AKIA" + pick("ABCXYZ", 16), lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
+        lambda: f"Dr {name()} {name()}", lambda: f"Mary {name()}", lambda: f"Contact: {name()} {name()}", lambda: f"name is {name()} {name()}", lambda: "李雷@mail.example.org", lambda: f"{digits(4)} {digits(4)} {digits(4)} {digits(4)}",
+    ])()
+
+
+def test_built_entities_pass_the_prefilter_and_are_replaced(spark):
+    import random
+
+    rnd = random.Random(5)
+    texts = [f"xx {built(rnd)}, yy" for _ in range(400)]
+    df = spark.createDataFrame(enumerate(texts), "doc_id long, text string")
+    assert df.where(~F_rlike(df.text)).count() == 0
+    got = {r.doc_id: r.text for r in surrogated(df, "k").collect()}
+    assert [t for i, t in enumerate(texts) if got[i] == t] == []
+
+
+def F_rlike(column):
+    return column.rlike(TRIGGER)
+
+
+@pytest.mark.parametrize(
+    ("text", "alike"),
+    [("Ms. Kim Lee and Dr. Kim Lee; later Lee wrote", [(1, 4), (2, 5), (2, 7)]), ("Wei Zhang met Priya Patel. Zhang left; Patel stayed", [(0, -1), (1, 5), (4, 7)])],
+)
+def test_one_person_has_one_surrogate(spark, text, alike):
+    new = surrogated(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first().text
+    old, words = re.findall(r"\w+", text), re.findall(r"\w+", new)
+    assert not {"Kim", "Lee", "Wei", "Zhang", "Priya", "Patel"} & set(words)
+    assert all(words[a] == words[b] for a, b in alike if b >= 0) and len(old) == len(words)
+
+
+def test_phone_formats_of_one_number_agree(spark):
+    new = surrogated(spark.createDataFrame([(1, "743-555-3824 or +1 743 555 3824 or (743) 555-3824")], "doc_id long, text string"), "k").first().text
+    digits = [re.sub(r"\D", "", x)[-10:] for x in new.split(" or ")]
+    assert len(set(digits)) == 1 and digits[0] != "7435553824" and new.split(" or ")[1].startswith("+1 ")
+
+
+def test_short_addresses_of_every_letter_get_surrogates(spark):
+    rows = [("email", f"{c}@{d}.example", "email") for c in LOWER for d in ("a", "b")]
+    map_ = surrogates(spark.createDataFrame(rows, "kind string, canon string, form string"), "k").collect()
+    assert len({r.surrogate for r in map_}) == 52 and not {r.surrogate for r in map_} & {r[1] for r in rows}

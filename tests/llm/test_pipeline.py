@@ -6,6 +6,7 @@ import pytest
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from tests.llm.test_minhash import brute as near_brute  # noqa: E402
 from tests.llm.test_pii import brute as pii_brute  # noqa: E402
+from voxlake.llm.pii import key_of  # noqa: E402
 from voxlake.llm import sentencepiece_fst  # noqa: E402
 
 
@@ -43,7 +44,7 @@ def test_stages_against_plain_python(spark, tmp_path):
         if name == "minhash_dedup":
             assert set(ids) == {i for i, _, _, kept in near_brute([r[:2] for r in before], 5) if kept} and len(ids) < len(before)
         if name == "pii_surrogates":
-            want, found = pii_brute([r[:2] for r in before], "voxlake")
+            want, found = pii_brute([r[:2] for r in before], key_of(spark))
             assert sorted(r[:2] for r in after) == sorted(want) and len(found) == (2 if any(r[0] == 603 for r in before) else 0)
         if name == "mix_sources":
             assert max(ids.values()) <= 2 and set(ids) <= {r[0] for r in before}

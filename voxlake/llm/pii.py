@@ -1,13 +1,20 @@
 """Surrogates for personal data: keyed, of the same type, gender, script and format, distinct and consistent.
 
 Entities are e-mail addresses, phone numbers, card numbers (13 to 19 digits), social security numbers, IBANs, IPv4
-addresses, hexadecimal secrets and access keys, and person names (after a title, or a known given name before a capitalised
-word; a third word of a name is taken where one of the first two is a known given name). A found name part stands for the
-person wherever it is a whole, capitalised word of the same text, unless the text also has it in lower case as a common
-word. Each distinct entity, in its canonical form (lower case, no separators, ASCII digits, name part by name part), gets one surrogate
-in the whole corpus, so mentions of one entity stay mentions of one; a mention then takes its own format back (separators,
-case, digits of its script). Candidates come from a keyed hash; a candidate that another entity has, or that is itself an entity of the corpus,
-is drawn again, in joins over the distinct entities, until all differ.
+addresses, hexadecimal secrets and access keys, and person names (after a title, after a word such as "Contact:" or "Dear"
+before two capitalised words, or a known given name before a capitalised word; a third word of a name is taken where one of
+the first two is a known given name). A found name part stands for the person wherever it is a whole, capitalised word of
+the same text, unless the text also has it in lower case as a common word.
+
+Each distinct entity, in its canonical form (lower case, no separators, ASCII digits, a phone number's last ten digits, name
+part by name part), gets one surrogate in the whole corpus, so mentions of one entity stay mentions of one; a mention then
+takes its own format back (separators, case, country code, digits of its script). A name part's gender is that of most of
+its mentions in the corpus that tell one. Candidates come from a keyed hash; a candidate that another entity has, or that is
+itself an entity of the corpus, is drawn again, in joins over the distinct entities, until all differ. From the sixth
+attempt on candidates grow longer than the entity, so that no set of entities uses them up.
+
+The key is an argument; the query and the pipeline take it from the setting spark.voxlake.pii.key and, where that is unset,
+draw one for the session, so that no key stands in the code: set it to have the same surrogates in another session.
 
 Results for odd rows: a null text stays null, an empty one empty; repeated rows get the same text each; rows with one
 doc_id are separate texts; a text without entities passes unchanged; an empty table gives no row. ``surrogated`` keeps the
@@ -18,24 +25,36 @@ from __future__ import annotations
 
 import hashlib
 import re
+import secrets
 import unicodedata
-from functools import reduce
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, stored, table
+from .common import in_arrow, shared_dir, slices, stored, table
 
 TITLES = {
     "m": "Mr Mister Monsieur Herr Herrn Señor Signor Sir г-н господин κύριος".split(),
     "f": "Mrs Ms Miss Mme Madame Mademoiselle Frau Señora Señorita Sra Signora Lady г-жа госпожа κυρία".split(),
     "n": "Dr Prof Professor Doctor Doktor Docteur".split(),
 }
+#: Common given names of the corpus' languages and of others; a sample of them, names that aren't listed need a title or a cue.
 GIVEN = {
-    "m": "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Peter Paul Andrew Pierre Jean Jacques Michel Hans Klaus Jürgen Wolfgang Carlos José Juan Miguel Иван Дмитрий Сергей Алексей Γιώργος Νίκος".split(),
-    "f": "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Emma Alice Marie Sophie Camille Claire Anna Ursula Ingrid Heike Carmen María Lucía Isabel Анна Елена Ольга Мария Μαρία Ελένη".split(),
+    "m": (
+        "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Mark Steven Paul Andrew Joshua Kenneth Kevin Brian George Edward Peter "
+        "Pierre Jean Jacques Michel Philippe Alain Nicolas Laurent Julien Hans Klaus Jürgen Wolfgang Stefan Dieter Günter Carlos José Juan Miguel Luis Javier Pedro Diego "
+        "Giovanni Marco Luca Ahmed Mohammed Omar Ali Hassan Wei Jian Hiroshi Kenji Raj Amit Rahul Arjun Sanjay Иван Дмитрий Сергей Алексей Николай Андрей Γιώργος Νίκος Κώστας Δημήτρης"
+    ).split(),
+    "f": (
+        "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Sandra Ashley Emily Donna Michelle Carol Amanda Emma Alice Olivia Sophia "
+        "Marie Sophie Camille Claire Nathalie Isabelle Chloé Anna Ursula Ingrid Heike Petra Sabine Monika Greta Carmen María Lucía Isabel Ana Sofía Elena Giulia Chiara "
+        "Fatima Aisha Leila Mei Xia Yuki Sakura Priya Anjali Deepa Kavita Анна Елена Ольга Мария Наталья Татьяна Μαρία Ελένη Κατερίνα Σοφία"
+    ).split(),
 }
+#: Words after which two or three capitalised words are a name.
+CUES = "Contact Attn Dear Signed Sincerely Regards Author Patient Customer Employee Applicant Kontakt Autor Auteur Paciente Cliente Employé".split() + ["[Nn]ame(?: is)?", "[Nn]amed", "Nom", "Nombre", "Verfasser"]
 #: Syllables and endings that surrogate names are made of, by script.
 STEMS = {
     "latin": "al ber cor dan el fen gar hol is jor kel lam mar nor or pel quin ros sal tor ul ven wil yor zan".split(),
@@ -59,10 +78,11 @@ _ENTITY = re.compile(
     r"|(?P<phone>(?<![\w+])(?:\+?\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<!\w)\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\d.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-]))"
     r"|(?P<card>(?<!\d)\d(?:[ -]?\d){12,18}(?!\d))"
     rf"|(?P<titled>(?<!\w)(?P<title>{_ALL(TITLES)})\.?[ ]+(?P<one>{_CAP})(?:[ ]+(?P<two>{_CAP})(?:[ ]+(?P<three>{_CAP}))?)?)"
+    rf"|(?P<cued>(?<!\w)(?:{'|'.join(CUES)})(?: ?[:,])?[ ]+(?P<first>{_CAP})[ ]+(?P<second>{_CAP})(?:[ ]+(?P<third>{_CAP}))?)"
     rf"|(?P<named>(?<!\w)(?P<given>{_ALL(GIVEN)})[ ]+(?P<last>{_CAP})(?:[ ]+(?P<more>{_CAP}))?)"
 )
 #: What a text must hold for an entity to be possible, as a Java pattern. Digits newer than Java's tables are unassigned there.
-TRIGGER = rf"[\p{{Nd}}\p{{Cn}}@]|AKIA|gh[pousr]_|sk-|[0-9A-Fa-f]{{32}}|(?=[A-ZͰ-ӿ])(?<![\p{{L}}\p{{N}}_])(?:{_ALL(TITLES)}|{_ALL(GIVEN)})(?![\p{{L}}\p{{N}}_])"
+TRIGGER = rf"[\p{{Nd}}\p{{Cn}}@]|AKIA|gh[pousr]_|sk-|[0-9A-Fa-f]{{32}}|(?=[A-ZnκͰ-ӿ])(?<![\p{{L}}\p{{N}}_])(?:{_ALL(TITLES)}|{_ALL(GIVEN)}|{'|'.join(CUES)})(?![\p{{L}}\p{{N}}_])"
 _GENDER = {w.lower(): g for g, ws in GIVEN.items() for w in ws}
 _TITLE = {w: g for g, ws in TITLES.items() for w in ws}
 
@@ -98,27 +118,37 @@ def _again(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int,
     return [h for h in hits if h[3] not in common]
 
 
+_PARTS = {"titled": ("one", "two", "three"), "cued": ("first", "second", "third"), "named": ("given", "last", "more")}
+
+
+def name_of(word: str) -> str:
+    """A name part in lower case, without a possessive ending."""
+    name = re.sub("['’]s$", "", word, flags=re.I) or word
+    return name.lower() if len(name.lower()) == len(name) else name
+
+
 def mentions(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form) of each entity part, in order, none overlapping."""
     found = []
     for m in _ENTITY.finditer(text):
-        kind = next(k for k in ("email", "secret", "iban", "ip", "ssn", "phone", "card", "titled", "named") if m[k] is not None)
-        if kind in ("titled", "named"):
-            parts = [g for g in (("one", "two", "three") if kind == "titled" else ("given", "last", "more")) if m[g] is not None]
+        kind = next(k for k in ("email", "secret", "iban", "ip", "ssn", "phone", "card", "titled", "cued", "named") if m[k] is not None)
+        if kind in _PARTS:
+            parts = [g for g in _PARTS[kind] if m[g] is not None]
             parts = parts[: next((i for i, g in enumerate(parts) if not m[g][0].isupper() and _script(m[g]) != "han"), len(parts))]
-            if kind == "named" and len(parts) < 2:
+            if kind != "titled" and len(parts) < 2:
                 continue
             if len(parts) == 3 and not (m[parts[0]].lower() in _GENDER or m[parts[1]].lower() in _GENDER):
                 parts.pop()
             for g in parts:
                 first = g != parts[-1] or (g == "one" and m[g].lower() in _GENDER)
-                gender = "n" if not first else _GENDER.get(m[g].lower(), _TITLE.get(m["title"], "n") if kind == "titled" else "n")
-                name = re.sub("['’]s$", "", m[g], flags=re.I) or m[g]
-                found.append((m.start(g), m.start(g) + len(name), f"name_{gender}" if first else "name_last", name.lower()))
+                gender = "n" if not first else _GENDER.get(name_of(m[g]), _TITLE.get(m["title"], "n") if kind == "titled" else "n")
+                name = name_of(m[g])
+                found.append((m.start(g), m.start(g) + len(name), f"name_{gender}", name))
         elif kind in ("email", "ip"):
             found.append((m.start(), m.end(), kind, m[0].lower() if kind == "email" else _ascii_digits(m[0])))
         else:
             canon = _ascii_digits(_alnum(m[0]))
+            canon = canon[-10:] if kind == "phone" else canon
             found.append((m.start(), m.end(), kind, canon if kind == "secret" and not re.fullmatch("[0-9a-fA-F]+", canon) else canon.lower()))
     return sorted(found + _again(text, found))
 
@@ -151,9 +181,19 @@ class _Stream:
 
 
 def _pattern(s: str, rnd: _Stream, letters: str = "abcdefghijklmnopqrstuvwxyz") -> str:
+    """Digits become digits, letters letters of their case; letters without case become letters close by in their script."""
     out = []
     for c in s:
-        out.append(str(rnd.below(10)) if c.isdigit() else letters[rnd.below(len(letters))] if c.islower() else letters[rnd.below(len(letters))].upper() if c.isupper() else c)
+        if c.isdigit():
+            out.append(str(rnd.below(10)))
+        elif c.islower() or c.isupper():
+            x = letters[rnd.below(len(letters))]
+            out.append(x.upper() if c.isupper() else x)
+        elif c.isalpha():
+            near = [x for x in map(chr, range(ord(c) & ~63, (ord(c) & ~63) + 64)) if x.isalpha() and x.lower() == x.upper()]
+            out.append(near[rnd.below(len(near))])
+        else:
+            out.append(c)
     return "".join(out)
 
 
@@ -162,41 +202,40 @@ def _luhn(digits: str) -> int:
 
 
 def candidate(key: bytes, kind: str, canon: str, attempt: int) -> str:
-    """A canonical surrogate; the same for the same arguments everywhere."""
+    """A canonical surrogate; the same for the same arguments everywhere. Late attempts make longer ones."""
     rnd = _Stream(key, kind, canon, attempt)
+    longer = max(0, attempt - 4)
     if kind == "email":
         local, _, domain = canon.rpartition("@")
         body, _, top = domain.rpartition(".")
-        return f"{_pattern(local, rnd)}@{_pattern(body, _Stream(key, 'domain', domain))}.{top}"
+        return f"{_pattern(local, rnd)}{_pattern('x' * longer, rnd)}@{_pattern(body, _Stream(key, 'domain', domain))}.{top}"
     if kind == "secret":
         if canon.startswith(("AKIA", "gh", "sk-")) or not re.fullmatch("[0-9a-f]+", canon):
             head = re.match(r"AKIA|gh[pousr]|sk", canon)
             at = head.end() if head else 0
-            return canon[:at] + _pattern(canon[at:], rnd)
-        return "".join("0123456789abcdef"[rnd.below(16)] for _ in canon)
+            return canon[:at] + _pattern(canon[at:] + "x" * longer, rnd)
+        return "".join("0123456789abcdef"[rnd.below(16)] for _ in canon + "0" * longer)
     if kind == "ip":
-        return ".".join(str(1 + rnd.below(254)) for _ in range(4))
+        return ".".join(str(1 + rnd.below(254)) for _ in range(4)) if not longer else "fd00:" + ":".join(f"{rnd.below(65536):04x}" for _ in range(7))
     if kind == "iban":
-        body = _pattern(canon[4:], rnd)
+        body = _pattern(canon[4:] + "0" * longer, rnd)
         number = int("".join(str(int(c, 36)) for c in body + canon[:2] + "00"))
         return f"{canon[:2]}{98 - number % 97:02d}{body}"
     if kind == "card":
-        out = canon[0] + _pattern(canon[1:], rnd)
+        out = canon[0] + _pattern(canon[1:] + "0" * longer, rnd)
         if _luhn(canon) == 0:
             out = next(out[:-1] + d for d in "0123456789" if _luhn(out[:-1] + d) == 0)
         return out
     if kind in ("phone", "ssn"):
-        head = canon[: max(0, len(canon) - 10)] if kind == "phone" else ""
-        return head + str(2 + rnd.below(8)) + _pattern(canon[len(head) + 1 :], rnd)
-    script = _script(canon)
-    gender = kind[-1] if kind != "name_last" else "n"
+        return str(2 + rnd.below(8)) + _pattern(canon[1:] + "0" * longer, rnd)
+    script, gender = _script(canon), kind[-1]
     stems = STEMS[script]
     made = "".join(stems[rnd.below(len(stems))] for _ in range(2 + attempt // 4))
     return made + ENDS[script][gender][rnd.below(len(ENDS[script][gender]))]
 
 
 def render(raw: str, kind: str, canon: str) -> str:
-    """The canonical surrogate in the format of the mention."""
+    """The canonical surrogate in the format of the mention; what is longer than the mention stands at its end."""
     digit = next((c for c in raw if c.isdecimal() and not c.isascii()), None) if kind != "email" else None
     if digit:
         zero = ord(digit) - unicodedata.decimal(digit)
@@ -205,9 +244,12 @@ def render(raw: str, kind: str, canon: str) -> str:
         return canon
     if kind.startswith("name"):
         return canon.upper() if raw.isupper() and len(raw) > 1 else canon[:1].upper() + canon[1:]
-    new = iter(canon if kind != "email" else _alnum(canon))
+    if kind == "email":
+        return "".join(n.upper() if c.isupper() else n for c, n in zip(raw, canon, strict=True)) if len(raw) == len(canon) else canon
+    spare = sum(map(str.isalnum, raw)) - len(canon) if kind == "phone" else 0
+    new = iter(_alnum(raw)[: max(0, spare)] + _alnum(canon))
     out = [next(new, "") if c.isalnum() else c for c in raw]
-    return "".join(n.upper() if c.isupper() else n for c, n in zip(raw, out, strict=True))
+    return "".join(n.upper() if c.isupper() else n for c, n in zip(raw, out, strict=True)) + "".join(new)
 
 
 def _found(batches):
@@ -218,37 +260,58 @@ def _found(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "h", "n", "start", "end", "kind", "canon"])
 
 
+def entities_of(found: DataFrame) -> DataFrame:
+    """kind, canon and form of each distinct entity: the form is the kind, and for a name has the gender that most mentions tell."""
+    kind = F.when(F.col("kind").startswith("name"), "name").otherwise(F.col("kind")).alias("kind")
+    said = F.sum(F.expr("CASE kind WHEN 'name_m' THEN 1 WHEN 'name_f' THEN -1 ELSE 0 END")).alias("said")
+    gender = F.expr("CASE WHEN kind <> 'name' THEN kind WHEN said > 0 THEN 'name_m' WHEN said < 0 THEN 'name_f' ELSE 'name_n' END")
+    return found.withColumn("kind_of", kind).select(F.col("kind_of"), "kind", "canon").groupBy(F.col("kind_of"), "canon").agg(said).withColumnRenamed("kind_of", "kind").select("kind", "canon", gender.alias("form"))
+
+
 def surrogates(entities: DataFrame, key: str, attempts: int = 64) -> DataFrame:
-    """kind, canon and its surrogate: distinct within a kind, and none of them an entity of the corpus."""
+    """kind, canon and its surrogate for rows of kind, canon and form: distinct within a kind, and none of them an entity of the corpus."""
     secret = key.encode()
 
     def draw(attempt):
         def run(batches):
             for b in batches:
-                pairs = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
+                pairs = zip(b.column(2).to_pylist(), b.column(1).to_pylist(), strict=True)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([candidate(secret, k, c, attempt) for k, c in pairs], pa.string())], names=["kind", "canon", "surrogate"])
 
         return run
 
-    done, left = [], entities
+    spark = entities.sparkSession
+    folder, taken, left = f"{shared_dir(spark)}/voxlake-{uuid.uuid4().hex}", entities.select("kind", F.col("canon").alias("surrogate")), entities
     for attempt in range(attempts):
-        drawn = left.select("kind", "canon").mapInArrow(draw(attempt), "kind string, canon string, surrogate string")
-        taken = [entities.select("kind", F.col("canon").alias("surrogate")), *(d.select("kind", "surrogate") for d in done)]
-        free = drawn.join(reduce(DataFrame.union, taken), ["kind", "surrogate"], "left_anti")
-        done.append(stored(free.groupBy("kind", "surrogate").agg(F.min("canon").alias("canon")).select("kind", "canon", "surrogate")))
-        left = stored(left.join(done[-1], ["kind", "canon"], "left_anti").select("kind", "canon"))
+        drawn = in_arrow(left.select("kind", "canon", "form"), draw(attempt), "kind string, canon string, surrogate string")
+        free = drawn.join(taken, ["kind", "surrogate"], "left_anti")
+        free.groupBy("kind", "surrogate").agg(F.min("canon").alias("canon")).write.parquet(f"{folder}/attempt={attempt}")
+        done = spark.read.schema("kind string, surrogate string, canon string").option("basePath", folder).parquet(folder)
+        left = stored(left.join(done, ["kind", "canon"], "left_anti").select("kind", "canon", "form"))
         if left.isEmpty():
-            return reduce(DataFrame.union, done)
+            return done
+        taken = entities.select("kind", F.col("canon").alias("surrogate")).union(done.select("kind", "surrogate"))
     raise ValueError(f"{attempts} attempts left entities without a surrogate of their own")
 
 
-def surrogated(docs: DataFrame, key: str = "voxlake", id_column: str = "doc_id", counted: str | None = None) -> DataFrame:
+def key_of(spark: SparkSession) -> str:
+    """The key of the session: its setting spark.voxlake.pii.key, drawn at random where it is unset."""
+    key = spark.conf.get("spark.voxlake.pii.key", None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set("spark.voxlake.pii.key", key)
+    return key
+
+
+def surrogated(docs: DataFrame, key: str, id_column: str = "doc_id", counted: str | None = None) -> DataFrame:
     """``docs`` with surrogates in ``text``; ``counted`` names a further column for the number of mentions replaced."""
     may = F.coalesce(F.col("text").rlike(TRIGGER), F.lit(False))
     held, free = docs.where(may), docs.where(~may)
-    found = stored(held.select(F.col(id_column).cast("long"), F.xxhash64("text"), "text").mapInArrow(_found, "doc_id long, h long, n int, start int, end int, kind string, canon string"))
-    map_ = surrogates(stored(found.select("kind", "canon").distinct()), key)
-    spans = found.distinct().join(map_, ["kind", "canon"])
+    texts = held.select(F.col(id_column).cast("long"), F.xxhash64("text"), "text")
+    found = stored(in_arrow(texts, _found, "doc_id long, h long, n int, start int, end int, kind string, canon string"))
+    map_ = surrogates(stored(entities_of(found)), key)
+    kind = F.when(F.col("kind").startswith("name"), "name").otherwise(F.col("kind"))
+    spans = found.distinct().withColumn("kind", kind).join(map_, ["kind", "canon"])
     spans = spans.groupBy(F.col("doc_id").alias("_i"), F.col("h").alias("_h")).agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind", "surrogate"))).alias("_spans"))
     joined = held.join(spans, F.col(id_column).cast("long").eqNullSafe(F.col("_i")) & (F.xxhash64("text") == F.col("_h")), "left").drop("_i", "_h")
     at, names = docs.columns.index("text"), [*docs.columns, *([counted] if counted else [])]
@@ -270,8 +333,8 @@ def surrogated(docs: DataFrame, key: str = "voxlake", id_column: str = "doc_id",
     if counted:
         joined = joined.select(*docs.columns, F.coalesce(F.array_size("_spans"), F.lit(0)).cast("long").alias(counted), "_spans")
         free = free.withColumn(counted, F.lit(0).cast("long"))
-    return joined.mapInArrow(put, free.schema).union(free)
+    return in_arrow(joined, put, free.schema).union(free)
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogated(table(spark, sf_dir, "documents").select("doc_id", "text"), counted="n_replaced")
+    return surrogated(table(spark, sf_dir, "documents").select("doc_id", "text"), key_of(spark), counted="n_replaced")
