@@ -1,6 +1,6 @@
 import pytest
 
-from voxlake.llm.html_text import extract_pages, main_text
+from voxlake.llm.html_text import _flag, _measure, extract_pages, main_text, parse
 
 P1, P2, P3 = (f"Paragraph {k} of the article has quite a few words, commas, and more text to read on." for k in "abc")
 
@@ -36,3 +36,64 @@ def test_letters_that_grow_in_lower_case_before_a_raw_element():
     text = "A long enough sentence of the article, with commas, words and more words. " * 3
     page = f"<html><body><div><p>{'İ' * 20} {text}</p><script>var a = 1;</ScRiPt><p>After: {text}</p></div></body></html>"
     assert "After:" in main_text(page) and "var a" not in main_text(page)
+
+
+@pytest.mark.parametrize("name", ["entry-content comments-open", "post social-share-enabled", "article-body related-wide", "content has-sidebar", "search-result-page", "notice-board", "story alert-free"])
+def test_names_of_states_are_not_boilerplate(name):
+    assert main_text(f"<body><div class='{name}'><p>{P1}</p><p>{P2}</p></div><div class='user-comments'><p>{P3}</p></div></body>") == f"{P1}\n{P2}"
+
+
+def test_a_page_inside_one_form():
+    assert main_text(f"<body><form><div>Menu</div><p>{P1}</p><p>{P2}</p></form><footer>x</footer></body>").endswith(f"{P1}\n{P2}")
+    assert main_text(f"<body><article><p>{P1}</p><p>{P2}</p><form>Mail us</form></article><div id='comments'><p>{P3}</p>{'<p>' + P3 * 9 + '</p>'}</div></body>") == f"{P1}\n{P2}"
+
+
+def counted(html):
+    """For each element of well-formed markup in page order: characters, tags, link characters and link tags below it, counted anew for each."""
+    import re
+
+    tokens = re.findall(r"<(/?)(\w+)[^>]*>|([^<]+)", html)
+    out = []
+    for i, (shut, tag, _) in enumerate(tokens):
+        if tag and not shut:
+            depth, links, c, t, lc, lt = 1, int(tag == "a"), 0, 0, 0, 0
+            for shut2, tag2, text in tokens[i + 1 :]:
+                if text:
+                    n = len("".join(text.split()))
+                    c, lc = c + n, lc + n * (links > 0)
+                elif not shut2:
+                    depth, t = depth + 1, t + 1
+                    lt += tag2 == "a" or links > 0
+                    links += tag2 == "a"
+                else:
+                    depth, links = depth - 1, links - (tag2 == "a")
+                    if not depth:
+                        break
+            out.append((tag, c, t, lc, lt))
+    return out
+
+
+def test_densities_equal_the_formula():
+    import math
+    import random
+
+    rnd = random.Random(4)
+
+    def tree(depth):
+        kids = "".join(rnd.choice([lambda: f"words {rnd.randint(1, 999)} more", lambda: f"<a>link {rnd.randint(1, 99)}</a>", lambda: f"<div>{tree(depth - 1)}</div>", lambda: f"<p><b>{'x' * rnd.randint(1, 60)}</b> and</p>"])() for _ in range(rnd.randint(1, 5)))
+        return kids if depth else "leaf"
+
+    for _ in range(60):
+        html = f"<body>{tree(4)}</body>"
+        body, nodes = parse(html)
+        _measure(nodes, body)
+        _flag(nodes, True)
+        want, got = counted(html), [(n.tag, n.chars, n.tags, n.link_chars, n.link_tags) for n in nodes[1:]]
+        assert got == want
+        _, bc, _, blc, _ = want[0]
+        for n, (_, c, t, lc, lt) in zip(nodes[1:], want, strict=True):
+            t, ratio = max(1, t), blc / max(1, bc)
+            density = c / t
+            if c and blc:
+                density *= math.log(max(1.0, c / max(1, lc) * t / max(1, lt))) / max(1e-6, math.log(math.log(c / max(1, c - lc) * lc + ratio * c + math.e)))
+            assert math.isclose(n.density, density, rel_tol=1e-9, abs_tol=1e-12)

@@ -6,8 +6,11 @@ For every DOM node: characters C and tags T below it, and those in links, LC and
 
 with counts of 0 taken as 1; on a page without any link it is C / T. The sum of a node's children's densities picks the
 subtree with the most text; the least density on its path to the body is the threshold by which other parts beside that
-path join it. Elements that are never article text (navigation, header, footer, aside, forms, scripts, and those whose
-class, id or role say so, such as adverts, notices and reader comments) count for the densities but give no text.
+path join it. Elements that are never article text (navigation, footer, aside, scripts and their like) count for the
+densities but give no text. Forms, and elements of which a whole class, id or role token is a name for boilerplate
+("comments", "cookie-banner", "site-search"; not "comments-open", "has-sidebar" or "search-result-page"), give none either, unless they hold most of the
+page's text: then the name is taken for one of the page, and the densities decide. Only names for reader comments stand
+however long the comments are. A page of which nothing is left is read again by its densities alone.
 
 Blocks are the runs of text between block elements or line breaks; white space in a block becomes one blank.
 
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import in_arrow, slices, table
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|[^<]+|<",
@@ -42,13 +45,19 @@ BLOCK = frozenset(
     "address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-NEVER = frozenset("aside button dialog embed footer form head header iframe input label link menu meta nav noscript object option script select style svg template textarea title".split())
+NEVER = frozenset("aside button dialog embed footer head header iframe input label link menu meta nav noscript object option script select style svg template textarea title".split())
 NEVER_NAMED = frozenset(
     "ad ads adv advert advertisement adverts advertising alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies "
-    "disclaimer discussion disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promotion "
+    "disclaimer discussion disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion "
     "recommended related replies reply respond responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
 )
-NEVER_STEMS = ("advert", "comment", "cookie", "navbar", "newsletter", "sidebar", "sponsor", "subscri")
+#: Words that say where or how big a part is, not what it holds; a token made of these and a name above is still that name.
+PLACES = frozenset("a area author bar block body bottom box container content cta fixed global group inner item left links list main menu outer panel placeholder primary right row secondary section site slot sticky text the thread top unit wrap wrapper".split())
+#: Words that make a token the state of a page.
+STATES = frozenset("closed disabled enabled free has hide is no not on off open show with without".split())
+COMMENTS = frozenset("comment comments commentlist discussion disqus replies respond responses".split())
+#: The share of a page's text from which a part's name is taken for one of the page.
+MOST = 0.6
 KEPT = frozenset("html body main article".split())
 #: What a start tag ends, up to the elements that hold it in.
 _ENDS = {
@@ -60,27 +69,43 @@ _ENDS = {
 
 
 class _Node:
-    __slots__ = ("chars", "density", "kids", "link_chars", "link_tags", "never", "parent", "tag", "tags")
+    __slots__ = ("chars", "density", "kids", "link_chars", "link_tags", "never", "own", "parent", "tag", "tags")
 
-    def __init__(self, tag: str, parent: _Node | None, never: bool):
-        self.tag, self.parent, self.never, self.kids = tag, parent, never, []
+    def __init__(self, tag: str, parent: _Node | None, own: int):
+        """own: how sure the element itself says that it isn't article text; never: whether it or one above gives none."""
+        self.tag, self.parent, self.own, self.kids, self.never = tag, parent, own, [], False
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = 0.0
 
 
-def _says_never(tag: str, attrs: str) -> bool:
+NAMED, SURE = 1, 2
+
+
+def _token_says(token: str) -> int:
+    """Whether a class, id or role token is a name for boilerplate: its last word is one, or all its words are or say where it stands."""
+    words = _LETTERS.findall(token)
+    if not any(w in NEVER_NAMED or w in COMMENTS for w in words) or any(w in STATES for w in words):
+        return 0
+    if words[-1] not in NEVER_NAMED | COMMENTS and any(w not in NEVER_NAMED | COMMENTS | PLACES for w in words):
+        return 0
+    return SURE if any(w in COMMENTS for w in words) else NAMED
+
+
+def _says(tag: str, attrs: str) -> int:
+    """0, NAMED or SURE: whether an element isn't article text by its tag, its class, id and role tokens, or being hidden."""
     if tag in NEVER:
-        return True
-    if not attrs or tag in KEPT:
-        return False
+        return SURE
+    if tag in KEPT or not attrs:
+        return NAMED if tag == "form" else 0
     if _HIDDEN.search(attrs):
-        return True
-    return any(w in NEVER_NAMED or w.startswith(NEVER_STEMS) for m in _NAMED.finditer(attrs) for w in _LETTERS.findall((m[1] or m[2] or m[3] or "").lower()))
+        return SURE
+    tokens = (t for m in _NAMED.finditer(attrs) for t in (m[1] or m[2] or m[3] or "").split())
+    return max((_token_says(re.sub(r"([a-z])([A-Z])", r"\1-\2", t).lower()) for t in tokens), default=0) or (NAMED if tag == "form" else 0)
 
 
 def parse(html: str) -> tuple[_Node, list[_Node]]:
     """The body (or the root, without one) and all nodes in page order."""
-    root = _Node("html", None, False)
+    root = _Node("html", None, 0)
     nodes, stack, body, at = [root], [root], None, 0
     while at < len(html):
         m = _TOKEN.match(html, at)
@@ -106,7 +131,7 @@ def parse(html: str) -> tuple[_Node, list[_Node]]:
         if tag == "body":
             if body is None:
                 del stack[1:]
-                body = _Node(tag, root, False)
+                body = _Node(tag, root, 0)
                 root.kids.append(body)
                 nodes.append(body)
                 stack.append(body)
@@ -119,7 +144,7 @@ def parse(html: str) -> tuple[_Node, list[_Node]]:
                     break
                 if stack[k].tag in holds:
                     break
-        node = _Node(tag, stack[-1], stack[-1].never or _says_never(tag, attrs or ""))
+        node = _Node(tag, stack[-1], _says(tag, attrs or ""))
         stack[-1].kids.append(node)
         nodes.append(node)
         if tag in RAW:
@@ -131,6 +156,19 @@ def parse(html: str) -> tuple[_Node, list[_Node]]:
     return body or root, nodes
 
 
+def _flag(nodes: list[_Node], by_names: bool) -> None:
+    """Sets ``never``: of tags and comments always, of other names and forms where they hold less than MOST of the text beside the former."""
+    sure: set[int] = set()
+    text = 0
+    for n in nodes:
+        if n.own == SURE or n.parent is not None and id(n.parent) in sure:
+            sure.add(id(n))
+        else:
+            text += n.chars - sum(k.chars for k in n.kids if isinstance(k, _Node))
+    for n in nodes:
+        n.never = id(n) in sure or n.parent is not None and n.parent.never or by_names and n.own == NAMED and n.chars < MOST * text
+
+
 def _measure(nodes: list[_Node], body: _Node) -> None:
     for n in reversed(nodes):
         if n.tag in RAW or n.tag == "head":
@@ -198,6 +236,16 @@ def main_text(html: str | None) -> str:
         return ""
     body, nodes = parse(html)
     _measure(nodes, body)
+    _flag(nodes, True)
+    text = _densest(body, nodes)
+    if not text and body.chars:
+        _flag(nodes, False)
+        text = _densest(body, nodes)
+    return text
+
+
+def _densest(body: _Node, nodes: list[_Node]) -> str:
+    """The blocks of the subtree with the greatest density sum and of what joins it."""
     best, most, inside = None, -1.0, {id(body)}
     for n in nodes:
         if n is not body and not (n.parent is not None and id(n.parent) in inside):
@@ -231,10 +279,10 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in slices(batches):
-            texts = [main_text(h) for h in b.column(2).to_pylist()]
+            texts = [main_text(h.as_py()) for h in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return in_arrow(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), run, "page_id long, url string, text string, n_chars long")
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
