@@ -1,6 +1,6 @@
 import numpy as np
 
-from voxlake.llm.embedding_dedup import embedding_groups, quantise
+from voxlake.llm.embedding_dedup import embedding_groups, linked, quantise
 
 SCHEMA = "vec_id long, embedding array<float>, label int, n_links string"
 
@@ -20,9 +20,9 @@ def brute(rows, threshold=0.95):
     return {i: (len(near.get(i, ())), group[i], group[i] == i) for i, _ in rows}
 
 
-def run(spark, rows):
+def run(spark, rows, **more):
     df = spark.createDataFrame([(i, v, 0, "clash") for i, v in rows], SCHEMA)
-    return {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_groups(df).collect()}
+    return {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_groups(df, **more).collect()}
 
 
 def test_links_groups_and_odd_rows(spark):
@@ -44,5 +44,27 @@ def test_bound_holds():
     x = np.random.default_rng(0).normal(size=(200, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
     q, s, eps = quantise(x)
+    q = q.astype(float)
     err = np.abs(x @ x.T - (q @ q.T) * s[:, None] * s[None])
     assert (err <= eps[:, None] + (1 + eps[:, None]) * eps[None] + 1e-9).all() and np.abs(q).max() <= 127
+
+
+def test_several_tiles_and_long_vectors(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for size, count in ((1500, 40), (16, 160)):
+        base = rng.normal(size=(5, size))
+        rows += [(len(rows) + k, [float(np.float32(x)) for x in base[k % 5] + rng.normal(size=size) * rng.choice([0.05, 0.2, 0.3, 0.34])]) for k in range(count)]
+    rows += [(900 + k, [-0.0 if not x else x for x in v]) for k, v in enumerate([[1.0, 0.0, 2.0], [1.0, -0.0, 2.0]])]
+    assert run(spark, rows, tile=16) == brute(rows)
+
+
+def test_a_pair_at_the_threshold_is_decided_alike_beside_any_others():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(40, 33))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    pairs = np.argwhere(np.ones((40, 40), bool))
+    for a, b in [(0, 1), (7, 9), (30, 4)]:
+        at = float(np.einsum("ij,ij->i", x[[a]], x[[b]])[0])
+        many = linked(x, x, pairs[:, 0], pairs[:, 1], at)[40 * a + b]
+        assert many and linked(x, x, np.array([a]), np.array([b]), at)[0]
