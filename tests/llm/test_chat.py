@@ -27,3 +27,15 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
     plan = read_back(format_chats(df))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_long_conversations_take_linear_time(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    rows = spark.range(16_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "assistant").otherwise("user").alias("role"), F.concat(F.lit("\ufeff\U0001f600 turn "), "id").alias("text"))
+    began = time.time()
+    r = read_back(format_chats(rows)).first()
+    assert len(r.turns) == 16_000 and r.loss_text == "".join(f"\ufeff\U0001f600 turn {i}" for i in range(0, 16_000, 3))
+    assert time.time() - began < 60

@@ -8,12 +8,12 @@ The loss mask is an array of (start, length) over code points, one for each assi
 Results for odd rows: a null text or role is empty; turns that tie stand by role, then text; repeated rows are turns of
 their own; an empty text still is a turn; an empty table gives no row; a null conv_id is a conversation. Columns other
 than conv_id, turn, role and text are not read. A conversation is one value of the result, so its turns meet in one row:
-it must be shorter than Spark's 2 GB a value; no other group is collected.
+it must be shorter than Spark's 2 GB a value (500 million characters to be read back); no other group is collected.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -37,20 +37,23 @@ def _unescape(c: Column, pairs=ROLE_ESCAPES) -> Column:
 
 
 def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """conv_id, formatted, loss_mask. One shuffle by conversation; the turns are escaped before it."""
+    """conv_id, formatted, loss_mask. One shuffle by conversation; the turns are escaped before it.
+
+    Neighbours and offsets come from windows over a conversation's turns in order, so the work is linear in them."""
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    turn = F.struct(F.col("turn").cast("long").alias("turn"), _escape(empty("role"), ROLE_ESCAPES).alias("role"), _escape(empty("text")).alias("text"))
-    chats = turns.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    first = lambda t, i: (i == 0) | (F.try_element_at("turns", i)["role"] != t["role"])  # noqa: E731  element_at counts from 1
-    last = lambda t, i: F.coalesce(F.try_element_at("turns", i + 2)["role"] != t["role"], F.lit(True))
-    head = lambda t, i: F.when(i == 0, F.concat(F.lit(OPEN), t["role"], F.lit(COLON))).otherwise(F.when(first(t, F.greatest(i, F.lit(1))), F.concat(F.lit(OPEN), t["role"], F.lit(COLON))).otherwise(F.lit(NEXT)))
-    piece = lambda t, i: F.struct(head(t, i).alias("head"), t["text"].alias("text"), F.when(last(t, i), END).otherwise("").alias("tail"), t["role"].alias("role"))
-    chats = chats.withColumn("pieces", F.transform("turns", piece))
-    chats = chats.withColumn("widths", F.transform("pieces", lambda p: (F.length(p["head"]) + F.length(p["text"]) + F.length(p["tail"])).cast("long")))
-    start = lambda p, i: F.aggregate(F.slice("widths", 1, i), F.lit(0).cast("long"), lambda a, w: a + w) + F.length(p["head"])
-    span = lambda p, i: F.when(p["role"] == _escape(F.lit(loss_role), ROLE_ESCAPES), F.struct(start(p, i).alias("start"), F.length(p["text"]).cast("long").alias("length")))
-    text = F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["text"], p["tail"])), "")
-    return chats.select("conv_id", text.alias("formatted"), F.filter(F.transform("pieces", span), lambda s: s.isNotNull()).alias("loss_mask"))
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), _escape(empty("role"), ROLE_ESCAPES).alias("role"), _escape(empty("text")).alias("text"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    beside = lambda f: F.coalesce(f("role").over(order) == F.col("role"), F.lit(False))
+    rows = rows.select(
+        "conv_id", "role", "text", F.row_number().over(order).alias("nth"),
+        F.when(beside(F.lag), NEXT).otherwise(F.concat(F.lit(OPEN), "role", F.lit(COLON))).alias("head"), F.when(beside(F.lead), "").otherwise(END).alias("tail"),
+    )
+    width = (F.length("head") + F.length("text") + F.length("tail")).cast("long")
+    before = F.coalesce(F.sum(width).over(Window.partitionBy("conv_id").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    span = F.when(F.col("role") == _escape(F.lit(loss_role), ROLE_ESCAPES), F.struct((before + F.length("head")).alias("start"), F.length("text").cast("long").alias("length")))
+    pieces = rows.select("conv_id", F.struct("nth", F.concat("head", "text", "tail").alias("piece"), span.alias("span")).alias("t"))
+    chats = pieces.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    return chats.select("conv_id", F.array_join("turns.piece", "").alias("formatted"), F.filter("turns.span", lambda s: s.isNotNull()).alias("loss_mask"))
 
 
 def read_back(chats: DataFrame) -> DataFrame:
@@ -60,7 +63,9 @@ def read_back(chats: DataFrame) -> DataFrame:
     role = lambda b: F.substring_index(b, COLON, 1)
     body = lambda b: b.substr(F.length(role(b)) + len(COLON) + 1, F.length(b))
     own = lambda b: F.transform(F.split(body(b), NEXT, -1), lambda t: F.struct(_unescape(role(b).substr(F.lit(len(OPEN) + 1), F.length(b))).alias("role"), _unescape(t, ESCAPES).alias("text")))
-    under = F.transform("loss_mask", lambda s: _unescape(F.col("formatted").substr((s["start"] + 1).cast("int"), s["length"].cast("int")), ESCAPES))
+    # places of bytes of UTF-32 are found at once; one character more is taken, since a first byte order mark would be lost
+    part = lambda w, s: F.decode(F.substring(w, (4 * s["start"] - 3).cast("int"), (4 * s["length"] + 4).cast("int")), "UTF-32").substr(F.lit(2), s["length"].cast("int"))
+    under = F.flatten(F.transform(F.array(F.encode("formatted", "UTF-32")), lambda w: F.transform("loss_mask", lambda s: _unescape(part(w, s), ESCAPES))))
     return chats.select("conv_id", "formatted", F.flatten(F.transform(blocks, own)).alias("turns"), F.array_join(under, "").alias("loss_text"))
 
 
