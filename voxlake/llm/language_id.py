@@ -5,8 +5,9 @@ language, if the sample has it often and nearly always in one language. Forward-
 of each language given the whole text, so that code-switched texts are labelled word by word; a text's language is the one
 with the largest mean probability over its words with a letter, and that mean is the score.
 
-Training: ``docs_per_language`` labelled documents for each language, chosen by a hash of the id, and the first
-``chars_per_doc`` characters of each; nothing else of the corpus is used to fit. Sequences of several languages are made
+Training: ``docs_per_language`` labelled documents for each language (fewer where ``docs`` are too few for all languages),
+chosen by a hash of the id. A text of over ``chars_per_doc`` characters gives ``pieces`` runs of whole words, from places
+evenly over the whole text, with as many characters together. Nothing else of the corpus is used to fit. Sequences of several languages are made
 from runs of these words, so that the transitions are learned. Prediction reads every text whole.
 
 Results for odd rows: a null text, an empty one or one without a letter gets ``und`` and score 0, as does every text when
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices, stored, table
+from .common import in_arrow, slices, stored, table
 
 GRAMS, REGION, CHUNK = (2, 3, 4), 1 << 16, 64
 
@@ -31,7 +32,9 @@ GRAMS, REGION, CHUNK = (2, 3, 4), 1 << 16, 64
 @dataclass(frozen=True)
 class Fit:
     docs_per_language: int = 160
+    docs: int = 20_000
     chars_per_doc: int = 1500
+    pieces: int = 6
     steps: int = 40
     rate: float = 0.15
     decay: float = 1e-4
@@ -232,23 +235,38 @@ def _predicted(model: Model | None, batch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang), pa.array(score), pa.array(switches, pa.int64())], names=["doc_id", "lang_pred", "score", "n_switches"])
 
 
+def spread(text: Column, p: Fit = Fit()) -> Column:
+    """The text, or runs of words from places evenly over all of it where it is longer than ``p.chars_per_doc``."""
+    size = p.chars_per_doc // p.pieces
+    at = lambda k: (F.lit(k / max(1, p.pieces - 1)) * (F.length(text) - size)).cast("int") + 1
+    cut = [F.regexp_replace(F.substring(text, at(k), F.lit(size)), r"^\S*\s+|\s+\S*$", "") for k in range(p.pieces)]
+    return F.when(F.length(text) <= p.chars_per_doc, text).otherwise(F.concat_ws(" ", *cut))
+
+
 def sample(docs: DataFrame, p: Fit = Fit()) -> list[tuple[str, str]]:
-    """The labelled rows to fit on: a number bounded by ``p`` for each language."""
+    """The labelled rows to fit on: their number is bounded by ``p`` for each language and in all, repeated ids included."""
+    labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "lang", "text")
+    languages = labelled.select("lang").distinct().count()
+    most = max(1, min(p.docs_per_language, p.docs // max(1, languages)))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "lang").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= p.docs_per_language)
+    ids = labelled.select("doc_id", "lang").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
     ids = stored(ids.select(F.col("doc_id").alias("chosen")).distinct())
-    got = docs.join(ids, F.col("doc_id") == F.col("chosen")).where("lang IS NOT NULL AND text IS NOT NULL")
-    return [tuple(r) for r in got.select("lang", F.substring("text", 1, p.chars_per_doc)).collect()]
+    got = labelled.join(ids, F.col("doc_id") == F.col("chosen")).select("doc_id", "lang", spread(F.col("text"), p).alias("text"))
+    again = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+    return [tuple(r) for r in got.withColumn("nth", F.row_number().over(again)).where(F.col("nth") <= most).select("lang", "text").collect()]
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score and n_switches (changes of the likeliest language between words) for each row."""
     schema = "doc_id long, lang_pred string, score double, n_switches long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: (_predicted(model, b) for b in slices(it, 512)), schema)
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), lambda it: (_predicted(model, b) for b in slices(it, 512)), schema)
 
 
 def accepted(docs: DataFrame, model: Model | None, least_score: float = 0.4) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose text gets a language with at least this score."""
+    """The rows of ``docs``, all columns as they are, whose text gets a language with at least this score.
+
+    The score is a mean over words, so a clean text in two languages by halves has about 0.5 and has to stay; below 0.4 no
+    language has the better part of two fifths of the words."""
     at = docs.columns.index("text")
 
     def run(batches):
@@ -257,7 +275,7 @@ def accepted(docs: DataFrame, model: Model | None, least_score: float = 0.4) ->
             lang, score = found.column("lang_pred").to_pylist(), found.column("score").to_pylist()
             yield b.filter(pa.array([x != "und" and s >= least_score for x, s in zip(lang, score, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)
 
 
 def held_out() -> Column:
