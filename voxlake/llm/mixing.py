@@ -41,8 +41,11 @@ class Mix:
 
 
 def source_targets(sizes: DataFrame, weights=(5, 2, 1), share_percent: int = 150, cap: int = 2) -> DataFrame:
-    """source, source_size, target and the part [lo, hi) of 0 to 2^32 that is the source's."""
-    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    """source, source_size, target and the part [lo, hi) of 0 to 2^32 that is the source's.
+
+    The shares of one source depend on those of all, so this works on one row for each source in one task: sources are to be
+    few enough for that (a million rows of six numbers are no matter), not hosts of a whole web."""
+    every = Window.orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # in order: sums of doubles depend on it
     by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     order = Window.orderBy(F.col("source").asc_nulls_last())
     nth = F.pmod(F.row_number().over(order) - 1, F.lit(len(weights)))
@@ -56,7 +59,7 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), share_percent: int = 150
     free = F.when(F.col("level") * F.col("weight") <= F.col("most"), F.struct(F.col("most") / F.col("weight"), "nth", "level"))
     by = by.withColumn("flat", F.min(free).over(every)["level"])
     by = by.withColumn("target", F.least(F.coalesce(F.col("flat"), F.lit(float("inf"))) * F.col("weight"), F.col("most").cast("double")))
-    part = F.floor(F.sum("target").over(Window.orderBy("nth")) / F.sum("target").over(every) * WIDE)
+    part = F.floor(F.sum("target").over(Window.orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)) / F.sum("target").over(every) * WIDE)
     by = by.withColumn("hi", F.when(F.col("nth") == F.max("nth").over(every), F.lit(WIDE)).otherwise(part))
     by = by.withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("nth")), F.lit(0)))
     return by.select("source", "source_size", "target", "lo", "hi")

@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from .common import slices, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-BLANK, MEMORY, PAIRS, NEVER = "▁", 300_000, 800_000, float("-inf")
+BLANK, MEMORY, PAIRS, NEVER = "▁", 100_000, 300_000, float("-inf")
 UNIGRAM, BPE = 1, 2
 
 
