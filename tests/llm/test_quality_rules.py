@@ -42,8 +42,8 @@ def test_rules_of_other_languages_menus_links_and_lists(spark):
     lines = ["Startseite › Neues › Über uns › Kontakt", "https://a.example/x https://b.example/y", "• Kurzer Punkt", "ALLE RECHTE VORBEHALTEN, 2024, Verlag.", "Lire la SUITE de cet article dès demain.", "Términos de USO y más cosas que leer."]
     r = run(spark, [GOOD + "\n" + "\n".join(lines)])[0]
     assert r.n_failed_lines == len(lines) and r.cleaned_text == GOOD
-    items = "\n".join(f"- The item number {k} of a list that has words enough to stay here." for k in range(12))
-    ends = "\n".join(f"Line number {k} of a text that always breaks off before it ends..." for k in range(12))
+    items = "\n".join("- " + " ".join(f"w{k}x{j}" for j in range(8)) + "." for k in range(12))
+    ends = "\n".join(" ".join(f"v{k}x{j}" for j in range(8)) + "..." for k in range(12))
     a, b, c = run(spark, [items, ends, GOOD + "\n" + items])
     assert (a.n_bullet_lines, a.n_failed_lines, a.kept) == (12, 0, False) and (b.n_ellipsis_lines, b.kept) == (12, False) and c.kept
 
