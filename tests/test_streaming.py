@@ -20,7 +20,7 @@ def rows(spark, tmp_path):
 
 def test_live_trend_equals_batch(spark, tmp_path):
     df = rows(spark, tmp_path)
-    live = J.drained(J.live_trend(J.file_stream(spark, str(tmp_path / "in"), df.schema), "ts"), "live_test", "complete")
+    live = J.drained(J.live_trend(J.file_stream(spark, str(tmp_path / "in"), df.schema), "ts"), str(tmp_path / "live"), "complete")
     batch = A.trend(df.withColumn("rating", F.lit(1.0)), "day", F.col("ts"))
     assert {(r.period, r.n, r.negative) for r in live.collect()} == {(r.period, r.n, r.negative) for r in batch.collect()}
     assert J.month_roll_up(live).agg(F.sum("n")).first()[0] == 120
@@ -28,7 +28,7 @@ def test_live_trend_equals_batch(spark, tmp_path):
 
 def test_distinct_feedback(spark, tmp_path):
     df = rows(spark, tmp_path)
-    out = J.drained(J.distinct_feedback(J.file_stream(spark, str(tmp_path / "in"), df.schema), "ts", "400 days"), "distinct_test", "append")
+    out = J.drained(J.distinct_feedback(J.file_stream(spark, str(tmp_path / "in"), df.schema), "ts", "400 days"), str(tmp_path / "distinct"), "append")
     assert out.count() == df.select("organisation_id", "text").distinct().count()
 
 
@@ -37,7 +37,7 @@ def test_late_rows_are_dropped(spark, tmp_path):
     for k, (day, n) in enumerate([(1, 2), (20, 1), (21, 1), (2, 5), (22, 1)]):
         spark.createDataFrame([(datetime(2026, 1, day), "neutral")] * n, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in{k}"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in*"))
-    got = {r.period.day: r.n for r in J.drained(J.live_trend(stream, "ts", delay="1 day"), "late_test", "append").collect()}
+    got = {r.period.day: r.n for r in J.drained(J.live_trend(stream, "ts", delay="1 day"), str(tmp_path / "late"), "append").collect()}
     assert got.get(1) == 2 and 2 not in got
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import unicodedata
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,10 +32,40 @@ def clean_upload(c) -> Column:
     return strip_white(F.regexp_replace(col(c), CONTROL, ""))
 
 
-def clean_review(c) -> Column:
-    """Links, mentions, hashes, markup, underscores and non-ASCII out; lower case. The order matters."""
+def clean_review(c, emoji: bool = False) -> Column:
+    """Links, mentions, hashes, markup, underscores and non-ASCII out; lower case. The order matters. With ``emoji``, pictographs
+    are spelt out before non-ASCII goes."""
     steps = ((r"http\S+|www\S+", " "), (r"@\w+", " "), (r"#(\w+)", "$1"), (r"<.*?>", " "), ("_", " "), (r"[^\x00-\x7F]+", " "), (r"\s+", " "))
-    return F.lower(F.trim(reduce(lambda x, s: F.regexp_replace(x, *s), steps, col(c))))
+    first = reduce(lambda x, s: F.regexp_replace(x, *s), steps[:4], col(c))
+    return F.lower(F.trim(reduce(lambda x, s: F.regexp_replace(x, *s), steps[4:], emoji_words(first) if emoji else first)))
+
+
+@cache
+def _bare_letters() -> tuple[str, str]:
+    """Letters with accents, and what each is without: of the blocks up to U+1FFF, where one letter is left."""
+    pairs = [(chr(k), "".join(x for x in unicodedata.normalize("NFD", chr(k)) if not unicodedata.combining(x))) for k in range(0xC0, 0x2000)]
+    pairs = [(a, b) for a, b in pairs if len(b) == 1 and a != b]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def without_accents(c) -> Column:
+    """Letters without their accents, combining marks left out."""
+    x = F.regexp_replace(F.translate(col(c), *_bare_letters()), r"[\x{300}-\x{36f}]+", "")
+    return F.when(col(c).rlike(r"[^\x00-\x7F]"), x).otherwise(col(c))
+
+
+@cache
+def _emoji() -> dict[str, str]:
+    """Pictographs and their names as words, by the Unicode names of the blocks that hold them."""
+    blocks = ((0x2600, 0x27C0), (0x1F300, 0x1F650), (0x1F680, 0x1F700), (0x1F900, 0x1FB00))
+    return {chr(k): f" {name.lower().replace('-', ' ')} " for a, b in blocks for k in range(a, b) if (name := unicodedata.name(chr(k), ""))}
+
+
+def emoji_words(c) -> Column:
+    """Each pictograph as the words of its name. Only texts with one are taken apart."""
+    names = F.create_map(*[F.lit(x) for pair in _emoji().items() for x in pair])
+    spelt = F.array_join(F.transform(F.split(col(c), ""), lambda ch: F.coalesce(F.try_element_at(names, ch), ch)), "")
+    return F.when(col(c).rlike(r"[\x{2600}-\x{27BF}\x{1F300}-\x{1FAFF}]"), spelt).otherwise(col(c))
 
 
 def content_hash(c) -> Column:
@@ -71,7 +102,7 @@ def month(c) -> Column:
 def phrase(c) -> Column:
     """A keyword: lower case, one leading determiner off, long enough, not a stop word, with a letter; else null."""
     bare = F.trim(F.regexp_replace(F.trim(F.lower(col(c))), f"^(?:{'|'.join(DETERMINERS)})\\s+", ""))
-    good = (F.length(bare) >= MIN_PHRASE_CHARS) & ~bare.isin(KEYWORD_STOPWORDS) & bare.rlike(r"\p{L}")
+    good = (F.length(bare) >= MIN_PHRASE_CHARS) & ~bare.isin(list(KEYWORD_STOPWORDS)) & bare.rlike(r"\p{L}")
     return F.when(good, bare)
 
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,8 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..schemas import CATEGORY_THRESHOLD, LABELS, SHORTLIST, TOP_CANDIDATES, UNCLASSIFIED
-from .vectors import dot
+from .vectors import dot, top_k
 
+CANDIDATES = "array<struct<key:string,score:double>>"
+EVIDENCE = "array<struct<doc_id:long,score:double>>"
 SENTIMENT = "label string, confidence double, scores map<string,double>, model_version string, error string"
 
 
@@ -65,11 +70,106 @@ def word_rule_model() -> Callable[[list[str]], list[dict[str, float]]]:
     return run
 
 
+def lexicon_model(lexicon: dict[str, float], band: float = 0.05) -> Callable[[], Callable[[list[str]], list[dict[str, float]]]]:
+    """A batch model of a lexicon of word valences, added and bounded as ``features.lexicon_sentiment`` does."""
+
+    def make():
+        def run(texts):
+            out = []
+            for t in texts:
+                s = round(sum(lexicon.get(w, 0.0) for w in re.findall(r"[a-z']+", t.lower())), 9)
+                c = round(s / math.sqrt(s * s + 15.0), 6)
+                out.append({"negative": max(0.0, -c), "neutral": band, "positive": max(0.0, c)})
+            return out
+
+        return run
+
+    return make
+
+
+def failing_on(make_model: Callable, pattern: str) -> Callable:
+    """A model that raises an error for texts with a pattern: for tests of what a failing text does to its neighbours."""
+
+    def make():
+        model, bad = make_model(), re.compile(pattern)
+
+        def run(texts):
+            for t in texts:
+                if bad.search(t):
+                    raise ValueError("the text can't be scored")
+            return model(texts)
+
+        return run
+
+    return make
+
+
+def batch_predict(rows: DataFrame, score: Callable[[Column], Column], text: str = "text") -> DataFrame:
+    """id, pred and confidence of each row by any model: a failing row is labelled ``error`` and keeps its place by its id."""
+    s = rows.select("id", score(F.col(text)).alias("s"))
+    return s.select("id", F.when(F.col("s.error").isNotNull(), "error").otherwise(F.col("s.label")).alias("pred"), F.col("s.confidence").alias("confidence"))
+
+
 def gate(label: str = "label", allowed: tuple[str, ...] = ("negative", "neutral")) -> Column:
     """Why a row gets no category, or null."""
     return F.when(F.col(label).isNull(), "no sentiment").when(~F.col(label).isin(*allowed), F.concat(F.lit("sentiment "), F.col(label)))
 
 
+def batch_categoriser(make_model: Callable[[], Callable[[list[str], list[dict]], list[list[tuple[str, float]]]]], threshold: float = CATEGORY_THRESHOLD, top: int = TOP_CANDIDATES):
+    """A categoriser around a batch model, for ``analyse``: ``make_model`` runs once in each worker and returns a function from
+    texts and the taxonomy's rows (key, and what else it has) to (key, score) pairs for each text.
+
+    The taxonomy goes to the workers with the function: up to 1000 rows, refused above."""
+
+    def run(items: DataFrame, categories: DataFrame) -> DataFrame:
+        taxonomy = [r.asDict() for r in categories.orderBy("key").limit(1001).collect()]
+        if len(taxonomy) > 1000:
+            raise ValueError("a taxonomy has up to 1000 categories")
+
+        def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            model = make_model()
+            for frame in frames:
+                found = model(frame["text"].fillna("").tolist(), taxonomy)
+                if len(found) != len(frame):
+                    raise ValueError(f"{len(found)} answers for {len(frame)} texts")
+                best = [sorted(((k, round(float(v), 6)) for k, v in pairs), key=lambda x: (-x[1], x[0]))[:top] for pairs in found]
+                yield pd.DataFrame({"id": frame["id"], "candidates": [[{"key": k, "score": v} for k, v in b] for b in best]})
+
+        out = items.select("id", "text").mapInPandas(batches, f"id {items.schema['id'].dataType.simpleString()}, candidates {CANDIDATES}")
+        first = F.try_element_at("candidates", F.lit(1))
+        ok = F.coalesce(first["score"] >= threshold, F.lit(False))
+        return out.select("id", F.when(ok, first["key"]).alias("category_key"), first["score"].alias("score"), "candidates", (~ok).alias("is_unclassified"))
+
+    return run
+
+
+def by_vectors(threshold: float = CATEGORY_THRESHOLD):
+    """The categoriser of ``analyse`` by cosine of vectors: see ``categorise``."""
+    return lambda items, categories: categorise(items.select("id", "vector"), categories, threshold)
+
+
+@dataclass(frozen=True)
+class CorpusRetriever:
+    """Evidence from a table of vectors (doc_id, vector): the k best at or above the threshold, without the item itself."""
+
+    docs: DataFrame
+    threshold: float = 0.0
+    k: int = 5
+
+    def __call__(self, items: DataFrame) -> DataFrame:
+        asked = items.where("vector IS NOT NULL").select(F.col("id").cast("long").alias("query_id"), "vector")
+        found = top_k(asked, self.docs, self.k + 1).where((F.col("query_id") != F.col("doc_id")) & (F.col("score") >= self.threshold))
+        best = F.slice(F.array_sort(F.collect_list(F.struct((-F.round("score", 6)).alias("under"), "doc_id"))), 1, self.k)
+        rows = found.groupBy("query_id").agg(F.transform(best, lambda x: F.struct(x["doc_id"].alias("doc_id"), (-x["under"]).alias("score"))).alias("evidence"))
+        all_ = items.select("id", F.col("vector").isNull().alias("blind")).join(rows, F.col("id").cast("long") == F.col("query_id"), "left")
+        return all_.select("id", F.when(~F.col("blind"), F.coalesce("evidence", F.array().cast(EVIDENCE))).alias("evidence"), F.when(F.col("blind"), "no vector to search with").alias("error"))
+
+
+def no_retriever(items: DataFrame) -> DataFrame:
+    """Finds nothing, and says so: an empty list is no error."""
+    return items.select("id", F.array().cast(EVIDENCE).alias("evidence"), F.lit(None).cast("string").alias("error"))
+
+
 def categorise(items: DataFrame, categories: DataFrame, threshold: float = CATEGORY_THRESHOLD, shortlist: int = SHORTLIST, top: int = TOP_CANDIDATES) -> DataFrame:
     """id, vector in; category_key (null under the threshold), score, candidates and is_unclassified out, a row for each item.
 
@@ -89,19 +189,55 @@ def categorise(items: DataFrame, categories: DataFrame, threshold: float = CATEG
     return ranked.select("id", F.when(ok, best["key"]).alias("category_key"), best["score"].alias("score"), "candidates", (~ok).alias("is_unclassified"))
 
 
-def analyse(items: DataFrame, score: Callable[[Column], Column], categories: DataFrame | None = None, vector: str | None = None) -> DataFrame:
-    """One result for each item (id, text and, to categorise, a vector): status, sentiment, category, the reason for none. An
-    item whose vector is null keeps its sentiment and gets no category."""
-    rows = items.withColumn("text", X.normalise("text")).withColumn("sentiment", score(F.col("text")))
+def analyse(items: DataFrame, score: Callable[[Column], Column], categories: DataFrame | None = None, vector: str | None = None, categoriser: Callable[[DataFrame, DataFrame], DataFrame] | None = None, retriever: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """One result for each item (id, text and, to categorise or search by vectors, a vector): status, sentiment, category, the
+    reason for none, evidence. An item whose vector is null keeps its sentiment and gets no category by vectors.
+
+    ``categories`` is the taxonomy to use; ``categoriser`` (by vectors without one) takes the open items and it.
+    ``retriever`` (None for no evidence stage, ``no_retriever``, a function or a ``CorpusRetriever``) returns id, evidence and
+    error. An item that it fails on, or leaves out, is failed: a broken search never looks like one that found nothing."""
+    vectors = F.col(vector) if vector else F.lit(None).cast("array<double>")
+    rows = items.withColumn("text", X.normalise("text")).withColumn("vector", vectors).withColumn("sentiment", score(F.col("text")))
     rows = rows.withColumn("status", F.when(F.col("sentiment.error").isNotNull(), "failed").otherwise("ok")).withColumn("label", F.col("sentiment.label")).withColumn("skipped", gate("label"))
-    if categories is not None and vector is not None:
-        rows = rows.withColumn("skipped", F.coalesce("skipped", F.when(F.col(vector).isNull(), "no vector")))
-        open_ = rows.where("skipped IS NULL AND status = 'ok'").select("id", F.col(vector).alias("vector"))
-        rows = rows.join(categorise(open_, categories), "id", "left")
+    if categories is not None and (vector is not None or categoriser is not None):
+        if categoriser is None:
+            rows = rows.withColumn("skipped", F.coalesce("skipped", F.when(F.col("vector").isNull(), "no vector")))
+        open_ = rows.where("skipped IS NULL AND status = 'ok'").select("id", "text", "vector")
+        rows = rows.join((categoriser or by_vectors())(open_, categories), "id", "left")
+    else:
+        rows = rows.withColumns({"category_key": F.lit(None).cast("string"), "score": F.lit(None).cast("double"), "candidates": F.lit(None).cast(CANDIDATES), "is_unclassified": F.lit(None).cast("boolean")})
+    error = F.col("sentiment.error")
+    if retriever is not None:
+        found = retriever(rows.where("status = 'ok'").select("id", "text", "vector")).select("id", "evidence", F.col("error").alias("search_error"), F.lit(True).alias("answered"))
+        rows = rows.join(found, "id", "left")
+        lost = F.when((F.col("status") == "ok") & F.col("answered").isNull(), "the retriever gave no answer")
+        error = F.coalesce(error, F.when(F.col("status") == "ok", F.coalesce("search_error", lost)))
+        rows = rows.withColumn("evidence", F.when(error.isNull(), F.col("evidence")))
     else:
-        rows = rows.withColumns({"category_key": F.lit(None).cast("string"), "score": F.lit(None).cast("double"), "candidates": F.lit(None).cast("array<struct<key:string,score:double>>"), "is_unclassified": F.lit(None).cast("boolean")})
+        rows = rows.withColumn("evidence", F.lit(None).cast(EVIDENCE))
     name = F.when(F.col("is_unclassified"), UNCLASSIFIED).otherwise(F.col("category_key"))
-    return rows.select("id", "status", F.col("sentiment.error").alias("error"), "label", F.col("sentiment.confidence").alias("confidence"), F.col("sentiment.scores").alias("scores"), F.col("sentiment.model_version").alias("model_version"), "category_key", name.alias("category"), "score", F.when(F.size("candidates") > 0, F.col("candidates")).alias("candidates"), "is_unclassified", "skipped")
+    return rows.select(
+        "id", F.when(error.isNotNull(), "failed").otherwise("ok").alias("status"), error.alias("error"), "label", F.col("sentiment.confidence").alias("confidence"), F.col("sentiment.scores").alias("scores"), F.col("sentiment.model_version").alias("model_version"),
+        "category_key", name.alias("category"), "score", F.when(F.size("candidates") > 0, F.col("candidates")).alias("candidates"), "is_unclassified", "skipped", "evidence",
+    )
+
+
+def analyse_import(feedback: DataFrame, results: str, runs: str, analyse_: Callable[[DataFrame], DataFrame], *, organisation_id: int, import_batch_id, run_id: str, run_at: str, versions: dict[str, str], thresholds: dict[str, float], rows_at_once: int = 50) -> DataFrame:
+    """Analyses the feedback of one import, appends its result rows to ``results`` and its run row to ``runs`` (folders), and
+    returns the run row. Models get ``rows_at_once`` texts at a time; rows that fail are stored as failed with the others."""
+    spark = feedback.sparkSession
+    own = feedback.where((F.col("organisation_id") == organisation_id) & (F.col("import_batch_id") == F.lit(import_batch_id))).select(F.col("feedback_id").alias("id"), "text")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_at_once))
+    try:
+        rows = result_rows(analyse_(own), organisation_id=organisation_id, run_id=run_id, run_at=run_at)
+        rows.write.mode("append").partitionBy("run_id").parquet(results)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    stored_rows = spark.read.schema(rows.schema).parquet(results).where(F.col("run_id") == run_id)
+    run = run_row(stored_rows, versions, thresholds)
+    run.write.mode("append").parquet(runs)
+    return spark.read.schema(run.schema).parquet(runs).where(F.col("run_id") == run_id)
 
 
 def result_rows(analysed: DataFrame, *, organisation_id: int, run_id: str, run_at: str) -> DataFrame:

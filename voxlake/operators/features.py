@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..schemas import TOP_KEYWORDS
+from ..schemas import DETERMINERS, TOP_KEYWORDS
+from ..sources.scratch import spread, stored
+
+SMALL_QUERIES, SALTS = 2_000_000, 16
 
 
 def terms(c: str = "text", bigrams: bool = True) -> Column:
-    """Lower-case words of two or more letters or digits, and pairs of neighbours."""
-    w = F.regexp_extract_all(F.lower(F.col(c)), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+    """Lower-case words of two or more letters or digits without accents, and pairs of neighbours."""
+    w = F.regexp_extract_all(X.without_accents(F.lower(F.col(c))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
     if not bigrams:
         return w
     pairs = F.when(F.size(w) > 1, F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
@@ -22,7 +23,7 @@ def terms(c: str = "text", bigrams: bool = True) -> Column:
 
 def term_counts(docs: DataFrame, id_column: str, bigrams: bool = True, text: str = "text") -> DataFrame:
     """doc id, term and its count: the shuffle is by (doc, term) after a map-side count."""
-    return docs.select(F.col(id_column).alias("doc"), F.explode(terms(text, bigrams)).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
+    return spread(docs.select(id_column, text)).select(F.col(id_column).alias("doc"), F.explode(terms(text, bigrams)).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
 
 
 def vocabulary(counts: DataFrame, min_df: int = 2, size: int = 50_000) -> DataFrame:
@@ -42,26 +43,56 @@ def tf_idf(counts: DataFrame, vocab: DataFrame, n_docs: int, sublinear: bool = F
 
 def tf_idf_search(queries: DataFrame, weights: DataFrame, k: int, allowed: DataFrame | None = None, post_filter: bool = False) -> DataFrame:
     """query_id, doc, score, rank: cosine by an equi-join on terms. ``queries``: query_id, term, weight. ``allowed`` holds the
-    documents (doc) that a filter leaves: before the top-k, or after it with ``post_filter`` (which can give fewer than k)."""
+    documents (doc) that a filter leaves: before the top-k, or after it with ``post_filter`` (which can give fewer than k).
+
+    Up to SMALL_QUERIES weights of queries are broadcast, so that the documents' weights, dealt by document, are joined,
+    added up and cut to k a query and task where they stand, and a frequent term is no key of a shuffle. Beyond, the join
+    by term is salted by document."""
     if allowed is not None and not post_filter:
         weights = weights.join(allowed, "doc", "left_semi")
     q = queries.select("query_id", "term", F.col("weight").alias("qw"))
-    scores = weights.join(q, "term").groupBy("query_id", "doc").agg(F.round(F.sum(F.col("weight") * F.col("qw")), 9).alias("score"))
+    if q.count() <= SMALL_QUERIES:
+        joined = weights.repartition("doc").join(F.broadcast(q), "term")
+    else:
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        joined = weights.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(q.withColumn("salt", salts), ["term", "salt"])
+    scores = joined.groupBy("query_id", "doc").agg(F.round(F.sum(F.col("weight") * F.col("qw")), 9).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc")
     ranked = scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.join(allowed, "doc", "left_semi") if allowed is not None and post_filter else ranked
 
 
-def keyword_counts(reviews: DataFrame, n: int = TOP_KEYWORDS, text: str = "text", label: str = "sentiment_label", grams: int = 3) -> DataFrame:
-    """The top phrases of one to three words by bucket (all, and each label) in one pass, with the bucket's reviews."""
-    w = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[a-z']+"), F.lit(0))
-    runs = [F.when(F.size(w) >= g, reduce(lambda a, i: F.zip_with(a, F.slice(w, i + 1, F.size(w) - g + 1), lambda x, y: F.concat(x, F.lit(" "), y)), range(1, g), F.slice(w, 1, F.size(w) - g + 1))).otherwise(F.array().cast("array<string>")) for g in range(1, grams + 1)]
-    found = reviews.select(label, F.explode(F.concat(*runs)).alias("raw")).select(label, X.phrase("raw").alias("word")).where("word IS NOT NULL")
-    by = found.groupBy("word", label).agg(F.count("*").alias("n"))
-    buckets = F.explode(F.array(F.struct(F.lit("all").alias("bucket")), F.struct(F.col(label).alias("bucket")))).alias("b")
-    by = by.select("word", "n", buckets).groupBy(F.col("b.bucket").alias("bucket"), "word").agg(F.sum("n").alias("count"))
+def keyword_counts(reviews: DataFrame, n: int = TOP_KEYWORDS, text: str = "text", label: str = "sentiment_label") -> DataFrame:
+    """The top phrases of one to three words by bucket (all, and each label), with the bucket's reviews.
+
+    Raw runs of one and two words are counted before they are made phrases. Their n-th count in a bucket bounds what can be
+    at its top from below, so three words are glued only where that is possible: both pairs in them are as frequent, or,
+    after a determiner (which a phrase loses), the pair that is left is half as frequent. Nothing at the top is lost."""
+    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[a-z']+"), F.lit(0))
+    rows = spread(reviews.select(label, text)).select(F.col(label).alias("label"), words.alias("a"))
+    rest = lambda k: F.slice("a", k, F.greatest(F.size("a"), F.lit(0))).alias("bc"[k - 2])
+    rows = rows.select("label", F.explode(F.arrays_zip(F.col("a"), rest(2), rest(3))).alias("t")).select("label", "t.*")
+    pair = lambda x, y: F.concat_ws(" ", x, y)
+    raw = stored(rows.select("label", F.explode(F.array("a", F.when(F.col("b").isNotNull(), pair("a", "b")))).alias("raw")).where("raw IS NOT NULL").groupBy("raw", "label").agg(F.count("*").alias("n")))
+    both = F.explode(F.array(F.lit("all"), F.col("label"))).alias("bucket")
+
+    def phrases(counts: DataFrame) -> DataFrame:
+        by = counts.select("n", "label", X.phrase("raw").alias("word")).where("word IS NOT NULL").groupBy("word", "label").agg(F.sum("n").alias("n"))
+        return by.select("word", "n", both).groupBy("bucket", "word").agg(F.sum("n").alias("count"))
+
+    order = Window.partitionBy("bucket").orderBy(F.desc("count"), "word")
+    short = stored(phrases(raw))
+    last = short.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).groupBy("bucket").agg(F.when(F.count("*") == n, F.min("count")).otherwise(0).alias("least"))
+    last = stored(last)
+    pairs = raw.where(F.instr("raw", " ") > 0).select("raw", "n", both).groupBy("raw", "bucket").agg(F.sum("n").alias("n")).join(last.withColumnRenamed("bucket", "k"), F.col("bucket") == F.col("k"))
+    often = stored(pairs.where("2 * n >= least").groupBy("raw").agg(F.max(F.expr("n >= least")).alias("strong")))
+    triples = rows.where("c IS NOT NULL").join(often.select(F.col("raw").alias("end"), F.col("strong").alias("end_strong")), pair("b", "c") == F.col("end"))
+    triples = triples.join(often.where("strong").select(F.col("raw").alias("begin")), pair("a", "b") == F.col("begin"), "left")
+    triples = triples.where(F.col("a").isin(list(DETERMINERS)) | (F.col("end_strong") & F.col("begin").isNotNull()))
+    long = phrases(triples.select("label", F.concat_ws(" ", "a", "b", "c").alias("raw")).groupBy("raw", "label").agg(F.count("*").alias("n")))
+    able = short.join(last.withColumnRenamed("bucket", "k"), F.col("bucket") == F.col("k")).where("2 * count >= least").select("bucket", "word", "count")
+    top = able.union(long).groupBy("bucket", "word").agg(F.sum("count").alias("count")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
     size = reviews.select(F.explode(F.array(F.lit("all"), F.col(label))).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n_reviews"))
-    top = by.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("count"), "word"))).where(F.col("rank") <= n)
     return top.join(size, "bucket").select("bucket", "word", "count", "n_reviews", F.col("rank").cast("long").alias("rank"))
 
 
@@ -78,7 +109,7 @@ def lexicon_sentiment(docs: DataFrame, lexicon: DataFrame, id_column: str, text:
 
     Words are counted by document before they meet the lexicon. Documents without a known word are neutral."""
     w = F.explode_outer(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[a-z']+"), F.lit(0))).alias("word")
-    words = docs.select(F.col(id_column).alias("doc"), w).groupBy("doc", "word").agg(F.count("*").alias("n"))
+    words = spread(docs.select(id_column, text)).select(F.col(id_column).alias("doc"), w).groupBy("doc", "word").agg(F.count("*").alias("n"))
     s = words.join(lexicon, "word", "left").groupBy("doc").agg(F.coalesce(F.sum(F.col("n") * F.col("valence")), F.lit(0.0)).alias("s"))
     c = F.round(F.col("s") / F.sqrt(F.col("s") * F.col("s") + 15.0), 6)
     return s.select("doc", c.alias("compound")).withColumn("label", X.banded("compound", band)).withColumn("confidence", F.abs("compound"))
@@ -88,7 +119,7 @@ def stop_word_language(docs: DataFrame, stop_words: DataFrame, id_column: str, t
     """doc, language, kept_as_english: the language with most stop-word hits. Short texts and those without a hit are kept.
 
     ``stop_words``: word, language."""
-    tokens = docs.select(F.col(id_column).alias("doc"), F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?U)\w+"), F.lit(0)).alias("ws"))
+    tokens = spread(docs.select(id_column, text)).select(F.col(id_column).alias("doc"), F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?U)\w+"), F.lit(0)).alias("ws"))
     hits = tokens.select("doc", F.explode("ws").alias("word")).join(stop_words, "word").groupBy("doc", "language").agg(F.count("*").alias("n"))
     best = hits.groupBy("doc").agg(F.min_by("language", F.struct(-F.col("n"), F.col("language"))).alias("language"))
     out = tokens.select("doc", F.size("ws").alias("n_words")).join(best, "doc", "left")

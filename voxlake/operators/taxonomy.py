@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.scratch import stored
 from .features import terms
 from .vectors import centroids, dot, norm
 
@@ -20,26 +23,57 @@ def least_topic_size(n) -> Column:
     return F.greatest(F.lit(30), F.least(F.lit(300), F.floor(n * 0.0015))).cast("long")
 
 
-def cluster(vectors: DataFrame, k: int, least_size: int, least_cosine: float = 0.0, seed: int = 42) -> DataFrame:
-    """doc_id, vector in; with topic: a k-means cluster by cosine, or -1 for small clusters and for members far from the centre."""
+def clustered(vectors: DataFrame, k: int, seed: int = 42) -> DataFrame:
+    """doc_id, vector in; with topic (a k-means cluster by cosine), its members and the cosine to its centre, as a table."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     rows = vectors.withColumn("features", array_to_vector(F.transform("vector", lambda x: x.cast("double"))))
-    rows = KMeans(k=k, seed=seed, distanceMeasure="cosine", featuresCol="features", predictionCol="topic").fit(rows).transform(rows).drop("features").persist()
+    rows = stored(KMeans(k=k, seed=seed, distanceMeasure="cosine", featuresCol="features", predictionCol="topic").fit(rows).transform(rows).drop("features"))
     c = centroids(rows, "topic", "vector").join(rows.groupBy("topic").agg(F.count("*").alias("members")), "topic")
     near = dot("vector", "centroid") / (norm("vector") * norm("centroid"))
-    keep = (F.col("members") >= least_size) & (near >= least_cosine)
-    return rows.join(c, "topic").withColumn("topic", F.when(keep, F.col("topic")).otherwise(-1)).drop("members", "centroid")
+    return stored(rows.join(c, "topic").withColumn("cosine", near).drop("centroid"))
+
+
+def topics_of(found: DataFrame, least_size: int, least_cosine: float = 0.0) -> DataFrame:
+    """``clustered`` rows with topic -1 in small clusters and for members far from the centre."""
+    keep = (F.col("members") >= least_size) & (F.col("cosine") >= least_cosine)
+    return found.withColumn("topic", F.when(keep, F.col("topic")).otherwise(-1)).drop("members", "cosine")
+
+
+def cluster(vectors: DataFrame, k: int, least_size: int, least_cosine: float = 0.0, seed: int = 42) -> DataFrame:
+    return topics_of(clustered(vectors, k, seed), least_size, least_cosine)
 
 
-def discover(vectors: DataFrame, k: int, least_size: int, wanted: int = 5, floor: int = 15, **options) -> DataFrame:
-    """``cluster`` with half the least size again and again until there are enough topics or the floor is met."""
-    while True:
-        found = cluster(vectors, k, least_size, **options)
-        if least_size <= floor or found.where("topic >= 0").select("topic").distinct().count() >= wanted:
-            return found
+def discover(vectors: DataFrame, k: int, least_size: int, wanted: int = 5, floor: int = 15, least_cosine: float = 0.0, seed: int = 42) -> DataFrame:
+    """``cluster`` with half the least size again and again until there are enough topics or the floor is met. The clusters
+    are the same at every size, so they are fitted once."""
+    found = clustered(vectors, k, seed)
+    sizes = found.groupBy("topic").agg(F.count_if(F.col("cosine") >= least_cosine).alias("near"), F.max("members").alias("members")).where("near > 0")
+    while least_size > floor and sizes.where(F.col("members") >= least_size).count() < wanted:
         least_size = max(floor, least_size // 2)
+    return topics_of(found, least_size, least_cosine)
+
+
+def discover_by_platform(vectors: DataFrame, k: int, platform: str = "platform", **options) -> DataFrame:
+    """``discover`` for the documents of each platform on their own, with the least size of its number of documents. The loop
+    is over platforms, up to 1000 of them."""
+    sizes = vectors.groupBy(platform).agg(F.count("*").alias("n")).select(platform, least_topic_size("n")).orderBy(platform).limit(1001).collect()
+    if len(sizes) > 1000:
+        raise ValueError("topics are found by platform for up to 1000 platforms")
+    parts = [discover(vectors.where(F.col(platform).eqNullSafe(F.lit(name))), k, least, **options) for name, least in sizes]
+    return reduce(DataFrame.union, parts) if parts else vectors.withColumn("topic", F.lit(None).cast("int"))
+
+
+def write_taxonomy(clusters: DataFrame, members: DataFrame, path: str) -> None:
+    """The discovered taxonomy and which topics it was merged from, as JSON lines in two folders."""
+    clusters.write.mode("overwrite").json(f"{path}/taxonomy")
+    members.write.mode("overwrite").json(f"{path}/merged")
+
+
+def read_taxonomy(spark: SparkSession, path: str, clusters, members) -> tuple[DataFrame, DataFrame]:
+    """What ``write_taxonomy`` wrote, under the given schemas."""
+    return spark.read.schema(clusters).json(f"{path}/taxonomy"), spark.read.schema(members).json(f"{path}/merged")
 
 
 def topic_keywords(docs: DataFrame, topic: str = "topic", text: str = "text", n: int = 10, stop_words: list[str] | None = None, least: int = 2) -> DataFrame:

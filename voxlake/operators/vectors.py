@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import FETCH_K, MMR_K, MMR_LAMBDA
+from ..sources.scratch import spread
 
-QUERY_BLOCK = 2048
+QUERY_BLOCK, PARTS, SMALL_BYTES = 2048, 256, 64 << 20
 
 
 def dot(a, b) -> Column:
@@ -26,18 +27,30 @@ def normalised(df: DataFrame, vector: str) -> DataFrame:
     return df.withColumn(vector, F.when(n > 0, F.transform(vector, lambda x: x.cast("double") / n)).otherwise(F.transform(vector, lambda x: x.cast("double"))))
 
 
+def best_of(s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and columns of the k largest of each row, the smaller id first among equals."""
+    k = min(k, s.shape[1])
+    least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+    rows, cols = np.nonzero(s >= least[:, None])
+    order = np.lexsort((ids[cols], -s[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    return rows[nth < k], cols[nth < k]
+
+
 def top_k(queries: DataFrame, docs: DataFrame, k: int, where: Column | None = None) -> DataFrame:
     """query_id, doc_id, score and rank of the k best documents for each query by inner product, ids breaking ties.
 
     ``queries``: query_id, vector. ``docs``: doc_id, vector. Queries are packed into blocks of 2048; every block meets every
-    partition of the documents, where one matrix product and a partial top-k leave k rows a query and batch, and a window
-    ends it. The filter goes below the scan."""
+    tile of the documents, where one matrix product and a partial top-k leave k rows a query and tile, and a window ends it.
+    Blocks of SMALL_BYTES together are broadcast, so that no tile moves again; more of them are sent to each of the PARTS
+    parts of the documents and joined by block and part, never by the block alone. The filter goes below the scan."""
     docs = docs if where is None else docs.where(where)
-    n = max(1, -(-queries.count() // QUERY_BLOCK))
+    count, size = queries.agg(F.count("*"), F.coalesce(F.sum(F.size("vector")), F.lit(0))).first()
+    n = max(1, -(-count // QUERY_BLOCK))
     packed = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n))).groupBy("block").agg(F.collect_list(F.struct("query_id", F.col("vector").cast("array<double>").alias("vector"))).alias("queries"))
-    dealt = docs.select("doc_id", F.col("vector").cast("array<double>").alias("vector"), F.pmod(F.xxhash64("doc_id"), F.lit(256)).alias("part"))
-    tiles = dealt.groupBy("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(max(1, docs.count() // 262_144 + 1))).alias("sub")).agg(F.collect_list(F.struct("doc_id", "vector")).alias("docs"))
-    tiles = tiles.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    dealt = docs.select("doc_id", F.col("vector").cast("array<double>").alias("vector"), F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).alias("part"))
+    tiles = dealt.groupBy("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(max(1, docs.count() // (PARTS * 1024) + 1))).alias("sub")).agg(F.collect_list(F.struct("doc_id", "vector")).alias("docs"))
 
     def run(batches):
         for b in batches:
@@ -46,11 +59,15 @@ def top_k(queries: DataFrame, docs: DataFrame, k: int, where: Column | None = No
                 qi, di = (np.asarray(x.field(0), np.int64) for x in (q, d))
                 qv, dv = (np.asarray(x.field(1).flatten(), np.float64).reshape(len(x), -1) for x in (q, d))
                 s = qv @ dv.T
-                m = min(k, len(di))
-                order = np.lexsort((np.broadcast_to(di, s.shape), -s), axis=1)[:, :m]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, m)), pa.array(di[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], names=["query_id", "doc_id", "score"])
-
-    partial = tiles.join(packed, "block").select("queries", "docs").mapInArrow(run, "query_id long, doc_id long, score double")
+                rows, cols = best_of(s, di, k)
+                yield pa.RecordBatch.from_arrays([pa.array(qi[rows]), pa.array(di[cols]), pa.array(s[rows, cols])], names=["query_id", "doc_id", "score"])
+
+    if 8 * size <= SMALL_BYTES:
+        blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+        met = tiles.withColumn("block", blocks).join(F.broadcast(packed), "block")
+    else:
+        met = tiles.join(packed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long")))), "part")
+    partial = met.select("queries", "docs").mapInArrow(run, "query_id long, doc_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -132,7 +149,7 @@ def embed(docs: DataFrame, id_column: str, text: str = "text", dims: int = 64, e
                 v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(v), pa.list_(pa.float64()))], names=["doc_id", "vector"])
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, vector array<double>")
+    return spread(docs.select(F.col(id_column).cast("long").alias("doc_id"), text)).mapInArrow(run, "doc_id long, vector array<double>")
 
 
 def approximate_neighbours(queries: DataFrame, docs: DataFrame, k: int, distance: float, bucket: float = 0.5, tables: int = 8, seed: int = 42) -> DataFrame:

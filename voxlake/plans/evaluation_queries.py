@@ -73,12 +73,18 @@ def a37(spark, d):
     return E.best_band(E.band_sweep(V.predictions(spark, d), BANDS))
 
 
-@query("a26_j12_discordant", PRED + "SELECT a.model AS model_a, b.model AS model_b, count(*) FILTER (a.pred = a.true_label AND b.pred = b.true_label) AS both_right, count(*) FILTER (a.pred = a.true_label AND b.pred <> b.true_label) AS only_a, count(*) FILTER (a.pred <> a.true_label AND b.pred = b.true_label) AS only_b, count(*) FILTER (a.pred <> a.true_label AND b.pred <> b.true_label) AS none_right FROM predictions a JOIN predictions b ON a.review_id = b.review_id AND a.model < b.model GROUP BY ALL")
+DISCORDANT = "SELECT a.model AS model_a, b.model AS model_b, count(*) FILTER (a.pred = a.true_label AND b.pred = b.true_label) AS both_right, count(*) FILTER (a.pred = a.true_label AND b.pred <> b.true_label) AS only_a, count(*) FILTER (a.pred <> a.true_label AND b.pred = b.true_label) AS only_b, count(*) FILTER (a.pred <> a.true_label AND b.pred <> b.true_label) AS none_right FROM predictions a JOIN predictions b ON a.review_id = b.review_id AND a.model < b.model GROUP BY ALL"
+
+
+@query("a26_j12_discordant", PRED + DISCORDANT)
 def a26_counts(spark, d):
     return E.discordant(V.predictions(spark, d))
 
 
-@query("a26_mcnemar")
+P_VALUE = "CASE WHEN only_a + only_b = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, 2 * list_sum(list_transform(range(0, least(only_a, only_b) + 1), lambda i: exp(lgamma(only_a + only_b + 1) - lgamma(i + 1) - lgamma(only_a + only_b - i + 1) - (only_a + only_b) * ln(2))))) END"
+
+
+@query("a26_mcnemar", PRED.rstrip() + f", d AS ({DISCORDANT}), t AS (SELECT *, round({P_VALUE}, 9) AS p_value FROM d) SELECT *, CASE WHEN only_a > only_b THEN model_a WHEN only_b > only_a THEN model_b END AS better, p_value < 0.05 AS significant FROM t")
 def a26(spark, d):
     return E.mcnemar(V.predictions(spark, d))
 
@@ -165,9 +171,29 @@ def v3(spark, d):
     return VEC.top_k(question_vectors(spark, d).select("query_id", "vector"), docs_vectors(spark, d), 20).where(F.col("score") >= 0.35).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
-@query("v4_mmr")
+def mmr_sql(k: int = 5, weight: float = 0.5) -> str:
+    """mmr (query_id, doc_id, score, pick) over a table cand (query_id, doc_id, score, e)."""
+    steps = ["p1 AS (SELECT query_id, doc_id, score, e, 1 AS pick FROM cand QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) = 1)"]
+    for i in range(2, k + 1):
+        so_far = " UNION ALL ".join(f"SELECT * FROM p{j}" for j in range(1, i))
+        steps.append(f"""c{i} AS ({so_far}), m{i} AS (SELECT c.query_id, c.doc_id, c.score, any_value(c.e) AS e, {weight}::DOUBLE * c.score - {1 - weight}::DOUBLE * max(list_cosine_similarity(c.e, c{i}.e)) AS value
+FROM cand c JOIN c{i} ON c.query_id = c{i}.query_id WHERE (c.query_id, c.doc_id) NOT IN (SELECT (query_id, doc_id) FROM c{i}) GROUP BY 1, 2, 3),
+p{i} AS (SELECT query_id, doc_id, score, e, {i} AS pick FROM m{i} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY value DESC, score DESC, doc_id) = 1)""")
+    every = " UNION ALL ".join(f"SELECT query_id, doc_id, score, pick FROM p{j}" for j in range(1, k + 1))
+    return ", ".join([*steps, f"mmr AS ({every})"])
+
+
+@query("v4_mmr", TOP.format(k=20) + ", cand AS (SELECT t.query_id, t.doc_id, t.score, v.e FROM t JOIN v ON v.vec_id = t.doc_id), " + mmr_sql() + " SELECT query_id, doc_id, round(score, 6) AS score, CAST(pick AS BIGINT) AS pick FROM mmr WHERE score >= 0.35")
 def v4(spark, d):
-    return VEC.grounded(question_vectors(spark, d).select("query_id", "vector"), docs_vectors(spark, d).select("doc_id", "vector"), 0.35)
+    found = VEC.grounded(question_vectors(spark, d).select("query_id", "vector"), docs_vectors(spark, d).select("doc_id", "vector"), 0.35)
+    return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "pick")
+
+
+@query("f16_usable_predictions", PRED.rstrip() + ", p AS (SELECT model, true_label, CASE WHEN review_id % 7 = 0 THEN NULL WHEN review_id % 11 = 0 THEN 'error' ELSE pred END AS pred FROM predictions) SELECT model, pred, count(*) AS n FROM p WHERE pred IS NOT NULL AND pred <> 'error' GROUP BY ALL")
+def f16(spark, d):
+    i = F.col("review_id")
+    p = V.predictions(spark, d).withColumn("pred", F.when(i % 7 == 0, F.lit(None)).when(i % 11 == 0, "error").otherwise(F.col("pred")))
+    return E.usable(p).groupBy("model", "pred").agg(F.count("*").alias("n"))
 
 
 @query("a27_retrieval_metrics", TOP.format(k=5) + ", r AS (SELECT q.vec_id AS query_id, x.vec_id AS doc_id FROM v q JOIN v x ON q.label = x.label AND q.vec_id <> x.vec_id WHERE q.vec_id % 20 = 0), n AS (SELECT query_id, count(*) AS n FROM r GROUP BY 1), g AS (SELECT t.query_id, rank, CASE WHEN r.doc_id IS NULL THEN 0 ELSE 1 END AS rel FROM t LEFT JOIN r ON r.query_id = t.query_id AND r.doc_id = t.doc_id), b AS (SELECT query_id, sum(rel) AS hits, max(CASE WHEN rel = 1 THEN 1.0::DOUBLE / rank END) AS rr, sum(rel / log2(rank + 1)) AS dcg FROM g GROUP BY 1) SELECT n.query_id, round(coalesce(hits, 0) / 5::DOUBLE, 6) AS precision, round(coalesce(hits, 0) / n::DOUBLE, 6) AS recall, round(coalesce(rr, 0), 6) AS mrr, round(coalesce(dcg, 0) / (SELECT sum(1 / log2(i + 1)) FROM range(1, CAST(least(n, 5) AS BIGINT) + 1) x(i)), 6) AS ndcg FROM n LEFT JOIN b USING (query_id)")

@@ -14,6 +14,7 @@ from ..sources import files as S
 from . import views as V
 from .evaluation_queries import TOP, docs_vectors, question_vectors
 from .registry import query
+from .text_queries import KEYWORDS, sentiment_sql
 from .tenant_queries import CLEAN
 from .views import with_
 
@@ -40,12 +41,12 @@ def s2(spark, d):
     return I.standard_business_reviews(S.read_business_reviews(spark, path)).select("review_id", "rating", F.col("date").cast("string").alias("date"))
 
 
-@query("s3_tweets", "SELECT doc_id::VARCHAR AS review_id, md5(text) AS h, CASE doc_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 3.0 ELSE 5.0 END::DOUBLE AS rating, '2015-02-24' AS date FROM (SELECT doc_id, substr(text, 1, 140) AS text FROM documents)")
+@query("s3_tweets", "SELECT doc_id::VARCHAR AS review_id, md5(text) AS h, CASE doc_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 3.0 ELSE 5.0 END::DOUBLE AS rating, '2015-02-24' AS date FROM documents")
 def s3(spark, d):
     docs, path = V.table(spark, d, "documents"), place(spark, "tweets")
     i = F.col("doc_id")
     label = F.element_at(F.array(*map(F.lit, ("negative", "neutral", "positive"))), (i % 3 + 1).cast("int"))
-    docs.select(F.substring("text", 1, 140).alias("text"), label.alias("airline_sentiment"), F.lit("2015-02-24 11:35:52 -0800").alias("tweet_created"), i.cast("string").alias("tweet_id")).write.option("header", True).option("escape", '"').option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    docs.select("text", label.alias("airline_sentiment"), F.lit("2015-02-24 11:35:52 -0800").alias("tweet_created"), i.cast("string").alias("tweet_id")).write.option("header", True).option("escape", '"').option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     r = I.standard_tweets(S.read_tweets(spark, path))
     return r.select("review_id", F.md5("text").alias("h"), "rating", F.col("date").cast("string").alias("date"))
 
@@ -76,7 +77,7 @@ def s8(spark, d):
     return S.read_report(spark, path, "platform string, sentiment_label string, n long", "csv")
 
 
-@query("s9_keyword_files")
+@query("s9_keyword_files", "SELECT *, 2 AS filter_version FROM (" + KEYWORDS + "20)")
 def s9(spark, d):
     path = place(spark, "keywords")
     S.write_keywords(T.keyword_counts(V.reviews(spark, d), 20), path)
@@ -99,12 +100,22 @@ def x5(spark, d):
     return t.where((F.col("query_id") != F.col("doc_id")) & (F.col("score") >= 0.35)).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
-@query("x6_analyse_import")
+EVENT_LEXICON = (("error", -2.0), ("purchase", 1.5), ("signup", 0.1), ("click", -0.3))
+FEED = with_("feedback") + ", src AS (SELECT feedback_id AS id, text FROM feedback{where}), " + sentiment_sql(EVENT_LEXICON)
+
+
+@query("x6_analyse_import", FEED.replace("{where}", " WHERE organisation_id = 1 AND import_batch_id = 7") + """ SELECT 'import-7' AS run_id, count(*) AS item_count, count(*) FILTER (NOT contains(text, '"k": 3')) AS succeeded, count(*) FILTER (contains(text, '"k": 3')) AS failed,
+count(*) AS stored_rows, count(*) FILTER (se.label = 'negative' AND NOT contains(text, '"k": 3')) AS negative FROM src JOIN se USING (id)""")
 def x6(spark, d):
-    """One import's feedback analysed as a run, with its counters."""
-    rows = V.feedback(spark, d).where("organisation_id = 1 AND import_batch_id = 7").select(F.col("feedback_id").alias("id"), "text")
-    results = N.result_rows(N.analyse(rows, N.sentiment_udf(N.word_rule_model, "word-rule-1")), organisation_id=1, run_id="import-7", run_at="2026-01-01")
-    return N.run_row(results, {"sentiment": "word-rule-1"}, {"category": 0.35})
+    """One import analysed as a stored run of models that get 50 texts at a time, one of which fails for some; read back from its stores."""
+    path = place(spark, "import")
+    score = N.sentiment_udf(N.failing_on(N.lexicon_model(dict(EVENT_LEXICON)), '"k": 3'), "lexicon-1")
+    run = N.analyse_import(
+        V.feedback(spark, d), f"{path}/results", f"{path}/runs", lambda rows: N.analyse(rows, score), organisation_id=1, import_batch_id=7, run_id="import-7", run_at="2026-01-01",
+        versions={"sentiment": "lexicon-1"}, thresholds={"category": 0.35},
+    )
+    rows = spark.read.parquet(f"{path}/results").agg(F.count("*").alias("stored_rows"), F.count_if(F.col("label") == "negative").alias("negative"))
+    return run.select("run_id", "item_count", "succeeded", "failed").join(F.broadcast(rows))
 
 
 @query("a29_leaks", TOP.format(k=5) + "SELECT count(DISTINCT query_id) FILTER (query_id % 60 = 0 AND score >= 0.35 AND query_id <> doc_id) AS leaks, count(DISTINCT query_id) FILTER (query_id % 60 = 0) AS guarded FROM t")

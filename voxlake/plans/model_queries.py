@@ -14,20 +14,28 @@ from ..operators import taxonomy as Y
 from ..operators import vectors as VEC
 from ..streaming import jobs as J
 from . import views as V
-from .evaluation_queries import CEN, docs_vectors
+from ..sources.scratch import fresh_path, stored
+from .evaluation_queries import CEN, TOP, docs_vectors, mmr_sql
+from .file_queries import EVENT_LEXICON, FEED
 from .registry import query
-from .text_queries import UPLOAD, known, upload_of
+from .text_queries import LEXICON, UPLOAD, known, sentiment_sql, upload_of
 from .views import with_
 
 R = with_("reviews")
+#: The sentiment stage over all reviews.
+SRC = R.rstrip() + ", src AS (SELECT review_id AS id, text FROM reviews), " + sentiment_sql()
+
+
+def lexicon_score():
+    return N.sentiment_udf(N.lexicon_model(dict(LEXICON)), "lexicon-1")
 
 
 # analysis
 
 
-@query("x2_k1_sentiment_stage")
+@query("x2_k1_sentiment_stage", SRC + " SELECT id, label, confidence, 'lexicon-1' AS model_version, NULL::VARCHAR AS error FROM se")
 def x2(spark, d):
-    score = N.sentiment_udf(N.word_rule_model, "word-rule-1")
+    score = lexicon_score()
     r = V.reviews(spark, d).select(F.col("review_id").alias("id"), "text")
     return r.select("id", score("text").alias("s")).select("id", "s.label", "s.confidence", "s.model_version", "s.error")
 
@@ -48,25 +56,82 @@ def x3(spark, d):
     return c.select("id", "category_key", "score", F.array_join(F.transform("candidates", lambda x: x["key"]), ",").alias("candidates"), "is_unclassified")
 
 
-@query("x1_x4_x8_analyse")
+KEPT = SRC + ", " + CAT[5:] + """, kc AS (SELECT id, max(key) FILTER (rank = 1) AS key, round(max(score), 6) AS score FROM kk GROUP BY id),
+a AS (SELECT se.id, se.label, se.confidence, kc.key, kc.score, contains(src.text, '###') AS bad, CASE WHEN label = 'positive' THEN 'sentiment positive' WHEN kc.id IS NULL THEN 'no vector' END AS skipped FROM se JOIN src USING (id) LEFT JOIN kc ON kc.id = se.id) """
+CATEGORY = "CASE WHEN score < 0.35 THEN 'Unclassified / Emerging Complaint' ELSE key END"
+
+
+@query("x1_x4_x8_analyse", KEPT + f"""SELECT id, CASE WHEN bad THEN 'failed' ELSE 'ok' END AS status, CASE WHEN bad THEN 'ValueError: the text can''t be scored' END AS error, CASE WHEN NOT bad THEN label END AS label, CASE WHEN NOT bad THEN confidence END AS confidence,
+CASE WHEN NOT bad AND skipped IS NULL THEN {CATEGORY} END AS category, CASE WHEN NOT bad AND skipped IS NULL THEN score END AS score, CASE WHEN NOT bad AND skipped IS NULL THEN score < 0.35 END AS is_unclassified, CASE WHEN bad THEN 'no sentiment' ELSE skipped END AS skipped FROM a""")
 def x1(spark, d):
-    score = N.sentiment_udf(N.word_rule_model, "word-rule-1")
+    """Every review: the model fails for some texts, whose rows stay as failed ones beside their neighbours."""
+    score = N.sentiment_udf(N.failing_on(N.lexicon_model(dict(LEXICON)), "###"), "lexicon-1")
     r = V.reviews(spark, d).join(V.table(spark, d, "embeddings"), F.col("review_id") == F.col("vec_id"), "left")
     items = r.select(F.col("review_id").alias("id"), "text", F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
     out = N.analyse(items, score, taxonomy_vectors(spark, d), "vector")
-    return out.select("id", "status", "label", "confidence", "category", "score", "is_unclassified", "skipped")
+    return out.select("id", "status", "error", "label", "confidence", "category", "score", "is_unclassified", "skipped")
+
+
+@query("m7_batch_predictions", SRC + " SELECT id, CASE WHEN contains(src.text, '###') THEN 'error' ELSE label END AS pred, CASE WHEN NOT contains(src.text, '###') THEN confidence END AS confidence FROM se JOIN src USING (id)")
+def m7(spark, d):
+    score = N.sentiment_udf(N.failing_on(N.lexicon_model(dict(LEXICON)), "###"), "lexicon-1")
+    return N.batch_predict(V.reviews(spark, d).select(F.col("review_id").alias("id"), "text"), score)
+
+
+@query("k2_single_texts", SRC + " SELECT id, label FROM se")
+def k2(spark, d):
+    """A function over one text in the place of a batch model."""
+    score = N.sentiment_udf(N.one_by_one(lambda t: N.lexicon_model(dict(LEXICON))()([t])[0]), "lexicon-1")
+    return V.reviews(spark, d).select(F.col("review_id").alias("id"), score("text")["label"].alias("label"))
+
+
+NAMES = ("the", "and", "la", "der", "el")
+
+
+@query("k3_k5_batch_categoriser", SRC + ", cat AS (SELECT unnest(['" + "', '".join(NAMES) + "']) AS key), wt AS (SELECT id, regexp_extract_all(lower(regexp_replace(text, '\\s+', ' ', 'g')), '\\S+') AS ws FROM src), cs AS (SELECT id, key, round(len(list_filter(ws, lambda w: w = key)) / greatest(len(ws), 1)::DOUBLE, 6) AS score FROM wt, cat), cr AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, key) AS rank FROM cs) SELECT id, CASE WHEN label <> 'positive' AND score >= 0.05 THEN key END AS category_key, CASE WHEN label <> 'positive' THEN score END AS score FROM se JOIN cr USING (id) WHERE rank = 1")
+def k3(spark, d):
+    """A categoriser of one's own, over batches of texts and a taxonomy of one's own: the share of the words that are the key."""
+
+    def make():
+        def run(texts, taxonomy):
+            split = [t.lower().split() for t in texts]
+            return [[(c["key"], w.count(c["key"]) / max(1, len(w))) for c in taxonomy] for w in split]
+
+        return run
+
+    own = spark.createDataFrame([(k, k.title()) for k in NAMES], "key string, name string")
+    items = V.reviews(spark, d).select(F.col("review_id").alias("id"), "text")
+    return N.analyse(items, lexicon_score(), own, categoriser=N.batch_categoriser(make, threshold=0.05)).select("id", "category_key", "score")
+
+
+NEAR = SRC + ", " + TOP.format(k=4)[5:] + ", n AS (SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS r FROM t WHERE query_id <> doc_id AND score >= 0.35), ev AS (SELECT query_id, string_agg(doc_id || ':' || round(score, 4), ',' ORDER BY r) AS found FROM n WHERE r <= 3 GROUP BY 1) "
+
+
+@query("k4_x5_retriever", NEAR + "SELECT id, CASE WHEN vec_id IS NULL OR id % 100 = 0 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN id % 100 = 0 THEN 'the retriever gave no answer' WHEN vec_id IS NULL THEN 'no vector to search with' END AS error, CASE WHEN vec_id IS NOT NULL AND id % 100 <> 0 THEN coalesce(found, '') END AS found FROM se LEFT JOIN v ON vec_id = id LEFT JOIN ev ON query_id = id WHERE id % 20 = 0")
+def k4(spark, d):
+    """Evidence from the corpus for every twentieth review. Items without a vector, and those that the search leaves out, are failed."""
+    items = V.reviews(spark, d).where("review_id % 20 = 0").join(docs_vectors(spark, d), F.col("review_id") == F.col("doc_id"), "left").select(F.col("review_id").alias("id"), "text", F.col("vector").cast("array<double>").alias("vector"))
+    corpus = N.CorpusRetriever(docs_vectors(spark, d).select("doc_id", "vector"), 0.35, 3)
+    out = N.analyse(items, lexicon_score(), vector="vector", retriever=lambda x: corpus(x).where("id % 100 <> 0"))
+    show = F.array_join(F.transform("evidence", lambda e: F.concat(e["doc_id"].cast("string"), F.lit(":"), F.round(e["score"], 4).cast("string"))), ",")
+    return out.select("id", "status", "error", show.alias("found"))
 
 
-@query("x7_a35_run_row")
+@query("k4_no_retriever", SRC + " SELECT id, 'ok' AS status, CAST(0 AS INTEGER) AS found FROM se")
+def k4_none(spark, d):
+    out = N.analyse(V.reviews(spark, d).select(F.col("review_id").alias("id"), "text"), lexicon_score(), retriever=N.no_retriever)
+    return out.select("id", "status", F.size("evidence").alias("found"))
+
+
+@query("x7_a35_run_row", SRC + """ SELECT 'run-1' AS run_id, count(*) AS item_count, count(*) AS succeeded, CAST(0 AS BIGINT) AS failed, '{"sentiment": "lexicon-1"}' AS versions, '{"category": 0.35}' AS thresholds, 'default' AS taxonomy_source FROM se""")
 def x7(spark, d):
-    score = N.sentiment_udf(N.word_rule_model, "word-rule-1")
-    a = N.analyse(V.reviews(spark, d).select(F.col("review_id").alias("id"), "text"), score)
-    return N.run_row(N.result_rows(a, organisation_id=1, run_id="run-1", run_at="2026-01-01"), {"sentiment": "word-rule-1"}, {"category": 0.35})
+    a = N.analyse(V.reviews(spark, d).select(F.col("review_id").alias("id"), "text"), lexicon_score())
+    return N.run_row(N.result_rows(a, organisation_id=1, run_id="run-1", run_at="2026-01-01"), {"sentiment": "lexicon-1"}, {"category": 0.35})
 
 
-@query("x12_top_category_of_sample", CAT + "SELECT id, key AS category_key FROM kk WHERE rank = 1 AND score >= 0.35 AND id % 3 = 0")
+@query("x12_top_category_of_sample", CAT + "SELECT id, key AS category_key FROM kk WHERE rank = 1 AND score >= 0.35")
 def x12(spark, d):
-    items = docs_vectors(spark, d).where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), "vector")
+    items = docs_vectors(spark, d).select(F.col("doc_id").alias("id"), "vector")
     return N.categorise(items, taxonomy_vectors(spark, d)).where("category_key IS NOT NULL").select("id", "category_key")
 
 
@@ -96,13 +161,31 @@ def tx2(spark, d):
     return Y.discover(v, 12, 60, least_cosine=0.1).groupBy("topic").agg(F.count("*").alias("n"))
 
 
-ASCII = "regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g')"
-KW = f"WITH w AS (SELECT source, regexp_extract_all(lower({ASCII}), '\\b[a-z0-9_][a-z0-9_]+\\b') AS w FROM documents), t AS (SELECT source, unnest(w) AS term FROM w UNION ALL SELECT source, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w), tf AS (SELECT source, term, count(*) AS tf FROM t WHERE NOT regexp_matches(term, '(^| )(the|of|and)( |$)') GROUP BY ALL), f AS (SELECT term, sum(tf) AS f FROM tf GROUP BY 1 HAVING sum(tf) >= 2), s AS (SELECT source, term, round(tf * ln(1 + (SELECT sum(tf)::DOUBLE / count(DISTINCT source) FROM tf) / f::DOUBLE), 6) AS weight FROM tf JOIN f USING (term)), k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY weight DESC, term) AS rank FROM s QUALIFY rank <= 10) "
+@query("tx2_by_platform", "SELECT label % 3 AS platform, CAST(count(*) AS BIGINT) AS n FROM embeddings GROUP BY 1")
+def tx2_by_platform(spark, d):
+    """Every platform's documents on their own, each row in one of its topics or none (-1)."""
+    v = docs_vectors(spark, d).select("doc_id", "vector", (F.col("label") % 3).alias("platform"))
+    found = Y.discover_by_platform(v, 6, wanted=3, least_cosine=0.1)
+    return found.where("topic >= -1 AND topic < 6").groupBy("platform").agg(F.count("*").alias("n"))
+
+
+@query("tx10_taxonomy_files", "WITH t AS (SELECT source, lang, count(*) AS count FROM documents GROUP BY ALL) SELECT upper(lang) AS name, CAST(sum(count) AS BIGINT) AS count, string_agg(source, ',' ORDER BY source) AS merged_from FROM t GROUP BY lang")
+def tx10(spark, d):
+    """A discovered taxonomy and what it was merged from, written and read back."""
+    t = V.table(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("count"))
+    clusters, members = t.groupBy(F.upper("lang").alias("name")).agg(F.sum("count").alias("count")), t.select(F.upper("lang").alias("cluster"), "source")
+    path = fresh_path(spark, "taxonomy")
+    Y.write_taxonomy(clusters, members, path)
+    taxonomy, merged = Y.read_taxonomy(spark, path, clusters.schema, members.schema)
+    merged = merged.groupBy("cluster").agg(F.array_join(F.array_sort(F.collect_list("source")), ",").alias("merged_from"))
+    return taxonomy.join(merged, taxonomy["name"].eqNullSafe(merged["cluster"])).select("name", "count", "merged_from")
+
+
+KW = f"WITH w AS (SELECT source, regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS w FROM documents), t AS (SELECT source, unnest(w) AS term FROM w UNION ALL SELECT source, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w), tf AS (SELECT source, term, count(*) AS tf FROM t WHERE NOT regexp_matches(term, '(^| )(the|of|and)( |$)') GROUP BY ALL), f AS (SELECT term, sum(tf) AS f FROM tf GROUP BY 1 HAVING sum(tf) >= 2), s AS (SELECT source, term, round(tf * ln(1 + (SELECT sum(tf)::DOUBLE / count(DISTINCT source) FROM tf) / f::DOUBLE), 6) AS weight FROM tf JOIN f USING (term)), k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY weight DESC, term) AS rank FROM s QUALIFY rank <= 10) "
 
 
 def keywords(spark, d):
-    docs = V.table(spark, d, "documents").withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", " "))
-    return Y.topic_keywords(docs, "source", stop_words=["the", "of", "and"])
+    return Y.topic_keywords(V.table(spark, d, "documents"), "source", stop_words=["the", "of", "and"])
 
 
 @query("tx4_topic_keywords", KW + "SELECT source, term, rank FROM k")
@@ -136,7 +219,7 @@ def tx7(spark, d):
 
 @query("tx8_merged_clusters")
 def tx8(spark, d):
-    t = topics(spark, d).persist()
+    t = stored(topics(spark, d))
     m = Y.merged_clusters(t, Y.merge_topics(t.select("topic", "centroid"), 6))
     return m.select("cluster", "count", F.array_join("platforms", ",").alias("platforms"), F.array_join(F.transform("source_topics", lambda x: x.cast("string")), ",").alias("topics"), F.array_join("keywords", "|").alias("keywords"), F.array_join("example_docs", ",").alias("docs"))
 
@@ -234,6 +317,17 @@ def m3(spark, d):
     return overall(M.score(model, rows.where("split = 'test'")).select(F.col("sentiment_label").alias("true_label"), "pred")).select("n", "accuracy", "macro_f1")
 
 
+@query("m5_model_files", "SELECT count(*) AS n, CAST(0 AS BIGINT) AS different FROM documents")
+def m5(spark, d):
+    """A fitted model written, read back and used: no row is scored otherwise."""
+    rows = stored(labelled(spark, d))
+    model, path = M.fit(rows, M.naive_bayes(0.1)), fresh_path(spark, "model")
+    M.save(model, path)
+    one, two = (M.score(m, rows).select("doc_id", "pred", "confidence", F.map_entries("scores").alias("scores")) for m in (model, M.load(path)))
+    two = two.select(F.col("doc_id").alias("id"), F.struct("pred", "confidence", "scores").alias("again"))
+    return one.join(two, F.col("doc_id") == F.col("id")).agg(F.count("*").alias("n"), F.count_if(F.struct("pred", "confidence", "scores") != F.col("again")).alias("different"))
+
+
 # streams over the events table, each held against its batch form
 
 
@@ -261,20 +355,20 @@ def labelled_events(rows):
 
 @query("st4_live_trend", LIVE)
 def st4(spark, d):
-    out = J.drained(J.live_trend(labelled_events(event_stream(spark, d)), "ts", delay="400 days"), fresh("live"), "complete")
+    out = J.drained(J.live_trend(labelled_events(event_stream(spark, d)), "ts", delay="400 days"), fresh_path(spark, "live"), "complete")
     return out.withColumn("period", F.col("period").cast("timestamp_ntz"))
 
 
 @query("st4_month_roll_up", f"SELECT date_trunc('month', period)::TIMESTAMP AS month, CAST(sum(n) AS BIGINT) AS n, CAST(sum(negative) AS BIGINT) AS negative, CAST(sum(neutral) AS BIGINT) AS neutral, CAST(sum(positive) AS BIGINT) AS positive FROM ({LIVE}) GROUP BY 1")
 def st4_month(spark, d):
-    days = J.drained(J.live_trend(labelled_events(event_stream(spark, d)), "ts", delay="400 days"), fresh("months"), "complete")
+    days = J.drained(J.live_trend(labelled_events(event_stream(spark, d)), "ts", delay="400 days"), fresh_path(spark, "months"), "complete")
     return J.month_roll_up(days).withColumn("month", F.col("month").cast("timestamp_ntz"))
 
 
 @query("st2_distinct_feedback", "SELECT organisation_id, sha256(text) AS content_hash FROM (SELECT user_id % 4 AS organisation_id, event_type || ' ' || (event_id % 40) AS text FROM events) GROUP BY ALL")
 def st2(spark, d):
     rows = event_stream(spark, d).select((F.col("user_id") % 4).alias("organisation_id"), F.concat("event_type", F.lit(" "), (F.col("event_id") % 40).cast("string")).alias("text"), F.col("ts").cast("timestamp").alias("ts"))
-    return J.drained(J.distinct_feedback(rows, "ts", "400 days"), fresh("distinct"), "append").select("organisation_id", "content_hash")
+    return J.drained(J.distinct_feedback(rows, "ts", "400 days"), fresh_path(spark, "distinct"), "append").select("organisation_id", "content_hash")
 
 
 STATES = "WITH e AS (SELECT event_id AS id, user_id % 4 AS organisation_id, (event_id % 30)::VARCHAR AS import_id, (['queued', 'running', 'succeeded', 'failed'])[event_id % 4 + 1] AS status, event_id % 4 AS attempts, ts AS created_at FROM events), n AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY organisation_id, import_id ORDER BY created_at DESC, id DESC) = 1) SELECT organisation_id, import_id, status, CASE WHEN status IN ('queued', 'running') OR (status = 'failed' AND attempts < 3) THEN 'pending' WHEN status = 'failed' THEN 'failed' ELSE 'done' END AS state FROM n"
@@ -284,7 +378,16 @@ STATES = "WITH e AS (SELECT event_id AS id, user_id % 4 AS organisation_id, (eve
 def st5(spark, d):
     i = F.col("event_id")
     e = event_stream(spark, d).select(i.alias("id"), (F.col("user_id") % 4).alias("organisation_id"), F.element_at(F.array(*map(F.lit, ("queued", "running", "succeeded", "failed"))), (i % 4 + 1).cast("int")).alias("status"), (i % 4).alias("attempts"), F.lit(3).cast("long").alias("max_attempts"), F.col("ts").alias("created_at"), F.concat(F.lit('{"import_batch_id":"'), (i % 30).cast("string"), F.lit('"}')).alias("payload"))
-    return J.drained(J.import_states(e), fresh("states"), "complete").select("organisation_id", "import_id", "status", "state")
+    return J.drained(J.import_states(e), fresh_path(spark, "states"), "complete").select("organisation_id", "import_id", "status", "state")
+
+
+@query("st3_analysis_stream", FEED.replace("{where}", "") + " SELECT id, label, confidence FROM se")
+def st3(spark, d):
+    """New feedback analysed as a stream, its results appended to a store."""
+    score = N.sentiment_udf(N.lexicon_model(dict(EVENT_LEXICON)), "lexicon-1")
+    rows, store = V.feedback_of(event_stream(spark, d)).select(F.col("feedback_id").alias("id"), "text"), fresh_path(spark, "results")
+    J.analysis_stream(rows, lambda x: N.analyse(x, score), lambda x: x.write.mode("append").parquet(store), f"{store}-checkpoint").awaitTermination()
+    return spark.read.parquet(store).select("id", "label", "confidence")
 
 
 @query("v1_embed")
@@ -299,38 +402,53 @@ def v8(spark, d):
     return VEC.approximate_neighbours(x.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"), x, 5, 1.2).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+#: Reviews that have a vector, a third of them of one platform that questions can name; every twentieth is a question.
+CORPUS = R.rstrip() + ", v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), r AS (SELECT reviews.* REPLACE (CASE WHEN review_id % 3 = 0 THEN 'amazon' ELSE platform END AS platform), e FROM reviews JOIN v ON vec_id = review_id), q AS (SELECT review_id AS query_id, e, substr(text, 1, 200) || CASE review_id % 3 WHEN 0 THEN ' any joke?' WHEN 1 THEN ' on Amazon' ELSE '' END AS text FROM r WHERE review_id % 20 = 0), "
+
+
 def corpus_with_vectors(spark, d):
     r = V.reviews(spark, d).withColumn("platform", F.when(F.col("review_id") % 3 == 0, "amazon").otherwise(F.col("platform")))
-    return r.join(VEC.embed(r, "review_id"), F.col("review_id") == F.col("doc_id")).drop("review_id")
+    e = V.table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    return r.join(e, F.col("review_id") == F.col("doc_id")).drop("review_id")
 
 
 def asked(spark, d):
-    tail = F.when(F.col("item_id") % 5 == 0, " any joke?").when(F.col("item_id") % 5 == 1, " on Amazon").otherwise("")
-    b = V.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat("text", tail).alias("text"))
-    return b.join(VEC.embed(b, "query_id"), F.col("query_id") == F.col("doc_id")).drop("doc_id")
+    """Questions: the beginnings of every twentieth review, some of which name a platform or aren't in scope."""
+    i = F.col("doc_id") % 3
+    tail = F.when(i == 0, " any joke?").when(i == 1, " on Amazon").otherwise("")
+    return corpus_with_vectors(spark, d).where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.concat(F.substring("text", 1, 200), tail).alias("text"), "vector")
 
 
-@query("v9_p20_answer_table")
+SCORED = CORPUS + "s AS (SELECT query_id, review_id AS doc_id, list_dot_product(q.e, r.e) AS score, r.e AS e, r.platform FROM q, r), "
+LINE = "'[Source: ' || coalesce(r.platform, 'unknown') || ' | Rating: ' || coalesce(rating::VARCHAR, 'N/A') || ' | Sentiment: ' || coalesce(sentiment_label, 'unknown') || ' | Id: ' || review_id || ']' || chr(10) || r.text"
+
+
+@query("v9_p20_answer_table", SCORED + """qq AS (SELECT *, NOT regexp_matches(text, '(?i)\\b(weather|politics|sports|recipe|coding|write code|poem|story|joke)\\b') AS in_scope, CASE WHEN contains(lower(text), 'amazon') THEN 'amazon' WHEN contains(lower(text), 'yelp') THEN 'yelp' WHEN contains(lower(text), 'twitter') OR contains(lower(text), 'airline') THEN 'twitter_airline' END AS named FROM q),
+cand AS (SELECT s.query_id, doc_id, score, s.e FROM s JOIN qq USING (query_id) WHERE in_scope AND (named IS NULL OR named = s.platform) QUALIFY row_number() OVER (PARTITION BY s.query_id ORDER BY score DESC, doc_id) <= CASE WHEN named IS NULL THEN 20 ELSE 50 END), """ + mmr_sql() + f""",
+b AS (SELECT query_id, count(*) AS kept, md5(string_agg({LINE}, chr(10) || chr(10) ORDER BY pick)) AS evidence FROM mmr JOIN r ON r.review_id = mmr.doc_id WHERE score >= 0.35 GROUP BY 1)
+SELECT query_id, in_scope, named AS platform, coalesce(kept, 0) AS kept, evidence, CASE WHEN NOT in_scope THEN 'refused_out_of_scope' WHEN coalesce(kept, 0) = 0 THEN 'refused_no_evidence' ELSE 'answered' END AS outcome FROM qq LEFT JOIN b USING (query_id)""")
 def v9(spark, d):
     return VEC.answer_table(asked(spark, d), corpus_with_vectors(spark, d), 0.35).withColumn("evidence", F.md5("evidence"))
 
 
-@query("v7_v10_evidence_rows")
+CUT = "CASE WHEN length(r.text) > {n} THEN substr(r.text, 1, {n}) || '…' ELSE r.text END"
+
+
+@query("v7_v10_evidence_rows", SCORED + f"t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 5) SELECT query_id, doc_id::VARCHAR AS id, md5({CUT.format(n=1000)}) AS text, md5({CUT.format(n=200)}) AS preview, round(score, 4) AS score FROM t JOIN r ON review_id = doc_id WHERE score >= 0.35")
 def v7(spark, d):
     docs = corpus_with_vectors(spark, d)
     found = VEC.top_k(asked(spark, d).select("query_id", "vector"), docs.select("doc_id", "vector"), 5)
     return VEC.evidence_rows(found, docs, 0.35).select("query_id", "id", F.md5("text").alias("text"), F.md5("preview").alias("preview"), "score")
 
 
-@query("x11_review_bundle")
+@query("x11_review_bundle", SRC + ", " + CAT[5:] + ", kc AS (SELECT id, max(key) FILTER (rank = 1) AS key, max(score) AS score FROM kk GROUP BY id), " + TOP.format(k=6)[5:].replace(" s AS (", " s2 AS (").replace("FROM s QUALIFY", "FROM s2 QUALIFY") + ", nr AS (SELECT query_id, string_agg(doc_id, ',' ORDER BY rank) AS \"similar\" FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k FROM t WHERE query_id <> doc_id) WHERE k <= 5 GROUP BY 1) SELECT se.id, label, CASE WHEN label <> 'positive' AND kc.score >= 0.35 THEN kc.key ELSE 'General Feedback' END AS category, \"similar\" FROM se JOIN kc USING (id) JOIN nr ON query_id = se.id")
 def x11(spark, d):
     """Sentiment, categories and similar reviews of every twentieth review."""
     docs = corpus_with_vectors(spark, d)
     some = docs.where("doc_id % 20 = 0")
-    score = N.sentiment_udf(N.word_rule_model, "word-rule-1")
     near = VEC.top_k(some.select(F.col("doc_id").alias("query_id"), "vector"), docs.select("doc_id", "vector"), 6).where("query_id <> doc_id")
     near = near.groupBy(F.col("query_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))).alias("near"))
-    a = N.analyse(some.select(F.col("doc_id").alias("id"), "text", "vector"), score, taxonomy_vectors(spark, d), "vector")
+    a = N.analyse(some.select(F.col("doc_id").alias("id"), "text", "vector"), lexicon_score(), taxonomy_vectors(spark, d), "vector")
     return a.join(near, "id", "left").select("id", "label", F.coalesce("category_key", F.lit("General Feedback")).alias("category"), F.array_join(F.transform(F.slice("near", 1, 5), lambda x: x["doc_id"].cast("string")), ",").alias("similar"))
 
 

@@ -92,10 +92,16 @@ def j1(spark, d):
     return base(spark, d).select("feedback_id", "label", "category_key", "category_name", "confidence", F.coalesce("has_result", F.lit(False)).alias("has_result"))
 
 
-@query("f15_w11_available_categories", with_("categories") + f"SELECT key, arg_max(name, organisation_id IS NOT NULL) AS name, max(organisation_id IS NOT NULL) AS own FROM categories WHERE is_active AND (organisation_id IS NULL OR organisation_id = {ORG}) GROUP BY key HAVING count(*) > 0 AND (SELECT count(*) FROM events) > 0")
+OWN = "own AS (SELECT DISTINCT event_type AS key, upper(event_type) AS name, user_id % 4 AS organisation_id, event_type <> 'signup' AS is_active FROM events), every AS (SELECT * FROM categories UNION ALL SELECT * FROM own UNION ALL SELECT DISTINCT 'service_quality', 'Service of ' || (user_id % 4), user_id % 4, true FROM events WHERE event_type = 'error')"
+
+
+@query("f15_w11_available_categories", with_("categories").rstrip() + f", {OWN} SELECT key, arg_max(name, organisation_id IS NOT NULL) AS name, max(organisation_id IS NOT NULL) AS own FROM every WHERE is_active AND (organisation_id IS NULL OR organisation_id = {ORG}) GROUP BY key")
 def f15(spark, d):
-    used = V.table(spark, d, "events").select(F.lit(True).alias("some")).limit(1)
-    return P.available_categories(V.categories(spark), organisation_id=ORG).join(F.broadcast(used)).drop("some")
+    """The defaults with an organisation's own categories, which stand before them: one for each of its kinds of event."""
+    e = V.table(spark, d, "events").withColumn("organisation_id", F.col("user_id") % 4)
+    own = e.select(F.col("event_type").alias("key"), F.upper("event_type").alias("name"), "organisation_id", (F.col("event_type") != "signup").alias("is_active")).distinct()
+    over = e.where("event_type = 'error'").select(F.lit("service_quality").alias("key"), F.concat(F.lit("Service of "), F.col("organisation_id").cast("string")).alias("name"), "organisation_id", F.lit(True).alias("is_active")).distinct()
+    return P.available_categories(V.categories(spark).union(own).union(over), organisation_id=ORG)
 
 
 ROW = "feedback_id, text, rating, feedback_at, created_at, metadata->>'platform' AS platform, label, category_key, category_name, is_unclassified, label IS NOT NULL OR is_unclassified IS NOT NULL AS analysed"
@@ -327,14 +333,19 @@ def p19(spark, d):
     return V.reviews(spark, d).select("review_id", F.md5(X.capped("text", 1000)).alias("full_h"), F.md5(X.capped("text", 200)).alias("preview_h"))
 
 
-@query("p20_evidence_block", R + """SELECT platform, md5(string_agg('[Source: ' || platform || ' | Rating: ' || rating || ' | Sentiment: ' || sentiment_label || ' | Id: ' || review_id || ']' || chr(10) || substr(text, 1, 400), chr(10) || chr(10) ORDER BY review_id)) AS block
-FROM (SELECT *, row_number() OVER (PARTITION BY platform ORDER BY review_id) AS k FROM reviews) WHERE k <= 5 GROUP BY platform""")
+@query("p20_evidence_block", R.rstrip() + """, v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, x.vec_id AS doc_id, list_dot_product(q.e, x.e) AS score FROM v q, v x WHERE q.vec_id % 20 = 0),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 5)
+SELECT query_id, md5(string_agg('[Source: ' || coalesce(platform, 'unknown') || ' | Rating: ' || coalesce(rating::VARCHAR, 'N/A') || ' | Sentiment: ' || coalesce(sentiment_label, 'unknown') || ' | Id: ' || review_id || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank)) AS block
+FROM t JOIN reviews ON review_id = doc_id GROUP BY query_id""")
 def p20(spark, d):
-    from pyspark.sql import Window
-
-    r = V.reviews(spark, d).withColumn("k", F.row_number().over(Window.partitionBy("platform").orderBy("review_id"))).where("k <= 5").withColumn("text", F.substring("text", 1, 400))
-    line = F.struct("k", X.evidence_line("platform", "rating", "sentiment_label", "review_id", "text").alias("line"))
-    return r.groupBy("platform").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda s: s["line"]), "\n\n")).alias("block"))
+    """The evidence block of every twentieth review: the five reviews nearest to it, whole."""
+    from ..operators import vectors as VEC
+
+    docs = V.table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    found = VEC.top_k(docs.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"), docs, 5)
+    line = F.struct("rank", X.evidence_line("platform", "rating", "sentiment_label", "review_id", "text").alias("line"))
+    rows = found.join(V.reviews(spark, d), F.col("doc_id") == F.col("review_id"))
+    return rows.groupBy("query_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda s: s["line"]), "\n\n")).alias("block"))
 
 
 @query("p21_p22_question_guard", "SELECT item_id, NOT regexp_matches(text, '(?i)\\b(weather|politics|sports|recipe|coding|write code|poem|story|joke)\\b') AS in_scope, CASE WHEN contains(lower(text), 'amazon') THEN 'amazon' WHEN contains(lower(text), 'yelp') THEN 'yelp' WHEN contains(lower(text), 'twitter') OR contains(lower(text), 'airline') THEN 'twitter_airline' END AS platform FROM (SELECT item_id, text || CASE item_id % 4 WHEN 0 THEN ' any Joke on Amazon?' WHEN 1 THEN ' about Airline food' WHEN 2 THEN ' storyboard' ELSE '' END AS text FROM benchmark)")

@@ -9,59 +9,59 @@ from ..functions import text as X
 from ..operators import features as T
 from ..operators import ingest as I
 from ..schemas import DETERMINERS, KEYWORD_STOPWORDS
+from ..sources.scratch import stored
 from . import views as V
 from .registry import query
 from .tenant_queries import CLEAN
 from .views import with_
 
 R = with_("reviews")
-#: ASCII words, so that both engines agree on what a word is.
-TERMS = ", tok AS (SELECT doc_id AS doc, regexp_extract_all(lower(text), '\\b[a-z0-9_][a-z0-9_]+\\b') AS w FROM (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g') AS text FROM documents)), tm AS (SELECT doc, unnest(w) AS term FROM tok UNION ALL SELECT doc, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM tok), tf AS (SELECT doc, term, count(*) AS tf FROM tm GROUP BY ALL)"
+TERMS = ", tok AS (SELECT doc_id AS doc, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}_]{2,}') AS w FROM documents), tm AS (SELECT doc, unnest(w) AS term FROM tok UNION ALL SELECT doc, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM tok), tf AS (SELECT doc, term, count(*) AS tf FROM tm GROUP BY ALL)"
 UNI = TERMS.replace(" UNION ALL SELECT doc, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM tok", "")
 
 
-def ascii_docs(spark, d) -> DataFrame:
-    return V.table(spark, d, "documents").withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", " "))
+def texts(spark, d) -> DataFrame:
+    return V.table(spark, d, "documents")
 
 
 @query("t1_term_counts", "WITH x AS (SELECT 1)" + TERMS + " SELECT doc, count(*) AS terms, CAST(sum(tf) AS BIGINT) AS total, max(tf) AS most FROM tf GROUP BY doc")
 def t1(spark, d):
-    return T.term_counts(ascii_docs(spark, d), "doc_id").groupBy("doc").agg(F.count("*").alias("terms"), F.sum("tf").alias("total"), F.max("tf").alias("most"))
+    return T.term_counts(texts(spark, d), "doc_id").groupBy("doc").agg(F.count("*").alias("terms"), F.sum("tf").alias("total"), F.max("tf").alias("most"))
 
 
 @query("t2_vocabulary", "WITH x AS (SELECT 1)" + TERMS + " SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM tf GROUP BY term HAVING count(*) >= 2 ORDER BY total DESC, term LIMIT 50000")
 def t2(spark, d):
-    return T.vocabulary(T.term_counts(ascii_docs(spark, d), "doc_id"))
+    return T.vocabulary(T.term_counts(texts(spark, d), "doc_id"))
 
 
 IDF = UNI + ", n AS (SELECT count(*) AS n FROM documents), v AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2), r AS (SELECT doc, term, {tf} * (ln((1.0::DOUBLE + n) / (1.0 + df)) + 1.0) AS w FROM tf JOIN v USING (term), n), wt AS (SELECT doc, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc)) AS weight FROM r)"
 
 
 def weights(spark, d, sublinear=False):
-    docs = ascii_docs(spark, d)
-    counts = T.term_counts(docs, "doc_id", bigrams=False)
+    docs = texts(spark, d)
+    counts = stored(T.term_counts(docs, "doc_id", bigrams=False))
     return T.tf_idf(counts, T.vocabulary(counts, size=10_000_000), docs.count(), sublinear)
 
 
-@query("t3_tf_idf_sublinear", "WITH x AS (SELECT 1)" + IDF.format(tf="(1 + ln(tf))") + " SELECT doc, count(*) AS n, round(max(weight), 6) AS heaviest, round(sum(weight), 6) AS total FROM wt GROUP BY doc")
+@query("t3_tf_idf_sublinear", "WITH x AS (SELECT 1)" + IDF.replace("{tf}", "(1 + ln(tf))") + " SELECT doc, count(*) AS n, round(max(weight), 6) AS heaviest, round(sum(weight), 6) AS total FROM wt GROUP BY doc")
 def t3(spark, d):
     return weights(spark, d, True).groupBy("doc").agg(F.count("*").alias("n"), F.round(F.max("weight"), 6).alias("heaviest"), F.round(F.sum("weight"), 6).alias("total"))
 
 
-SEARCH = "WITH x AS (SELECT 1)" + IDF.format(tf="tf") + ", s AS (SELECT q.doc AS query_id, w.doc, round(sum(q.weight * w.weight), 9) AS score FROM wt q JOIN wt w USING (term) WHERE q.doc % 20 = 0{where} GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM s QUALIFY rank <= 5) SELECT query_id, k.doc, round(score, 5) AS score, rank FROM k"
+SEARCH = "WITH x AS (SELECT 1)" + IDF.replace("{tf}", "tf") + ", s AS (SELECT q.doc AS query_id, w.doc, round(sum(q.weight * w.weight), 9) AS score FROM wt q JOIN wt w USING (term) WHERE q.doc % 20 = 0{where} GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM s QUALIFY rank <= 5) SELECT query_id, k.doc, round(score, 5) AS score, rank FROM k"
 
 
-@query("t4_j9_tf_idf_search", SEARCH.format(where=" AND w.doc IN (SELECT doc_id FROM documents WHERE lang = 'en')"))
+@query("t4_j9_tf_idf_search", SEARCH.replace("{where}", " AND w.doc IN (SELECT doc_id FROM documents WHERE lang = 'en')"))
 def t4(spark, d):
-    w = weights(spark, d).persist()
+    w = stored(weights(spark, d))
     queries = w.where("doc % 20 = 0").withColumnRenamed("doc", "query_id")
     allowed = V.table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("doc"))
     return T.tf_idf_search(queries, w, 5, allowed).select("query_id", "doc", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("t4_tf_idf_search_post_filter", SEARCH.format(where="") + " WHERE k.doc IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+@query("t4_tf_idf_search_post_filter", SEARCH.replace("{where}", "") + " WHERE k.doc IN (SELECT doc_id FROM documents WHERE lang = 'en')")
 def t4_post(spark, d):
-    w = weights(spark, d).persist()
+    w = stored(weights(spark, d))
     queries = w.where("doc % 20 = 0").withColumnRenamed("doc", "query_id")
     allowed = V.table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("doc"))
     return T.tf_idf_search(queries, w, 5, allowed, post_filter=True).select("query_id", "doc", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
@@ -77,6 +77,17 @@ def t6(spark, d):
     return s.select("doc", F.round("compound", 5).alias("compound"), "label", F.round("confidence", 5).alias("confidence"))
 
 
+#: The sentiment stage's model in SQL, over a table src (id, text) with distinct ids: se has id, label and confidence.
+CONTROLS = r"'[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'"
+
+
+def sentiment_sql(lexicon=LEXICON) -> str:
+    values = ", ".join(f"('{w}', {v}::DOUBLE)" for w, v in lexicon)
+    return f"""lx AS (SELECT * FROM (VALUES {values}) t(word, valence)), sw AS (SELECT id, unnest(regexp_extract_all(lower(regexp_replace(text, {CONTROLS})), '[a-z'']+')) AS word FROM src),
+sv AS (SELECT id, round(sum(valence), 9) AS s FROM sw JOIN lx USING (word) GROUP BY 1), sc AS (SELECT src.id, round(coalesce(s, 0) / sqrt(coalesce(s * s, 0) + 15.0::DOUBLE), 6) AS c FROM src LEFT JOIN sv USING (id)),
+se AS (SELECT id, CASE WHEN c <= -0.05::DOUBLE THEN 'negative' WHEN c > 0.05::DOUBLE THEN 'positive' ELSE 'neutral' END AS label, round(greatest(abs(c), 0.05::DOUBLE), 4) AS confidence FROM sc)"""
+
+
 STOPS = {"en": "the of and to in is that for with was", "fr": "le la les de et des une un dans que", "de": "der die und das von nicht ein mit den im", "es": "el los las y una por con del para su"}
 
 
@@ -90,13 +101,16 @@ _STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(KEYWORD_STOPWORDS))
 _DET = "|".join(DETERMINERS)
 
 
-@query("a9_p15_w6_keywords", R + f""", w AS (SELECT review_id, sentiment_label, regexp_extract_all(lower(text), '[a-z'']+') AS w FROM reviews),
+KEYWORDS = R + f""", w AS (SELECT review_id, sentiment_label, regexp_extract_all(lower(text), '[a-z'']+') AS w FROM reviews),
 g AS (SELECT sentiment_label, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS raw FROM w),
 p AS (SELECT sentiment_label, trim(regexp_replace(raw, '^(?:{_DET})\\s+', '')) AS word FROM g),
 f AS (SELECT * FROM p WHERE length(word) >= 3 AND word NOT IN ({_STOP}) AND regexp_matches(word, '[a-z]')),
 c AS (SELECT 'all' AS bucket, word, count(*) AS count FROM f GROUP BY word UNION ALL SELECT sentiment_label, word, count(*) FROM f GROUP BY ALL),
 n AS (SELECT 'all' AS bucket, count(*) AS n_reviews FROM reviews UNION ALL SELECT sentiment_label, count(*) FROM reviews GROUP BY 1)
-SELECT bucket, word, count, n_reviews, row_number() OVER (PARTITION BY bucket ORDER BY count DESC, word) AS rank FROM c JOIN n USING (bucket) QUALIFY rank <= 200""")
+SELECT bucket, word, count, n_reviews, row_number() OVER (PARTITION BY bucket ORDER BY count DESC, word) AS rank FROM c JOIN n USING (bucket) QUALIFY rank <= """
+
+
+@query("a9_p15_w6_keywords", KEYWORDS + "200")
 def a9(spark, d):
     return T.keyword_counts(V.reviews(spark, d))
 
@@ -116,7 +130,7 @@ def upload(spark, d) -> DataFrame:
 
 def upload_of(e: DataFrame) -> DataFrame:
     i = F.col("event_id")
-    return e.where("event_id % 3 <> 1").select(
+    return e.select(
         i.alias("source_row"), F.when(i % 23 == 0, "  \x07 ").otherwise(F.concat(F.lit(" "), "event_type", F.lit("\x00 "), (i % 701).cast("string"), F.lit("\n"))).alias("Comment"),
         F.when(i % 5 > 0, F.concat(F.lit("ext"), (i % 4000).cast("string"))).alias(" ID "), F.when(i % 29 == 0, "yesterday").when(i % 2 == 0, "2026/02/01").alias("Date"),
         F.when(i % 31 == 0, "nine").when(i % 37 == 0, "NaN").otherwise((1 + i % 5).cast("string")).alias("stars"), F.col("event_type").alias("Channel"),
@@ -130,7 +144,7 @@ def known(spark, d) -> DataFrame:
 
 
 UPLOAD = """WITH u AS (SELECT event_id AS source_row, CASE WHEN event_id % 23 = 0 THEN '' ELSE event_type || ' ' || (event_id % 701) END AS text, CASE WHEN event_id % 5 > 0 THEN 'ext' || (event_id % 4000) END AS external_id,
-CASE WHEN event_id % 29 = 0 THEN false ELSE true END AS date_ok, event_id % 31 <> 0 AND event_id % 37 <> 0 AS rating_ok FROM events WHERE event_id % 3 <> 1),
+CASE WHEN event_id % 29 = 0 THEN false ELSE true END AS date_ok, event_id % 31 <> 0 AND event_id % 37 <> 0 AS rating_ok FROM events),
 e AS (SELECT *, CASE WHEN text = '' THEN 'text' WHEN NOT date_ok THEN 'created_at' WHEN NOT rating_ok THEN 'rating' END AS field FROM u),
 g AS (SELECT *, sha256(text) AS h FROM e WHERE field IS NULL),
 o AS (SELECT * FROM g WHERE external_id IS NULL UNION ALL SELECT * FROM g WHERE external_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY external_id ORDER BY source_row) = 1),
@@ -172,14 +186,14 @@ def j5(spark, d):
     return I.seen_file(b, hashlib.md5(b"6").hexdigest(), organisation_id=1).select("id", "created_at")
 
 
-SOURCES = f""", s AS (SELECT 0 AS o, review_id::VARCHAR AS review_id, platform, text, CASE WHEN review_id % 9 > 0 THEN rating END AS rating, sentiment_label FROM reviews WHERE review_id % 2 = 0
-UNION ALL SELECT 1, 'r' || review_id, 'second', text, rating, CASE WHEN review_id % 13 > 0 THEN sentiment_label END FROM reviews WHERE review_id % 3 = 0),
+SOURCES = f""", s AS (SELECT 0 AS o, review_id::VARCHAR AS review_id, platform, text, CASE WHEN review_id % 9 > 0 THEN rating END AS rating, sentiment_label FROM reviews WHERE review_id % 3 < 2
+UNION ALL SELECT 1, 'r' || review_id, 'second', text, rating, CASE WHEN review_id % 13 > 0 THEN sentiment_label END FROM reviews WHERE review_id % 3 > 0),
 c AS (SELECT *, {CLEAN} AS cleaned FROM s), f AS (SELECT * FROM c WHERE sentiment_label IS NOT NULL AND length(cleaned) > 15 QUALIFY row_number() OVER (PARTITION BY sha256(cleaned) ORDER BY o, review_id) = 1)"""
 
 
 @query("x10_u1_u2_corpus_build", R + SOURCES + " SELECT review_id, platform, md5(cleaned) AS h, coalesce(rating, 3.0) AS rating, sentiment_label FROM f")
 def x10(spark, d):
     r = V.reviews(spark, d)
-    one = r.where("review_id % 2 = 0").withColumn("rating", F.when(F.col("review_id") % 9 > 0, F.col("rating"))).withColumn("review_id", F.col("review_id").cast("string"))
-    two = r.where("review_id % 3 = 0").withColumn("sentiment_label", F.when(F.col("review_id") % 13 > 0, F.col("sentiment_label"))).withColumn("review_id", F.concat(F.lit("r"), F.col("review_id").cast("string"))).withColumn("platform", F.lit("second")).drop("date")
+    one = r.where("review_id % 3 < 2").withColumn("rating", F.when(F.col("review_id") % 9 > 0, F.col("rating"))).withColumn("review_id", F.col("review_id").cast("string"))
+    two = r.where("review_id % 3 > 0").withColumn("sentiment_label", F.when(F.col("review_id") % 13 > 0, F.col("sentiment_label"))).withColumn("review_id", F.concat(F.lit("r"), F.col("review_id").cast("string"))).withColumn("platform", F.lit("second")).drop("date")
     return I.build_corpus([one, two]).select("review_id", "platform", F.md5("cleaned_text").alias("h"), "rating", "sentiment_label")

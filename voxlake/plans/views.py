@@ -23,7 +23,11 @@ def reviews(spark, d) -> DataFrame:
 
 
 def feedback(spark, d) -> DataFrame:
-    e, i = table(spark, d, "events"), F.col("event_id")
+    return feedback_of(table(spark, d, "events"))
+
+
+def feedback_of(e: DataFrame) -> DataFrame:
+    i = F.col("event_id")
     text = F.concat("event_type", F.lit(" "), "props", F.lit(" "), (i % 997).cast("string"))
     return e.select(
         i.alias("feedback_id"), (F.col("user_id") % 4).alias("organisation_id"), (i % 50).alias("import_batch_id"), text.alias("text"),

@@ -35,14 +35,14 @@ HEADER_ALIASES = {
     "platform": ("platform", "source", "channel"),
 }
 DATE_PATTERNS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd-MM-yyyy", "yyyy/MM/dd")
-DETERMINERS = "the|a|an|my|your|our|their|his|her|its|this|that|these|those|some|any|no|every|another|each".split("|")
+DETERMINERS = ("the", "a", "an", "my", "your", "our", "their", "his", "her", "its", "this", "that", "these", "those", "some", "any", "no", "every", "another", "each")
 KEYWORD_STOPWORDS = (
-    "they you that this she he it we i me him her them us who what which there these those "
-    "all some any none one ones another others something anything nothing everything someone anyone "
-    "everyone nobody somebody anybody everybody myself yourself himself herself itself ourselves themselves yourselves "
-    "thing things way ways lot lots bit kind sort part parts case cases point points "
-    "the a an my your our their his its every each"
-).split()
+    "they", "you", "that", "this", "she", "he", "it", "we", "i", "me", "him", "her", "them", "us", "who", "what", "which", "there", "these", "those",
+    "all", "some", "any", "none", "one", "ones", "another", "others", "something", "anything", "nothing", "everything", "someone", "anyone",
+    "everyone", "nobody", "somebody", "anybody", "everybody", "myself", "yourself", "himself", "herself", "itself", "ourselves", "themselves", "yourselves",
+    "thing", "things", "way", "ways", "lot", "lots", "bit", "kind", "sort", "part", "parts", "case", "cases", "point", "points",
+    "the", "a", "an", "my", "your", "our", "their", "his", "its", "every", "each",
+)
 KEYWORD_FILTER_VERSION, MIN_PHRASE_CHARS, TOP_KEYWORDS = 2, 3, 200
 # End of the fixed values.
 

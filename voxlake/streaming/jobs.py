@@ -34,6 +34,7 @@ def distinct_feedback(rows: DataFrame, at: str, delay: str = "7 days") -> DataFr
 
 
 def analysis_stream(rows: DataFrame, analyse: Callable[[DataFrame], DataFrame], store: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
+    """New rows analysed by micro-batches, their results handed to ``store``."""
     return rows.writeStream.foreachBatch(lambda batch, _: store(analyse(batch))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
@@ -56,12 +57,23 @@ def import_states(events: DataFrame) -> DataFrame:
     return newest.withColumn("state", P.job_state())
 
 
-def drained(stream: DataFrame, name: str, mode: str, checkpoint: str | None = None) -> DataFrame:
-    """What a stream over files gives once all of them are read, from a memory table."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def drained(stream: DataFrame, path: str, mode: str) -> DataFrame:
+    """What a stream over files gives once all of them are read, as Parquet at ``path`` with the checkpoint beside it: rows are
+    appended as they are final, or (mode ``complete``) each micro-batch writes the whole result to a folder of its own, the
+    last of which counts."""
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True)
+    spark = stream.sparkSession
+    if mode == "append":
+        writer.format("parquet").option("path", path).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(path)
+    done: list[int] = []
+
+    def put(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        done.append(epoch)
+
+    writer.foreachBatch(put).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/epoch={done[-1]}") if done else spark.createDataFrame([], stream.schema)
 
 
 def file_stream(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
