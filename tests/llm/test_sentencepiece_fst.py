@@ -61,3 +61,28 @@ def test_tables(spark):
     assert [g[2] is None for g in got] == [False, False, True, False] and got[3][2] == []
     assert sorted((r.doc_id, r.text) for r in X.decoded(e.where("piece_ids IS NOT NULL")).collect()) == [(1, "a b"), (1, "a b"), (3, "")]
     assert all(r.decoded_same for r in X.round_trip(df).collect()) and X.round_trip(df.where("false")).count() == 0
+
+
+def test_normaliser_equals_the_library():
+    sp = pytest.importorskip("sentencepiece")
+    if not hasattr(sp, "SentencePieceNormalizer"):
+        pytest.skip("this library has no normaliser of its own")
+    rnd = random.Random(6)
+    samples = ["Ａ １２ ﬁ  ①", "e\u0301 é Å", "  a  b ", "ｶﾞ ㌔ ½", "\u00a0x\u3000y\u200b", "한글 \u1112\u1161\u11ab", "", "   "]
+    samples += ["".join(chr(rnd.choice([rnd.randrange(32, 127), rnd.randrange(0xA0, 0x500), rnd.randrange(0x2000, 0x3400), rnd.randrange(0xFF00, 0xFFF0)])) for _ in range(30)) for _ in range(300)]
+    for rule in ("nmt_nfkc", "nfkc_cf"):
+        own = sp.SentencePieceNormalizer(rule_name=rule)
+        spec = dict(X._fields(next(v for n, v in X._fields(own.serialized_model_proto()) if n == 3)))
+        for one_blank in (True, False):
+            theirs = sp.SentencePieceNormalizer(rule_name=rule, remove_extra_whitespaces=one_blank)
+            mine = X.Normaliser(spec[2], one_blank)
+            wanted = lambda t: X.BLANK + t.replace(" ", X.BLANK) if t else ""
+            assert [t for t in samples if wanted(mine(t)) != theirs.normalize(t)] == []
+
+
+def test_no_path_is_an_error():
+    fst = X.compiled(X.MODEL)
+    lost = X.Transducer.__new__(X.Transducer)
+    lost.__dict__ = fst.__dict__ | {"trie": {" ": [{}, -1]}, "apart": {}}
+    with pytest.raises(ValueError, match="no path"):
+        lost.shortest(" a")

@@ -1,8 +1,16 @@
-"""SentencePiece encoding and decoding as a weighted finite-state transducer and its tropical shortest path.
+"""SentencePiece encoding and decoding as weighted finite-state transducers and their tropical shortest path.
 
-Compiled from a .model file: the normaliser (a blank becomes U+2581, one stands before the text), the pieces as a trie, and
-the byte fallback (a character without a piece becomes its UTF-8 bytes). An input composed with it is a lattice over
-character positions, and the encoding is the path of least weight, added along it.
+Three machines are compiled from a .model file:
+
+* the normaliser: an arc for each rewriting of the model's character map (the longest fits first), identity for all other
+  characters, one arc that writes U+2581 before the text, and a blank written as U+2581; where the model says so, blanks
+  at the ends and all but one of a run are erased;
+* the pieces: a trie whose arcs read characters and whose accepting arcs write a piece's id;
+* the byte fallback: an arc from and to the start for each character without an arc there, which writes its UTF-8 bytes.
+
+The blank's rule and the pieces are composed when they are compiled: arcs that read U+2581 also read a blank. An input
+composed with the rest is a lattice over its character positions, and the encoding is the path of least weight, added along
+it. If no path of finite weight reaches the end, that is an error.
 
 * Unigram models: an arc weighs minus its piece's score.
 * Byte-pair models: merges are greedy, not least in score, so scores can't be the weights. The encoding is the only path on
@@ -14,7 +22,7 @@ one state and their shortest paths follow one another. Runs of blanks have the l
 paths depend on their length alone.
 
 Results for odd rows: a null text has null ids, an empty one no ids; U+2581 in a text is read as a blank (as the normaliser
-writes it), all else comes back exactly; repeated rows get a row each; an empty table gives no row. Only the named columns
+writes it), all else comes back exactly, or as the model's character map has it; repeated rows get a row each; an empty table gives no row. Only the named columns
 are read; texts of any length are read whole. A worker forgets
 its known parts and pairs when they are ``MEMORY`` and ``PAIRS``.
 """
@@ -22,6 +30,7 @@ its known parts and pairs when they are ``MEMORY`` and ``PAIRS``.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 from functools import cache
 from pathlib import Path
@@ -32,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, table
+from .common import in_arrow, slices, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK, MEMORY, PAIRS, NEVER = "▁", 100_000, 300_000, float("-inf")
@@ -63,6 +72,62 @@ def _fields(data: bytes):
         yield key >> 3, value
 
 
+class Normaliser:
+    """A model's normaliser: ``rules`` from the precompiled character map (a double array over UTF-8 bytes, and the texts that
+    its leaves point at), longest first. ``__call__`` writes a text as it stands before blanks become U+2581."""
+
+    def __init__(self, charsmap: bytes, one_blank: bool):
+        self.one_blank, self.rules = one_blank, {}
+        if charsmap:
+            size = int.from_bytes(charsmap[:4], "little")
+            units, texts = np.frombuffer(charsmap[4 : 4 + size], "<u4").tolist(), charsmap[4 + size :]
+            self._read(units, texts)
+        self.most: dict[str, int] = {}
+        for key in self.rules:
+            self.most[key[0]] = max(self.most.get(key[0], 0), len(key))
+
+    def _read(self, units: list[int], texts: bytes) -> None:
+        offset = lambda u: (u >> 10) << ((u & 512) >> 6)
+        todo = [(offset(units[0]), b"")]
+        while todo:
+            node, key = todo.pop()
+            for byte in range(1, 256):
+                at = node ^ byte
+                if at < len(units) and units[at] & 0x800000FF == byte:
+                    below = at ^ offset(units[at])
+                    if units[at] >> 8 & 1:
+                        value = units[below] & 0x7FFFFFFF
+                        self.rules[(key + bytes([byte])).decode()] = texts[value : texts.index(b"\0", value)].decode()
+                    todo.append((below, key + bytes([byte])))
+
+    def __call__(self, text: str) -> str:
+        if self.rules and any(c in self.most for c in set(text)):
+            out, at = [], 0
+            while at < len(text):
+                for n in range(min(self.most.get(text[at], 0), len(text) - at), 0, -1):
+                    if (new := self.rules.get(text[at : at + n])) is not None:
+                        out.append(new)
+                        at += n
+                        break
+                else:
+                    out.append(text[at])
+                    at += 1
+            text = "".join(out)
+        return re.sub(" +", " ", text.strip(" ")) if self.one_blank else text
+
+
+class Fallback(dict):
+    """The arcs of the byte fallback, made as characters are met: a character leads to the ids that it writes."""
+
+    def __init__(self, byte: dict[int, int], unknown: int):
+        super().__init__()
+        self.byte, self.unknown = byte, unknown
+
+    def __missing__(self, c: str) -> list[int]:
+        ids = self[c] = [self.byte.get(b, self.unknown) for b in c.encode("utf-8", "replace")] if self.byte else [self.unknown]
+        return ids
+
+
 class Transducer:
     """A compiled model. ``encode`` and ``decode`` are each other's inverse on normalised text."""
 
@@ -76,9 +141,9 @@ class Transducer:
                 kind = dict(_fields(value)).get(3, UNIGRAM)
             elif number == 3:
                 spec = dict(_fields(value))
-        if kind not in (UNIGRAM, BPE) or spec.get(2) or not spec.get(3, 1) or spec.get(4, 1):
-            raise ValueError("only unigram and byte-pair models with the identity normaliser and a blank before the text are compiled")
-        self.kind = kind
+        if kind not in (UNIGRAM, BPE) or not spec.get(3, 1) or not spec.get(5, 1):
+            raise ValueError("only unigram and byte-pair models with a blank before the text, and blanks written as U+2581, are compiled")
+        self.kind, self.normalise = kind, Normaliser(spec.get(2, b""), bool(spec.get(4, 1)))
         self.pieces = [p for p, _, _ in pieces]
         self.score = [s for _, s, _ in pieces]
         self.ids = {p: i for i, (p, _, t) in enumerate(pieces) if t in (1, 4)}
@@ -97,12 +162,22 @@ class Transducer:
                 arc = node.setdefault(c, [{}, -1])
                 node = arc[0]
             arc[1] = i
+        self._compose_blank(self.trie, set())
+        self.fallback = Fallback(self.byte, self.unknown)
         self.apart: dict[int, bool] = {}
         self.part: dict[str, bytes] = {}
         self.out = [p.replace(BLANK, " ").encode() if p in self.ids else b"" for p in self.pieces]
         for b, i in self.byte.items():
             self.out[i] = bytes([b])
 
+    def _compose_blank(self, node: dict, seen: set[int]) -> None:
+        """The composition with the normaliser's rule for blanks: what reads U+2581 reads a blank too."""
+        if id(node) not in seen:
+            seen.add(id(node))
+            if BLANK in node:
+                node[" "] = node[BLANK]
+                self._compose_blank(node[BLANK][0], seen)
+
     def _merged(self, text: str) -> list[str]:
         """The greedy merges of a short text, for the weights of pairs."""
         parts, rank = list(text), self.rank.get
@@ -126,9 +201,6 @@ class Transducer:
         known = self.apart[u << 20 | v] = self._merged("".join(want)) == want
         return known
 
-    def _fallback(self, c: str) -> list[int]:
-        return [self.byte.get(b, self.unknown) for b in c.encode("utf-8", "replace")] if self.byte else [self.unknown]
-
     def shortest(self, text: str) -> list[int]:
         """The ids on the tropical shortest path of a normalised part."""
         return next(self.paths([text]))
@@ -172,10 +244,12 @@ class Transducer:
             before, out, j = t, [], len(t)
             while j:
                 i = back[j]
+                if i < 0:
+                    raise ValueError(f"no path of finite weight through {t!r:.80}")
                 if last[j] >= 0:
                     out.append(last[j])
                 else:
-                    out += reversed(self._fallback(t[i:j]))
+                    out += reversed(self.fallback[t[i:j]])
                 j = i
             out.reverse()
             yield out
@@ -192,12 +266,14 @@ class Transducer:
                 node, v = arc
                 if v >= 0 and dist[i] - self.score[v] < dist[j + 1]:
                     dist[j + 1], back[j + 1], last[j + 1] = dist[i] - self.score[v], i, v
-            w = dist[i] + 10.0 - self.least
+            w = dist[i] + 10.0 - self.least  # the fallback's arc costs more than any piece
             if self.trie.get(text[i], (0, -1))[1] < 0 and w < dist[i + 1]:
                 dist[i + 1], back[i + 1], last[i + 1] = w, i, -1
         out, j = [], n
         while j:
-            out.append([last[j]] if last[j] >= 0 else self._fallback(text[back[j] : j]))
+            if back[j] < 0:
+                raise ValueError(f"no path of finite weight through {text!r:.80}")
+            out.append([last[j]] if last[j] >= 0 else self.fallback[text[back[j] : j]])
             j = back[j]
         return [x for ids in reversed(out) for x in ids]
 
@@ -210,8 +286,8 @@ class Transducer:
 
     def _learn(self, parts: set[str]) -> None:
         """Puts the ids of new parts into memory: after a line feed as they stand, otherwise with their blank before."""
-        feed = np.array(self._fallback("\n"), np.uint32).tobytes()
-        todo = sorted((p[1:] if p[0] == "\n" else BLANK + p, p) for p in parts)
+        feed = np.array(self.fallback["\n"], np.uint32).tobytes()
+        todo = sorted((p[1:] if p[0] == "\n" else " " + p, p) for p in parts)
         for (_, p), ids in zip(todo, self.paths([t for t, _ in todo]), strict=True):
             self.part[p] = (feed if p[0] == "\n" else b"") + np.array(ids, np.uint32).tobytes()
 
@@ -219,7 +295,7 @@ class Transducer:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [t.replace(BLANK, " ").replace("\n", " \n").split(" ") if t else [] for t in texts]
+        cut = [t.replace(BLANK, " ").replace("\n", " \n").split(" ") if t else [] for t in map(self.normalise, texts)]
         if len(self.part) >= MEMORY:
             self.part.clear()
         self._learn({p for parts in cut for p in parts if p} - self.part.keys())
@@ -251,13 +327,19 @@ class Transducer:
 
 
 @cache
-def compiled(path: str) -> Transducer:
-    return Transducer(Path(path).read_bytes())
+def compiled(model: str | bytes) -> Transducer:
+    """The transducer of a model file, or of its bytes."""
+    return Transducer(model if isinstance(model, bytes) else Path(model).read_bytes())
+
+
+def shipped(model: str | bytes) -> bytes:
+    """The bytes of a model: they go to the workers with the function, so that only the driver needs the file."""
+    return model if isinstance(model, bytes) else Path(model).read_bytes()
 
 
 def encoded(docs: DataFrame, model: str = MODEL, id_column: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The id column, ``keep``, and ``piece_ids`` of ``text``. The model file must be at ``model`` on every machine."""
-    cols = [id_column, *keep]
+    """The id column, ``keep``, and ``piece_ids`` of ``text``."""
+    cols, model = [id_column, *keep], shipped(model)
     schema = T.StructType(docs.select(*cols).schema.fields).add("piece_ids", T.ArrayType(T.IntegerType()))
 
     def run(batches):
@@ -267,38 +349,40 @@ def encoded(docs: DataFrame, model: str = MODEL, id_column: str = "doc_id", keep
             ids = [None if t is None else x for t, x in zip(texts, fst.encode_all([t or "" for t in texts]), strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(cols))), pa.array(ids, pa.list_(pa.int32()))], names=[*cols, "piece_ids"])
 
-    return docs.select(*cols, "text").mapInArrow(run, schema)
+    return in_arrow(docs.select(*cols, "text"), run, schema)
 
 
 def decoded(pieces: DataFrame, model: str = MODEL, id_column: str = "doc_id") -> DataFrame:
     """The id column and the text of ``piece_ids``."""
+    model = shipped(model)
 
     def run(batches):
         fst = compiled(model)
         for b in slices(batches, 64):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if t is None else fst.decode(t) for t in b.column(1).to_pylist()], pa.string())], names=[id_column, "text"])
 
-    return pieces.select(id_column, "piece_ids").mapInArrow(run, T.StructType(pieces.select(id_column).schema.fields).add("text", T.StringType()))
+    return in_arrow(pieces.select(id_column, "piece_ids"), run, T.StructType(pieces.select(id_column).schema.fields).add("text", T.StringType()))
 
 
 def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, n_pieces, n_byte_pieces, the SHA-256 of the ids (each as 4 bytes, low first) and whether decoding gives the normalised text."""
+    model = shipped(model)
 
     def run(batches):
         fst = compiled(model)
         fallback = np.zeros(len(fst.pieces), bool)
         fallback[list(fst.byte.values())] = True
-        for b in slices(batches, 512):
+        for b in slices(batches, 64):
             rows = []
             texts = [t or "" for t in b.column(1).to_pylist()]
             for t, ids in zip(texts, fst.encode_all(texts), strict=True):
-                same = fst.decode(ids.tolist()) == t.replace(BLANK, " ")
+                same = fst.decode(ids.tolist()) == fst.normalise(t).replace(BLANK, " ")
                 rows.append((len(ids), int(fallback[ids].sum()), hashlib.sha256(ids.tobytes()).hexdigest(), same))
             cols = list(zip(*rows, strict=True)) or [()] * 4
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_pieces", "n_byte_pieces", "ids_sha256", "decoded_same"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_pieces long, n_byte_pieces long, ids_sha256 string, decoded_same boolean")
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_pieces long, n_byte_pieces long, ids_sha256 string, decoded_same boolean")
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
