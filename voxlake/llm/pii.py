@@ -67,7 +67,16 @@ ENDS = {
     "greek": {"m": ["ος", "ης"], "f": ["ια", "η"], "n": ["ιδης", "ου"]}, "han": {"m": ["伟"], "f": ["丽"], "n": [""]},
 }
 
-_ALL = lambda d: "|".join(sorted((re.escape(w) for ws in d.values() for w in ws), key=lambda w: (-len(w), w)))
+def _any_of(words) -> str:
+    """A pattern for any of the words, the longest first, that looks at each letter once."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        heads.setdefault(w[:1], []).append(w[1:])
+    parts = [re.escape(c) + _any_of(rest) for c, rest in sorted(heads.items()) if c]
+    return "" if not parts else (f"(?:{'|'.join(parts)})" if len(parts) > 1 or "" in heads else parts[0]) + ("?" if "" in heads else "")
+
+
+_ALL = lambda d: _any_of(sorted({w for ws in d.values() for w in ws}))
 _CAP = r"[^\W\d_][\w'’-]*"
 _ENTITY = re.compile(
     r"(?P<email>(?<![\w.%+-])[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
@@ -306,7 +315,7 @@ def key_of(spark: SparkSession) -> str:
 def surrogated(docs: DataFrame, key: str, id_column: str = "doc_id", counted: str | None = None) -> DataFrame:
     """``docs`` with surrogates in ``text``; ``counted`` names a further column for the number of mentions replaced."""
     may = F.coalesce(F.col("text").rlike(TRIGGER), F.lit(False))
-    held, free = docs.where(may), docs.where(~may)
+    held, free = stored(docs.where(may)), docs.where(~may)  # stored: the pattern is dear, and these rows are read twice
     texts = held.select(F.col(id_column).cast("long"), F.xxhash64("text"), "text")
     found = stored(in_arrow(texts, _found, "doc_id long, h long, n int, start int, end int, kind string, canon string"))
     map_ = surrogates(stored(entities_of(found)), key)

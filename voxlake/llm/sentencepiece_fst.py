@@ -44,7 +44,7 @@ from pyspark.sql import types as T
 from .common import in_arrow, slices, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-BLANK, MEMORY, PAIRS, NEVER = "▁", 100_000, 300_000, float("-inf")
+BLANK, MEMORY, PAIRS, NEVER = "▁", 300_000, 800_000, float("-inf")
 UNIGRAM, BPE = 1, 2
 
 
@@ -372,7 +372,7 @@ def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
         fst = compiled(model)
         fallback = np.zeros(len(fst.pieces), bool)
         fallback[list(fst.byte.values())] = True
-        for b in slices(batches, 64):
+        for b in slices(batches, 256):
             rows = []
             texts = [t or "" for t in b.column(1).to_pylist()]
             for t, ids in zip(texts, fst.encode_all(texts), strict=True):
