@@ -1,10 +1,12 @@
 """Stupid-backoff scores of every document under the word n-grams of the whole corpus, up to ``order``, as joins.
 
 The score of a word is ln(c(u w) / c(u)) for the longest context u of up to order - 1 words before it with which it occurs
-``min_count`` times or more, and ln(alpha) more for each context of the text that is longer; without one it is
+``min_count`` times or more (by default 2: a text's own n-gram is among those counted, so that a count of 1 is what nothing
+else in the corpus has, and 0 in a count without the text), and ln(alpha) more for each context of the text that is longer; without one it is
 ln(c(w) / N). A text's first word scores ln(c(w) / N). Counts are over all rows, the scored one included.
 
-Documents are dealt over blocks of about ``block_chars`` characters by a hash. A block's n-grams are exploded, folded to
+Documents are dealt over blocks of about ``block_chars`` characters by a hash of their place in the input, so that equal
+rows go to different blocks; both uses of the dealt rows share one shuffle. A block's n-grams are exploded, folded to
 distinct 64-bit hashes with 32-bit counts, and sent to the count tables by hash range, many n-grams to a row; a range adds up
 all blocks, and the totals that differ from a block's own counts, because other blocks hold the n-gram too, are joined back to
 the block by block, order and range, where they are looked up and summed for each document. Folding before the shuffle sends a frequent n-gram once from each block, so no range is hot, and ranges are
@@ -138,7 +140,7 @@ def score_documents(docs: DataFrame, p: Backoff = Backoff()) -> DataFrame:
     chars, total = docs.select(F.coalesce(F.length("text"), F.lit(0)).alias("c"), words.alias("w")).agg(F.sum("c"), F.sum("w")).first()
     blocks = 1 + (chars or 0) // p.block_chars
     ranges = 1 + (total or 0) // p.grams_per_range
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))
+    block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("block", block)
     folded = dealt.groupBy("block").applyInArrow(lambda t: _folded(t, ranges, p.order), "block long, order int, range long, grams array<long>, counts array<int>")
     added = folded.groupBy("order", "range").applyInArrow(_added, "block long, order int, range long, size int, places array<int>, totals array<long>")
