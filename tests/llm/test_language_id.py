@@ -60,3 +60,55 @@ def test_nothing_to_learn_from(spark):
     assert L.fit(L.sample(df)) is None
     assert L.predict(df, None).first().lang_pred == "und"
     assert L.predict(df.where("false"), None).count() == 0
+
+
+def brute_language(model, text):
+    """The prediction of a short text by going through every labelling of its words, with features taken byte by byte."""
+    words = text.lower().encode().split()
+    emissions = []
+    for w in words:
+        s, e = b" " + w + b" ", np.zeros(len(model.languages))
+        for k, n in enumerate(L.GRAMS):
+            for i in range(len(s) - n + 1):
+                h = 0
+                for byte in s[i : i + n]:
+                    h = h * 257 + byte
+                e += model.weights[(h if n == 2 else h * 2654435761 >> 7) % L.REGION + k * L.REGION]
+        if w in model.lexicon:
+            e = e + model.weights[len(L.GRAMS) * L.REGION + model.lexicon[w]]
+        emissions.append(e)
+    total, mass = 0.0, np.zeros((len(words), len(model.languages)))
+    for path in itertools.product(range(len(model.languages)), repeat=len(words)):
+        w = np.exp(model.start[path[0]] + sum(emissions[i][p] for i, p in enumerate(path)) + sum(model.moves[p, q] for p, q in itertools.pairwise(path)))
+        total += w
+        for i, p in enumerate(path):
+            mass[i, p] += w
+    own = [i for i, w in enumerate(words) if any(c.isalpha() for c in w.decode())]
+    mean = (mass / total)[own].sum(0)
+    return model.languages[int(mean.argmax())], float(mean.max() / mean.sum())
+
+
+def test_predictions_equal_brute_force(spark, rows):
+    model = L.fit(rows[::3])
+    texts = [" ".join(t.split()[:5]) for _, t in rows[::25]] + [f"{rows[0][1].split()[0]} {rows[70][1].split()[0]} 12 {rows[130][1].split()[0]}", "the", "ünd der the 7"]
+    df = spark.createDataFrame(enumerate(texts), "doc_id long, text string")
+    for r in L.predict(df, model).collect():
+        lang, score = brute_language(model, texts[r.doc_id])
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-5
+
+
+def test_the_sample_is_bounded_for_repeated_ids_and_reads_whole_texts(spark):
+    long = " ".join(f"w{i}" for i in range(5000))
+    df = spark.createDataFrame([(7, f"text {k} {long}", "en") for k in range(60)] + [(k, "ein text", "de") for k in range(100, 130)], "doc_id long, text string, lang string")
+    got = L.sample(df, L.Fit(docs_per_language=10))
+    assert sorted(lang for lang, _ in got) == ["de"] * 10 + ["en"] * 10
+    drawn = [t for lang, t in got if lang == "en"]
+    assert all(len(t) <= 1510 and "w4900" < t.split()[-1] and {*t.split()} <= {*f"text {long}".split(), *map(str, range(60))} for t in drawn)
+
+
+def test_ties_fall_to_the_first_language():
+    model = L.Model(["aa", "bb"], np.zeros((len(L.GRAMS) * L.REGION + 2, 2)), np.zeros((2, 2)), np.zeros(2), {})
+    import pyarrow as pa
+
+    found = L._predicted(model, pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some words"])], names=["doc_id", "text"]))
+    assert found.column("lang_pred").to_pylist() == ["aa"] and found.column("score").to_pylist() == [0.5]
