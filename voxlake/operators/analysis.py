@@ -8,13 +8,15 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..schemas import CATEGORY_THRESHOLD, LABELS, SHORTLIST, TOP_CANDIDATES, UNCLASSIFIED
-from .vectors import dot, top_k
+from .vectors import top_k
 
 CANDIDATES = "array<struct<key:string,score:double>>"
 EVIDENCE = "array<struct<doc_id:long,score:double>>"
@@ -173,18 +175,30 @@ def no_retriever(items: DataFrame) -> DataFrame:
 def categorise(items: DataFrame, categories: DataFrame, threshold: float = CATEGORY_THRESHOLD, shortlist: int = SHORTLIST, top: int = TOP_CANDIDATES) -> DataFrame:
     """id, vector in; category_key (null under the threshold), score, candidates and is_unclassified out, a row for each item.
 
-    The taxonomy (key, vector; a few dozen rows, refused above 1000) stands as one array beside each item, so an item's
-    candidates never leave its row. The rerank score is the softmax of the shortlist's cosines, divided by its largest."""
-    n = categories.count()
-    if n > 1000:
+    The taxonomy (key, vector; a few dozen rows, refused above 1000) goes to the workers with the function, where one matrix
+    product serves a batch of items. A null vector has no candidates."""
+    known = sorted((r["key"], r["vector"]) for r in categories.select("key", F.col("vector").cast("array<double>").alias("vector")).limit(1001).collect())
+    if len(known) > 1000:
         raise ValueError("a taxonomy has up to 1000 categories")
-    if n == 0:
-        return items.select("id", F.lit(None).cast("string").alias("category_key"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("array<struct<key:string,score:double>>").alias("candidates"), F.lit(None).cast("boolean").alias("is_unclassified"))
-    known = categories.agg(F.sort_array(F.collect_list(F.struct("key", F.col("vector").alias("v")))).alias("known"))
-    scored = F.transform("known", lambda c: F.struct((-dot("vector", c["v"])).alias("under"), c["key"].alias("key")))
-    ranked = items.join(F.broadcast(known)).select("id", F.slice(F.array_sort(scored), 1, shortlist).alias("short"))
-    ranked = ranked.select("id", F.slice(F.transform("short", lambda s: F.struct(s["key"].alias("key"), F.round(-s["under"], 6).alias("score"))), 1, top).alias("candidates"))
-    best = F.element_at("candidates", 1)
+    if not known:
+        return items.select("id", F.lit(None).cast("string").alias("category_key"), F.lit(None).cast("double").alias("score"), F.lit(None).cast(CANDIDATES).alias("candidates"), F.lit(None).cast("boolean").alias("is_unclassified"))
+    keys, matrix, most = np.array([k for k, _ in known]), np.array([v for _, v in known], float).T, min(shortlist, top)
+
+    def run(batches):
+        for b in batches:
+            there = np.flatnonzero(np.asarray(b.column(1).is_valid()))
+            held = b.column(1).take(pa.array(there))
+            s = np.asarray(held.flatten(), float).reshape(len(held), matrix.shape[0]) @ matrix
+            order = np.argsort(-s, axis=1, kind="stable")[:, :most]  # keys are in order, so that ties fall to the first
+            best = pa.StructArray.from_arrays([pa.array(keys[order].ravel(), pa.string()), pa.array(np.round(np.take_along_axis(s, order, 1).ravel(), 6))], ["key", "score"])
+            sizes = np.zeros(b.num_rows + 1, np.int32)
+            sizes[there + 1] = order.shape[1]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), best)
+            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["id", "candidates"])
+
+    kind = items.schema["id"].dataType.simpleString()
+    ranked = items.select("id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, f"id {kind}, candidates {CANDIDATES}")
+    best = F.try_element_at("candidates", F.lit(1))
     ok = best["score"] >= threshold
     return ranked.select("id", F.when(ok, best["key"]).alias("category_key"), best["score"].alias("score"), "candidates", (~ok).alias("is_unclassified"))
 
