@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..schemas import CORPUS, HEADER_ALIASES, MAX_EXTERNAL_ID_CHARS, MAX_PLATFORM_CHARS, MAX_ROWS, MAX_STORED_ERRORS, MAX_TEXT_CHARS
+from ..sources.scratch import stored
 
 
 class UnusableFile(ValueError):
@@ -83,10 +84,10 @@ def import_rows(rows: DataFrame, known: DataFrame, *, organisation_id: int, data
     content hash, first by content hash. ``known``: organisation_id, data_source_id, external_id, content_hash."""
     if max_rows is not None and rows.limit(max_rows + 1).count() > max_rows:
         raise UnusableFile(f"more than {max_rows:,} rows")
-    rows = rows.persist()  # the report, the counters and the kept rows all read it
+    rows = stored(rows)  # the report, the counters and the kept rows all read it
     own = known.where(F.col("organisation_id") == organisation_id)
     good = rows.where("error IS NULL").drop("error").withColumn("content_hash", X.content_hash("text"))
-    once = first_by_external_id(good).persist()
+    once = first_by_external_id(good)
     ids = own.where((F.col("data_source_id") == data_source_id) & F.col("external_id").isNotNull()).select("external_id").distinct()
     kept = first_by_hash(once.join(ids, "external_id", "left_anti").join(own.select("content_hash").distinct(), "content_hash", "left_anti").select(*once.columns))
     kept = kept.withColumns({"organisation_id": F.lit(organisation_id), "data_source_id": F.lit(data_source_id), "import_batch_id": F.lit(import_batch_id)})

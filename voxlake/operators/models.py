@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import LABELS
+from ..sources.scratch import stored
 from .evaluation import overall
 from .features import terms
 from .sampling import folds
@@ -87,7 +88,7 @@ def tuned(train: DataFrame, kind: str, id_column: str, k: int = 3, grid: tuple[f
 
 def cross_validated(train: DataFrame, classifier, id_column: str, k: int = 5, refit_features: bool = True) -> DataFrame:
     """fold and macro F1. With ``refit_features`` the vocabulary and idf of a fold see only its own training part."""
-    rows = folds(train, k, id_column).persist()
+    rows = stored(folds(train, k, id_column))
     features = None if refit_features else Pipeline(stages=feature_stages()).fit(rows)
     out = None
     for f in range(k):

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import FETCH_K, MMR_K, MMR_LAMBDA
-from ..sources.scratch import spread
+from ..sources.scratch import spread, stored
 
 QUERY_BLOCK, PARTS, SMALL_BYTES = 2048, 256, 64 << 20
 
@@ -163,7 +163,7 @@ def approximate_neighbours(queries: DataFrame, docs: DataFrame, k: int, distance
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(x)
     pairs = model.approxSimilarityJoin(q, x, distance, "distance").select("datasetA.query_id", "datasetB.doc_id", (1 - F.col("distance") ** 2 / 2).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    near = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).persist()
+    near = stored(pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
     full = near.where(F.col("rank") == k).select("query_id")
     exact = top_k(queries.join(full, "query_id", "left_anti"), docs, k).select("query_id", "doc_id", "score", "rank")
     return near.join(full, "query_id", "left_semi").select("query_id", "doc_id", "score", "rank").union(exact)

@@ -202,19 +202,24 @@ def topics(spark, d):
     return t.select("topic", F.concat(F.lit("p"), (F.col("topic") % 3).cast("string")).alias("platform"), "keywords", "count", F.array("source", F.lit("shared")).alias("example_docs"), "centroid")
 
 
-@query("tx5_drop_noise")
+TOPICS = KW + ", tp AS (SELECT CAST(regexp_extract(source, '(\\d+)', 1) AS BIGINT) AS topic, list(term ORDER BY rank) AS kws FROM k GROUP BY source HAVING topic IN (SELECT vec_id % 20 FROM embeddings))"
+
+
+@query("tx5_drop_noise", TOPICS + """, u AS (SELECT topic, lower(unnest(kws)) AS kw FROM tp), nz AS (SELECT kw AS w FROM u GROUP BY 1 HAVING count(*) >= (SELECT count(*) FROM tp) * 0.5), h AS (SELECT topic, count(*) AS size, count(*) FILTER (EXISTS (SELECT 1 FROM nz WHERE contains(kw, w))) AS held FROM u GROUP BY 1),
+p AS (SELECT topic, word, count(*) AS c FROM (SELECT topic, unnest(string_split(kw, ' ')) AS word FROM u) WHERE length(word) > 2 GROUP BY ALL), m AS (SELECT topic, arg_max(word, (c, word)) AS word, max(c) AS c FROM p GROUP BY 1)
+SELECT tp.topic, array_to_string(kws, '|') AS keywords FROM tp JOIN h USING (topic) LEFT JOIN m USING (topic) WHERE (SELECT count(*) FROM tp) < 3 OR held < 0.6 * greatest(size, 1) AND coalesce(m.c < 0.7 * size OR m.word NOT IN (SELECT w FROM nz), true)""")
 def tx5(spark, d):
-    return Y.drop_noise(topics(spark, d)).select("topic", F.array_join("keywords", "|").alias("keywords"))
+    return Y.drop_noise(stored(topics(spark, d))).select("topic", F.array_join("keywords", "|").alias("keywords"))
 
 
 @query("tx6_p24_labels")
 def tx6(spark, d):
-    return topics(spark, d).select("topic", Y.clean_label("keywords", ["the", "of", "and", "to", "is"]).alias("label"))
+    return stored(topics(spark, d)).select("topic", Y.clean_label("keywords", ["the", "of", "and", "to", "is"]).alias("label"))
 
 
 @query("tx7_merge_topics")
 def tx7(spark, d):
-    return Y.merge_topics(topics(spark, d).select("topic", "centroid"), 6)
+    return Y.merge_topics(stored(topics(spark, d).select("topic", "centroid")), 6)
 
 
 @query("tx8_merged_clusters")
@@ -297,7 +302,7 @@ def m1(spark, d):
 
 @query("m2_m6_logistic_regression")
 def m2(spark, d):
-    rows = S.split(labelled(spark, d), {"train": 0.8, "test": 0.2}, "doc_id").persist()
+    rows = stored(S.split(labelled(spark, d), {"train": 0.8, "test": 0.2}, "doc_id"))
     train = rows.where("split = 'train'")
     c, _ = M.tuned(train, "lr", "doc_id")
     model = M.fit(train, M.logistic_regression(c, train.count()))
@@ -308,7 +313,7 @@ def m2(spark, d):
 
 @query("m3_m6_naive_bayes")
 def m3(spark, d):
-    rows = S.split(labelled(spark, d), {"train": 0.8, "test": 0.2}, "doc_id").persist()
+    rows = stored(S.split(labelled(spark, d), {"train": 0.8, "test": 0.2}, "doc_id"))
     train = rows.where("split = 'train'")
     alpha, _ = M.tuned(train, "nb", "doc_id")
     model = M.fit(train, M.naive_bayes(alpha))
