@@ -1,12 +1,20 @@
 import random
+import re
 
+import numpy as np
 import pytest
 
-from voxlake.llm.minhash import PathJoin, near_duplicates, shingles
+from voxlake.llm.minhash import PathJoin, _blocks, common_counts, near_duplicates
+
+
+def own_set(text, k):
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall("[^\x20\x09-\x0D]+", lower)
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
 
 
 def brute(rows, k, percent=80):
-    sets = [set(shingles(t, k).tolist()) for _, t in rows]
+    sets = [own_set(t, k) for _, t in rows]
     group = {i: i for i, _ in rows if i is not None}
     linked = [(a, b) for a in range(len(rows)) for b in range(a) if rows[a][0] is not None and rows[b][0] is not None and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]) > 0]
     changed = True
@@ -45,3 +53,31 @@ def test_equals_brute_force(spark, p, seed):
 
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_trees_follow_from_the_recall():
+    assert PathJoin().trees == 17 and PathJoin(target_recall=0.999).trees == 10
+    with pytest.raises(ValueError, match="more coordinates"):
+        PathJoin(percent=40, target_recall=0.999999).trees  # noqa: B018
+
+
+def test_common_counts_and_blocks():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 400, int(n)).astype(np.uint64)) for n in rng.integers(1, 300, 40)]
+    want = [[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets]
+    got = common_counts(sets)
+    off = ~np.eye(len(sets), dtype=bool)
+    assert (got[off] == np.array(want)[off]).all()
+    n = np.array([len(s) for s in sets])
+    blocks = _blocks(n, 2000)
+    assert (np.diff(blocks) >= 0).all() and all(8 * n[blocks == b].sum() <= 2000 or (blocks == b).sum() == 1 for b in set(blocks.tolist()))
+
+
+def test_sets_in_blocks_of_few_bytes(spark):
+    """One link in each leaf is found whatever two blocks its sets are in; one doc_id with several texts is one node."""
+    rows = corpus(3, 120)
+    rows += [(8000, rows[0][1]), (8000, rows[5][1] + " of its own"), (8001, "of its own " + rows[5][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_duplicates(df, PathJoin(words=3, block_bytes=1500)).collect()}
+    want = {i: c for i, _, c, _ in brute(rows, 3)}
+    assert got == want
