@@ -7,7 +7,7 @@ ln(c(w) / N). A text's first word scores ln(c(w) / N). Counts are over all rows,
 
 Documents are dealt over blocks of about ``block_chars`` characters by a hash of their place in the input, so that equal
 rows go to different blocks; both uses of the dealt rows share one shuffle. A block's n-grams are exploded, folded to
-distinct 64-bit hashes with 32-bit counts, and sent to the count tables by hash range, many n-grams to a row; a range adds up
+distinct 64-bit hashes (sorted, as differences) with 32-bit counts, and sent to the count tables by hash range, many n-grams to a row; a range adds up
 all blocks, and the totals that differ from a block's own counts, because other blocks hold the n-gram too, are joined back to
 the block by block, order and range, where they are looked up and summed for each document. Folding before the shuffle sends a frequent n-gram once from each block, so no range is hot, and ranges are
 numbered by the size of the corpus, so none outgrows a task.
@@ -72,6 +72,16 @@ def _ranges(sorted_grams: np.ndarray, n: int) -> np.ndarray:
     return ((sorted_grams >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
+def _packed(u: np.ndarray) -> bytes:
+    """Sorted hashes as the bytes of their differences, all lowest bytes first: the upper bytes are nearly all 0 and shrink when they are sent."""
+    return np.diff(u, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    planes = np.frombuffer(b, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def _folded(t: pa.Table, n: int, orders: int) -> pa.Table:
     h, size = _words(t.column("text"))
     block, rows = t.column("block")[0].as_py(), []
@@ -81,18 +91,18 @@ def _folded(t: pa.Table, n: int, orders: int) -> pa.Table:
         cuts = np.flatnonzero(np.diff(r)) + 1
         for a, b in zip(np.append(0, cuts), np.append(cuts, len(u)), strict=True):
             if b > a:
-                rows.append((block, order, int(r[a]), u[a:b].view(np.int64), c[a:b].astype(np.int32)))
+                rows.append((block, order, int(r[a]), _packed(u[a:b]), c[a:b].astype(np.int32)))
     cols = list(zip(*rows, strict=True)) or [()] * 5
-    lists = [pa.array(list(c), pa.list_(k)) for c, k in zip(cols[3:], (pa.int64(), pa.int32()), strict=True)]
+    lists = [pa.array(list(c), k) for c, k in zip(cols[3:], (pa.binary(), pa.list_(pa.int32())), strict=True)]
     return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), *lists], names=["block", "order", "range", "grams", "counts"])
 
 
 def _added(t: pa.Table) -> pa.Table:
-    grams, counts = (t.column(c).combine_chunks() for c in ("grams", "counts"))
-    flat, n = np.asarray(grams.flatten()), np.asarray(counts.flatten())
+    grams, counts = [_unpacked(g) for g in t.column("grams").to_pylist()], t.column("counts").combine_chunks()
+    flat, n = np.concatenate(grams), np.asarray(counts.flatten())
     _, at = np.unique(flat, return_inverse=True)
     total = np.bincount(at, n).astype(np.int64)[at]
-    lengths = np.asarray(grams.value_lengths()).astype(np.int64)
+    lengths = np.array([len(g) for g in grams], np.int64)
     shared = np.flatnonzero(total != n)
     ends = np.cumsum(lengths)
     rows = np.searchsorted(ends, shared, "right")
@@ -142,7 +152,7 @@ def score_documents(docs: DataFrame, p: Backoff = Backoff()) -> DataFrame:
     ranges = 1 + (total or 0) // p.grams_per_range
     block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("block", block)
-    folded = dealt.groupBy("block").applyInArrow(lambda t: _folded(t, ranges, p.order), "block long, order int, range long, grams array<long>, counts array<int>")
+    folded = dealt.groupBy("block").applyInArrow(lambda t: _folded(t, ranges, p.order), "block long, order int, range long, grams binary, counts array<int>")
     added = folded.groupBy("order", "range").applyInArrow(_added, "block long, order int, range long, size int, places array<int>, totals array<long>")
     return dealt.groupBy("block").cogroup(added.groupBy("block")).applyInArrow(lambda d, f: _scored(d, f, total, p), "doc_id long, n_words long, score double, mean_score double")
 
