@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, embedding_dedup, html_text, language_id, minhash, mixing, ngram_lm, pii, quality_rules, sentencepiece_fst
+from . import chat, embedding_dedup, html_text, language_id, lexical_search, minhash, mixing, ngram_lm, pii, quality_rules, sentencepiece_fst
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op9_chat": chat.op9_chat,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op12_lexical_search": lexical_search.op12_lexical_search,
 }
 ORACLES = {
     "op1_minhash": minhash.oracle_sql(),
@@ -25,4 +26,5 @@ ORACLES = {
     "op8_embedding_dedup": embedding_dedup.ORACLE_SQL,
     "op9_chat": chat.ORACLE_SQL,
     "op10_quality_rules": quality_rules.ORACLE_SQL,
+    "op12_lexical_search": lexical_search.ORACLE_SQL,
 }
