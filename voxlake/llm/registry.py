@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, embedding_dedup, html_text, language_id, lexical_search, minhash, mixing, ngram_lm, pii, quality_rules, sentencepiece_fst
+from . import chat, conversation_repair, embedding_dedup, html_text, language_id, lexical_search, minhash, mixing, ngram_lm, pii, quality_rules, sentencepiece_fst
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_chat": chat.op9_chat,
     "op10_quality_rules": quality_rules.op10_quality_rules,
     "op12_lexical_search": lexical_search.op12_lexical_search,
+    "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
 ORACLES = {
     "op1_minhash": minhash.oracle_sql(),
@@ -27,4 +28,5 @@ ORACLES = {
     "op9_chat": chat.ORACLE_SQL,
     "op10_quality_rules": quality_rules.ORACLE_SQL,
     "op12_lexical_search": lexical_search.ORACLE_SQL,
+    "op13_conversation_repair": conversation_repair.ORACLE_SQL,
 }
