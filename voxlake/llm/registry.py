@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, conversation_repair, embedding_dedup, html_text, language_id, lexical_search, minhash, mixing, ngram_lm, pii, quality_rules, sentencepiece_fst
+from . import chat, conversation_repair, embedding_dedup, html_text, language_id, lexical_search, minhash, mixing, ngram_lm, pii, quality_rules, sentencepiece_fst, toxicity
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op9_chat": chat.op9_chat,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_toxicity": toxicity.op11_toxicity,
     "op12_lexical_search": lexical_search.op12_lexical_search,
     "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
