@@ -145,10 +145,36 @@ def test_samples_do_not_depend_on_layout(spark):
     df = spark.range(500).select(F.col("id"), (F.col("id") % 3).alias("label"))
     one = {r.id for r in S.balanced_sample(df.repartition(1), ["label"], 20, "id").collect()}
     assert one == {r.id for r in S.balanced_sample(df.repartition(9), ["label"], 20, "id").collect()} and len(one) == 60
-    parts = {r.split: r.n for r in S.split(df, {"train": 0.8, "test": 0.2}, "id").groupBy("split").agg(F.count("*").alias("n")).collect()}
+    parts = {r.split: r.n for r in S.hash_split(df, {"train": 0.8, "test": 0.2}, "id").groupBy("split").agg(F.count("*").alias("n")).collect()}
     assert sum(parts.values()) == 500 and 60 < parts["test"] < 140
 
 
+def test_stratified_parts_and_folds(spark):
+    """Each class's parts are within one row of its share, however small the class and whatever the layout."""
+    sizes = {"a": 700, "b": 10, "c": 3, "d": 1, None: 40}
+    rows = [(f"{label}{i}", label) for label, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "id string, label string")
+    nested = {"train": 0.7, "rest": (0.3, {"val": 0.5, "test": 0.5})}
+    seen = []
+    for layout in (df.repartition(1), df.repartition(7), df.orderBy("id")):
+        out = S.folds(S.split(layout, nested, "id", "label"), 5, "id", "label").collect()
+        assert len(out) == len(rows)
+        seen.append(sorted((r.id, r.split, r.fold) for r in out))
+        for label, n in sizes.items():
+            own = [r for r in out if r.label == label]
+            for part, share in {"train": 0.7, "val": 0.15, "test": 0.15}.items():
+                assert abs(sum(r.split == part for r in own) - n * share) <= 1
+            folds = [sum(r.fold == k for r in own) for k in range(5)]
+            assert max(folds) - min(folds) <= 1 and folds == sorted(folds, reverse=True)
+    assert seen[0] == seen[1] == seen[2]
+    two = S.split(df, {"train": 0.8, "test": 0.2}, "id", "label").where("label = 'b' AND split = 'test'").count()
+    assert two == 2
+    assert S.split(df.limit(0), nested, "id", "label").count() == S.folds(df.limit(0), 3, "id", "label").count() == 0
+    plan = S.split(df, nested, "id", "label")._jdf.queryExecution().optimizedPlan().toString()
+    ranks = [line for line in plan.splitlines() if "Window" in line and "row_number()" in line]
+    assert len(ranks) == 1 and "_prefix" in ranks[0].split("windowspecdefinition(")[1].split(" ASC")[0]  # no window holds a class
+
+
 def test_classical_models(spark, tmp_path):
     rng = np.random.default_rng(0)
     words = {"negative": "bad awful broken late", "neutral": "okay fine average plain", "positive": "great lovely perfect fast"}
@@ -160,10 +186,46 @@ def test_classical_models(spark, tmp_path):
     scored = M.score(M.load(str(tmp_path / "m")), train)
     assert E.overall(scored.select(F.col("sentiment_label").alias("true_label"), "pred")).first().accuracy > 0.95
     assert set(scored.first().scores) == {"negative", "neutral", "positive"}
-    best, means = M.tuned(train, "nb", "id", k=2, grid=(0.1, 1.0))
+    rows = S.folds(M.featured(train, M.features(train)), 2, "id", "sentiment_label")
+    best, means = M.tuned(rows, "nb", k=2, grid=(0.1, 1.0))
     assert best in (0.1, 1.0) and len(means) == 2
-    folds = M.cross_validated(train, M.naive_bayes(0.1), "id", k=2)
-    assert folds.count() == 2 and M.fold_summary(folds).first()["mean"] > 0.9
+    folds = M.cross_validated(rows, {"nb": 0.1, "lr": 1.0}, k=2)
+    assert folds.count() == 4 and all(r["mean"] > 0.9 for r in M.fold_summary(folds).collect())
+    again = M.cross_validated(S.folds(train, 2, "id", "sentiment_label"), {"nb": 0.1}, k=2, refit_features=True)
+    assert again.count() == 2
+
+
+def test_features_and_logistic_regression_against_numpy(spark):
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(12)]
+    rows = [(i, " ".join(rng.choice(words, 9, p=np.roll(np.arange(1, 13) / 78, 4 * (i % 3)))), ("negative", "neutral", "positive")[i % 3 if i % 5 else 0]) for i in range(90)]
+    train = M.prepared(spark.createDataFrame(rows, "id long, text string, sentiment_label string"))
+    found = M.featured(train, M.features(train, size=30)).orderBy("id").collect()
+    docs = [r.terms for r in train.orderBy("id").collect()]
+    df, total = {}, {}
+    for d in docs:
+        for t in d:
+            total[t] = total.get(t, 0) + 1
+        for t in set(d):
+            df[t] = df.get(t, 0) + 1
+    vocab = sorted((t for t in df if df[t] >= 2), key=lambda t: (-total[t], t))[:30]
+    x = np.array([[(1 + np.log(d.count(t))) * (np.log((1 + len(docs)) / (1 + df[t])) + 1) if t in d else 0.0 for t in vocab] for d in docs])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert np.allclose(x, np.array([r.features.toArray() for r in found]))
+    y = np.array([int(r.label) for r in found])
+    c, n = 2.0, len(y)
+    w, b = np.zeros((3, x.shape[1])), np.zeros(3)
+    for _ in range(20_000):  # plain gradient descent on the mean loss with |w|^2 / (2 c n)
+        z = x @ w.T + b
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        g = p - np.eye(3)[y]
+        w -= 0.5 * (g.T @ x / n + w / (c * n))
+        b -= 0.5 * g.mean(0)
+    data = spark.createDataFrame(found)
+    scored = M.logistic_regression(c, n).fit(data).transform(data).orderBy("id").collect()
+    assert np.allclose(p, np.array([r.probability.toArray() for r in scored]), atol=2e-3)
+
 
 
 def test_approximate_neighbours_against_exact_search(spark):

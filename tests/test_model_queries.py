@@ -21,28 +21,30 @@ def test_whole_texts(spark, folder):
 
 @pytest.mark.parametrize("query,kind,grid", [(Q.m2, "lr", M.C_GRID), (Q.m3, "nb", M.ALPHA_GRID)])
 def test_tuned_over_the_grid_with_the_default_vocabulary(spark, folder, monkeypatch, query, kind, grid):
-    tuned, fit, calls = M.tuned, M.fit, []
+    tuned, features, calls = M.tuned, M.features, []
 
     def seen_tuned(train, k, *a, **kw):
         best, means = tuned(train, k, *a, **kw)
         calls.append((k, tuple(v for v, _ in means)))
         return best, means
 
-    def seen_fit(train, classifier, *a, **kw):
+    def seen_features(train, *a, **kw):
         calls.append((a, kw))
-        return fit(train, classifier, *a, **kw)
+        return features(train, *a, **kw)
 
     monkeypatch.setattr(M, "tuned", seen_tuned)
-    monkeypatch.setattr(M, "fit", seen_fit)
+    monkeypatch.setattr(M, "features", seen_features)
     row = query(spark, folder).first()
-    assert calls == [(kind, grid), ((), {})] and row.accuracy == 1.0
+    assert calls == [((), {}), (kind, grid)] and row.accuracy == 1.0
 
 
-def test_five_folds(spark, folder, monkeypatch):
+def test_both_classifiers_over_five_folds(spark, folder, monkeypatch):
     seen, summary = [], M.fold_summary
     monkeypatch.setattr(M, "fold_summary", lambda scores: seen.append(scores) or summary(scores))
-    assert Q.m4(spark, folder).first()["mean"] == 1.0
-    assert sorted(r.fold for r in seen[0].collect()) == [0, 1, 2, 3, 4]
+    monkeypatch.setattr(M, "C_GRID", (1.0, 5.0))
+    monkeypatch.setattr(M, "ALPHA_GRID", (0.1, 1.0))
+    assert {r.model: r["mean"] for r in Q.m4(spark, folder).collect()} == {"lr": 1.0, "nb": 1.0}
+    assert sorted((r.model, r.fold) for r in seen[0].collect()) == [(m, f) for m in ("lr", "nb") for f in range(5)]
 
 
 def test_analyse_keeps_reviews_without_a_vector(spark, folder):

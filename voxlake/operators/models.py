@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark import keyword_only
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.feature import CountVectorizer, IDF
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +22,6 @@ from ..schemas import LABELS
 from ..sources.scratch import stored
 from .evaluation import overall
 from .features import terms
-from .sampling import folds
 
 C_GRID, ALPHA_GRID = (0.01, 0.1, 1.0, 5.0, 10.0), (0.01, 0.05, 0.1, 0.5, 1.0)
 
@@ -32,8 +39,47 @@ def prepared(reviews: DataFrame, text: str = "text", label: str = "sentiment_lab
     return reviews.withColumn("label", encode(label)).where("label >= 0").withColumn("terms", terms(text))
 
 
-def feature_stages(vocabulary: int = 50_000, min_df: float = 2.0) -> list:
-    return [CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=vocabulary, minDF=min_df), IDF(inputCol="counts", outputCol="features")]
+class SublinearCounts(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """1 + ln of each count of a vector column. The values of a whole Arrow batch are one array, so nothing runs by row."""
+
+    @keyword_only
+    def __init__(self, inputCol: str | None = None, outputCol: str | None = None):
+        super().__init__()
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        out = dataset.withColumn(self.getOutputCol(), F.col(self.getInputCol()))
+        at = out.columns.index(self.getOutputCol())
+
+        def run(batches):
+            for b in batches:
+                kind, size, indices, values = b.column(at).flatten()
+                offsets, flat = values.offsets, np.asarray(values.values, dtype=float)
+                log = pa.ListArray.from_arrays(offsets, pa.array(1 + np.log(np.maximum(flat, 1e-300))))
+                column = pa.StructArray.from_arrays([kind, size, indices, log], names=["type", "size", "indices", "values"])
+                yield pa.RecordBatch.from_arrays([column if k == at else c for k, c in enumerate(b.columns)], names=b.schema.names)
+
+        return out.mapInArrow(run, out.schema)
+
+
+def features(train: DataFrame, size: int = 50_000, min_df: int = 2) -> PipelineModel:
+    """terms to ``features``: ``1 + ln tf`` times ``ln((1 + n) / (1 + df)) + 1``, rows of unit length. The vocabulary is the
+    ``size`` most frequent terms of ``train`` that ``min_df`` of its rows have, ties by term; it passes through the driver."""
+    seen = lambda terms_, total, df: F.transform(terms_, lambda t: F.struct(t.alias("term"), F.lit(total).alias("total"), F.lit(df).alias("df")))
+    each = train.select(F.explode(F.concat(seen("terms", 1, 0), seen(F.array_distinct("terms"), 0, 1))).alias("t"))
+    counts = each.groupBy("t.term").agg(F.sum("t.total").alias("total"), F.sum("t.df").alias("df")).where(F.col("df") >= min_df)
+    vocab = [(r.term, r.df) for r in counts.orderBy(F.desc("total"), "term").limit(size).collect()] or [("", 0)]
+    n = train.count()
+    idf = [math.log((1.0 + n) / (1.0 + df)) + 1.0 for _, df in vocab]
+    return PipelineModel(
+        [CountVectorizerModel.from_vocabulary([t for t, _ in vocab], inputCol="terms", outputCol="_counts"), SublinearCounts(inputCol="_counts", outputCol="_tf"),
+         ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="_tf", outputCol="_weights"), Normalizer(p=2.0, inputCol="_weights", outputCol="features")]
+    )
+
+
+def featured(rows: DataFrame, model: PipelineModel) -> DataFrame:
+    """``rows`` with their ``features``, without the steps between and without terms."""
+    return model.transform(rows).drop("_counts", "_tf", "_weights", "terms")
 
 
 def logistic_regression(c: float, n: int) -> LogisticRegression:
@@ -44,15 +90,21 @@ def naive_bayes(alpha: float) -> NaiveBayes:
     return NaiveBayes(modelType="multinomial", smoothing=alpha)
 
 
-def fit(train: DataFrame, classifier, vocabulary: int = 50_000) -> PipelineModel:
-    return Pipeline(stages=[*feature_stages(vocabulary), classifier]).fit(train)
+def classifier(kind: str, value: float, n: int):
+    return logistic_regression(value, n) if kind == "lr" else naive_bayes(value)
+
+
+def fit(train: DataFrame, classifier_, size: int = 50_000) -> PipelineModel:
+    """Features and classifier in one model that can be saved."""
+    steps = features(train, size)
+    return PipelineModel([*steps.stages, classifier_.fit(featured(train, steps))])
 
 
 def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """pred, confidence and the score of every label, to four decimals."""
     out = model.transform(rows).withColumn("_p", vector_to_array("probability"))
     scores = F.map_from_arrays(F.array(*map(F.lit, LABELS)), F.transform(F.sequence(F.lit(1), F.lit(len(LABELS))), lambda i: F.round(F.coalesce(F.try_element_at("_p", i), F.lit(0.0)), 4)))
-    return out.withColumn("pred", decode("prediction")).withColumn("confidence", F.round(F.array_max("_p"), 4)).withColumn("scores", scores).drop("_p", "rawPrediction", "probability", "counts", "features")
+    return out.withColumn("pred", decode("prediction")).withColumn("confidence", F.round(F.array_max("_p"), 4)).withColumn("scores", scores).drop("_p", "rawPrediction", "probability", "_counts", "_tf", "_weights", "features")
 
 
 class MacroF1(Evaluator):
@@ -66,41 +118,40 @@ class MacroF1(Evaluator):
         return True
 
 
-def tuned(train: DataFrame, kind: str, id_column: str, k: int = 3, grid: tuple[float, ...] | None = None) -> tuple[float, list[tuple[float, float]]]:
-    """The best grid value by mean macro F1 over k hash folds, and the mean of each value. A fold's vocabulary and idf see only
-    its own training part and serve every value. The loop is over folds and grid."""
-    rows, values = folds(train, k, id_column).select("label", "terms", "fold").persist(), grid or (C_GRID if kind == "lr" else ALPHA_GRID)
+def tuned(rows: DataFrame, kind: str, k: int = 3, grid: tuple[float, ...] | None = None) -> tuple[float, list[tuple[float, float]]]:
+    """The best grid value by mean macro F1 over the folds, and the mean of each value. ``rows``: label, features, fold.
+
+    As in the evaluation that it stands for, vocabulary and idf are those of all of ``rows``. The loop is over folds and grid."""
+    values = grid or (C_GRID if kind == "lr" else ALPHA_GRID)
     found: dict[float, list[float]] = {value: [] for value in values}
     for f in range(k):
-        part = rows.where(F.col("fold") != f)
-        features = Pipeline(stages=feature_stages()).fit(part)
-        seen, rest = (features.transform(x).select("label", "features").persist() for x in (part, rows.where(F.col("fold") == f)))
-        n = seen.count()
+        part, rest = rows.where(F.col("fold") != f), rows.where(F.col("fold") == f)
+        n = part.count()
         for value in values:
-            model = (logistic_regression(value, n) if kind == "lr" else naive_bayes(value)).fit(seen)
-            found[value].append(MacroF1()._evaluate(model.transform(rest)))
-        seen.unpersist()
-        rest.unpersist()
-    rows.unpersist()
+            found[value].append(MacroF1()._evaluate(classifier(kind, value, n).fit(part).transform(rest)))
     means = [(value, sum(found[value]) / k) for value in values]
-    return max(means, key=lambda m: (m[1], -m[0]))[0], means
+    return max(means, key=lambda m: (round(m[1], 12), -m[0]))[0], means
 
 
-def cross_validated(train: DataFrame, classifier, id_column: str, k: int = 5, refit_features: bool = True) -> DataFrame:
-    """fold and macro F1. With ``refit_features`` the vocabulary and idf of a fold see only its own training part."""
-    rows = stored(folds(train, k, id_column))
-    features = None if refit_features else Pipeline(stages=feature_stages()).fit(rows)
+def cross_validated(rows: DataFrame, kinds: dict[str, float], k: int = 5, refit_features: bool = False) -> DataFrame:
+    """model, fold and macro F1 of each kind (``lr``, ``nb``) at its value. ``rows``: label, fold and ``features`` of one
+    vocabulary, or ``terms`` with ``refit_features``, where a fold's vocabulary and idf see only its own training part."""
     out = None
     for f in range(k):
         part, rest = rows.where(F.col("fold") != f), rows.where(F.col("fold") == f)
-        scored = fit(part, classifier).transform(rest) if refit_features else classifier.fit(features.transform(part)).transform(features.transform(rest))
-        one = overall(scored.select(decode("label").alias("true_label"), decode("prediction").alias("pred"))).select(F.lit(f).alias("fold"), "macro_f1")
-        out = one if out is None else out.union(one)
+        if refit_features:
+            steps = features(part)
+            part, rest = stored(featured(part, steps)), stored(featured(rest, steps))
+        n = part.count()
+        for kind, value in kinds.items():
+            scored = classifier(kind, value, n).fit(part).transform(rest).select(decode("label").alias("true_label"), decode("prediction").alias("pred"))
+            one = overall(scored).select(F.lit(kind).alias("model"), F.lit(f).alias("fold"), "macro_f1")
+            out = one if out is None else out.union(one)
     return out
 
 
 def fold_summary(scores: DataFrame) -> DataFrame:
-    return scores.agg(F.round(F.avg("macro_f1"), 6).alias("mean"), F.round(F.stddev_pop("macro_f1"), 6).alias("spread"))
+    return scores.groupBy("model").agg(F.round(F.avg("macro_f1"), 6).alias("mean"), F.round(F.stddev_pop("macro_f1"), 6).alias("spread"))
 
 
 def save(model: PipelineModel, path: str) -> None:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import uuid
+from functools import reduce
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import analysis as N
@@ -300,37 +302,126 @@ def m1(spark, d):
     return V.table(spark, d, "documents").select("doc_id", label.alias("sentiment_label")).select("doc_id", M.encode("sentiment_label").alias("label"))
 
 
-@query("m2_m6_logistic_regression")
-def m2(spark, d):
-    rows = stored(S.split(labelled(spark, d), {"train": 0.8, "test": 0.2}, "doc_id"))
-    train = rows.where("split = 'train'")
-    c, _ = M.tuned(train, "lr", "doc_id")
-    model = M.fit(train, M.logistic_regression(c, train.count()))
+def parted(spark, d, folds: int):
+    """The train rows with their folds and features, and the test rows with features: the vocabulary is the train rows'."""
+    rows = stored(S.split(labelled(spark, d), {"train": 0.8, "test": 0.2}, "doc_id", "sentiment_label"))
+    train, test = (rows.where(F.col("split") == x).drop("split") for x in ("train", "test"))
+    steps = M.features(train)
+    return stored(S.folds(M.featured(train, steps), folds, "doc_id", "sentiment_label")), stored(M.featured(test, steps))
+
+
+def judged(scored, value):
     from ..operators.evaluation import overall
 
-    return overall(M.score(model, rows.where("split = 'test'")).select(F.col("sentiment_label").alias("true_label"), "pred")).select("n", "accuracy", "macro_f1")
+    seen = stored(scored.select(F.col("sentiment_label").alias("true_label"), M.decode("prediction").alias("pred"), F.array_max(vector_to_array("rawPrediction")).alias("joint")))
+    joint = seen.agg(F.round(F.avg("joint"), 4).alias("mean_joint"))
+    return overall(seen).select("n", "accuracy", "macro_f1").withColumn("value", F.lit(value)).join(joint)
 
 
-@query("m3_m6_naive_bayes")
+@query("m2_m6_logistic_regression")
+def m2(spark, d):
+    train, test = parted(spark, d, 3)
+    c, _ = M.tuned(train, "lr")
+    return judged(M.logistic_regression(c, train.count()).fit(train).transform(test), c).drop("mean_joint")
+
+
+#: Multinomial Naive Bayes over T3 weights as sums. ``g`` names a part left out of training: a fold, or -1 (the test rows).
+BAYES = """
+WITH labelled AS (
+  SELECT doc_id AS doc, CASE lang WHEN 'en' THEN 'negative' WHEN 'fr' THEN 'neutral' ELSE 'positive' END AS label FROM documents
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || doc), doc) AS k, count(*) OVER (PARTITION BY label) AS n FROM labelled
+), train AS (
+  SELECT doc, label, CAST(ntile({folds}) OVER (PARTITION BY label ORDER BY md5('fold:42:' || doc), doc) - 1 AS INTEGER) AS g
+  FROM ranked WHERE k <= floor(n * {train}::DOUBLE + 0.5)
+), parts AS (
+  SELECT * FROM train UNION ALL SELECT doc, label, -1 FROM ranked WHERE {test}
+), words AS (
+  SELECT doc_id AS doc, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}_]{2,}') AS w FROM documents
+), tf AS (
+  SELECT doc, term, 1 + ln(count(*)) AS tf, count(*) AS n FROM (
+    SELECT doc, unnest(w) AS term FROM words UNION ALL SELECT doc, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM words
+  ) GROUP BY ALL
+), vocabulary AS (
+  SELECT term, count(*) AS df FROM tf SEMI JOIN train USING (doc) GROUP BY term HAVING count(*) >= 2 ORDER BY sum(n) DESC, term LIMIT 50000
+), raw AS (
+  SELECT doc, term, tf * (ln((1.0::DOUBLE + (SELECT count(*) FROM train)) / (1.0 + df)) + 1.0) AS w FROM tf JOIN vocabulary USING (term)
+), weights AS (
+  SELECT doc, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc)) AS w FROM raw
+), alphas AS (
+  SELECT unnest([{alphas}])::DOUBLE AS alpha
+), runs AS (
+  SELECT DISTINCT g FROM parts
+), class_sums AS (
+  SELECT r.g, t.label, term, sum(w) AS s FROM runs r JOIN train t ON t.g <> r.g JOIN weights USING (doc) GROUP BY ALL
+), class_totals AS (
+  SELECT g, label, sum(s) AS total FROM class_sums GROUP BY ALL
+), class_sizes AS (
+  SELECT *, sum(n) OVER (PARTITION BY g) AS n_all, count(*) OVER (PARTITION BY g) AS n_labels
+  FROM (SELECT r.g, t.label, count(*) AS n FROM runs r JOIN train t ON t.g <> r.g GROUP BY r.g, t.label)
+), cells AS (
+  SELECT p.g, p.doc, p.label AS truth, c.label, alpha, sum(w * ln(coalesce(s, 0) + alpha)) AS gain, sum(w) AS mass
+  FROM parts p JOIN weights USING (doc) JOIN class_totals c ON c.g = p.g CROSS JOIN alphas
+  LEFT JOIN class_sums x ON x.g = p.g AND x.label = c.label AND x.term = weights.term GROUP BY ALL
+), scores AS (
+  SELECT l.g, l.doc, l.truth, z.label, a.alpha,
+    ln(z.n + a.alpha) - ln(z.n_all + z.n_labels * a.alpha) + coalesce(gain, 0) - coalesce(mass, 0) * ln(total + a.alpha * (SELECT count(*) FROM vocabulary)) AS joint
+  FROM (SELECT g, doc, label AS truth FROM parts) l JOIN class_sizes z ON z.g = l.g JOIN class_totals t ON t.g = z.g AND t.label = z.label CROSS JOIN alphas a
+  LEFT JOIN cells c ON c.g = l.g AND c.doc = l.doc AND c.label = z.label AND c.alpha = a.alpha
+), predicted AS (
+  SELECT g, alpha, doc, truth, label AS pred, joint FROM scores QUALIFY row_number() OVER (PARTITION BY g, alpha, doc ORDER BY joint DESC, label) = 1
+), by_class AS (
+  SELECT g, alpha, label, count(*) FILTER (truth = label AND pred = label) AS tp, count(*) FILTER (truth = label) AS support, count(*) FILTER (pred = label) AS found
+  FROM predicted, (VALUES ('negative'), ('neutral'), ('positive')) AS l(label) GROUP BY ALL
+), judged AS (
+  SELECT g, alpha, CAST(sum(support) AS BIGINT) AS n, round(sum(tp)::DOUBLE / sum(support)::DOUBLE, 6) AS accuracy, round(avg(2.0 * tp / (support + found)), 6) AS macro_f1
+  FROM by_class WHERE support + found > 0 GROUP BY ALL
+)
+"""
+
+
+def bayes_sql(folds: int, alphas, train: str = "0.8", test: str = "k > floor(n * 0.8::DOUBLE + 0.5)") -> str:
+    values = {"folds": folds, "alphas": ", ".join(map(str, alphas)), "train": train, "test": test}
+    return reduce(lambda sql, name: sql.replace("{" + name + "}", str(values[name])), values, BAYES)
+
+
+@query("m3_m6_naive_bayes", bayes_sql(3, M.ALPHA_GRID) + """, best AS (
+  SELECT alpha FROM judged WHERE g >= 0 GROUP BY alpha ORDER BY round(avg(macro_f1), 12) DESC, alpha LIMIT 1
+)
+SELECT n, accuracy, macro_f1, alpha AS value, (SELECT round(avg(joint), 4) FROM predicted p WHERE p.g = -1 AND p.alpha = best.alpha) AS mean_joint
+FROM judged JOIN best USING (alpha) WHERE g = -1""")
 def m3(spark, d):
-    rows = stored(S.split(labelled(spark, d), {"train": 0.8, "test": 0.2}, "doc_id"))
-    train = rows.where("split = 'train'")
-    alpha, _ = M.tuned(train, "nb", "doc_id")
-    model = M.fit(train, M.naive_bayes(alpha))
-    from ..operators.evaluation import overall
+    train, test = parted(spark, d, 3)
+    alpha, _ = M.tuned(train, "nb")
+    return judged(M.naive_bayes(alpha).fit(train).transform(test), alpha)
+
 
-    return overall(M.score(model, rows.where("split = 'test'")).select(F.col("sentiment_label").alias("true_label"), "pred")).select("n", "accuracy", "macro_f1")
+@query("m4_w14_cross_validation")
+def m4(spark, d):
+    """Both classifiers at their tuned values, over five folds of the train rows and one vocabulary."""
+    train, _ = parted(spark, d, 5)
+    tuning = stored(S.folds(train.drop("fold"), 3, "doc_id", "sentiment_label", "tune"))
+    return M.fold_summary(M.cross_validated(train, {kind: M.tuned(tuning, kind)[0] for kind in ("lr", "nb")}, 5))
+
+
+@query("m4_naive_bayes_folds", bayes_sql(5, [0.1]) + "SELECT 'nb' AS model, g AS fold, macro_f1 FROM judged WHERE g >= 0")
+def m4_nb(spark, d):
+    return M.cross_validated(parted(spark, d, 5)[0], {"nb": 0.1}, 5)
 
 
-@query("m5_model_files", "SELECT count(*) AS n, CAST(0 AS BIGINT) AS different FROM documents")
+@query("m5_model_files", bayes_sql(5, [0.1], "1.0", "true") + """
+SELECT pred, count(*) AS n, CAST(0 AS BIGINT) AS different, round(avg(joint), 4) AS mean_joint FROM predicted WHERE g = -1 GROUP BY pred""")
 def m5(spark, d):
-    """A fitted model written, read back and used: no row is scored otherwise."""
+    """A fitted model written, read back and used: no row is scored otherwise, and the rows are scored as the sums say."""
     rows = stored(labelled(spark, d))
     model, path = M.fit(rows, M.naive_bayes(0.1)), fresh_path(spark, "model")
     M.save(model, path)
     one, two = (M.score(m, rows).select("doc_id", "pred", "confidence", F.map_entries("scores").alias("scores")) for m in (model, M.load(path)))
     two = two.select(F.col("doc_id").alias("id"), F.struct("pred", "confidence", "scores").alias("again"))
-    return one.join(two, F.col("doc_id") == F.col("id")).agg(F.count("*").alias("n"), F.count_if(F.struct("pred", "confidence", "scores") != F.col("again")).alias("different"))
+    joint = M.load(path).transform(rows).select(F.col("doc_id").alias("key"), F.array_max(vector_to_array("rawPrediction")).alias("joint"))
+    both = one.join(two, F.col("doc_id") == F.col("id")).join(joint, F.col("doc_id") == F.col("key"))
+    same = F.struct("pred", "confidence", "scores") == F.col("again")
+    return both.groupBy("pred").agg(F.count("*").alias("n"), F.count_if(~same).alias("different"), F.round(F.avg("joint"), 4).alias("mean_joint"))
 
 
 # streams over the events table, each held against its batch form
@@ -457,11 +548,6 @@ def x11(spark, d):
     return a.join(near, "id", "left").select("id", "label", F.coalesce("category_key", F.lit("General Feedback")).alias("category"), F.array_join(F.transform(F.slice("near", 1, 5), lambda x: x["doc_id"].cast("string")), ",").alias("similar"))
 
 
-@query("m4_w14_cross_validation")
-def m4(spark, d):
-    return M.fold_summary(M.cross_validated(labelled(spark, d), M.naive_bayes(0.1), "doc_id", 5))
-
-
 @query("tx13_single_source_audit")
 def tx13(spark, d):
     """The topics of one source, without merging."""

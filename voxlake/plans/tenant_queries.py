@@ -266,9 +266,6 @@ def w15(spark, d):
     return c.where("role = 'user' AND next_role = 'assistant'").select("conv_id", "turn", F.col("text").alias("question"), "answer")
 
 
-UNIT = lambda seed, c="review_id": f"(CAST('0x' || substr(md5('{seed}:' || {c}), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
-
-
 @query("w4_balanced_sample", R + "SELECT review_id, sentiment_label FROM (SELECT *, row_number() OVER (PARTITION BY sentiment_label ORDER BY md5('42:' || review_id), review_id) AS k FROM reviews) WHERE k <= 100")
 def w4(spark, d):
     return S.balanced_sample(V.reviews(spark, d), ["sentiment_label"], 100, "review_id").select("review_id", "sentiment_label")
@@ -279,24 +276,33 @@ def w5(spark, d):
     return S.balanced_sample(V.reviews(spark, d), ["platform", "sentiment_label"], 5, "review_id", "7").select("review_id", "platform", "sentiment_label")
 
 
-@query("w13_split", R + f"SELECT review_id, CASE WHEN {UNIT('42')} < 0.7 THEN 'train' WHEN {UNIT('42')} < 0.85 THEN 'val' ELSE 'test' END AS split FROM reviews")
+RANKED = lambda seed, name: f"""{name} AS (
+  SELECT review_id, row_number() OVER (PARTITION BY sentiment_label ORDER BY md5('{seed}:' || review_id), review_id) AS k, count(*) OVER (PARTITION BY sentiment_label) AS n
+  FROM reviews)"""
+
+
+@query("w13_split", R.rstrip() + f""", {RANKED('42', 'ranked')}, cut AS (SELECT *, CAST(floor(n * 0.7::DOUBLE + 0.5) AS BIGINT) AS first FROM ranked)
+SELECT review_id, CASE WHEN k <= first THEN 'train' WHEN k - first <= floor((n - first) * 0.5::DOUBLE + 0.5) THEN 'val' ELSE 'test' END AS split FROM cut""")
 def w13(spark, d):
-    return S.split(V.reviews(spark, d), {"train": 0.7, "val": 0.15, "test": 0.15}, "review_id").select("review_id", "split")
+    """70 / 15 / 15 as it is made in two steps: the rest is halved."""
+    shares = {"train": 0.7, "rest": (0.3, {"val": 0.5, "test": 0.5})}
+    return S.split(V.reviews(spark, d), shares, "review_id", "sentiment_label").select("review_id", "split")
 
 
-@query("w14_folds", R + f"SELECT review_id, CAST(floor({UNIT('fold:42')} * 5) AS INTEGER) AS fold FROM reviews")
+@query("w14_folds", R + "SELECT review_id, CAST(ntile(5) OVER (PARTITION BY sentiment_label ORDER BY md5('fold:42:' || review_id), review_id) - 1 AS INTEGER) AS fold FROM reviews")
 def w14(spark, d):
-    return S.folds(V.reviews(spark, d), 5, "review_id").select("review_id", "fold")
+    return S.folds(V.reviews(spark, d), 5, "review_id", "sentiment_label").select("review_id", "fold")
 
 
-@query("j7_a38_u3_split_overlap", R + f""", t AS (SELECT review_id FROM reviews WHERE {UNIT('42')} >= 0.8), a AS (SELECT review_id FROM reviews WHERE {UNIT('7')} < 0.7), v AS (SELECT review_id FROM reviews WHERE {UNIT('7')} >= 0.7 AND {UNIT('7')} < 0.85),
+@query("j7_a38_u3_split_overlap", R.rstrip() + f""", {RANKED('42', 'one')}, {RANKED('7', 'two')}, t AS (SELECT review_id FROM one WHERE k > floor(n * 0.8::DOUBLE + 0.5)),
+a AS (SELECT review_id FROM two WHERE k <= floor(n * 0.7::DOUBLE + 0.5)), v AS (SELECT review_id FROM two WHERE k > floor(n * 0.7::DOUBLE + 0.5) AND k <= floor(n * (0.7::DOUBLE + 0.15) + 0.5)),
 u AS (SELECT * FROM a UNION SELECT * FROM v), c AS (SELECT 'train' AS part, count(*) AS n_shared FROM t SEMI JOIN a USING (review_id) UNION ALL SELECT 'val', count(*) FROM t SEMI JOIN v USING (review_id) UNION ALL SELECT 'either', count(*) FROM t SEMI JOIN u USING (review_id))
 SELECT part, (SELECT count(*) FROM t) AS n_test, n_shared, {PCT('n_shared', '(SELECT count(*) FROM t)', 4)} AS pct FROM c""")
 def j7(spark, d):
-    r = V.reviews(spark, d).select("review_id")
-    test = S.split(r, {"train": 0.8, "test": 0.2}, "review_id").where("split = 'test'").drop("split")
-    other = S.split(r, {"train": 0.7, "val": 0.15, "test": 0.15}, "review_id", "7")
-    train, val = (other.where(F.col("split") == x).drop("split") for x in ("train", "val"))
+    r = V.reviews(spark, d).select("review_id", "sentiment_label")
+    test = S.split(r, {"train": 0.8, "test": 0.2}, "review_id", "sentiment_label").where("split = 'test'").select("review_id")
+    other = S.split(r, {"train": 0.7, "val": 0.15, "test": 0.15}, "review_id", "sentiment_label", "7")
+    train, val = (other.where(F.col("split") == x).select("review_id") for x in ("train", "val"))
     return S.overlap(test, {"train": train, "val": val, "either": train.union(val).distinct()}, "review_id")
 
 
