@@ -20,9 +20,11 @@ def tables(spark):
     rows = [(i, 1, 7, texts[i], None, ratings[i], days[i], D(2026, 2, 3), '{"platform":"app store"}' if i in (6, 7, 8) else '{"platform":"web"}') for i in range(10)]
     rows.append((99, 2, 7, "other tenant", None, 5.0, D(2026, 1, 1), D(2026, 1, 1), '{"platform":"web"}'))
     feedback = spark.createDataFrame(rows, "feedback_id long, organisation_id long, import_batch_id long, text string, external_id string, rating double, feedback_at timestamp_ntz, created_at timestamp_ntz, metadata string")
-    res = [(i, 1, labels[i], keys[i], 0.9, i == 6, True) for i in range(9)] + [(0, 1, "positive", "food", 0.1, False, False), (99, 2, "positive", None, 0.9, False, True)]
-    results = spark.createDataFrame(res, "feedback_id long, organisation_id long, label string, category_key string, confidence double, is_unclassified boolean, is_current boolean")
-    categories = spark.createDataFrame([("wait_times", "Wait", None, True), ("billing", "Billing", None, True), ("service", "Service", None, True), ("food", "Food", None, True), ("food", "Our food", 1, True), ("old", "Old", None, False)], "key string, name string, organisation_id long, is_active boolean")
+    ids = {"wait_times": 1, "billing": 2, "service": 3, "food": 4, "old": 5, None: None}
+    res = [(i, 1, labels[i], ids[keys[i]], 0.9, i == 6, True) for i in range(9)] + [(0, 1, "positive", 4, 0.1, False, False), (99, 2, "positive", None, 0.9, False, True)]
+    results = spark.createDataFrame(res, "feedback_id long, organisation_id long, label string, category_id long, confidence double, is_unclassified boolean, is_current boolean")
+    names = [(1, "wait_times", "Wait", None, True), (2, "billing", "Billing", None, True), (3, "service", "Service", None, True), (4, "food", "Food", None, True), (6, "food", "Our food", 1, True), (5, "old", "Old", None, False), (7, "ours", "Ours", 1, True), (8, "theirs", "Theirs", 2, True)]
+    categories = spark.createDataFrame(names, "id long, key string, name string, organisation_id long, is_active boolean")
     jobs = spark.createDataFrame([(1, 1, "analyse", "failed", 3, 3, D(2026, 1, 1), '{"import_batch_id":"7"}'), (2, 1, "analyse", "failed", 1, 3, D(2026, 1, 2), '{"import_batch_id":"7"}'), (3, 2, "analyse", "failed", 3, 3, D(2026, 1, 9), '{"import_batch_id":"7"}')], "id long, organisation_id long, kind string, status string, attempts int, max_attempts int, created_at timestamp, payload string")
     return feedback, results, categories, jobs
 
@@ -111,10 +113,25 @@ def test_other_tenant_sees_its_own(tables):
 
 def test_own_category_shadows_default(tables):
     rows = {r.key: r.name for r in P.available_categories(tables[2], organisation_id=1).collect()}
-    assert rows["food"] == "Our food" and "old" not in rows and len(rows) == 4
+    assert rows["food"] == "Our food" and "old" not in rows and len(rows) == 5
     assert {r.key: r.name for r in P.available_categories(tables[2], organisation_id=2).collect()}["food"] == "Food"
 
 
+def test_results_name_their_category_by_id(spark, tables):
+    """An override and a category of one's own have their own names; a default that a result was made with keeps its name;
+    a retired one is still shown; another tenant's never is."""
+    feedback, results, categories, _ = tables
+    ids = {0: 6, 1: 4, 2: 7, 3: 5, 4: 8, 5: 77}
+    rows = spark.createDataFrame([(i, 1, "negative", c, 0.5, False, True) for i, c in ids.items()] + [(99, 2, "negative", 6, 0.5, False, True)], results.schema)
+    base = P.base_frame(feedback, rows, categories, organisation_id=1)
+    shown = {r.feedback_id: (r.category_key, r.category_name) for r in P.listing_rows(P.listing(base)).collect()}
+    assert [shown[i] for i in range(6)] == [("food", "Our food"), ("food", "Food"), ("ours", "Ours"), ("old", "Old"), (None, None), (None, None)] and len(shown) == 10
+    by = {(r.category_key, r.category_name): r.n for r in A.category_breakdown(base).collect()}
+    assert by == {("food", "Our food"): 1, ("food", "Food"): 1, ("ours", "Ours"): 1, ("old", "Old"): 1, (None, None): 2}
+    assert {r.feedback_id for r in P.apply_filters(base, P.FeedbackFilters(category_key="food")).collect()} == {0, 1}
+    assert P.base_frame(feedback, rows, categories, organisation_id=2).first().category_name is None
+
+
 def test_summary_reads_feedback_once(spark, tmp_path, tables):
     tables[0].write.parquet(str(tmp_path / "feedback"))
     base = P.base_frame(spark.read.parquet(str(tmp_path / "feedback")), *tables[1:3], organisation_id=1)

@@ -37,11 +37,15 @@ class FeedbackFilters:
 
 
 def base_frame(feedback: DataFrame, results: DataFrame, categories: DataFrame, *, organisation_id: int) -> DataFrame:
-    """Feedback of one tenant with its current result and category; each feedback row once, analysed or not."""
+    """Feedback of one tenant with its current result and category; each feedback row once, analysed or not.
+
+    Results name their category by id, so a tenant's own and renamed categories have their own names. Another tenant's
+    category is not shown, whatever a result says; retired ones are."""
     own = feedback.where(F.col("organisation_id") == organisation_id)
-    current = results.where("is_current").where(F.col("organisation_id") == organisation_id).select("feedback_id", "label", "category_key", "confidence", "is_unclassified", F.lit(True).alias("has_result"))
-    names = categories.where("organisation_id IS NULL").select(F.col("key").alias("category_key"), F.col("name").alias("category_name"))
-    return own.join(current, "feedback_id", "left").join(names, "category_key", "left")
+    current = results.where("is_current").where(F.col("organisation_id") == organisation_id).select("feedback_id", "label", "category_id", "confidence", "is_unclassified", F.lit(True).alias("has_result"))
+    known = categories.where(F.col("organisation_id").isNull() | (F.col("organisation_id") == organisation_id))
+    names = known.select(F.col("id").alias("category_id"), F.col("key").alias("category_key"), F.col("name").alias("category_name"))
+    return own.join(current, "feedback_id", "left").join(names, "category_id", "left")
 
 
 def conditions(f: FeedbackFilters) -> list[Column]:

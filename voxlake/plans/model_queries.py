@@ -137,11 +137,9 @@ def x12(spark, d):
     return N.categorise(items, taxonomy_vectors(spark, d)).where("category_key IS NOT NULL").select("id", "category_key")
 
 
-@query("j8_resolve_categories", with_("categories") + ", c AS (SELECT row_number() OVER (ORDER BY organisation_id NULLS FIRST, key) AS id, * FROM categories), v AS (SELECT DISTINCT CASE event_id % 5 WHEN 0 THEN 'billing_and_payments' WHEN 1 THEN 'Invoices' WHEN 2 THEN '3' WHEN 3 THEN 'Service Quality' ELSE event_type END AS value FROM events), f AS (SELECT id, 0 AS rk, id::VARCHAR AS face, organisation_id FROM c UNION ALL SELECT id, 1, key, organisation_id FROM c UNION ALL SELECT id, 2, name, organisation_id FROM c) SELECT value, (SELECT id FROM f WHERE face = value AND (organisation_id IS NULL OR organisation_id = 1) ORDER BY rk, organisation_id IS NULL, id LIMIT 1)::VARCHAR AS category_id FROM v")
+@query("j8_resolve_categories", with_("categories") + ", c AS (SELECT * FROM categories), v AS (SELECT DISTINCT CASE event_id % 5 WHEN 0 THEN 'billing_and_payments' WHEN 1 THEN 'Invoices' WHEN 2 THEN '3' WHEN 3 THEN 'Service Quality' ELSE event_type END AS value FROM events), f AS (SELECT id, 0 AS rk, id::VARCHAR AS face, organisation_id FROM c UNION ALL SELECT id, 1, key, organisation_id FROM c UNION ALL SELECT id, 2, name, organisation_id FROM c) SELECT value, (SELECT id FROM f WHERE face = value AND (organisation_id IS NULL OR organisation_id = 1) ORDER BY rk, organisation_id IS NULL, id LIMIT 1)::VARCHAR AS category_id FROM v")
 def j8(spark, d):
-    from pyspark.sql import Window
-
-    c = V.categories(spark).withColumn("id", F.row_number().over(Window.orderBy(F.col("organisation_id").asc_nulls_first(), "key")).cast("long"))
+    c = V.categories(spark)
     i = F.col("event_id") % 5
     value = F.when(i == 0, "billing_and_payments").when(i == 1, "Invoices").when(i == 2, "3").when(i == 3, "Service Quality").otherwise(F.col("event_type"))
     found = N.resolve_categories(V.table(spark, d, "events").select(value.alias("value")), c, organisation_id=1)

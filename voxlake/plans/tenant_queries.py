@@ -20,9 +20,9 @@ def base(spark, d, org=ORG):
 
 
 BASE = with_("feedback", "results", "categories") + f""", base AS (
-  SELECT f.*, r.label, r.category_key, r.confidence, r.is_unclassified, r.feedback_id IS NOT NULL AS has_result, c.name AS category_name
+  SELECT f.*, r.label, r.category_id, c.key AS category_key, r.confidence, r.is_unclassified, r.feedback_id IS NOT NULL AS has_result, c.name AS category_name
   FROM feedback f LEFT JOIN results r ON r.feedback_id = f.feedback_id AND r.organisation_id = {ORG} AND r.is_current
-  LEFT JOIN categories c ON c.key = r.category_key AND c.organisation_id IS NULL WHERE f.organisation_id = {ORG}) """
+  LEFT JOIN categories c ON c.id = r.category_id AND (c.organisation_id IS NULL OR c.organisation_id = {ORG}) WHERE f.organisation_id = {ORG}) """
 LABELS = ", ".join(f"count(*) FILTER (label = '{x}') AS {x}" for x in ("negative", "neutral", "positive"))
 PCT = lambda part, whole, k=1: f"coalesce(round({part} * 100.0::DOUBLE / nullif({whole}, 0), {k}), 0.0)"
 
@@ -87,12 +87,12 @@ def f1(spark, d):
     return base(spark, d).agg(F.count("*").alias("n"), F.min("organisation_id").alias("lo"), F.max("organisation_id").alias("hi"))
 
 
-@query("j1_base_frame", BASE + "SELECT feedback_id, label, category_key, category_name, confidence, has_result FROM base")
+@query("j1_base_frame", BASE + "SELECT feedback_id, label, category_id, category_key, category_name, confidence, has_result FROM base")
 def j1(spark, d):
-    return base(spark, d).select("feedback_id", "label", "category_key", "category_name", "confidence", F.coalesce("has_result", F.lit(False)).alias("has_result"))
+    return base(spark, d).select("feedback_id", "label", "category_id", "category_key", "category_name", "confidence", F.coalesce("has_result", F.lit(False)).alias("has_result"))
 
 
-OWN = "own AS (SELECT DISTINCT event_type AS key, upper(event_type) AS name, user_id % 4 AS organisation_id, event_type <> 'signup' AS is_active FROM events), every AS (SELECT * FROM categories UNION ALL SELECT * FROM own UNION ALL SELECT DISTINCT 'service_quality', 'Service of ' || (user_id % 4), user_id % 4, true FROM events WHERE event_type = 'error')"
+OWN = "own AS (SELECT DISTINCT event_type AS key, upper(event_type) AS name, user_id % 4 AS organisation_id, event_type <> 'signup' AS is_active FROM events), every AS (SELECT key, name, organisation_id, is_active FROM categories UNION ALL SELECT * FROM own UNION ALL SELECT DISTINCT 'service_quality', 'Service of ' || (user_id % 4), user_id % 4, true FROM events WHERE event_type = 'error')"
 
 
 @query("f15_w11_available_categories", with_("categories").rstrip() + f", {OWN} SELECT key, arg_max(name, organisation_id IS NOT NULL) AS name, max(organisation_id IS NOT NULL) AS own FROM every WHERE is_active AND (organisation_id IS NULL OR organisation_id = {ORG}) GROUP BY key")
@@ -101,7 +101,7 @@ def f15(spark, d):
     e = V.table(spark, d, "events").withColumn("organisation_id", F.col("user_id") % 4)
     own = e.select(F.col("event_type").alias("key"), F.upper("event_type").alias("name"), "organisation_id", (F.col("event_type") != "signup").alias("is_active")).distinct()
     over = e.where("event_type = 'error'").select(F.lit("service_quality").alias("key"), F.concat(F.lit("Service of "), F.col("organisation_id").cast("string")).alias("name"), "organisation_id", F.lit(True).alias("is_active")).distinct()
-    return P.available_categories(V.categories(spark).union(own).union(over), organisation_id=ORG)
+    return P.available_categories(V.categories(spark).drop("id").union(own).union(over), organisation_id=ORG)
 
 
 ROW = "feedback_id, text, rating, feedback_at, created_at, metadata->>'platform' AS platform, label, category_key, category_name, is_unclassified, label IS NOT NULL OR is_unclassified IS NOT NULL AS analysed"

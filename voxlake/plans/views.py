@@ -9,6 +9,11 @@ from ..functions import text as X
 from ..schemas import CATEGORIES
 
 
+#: Ids of the retired default and of organisation 1's own categories; the renamed one is the seventh default.
+RETIRED, RENAMED, RENAMED_ID, OWN_THEME = 14, 7, 101, 102
+OTHER_CATEGORIES = [(RETIRED, "old_theme", "Old Theme", None, False), (RENAMED_ID, "billing_and_payments", "Invoices", 1, True), (OWN_THEME, "own_theme", "Our Theme", 1, True)]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -44,17 +49,20 @@ def results(spark, d) -> DataFrame:
     run = F.explode(F.when(i % 7 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2))))
     keys = F.array(*[F.lit(k) for k, _ in CATEGORIES])
     e = e.select("*", run.alias("run_id"))
+    nth, first = i % 14 + 1, F.col("user_id") % 4 == 1
+    own_theme = first & (i % 28 == 12)
+    category_id = F.when(own_theme, OWN_THEME).when(first & (nth == RENAMED), RENAMED_ID).when(nth <= len(CATEGORIES), nth)
     return e.select(
         i.alias("feedback_id"), (F.col("user_id") % 4).alias("organisation_id"), "run_id", (F.col("run_id") == 2).alias("is_current"),
-        X.rating_label(F.when(F.col("run_id") == 1, 6 - rating).otherwise(rating)).alias("label"), F.try_element_at(keys, (i % 14 + 1).cast("int")).alias("category_key"),
+        X.rating_label(F.when(F.col("run_id") == 1, 6 - rating).otherwise(rating)).alias("label"), F.when(own_theme, "own_theme").otherwise(F.try_element_at(keys, nth.cast("int"))).alias("category_key"), category_id.cast("long").alias("category_id"),
         F.round(F.col("value") / 500, 4).alias("confidence"), (i % 14 == 13).alias("is_unclassified"), F.when(i % 97 == 0, "failed").otherwise("ok").alias("status"),
     )
 
 
 def categories(spark) -> DataFrame:
-    """The 13 defaults, an override by organisation 1 and a retired key."""
-    rows = [(k, n, None, True) for k, n in CATEGORIES] + [("billing_and_payments", "Invoices", 1, True), ("old_theme", "Old Theme", None, False)]
-    return spark.createDataFrame(rows, "key string, name string, organisation_id long, is_active boolean")
+    """The 13 defaults, a retired key, and organisation 1's own: a default renamed, and a theme of its own."""
+    rows = [(n, key, name, None, True) for n, (key, name) in enumerate(CATEGORIES, 1)] + OTHER_CATEGORIES
+    return spark.createDataFrame(rows, "id long, key string, name string, organisation_id long, is_active boolean")
 
 
 def jobs(spark, d) -> DataFrame:
@@ -97,10 +105,15 @@ CTE = {
       ts AS created_at, event_type AS platform, '{{"platform":"' || event_type || '"}}' AS metadata FROM events)""",
     "results": f"""results AS (SELECT event_id AS feedback_id, user_id % 4 AS organisation_id, run_id, run_id = 2 AS is_current,
       {_LABEL(f"(CASE WHEN run_id = 1 THEN 6 - {_RATING} ELSE {_RATING} END)")} AS label,
-      ([{", ".join(f"'{k}'" for k, _ in CATEGORIES)}])[event_id % 14 + 1] AS category_key, round(value / 500, 4) AS confidence, event_id % 14 = 13 AS is_unclassified,
+      CASE WHEN user_id % 4 = 1 AND event_id % 28 = 12 THEN 'own_theme' ELSE ([{", ".join(f"'{k}'" for k, _ in CATEGORIES)}])[event_id % 14 + 1] END AS category_key,
+      CASE WHEN user_id % 4 = 1 AND event_id % 28 = 12 THEN {OWN_THEME} WHEN user_id % 4 = 1 AND event_id % 14 + 1 = {RENAMED} THEN {RENAMED_ID}
+        WHEN event_id % 14 < 13 THEN event_id % 14 + 1 END AS category_id, round(value / 500, 4) AS confidence, event_id % 14 = 13 AS is_unclassified,
       CASE WHEN event_id % 97 = 0 THEN 'failed' ELSE 'ok' END AS status
       FROM (SELECT *, unnest(CASE WHEN event_id % 7 = 0 THEN [1, 2] ELSE [2] END) AS run_id FROM events WHERE event_id % 10 <> 0))""",
-    "categories": "categories AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{n}', NULL, true)" for k, n in CATEGORIES) + ", ('billing_and_payments', 'Invoices', 1, true), ('old_theme', 'Old Theme', NULL, false)) AS t(key, name, organisation_id, is_active))",
+    "categories": "categories AS (SELECT * FROM (VALUES "
+    + ", ".join(f"({n}, '{k}', '{v}', NULL, true)" for n, (k, v) in enumerate(CATEGORIES, 1))
+    + "".join(f", ({n}, '{k}', '{v}', {org or 'NULL'}, {str(on).lower()})" for n, k, v, org, on in OTHER_CATEGORIES)
+    + ") AS t(id, key, name, organisation_id, is_active))",
     "jobs": """jobs AS (SELECT batch * 10 + n AS id, batch % 4 AS organisation_id, 'analyse' AS kind, (['queued', 'running', 'succeeded', 'failed'])[(batch + n) % 4 + 1] AS status, n AS attempts, 3 AS max_attempts,
       TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(n AS INTEGER)) AS created_at, batch::VARCHAR AS import_id FROM (SELECT batch, unnest(range(1, batch % 3 + 2)) AS n FROM (SELECT DISTINCT event_id % 50 AS batch FROM events)))""",
     "facts": "facts AS (SELECT l_orderkey, 1 + CAST(l_quantity AS BIGINT) % 5 AS rating, CASE l_returnflag WHEN 'R' THEN 'negative' WHEN 'N' THEN 'neutral' ELSE 'positive' END AS label, l_shipdate AS happened_at, l_linestatus AS platform FROM lineitem)",
