@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..schemas import CORPUS, HEADER_ALIASES, MAX_EXTERNAL_ID_CHARS, MAX_PLATFORM_CHARS, MAX_ROWS, MAX_STORED_ERRORS, MAX_TEXT_CHARS
+from ..sources.known import BROADCAST_ROWS, BY_HASH, BY_ID, KnownStore, hash_key, id_key
 from ..sources.scratch import stored
 
 
@@ -77,19 +78,34 @@ class Import:
     counters: DataFrame
 
 
-def import_rows(rows: DataFrame, known: DataFrame, *, organisation_id: int, data_source_id: str, import_batch_id: str, max_rows: int | None = MAX_ROWS) -> Import:
+def _met(once: DataFrame, known: DataFrame | KnownStore, organisation_id, data_source_id: str, few: bool) -> tuple[DataFrame, DataFrame]:
+    """The external ids and the content hashes of ``once`` that the source, and the tenant, have. A semi-join cuts what is
+    known to the upload's own keys before anything else, so that the history is not shuffled where the upload is ``few``."""
+    if isinstance(known, KnownStore):
+        keys = once.select("external_id", "content_hash", id_key(F.lit(data_source_id)).alias("_id"), hash_key().alias("_hash"))
+        ids = known.met(keys.select(F.col("_id").alias("key")), organisation_id, BY_ID, few)
+        hashes = known.met(keys.select(F.col("_hash").alias("key")), organisation_id, BY_HASH, few)
+        return keys.join(ids, F.col("_id") == F.col("key")).select("external_id").distinct(), hashes.select(F.lower(F.hex("key")).alias("content_hash"))
+    own = known.where(F.col("organisation_id") == organisation_id)
+    side = lambda c: F.broadcast(once.select(c).where(F.col(c).isNotNull()).distinct()) if few else once.select(c).distinct()
+    ids = own.where(F.col("data_source_id") == data_source_id).join(side("external_id"), "external_id", "left_semi").select("external_id").distinct()
+    return ids, own.join(side("content_hash"), "content_hash", "left_semi").select("content_hash").distinct()
+
+
+def import_rows(rows: DataFrame, known: DataFrame | KnownStore, *, organisation_id: int, data_source_id: str, import_batch_id: str, max_rows: int | None = MAX_ROWS) -> Import:
     """The rows of one validated upload that are new to the tenant, the report, and the counters.
 
     As sets: errors out, first by external id, none that the source knows by external id, none that the tenant knows by
-    content hash, first by content hash. ``known``: organisation_id, data_source_id, external_id, content_hash."""
+    content hash, first by content hash. ``known``: a store of keys, whose reads follow the upload, or all rows as
+    organisation_id, data_source_id, external_id, content_hash (read whole, and shuffled only for very large uploads)."""
     if max_rows is not None and rows.limit(max_rows + 1).count() > max_rows:
         raise UnusableFile(f"more than {max_rows:,} rows")
     rows = stored(rows)  # the report, the counters and the kept rows all read it
-    own = known.where(F.col("organisation_id") == organisation_id)
+    few = rows.count() <= BROADCAST_ROWS
     good = rows.where("error IS NULL").drop("error").withColumn("content_hash", X.content_hash("text"))
     once = first_by_external_id(good)
-    ids = own.where((F.col("data_source_id") == data_source_id) & F.col("external_id").isNotNull()).select("external_id").distinct()
-    kept = first_by_hash(once.join(ids, "external_id", "left_anti").join(own.select("content_hash").distinct(), "content_hash", "left_anti").select(*once.columns))
+    ids, hashes = _met(once, known, organisation_id, data_source_id, few)
+    kept = first_by_hash(once.join(ids, "external_id", "left_anti").join(hashes, "content_hash", "left_anti").select(*once.columns))
     kept = kept.withColumns({"organisation_id": F.lit(organisation_id), "data_source_id": F.lit(data_source_id), "import_batch_id": F.lit(import_batch_id)})
     kept = kept.withColumn("metadata", F.to_json(F.struct("source_row", "platform")))
     count = lambda df, name: df.agg(F.count("*").alias("n")).withColumn("what", F.lit(name))

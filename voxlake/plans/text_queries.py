@@ -9,7 +9,8 @@ from ..functions import text as X
 from ..operators import features as T
 from ..operators import ingest as I
 from ..schemas import DETERMINERS, KEYWORD_STOPWORDS
-from ..sources.scratch import stored
+from ..sources.known import KnownStore
+from ..sources.scratch import fresh_path, stored
 from . import views as V
 from .registry import query
 from .tenant_queries import CLEAN
@@ -166,6 +167,18 @@ def x9(spark, d):
     return imported(spark, d).kept.select("source_row", "text", "external_id", "content_hash")
 
 
+@query("x9_bucketed_store", UPLOAD + """SELECT source_row, text, external_id, h AS content_hash, false AS again FROM s""")
+def x9_store(spark, d):
+    """The import against a store of keys; what it keeps is then known, so that the same upload leaves nothing more."""
+    store, rows = KnownStore(spark, fresh_path(spark, "known"), 64), I.validated(upload(spark, d))
+    store.append(known(spark, d))
+    put = lambda batch: I.import_rows(rows, store, organisation_id=1, data_source_id="s2", import_batch_id=batch, max_rows=None).kept
+    kept = stored(put("b1"))
+    store.append(kept)
+    again = put("b2")
+    return kept.withColumn("again", F.lit(False)).unionByName(again.withColumn("again", F.lit(True))).select("source_row", "text", "external_id", "content_hash", "again")
+
+
 @query("a34_import_counters", UPLOAD + "SELECT (SELECT count(*) FROM u) AS received, (SELECT count(*) FROM e WHERE field IS NOT NULL) AS rejected, (SELECT count(*) FROM g) - (SELECT count(*) FROM o) AS duplicates_in_file, (SELECT count(*) FROM o) - (SELECT count(*) FROM s) AS duplicates_in_store, (SELECT count(*) FROM s) AS stored, CASE WHEN (SELECT count(*) FROM s) = 0 THEN 'failed' ELSE 'completed' END AS status")
 def a34(spark, d):
     return imported(spark, d).counters
