@@ -16,6 +16,7 @@ from ..operators import taxonomy as Y
 from ..operators import vectors as VEC
 from ..streaming import jobs as J
 from . import views as V
+from ..sources.known import KnownStore
 from ..sources.scratch import fresh_path, stored
 from .evaluation_queries import CEN, TOP, docs_vectors, mmr_sql
 from .file_queries import EVENT_LEXICON, FEED
@@ -439,7 +440,36 @@ def fresh(prefix: str) -> str:
     return re.sub(r"\W", "_", f"{prefix}_{uuid.uuid4().hex}")
 
 
-LIVE = "SELECT date_trunc('day', ts)::TIMESTAMP AS period, count(*) AS n, count(*) FILTER (label = 'negative') AS negative, count(*) FILTER (label = 'neutral') AS neutral, count(*) FILTER (label = 'positive') AS positive FROM (SELECT ts, CASE event_id % 3 WHEN 0 THEN 'negative' WHEN 1 THEN 'neutral' ELSE 'positive' END AS label FROM events) GROUP BY 1"
+DAY = 86_400
+#: How events arrive: three groups in order of time, then a fiftieth of them again out of order, of which some are days too late.
+ARRIVAL = f"""edges AS (
+  SELECT lo, hi, lo + (hi - lo) * 6 // 10 AS t1, lo + (hi - lo) * 9 // 10 AS t2
+  FROM (SELECT CAST(floor(min(epoch(ts))) AS BIGINT) AS lo, CAST(floor(max(epoch(ts))) AS BIGINT) AS hi FROM events)
+), arrived AS (
+  SELECT events.*, event_id % 50 = 0 AND epoch(ts) < t1 - 5 * {DAY} AS too_late FROM events, edges
+)"""
+
+
+def arrivals(spark, d):
+    """The events with ``arrival`` from 1 to 4, as ARRIVAL says."""
+    e, s = V.table(spark, d, "events"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000)
+    lo, hi = e.agg(F.min(s), F.max(s)).first()
+    t1, t2 = lo + (hi - lo) * 6 // 10, lo + (hi - lo) * 9 // 10
+    again = (F.col("event_id") % 50 == 0) & ((s < t1 - 5 * DAY) | (s > hi - DAY // 2))
+    return e.withColumn("arrival", F.when(again, 4).when(s < t1, 1).when(s < t2, 2).otherwise(3))
+
+
+def updated(spark, d, make, keys):
+    """A stream in update mode over events that arrive in four groups, each read by a run of its own from the checkpoint:
+    what its readers see at the end, and the lateness."""
+    e, path = stored(arrivals(spark, d)), fresh_path(spark, "updates")
+    e.where("false").drop("arrival").write.parquet(f"{path}-in")  # a stream's folder has to be there
+    rows = spark.readStream.schema(e.drop("arrival").schema).parquet(f"{path}-in")
+    for n in range(1, 5):
+        e.where(F.col("arrival") == n).drop("arrival").write.mode("append").parquet(f"{path}-in")
+        J.merged(make(rows), path)
+    out = J.served(spark, path, make(rows).schema, keys)
+    return out, J.lateness(spark.read.parquet(f"{path}-in"), "ts", out)
 
 
 def labelled_events(rows):
@@ -447,32 +477,54 @@ def labelled_events(rows):
     return rows.select(F.col("ts").cast("timestamp").alias("ts"), F.when(i == 0, "negative").when(i == 1, "neutral").otherwise("positive").alias("label"))
 
 
-@query("st4_live_trend", LIVE)
+LIVE = "WITH " + ARRIVAL + """, live AS (
+  SELECT date_trunc('day', ts)::TIMESTAMP AS period, count(*) AS n, count(*) FILTER (event_id % 3 = 0) AS negative, count(*) FILTER (event_id % 3 = 1) AS neutral,
+    count(*) FILTER (event_id % 3 = 2) AS positive
+  FROM arrived WHERE NOT too_late GROUP BY 1
+)
+"""
+
+
+@query("st4_live_trend", LIVE + "SELECT *, (SELECT count(*) FROM arrived WHERE too_late) AS late FROM live")
 def st4(spark, d):
-    out = J.drained(J.live_trend(labelled_events(event_stream(spark, d)), "ts", delay="400 days"), fresh_path(spark, "live"), "complete")
-    return out.withColumn("period", F.col("period").cast("timestamp_ntz"))
+    out, late = updated(spark, d, lambda rows: J.live_trend(labelled_events(rows), "ts"), ["period"])
+    return out.withColumn("period", F.col("period").cast("timestamp_ntz")).join(late.select("late"))
 
 
-@query("st4_month_roll_up", f"SELECT date_trunc('month', period)::TIMESTAMP AS month, CAST(sum(n) AS BIGINT) AS n, CAST(sum(negative) AS BIGINT) AS negative, CAST(sum(neutral) AS BIGINT) AS neutral, CAST(sum(positive) AS BIGINT) AS positive FROM ({LIVE}) GROUP BY 1")
+@query("st4_month_roll_up", LIVE + "SELECT date_trunc('month', period)::TIMESTAMP AS month, CAST(sum(n) AS BIGINT) AS n, CAST(sum(negative) AS BIGINT) AS negative, CAST(sum(neutral) AS BIGINT) AS neutral, CAST(sum(positive) AS BIGINT) AS positive FROM live GROUP BY 1")
 def st4_month(spark, d):
-    days = J.drained(J.live_trend(labelled_events(event_stream(spark, d)), "ts", delay="400 days"), fresh_path(spark, "months"), "complete")
+    days, _ = updated(spark, d, lambda rows: J.live_trend(labelled_events(rows), "ts"), ["period"])
     return J.month_roll_up(days).withColumn("month", F.col("month").cast("timestamp_ntz"))
 
 
 @query("st2_distinct_feedback", "SELECT organisation_id, sha256(text) AS content_hash FROM (SELECT user_id % 4 AS organisation_id, event_type || ' ' || (event_id % 40) AS text FROM events) GROUP BY ALL")
 def st2(spark, d):
     rows = event_stream(spark, d).select((F.col("user_id") % 4).alias("organisation_id"), F.concat("event_type", F.lit(" "), (F.col("event_id") % 40).cast("string")).alias("text"), F.col("ts").cast("timestamp").alias("ts"))
-    return J.drained(J.distinct_feedback(rows, "ts", "400 days"), fresh_path(spark, "distinct"), "append").select("organisation_id", "content_hash")
+    return J.drained(J.distinct_feedback(rows, "ts", "400 days"), fresh_path(spark, "distinct")).select("organisation_id", "content_hash")
 
 
-STATES = "WITH e AS (SELECT event_id AS id, user_id % 4 AS organisation_id, (event_id % 30)::VARCHAR AS import_id, (['queued', 'running', 'succeeded', 'failed'])[event_id % 4 + 1] AS status, event_id % 4 AS attempts, ts AS created_at FROM events), n AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY organisation_id, import_id ORDER BY created_at DESC, id DESC) = 1) SELECT organisation_id, import_id, status, CASE WHEN status IN ('queued', 'running') OR (status = 'failed' AND attempts < 3) THEN 'pending' WHEN status = 'failed' THEN 'failed' ELSE 'done' END AS state FROM n"
+STATES = "WITH " + ARRIVAL + """, e AS (
+  SELECT event_id AS id, user_id % 4 AS organisation_id, (event_id % 30)::VARCHAR AS import_id, (['queued', 'running', 'succeeded', 'failed'])[event_id % 4 + 1] AS status, event_id % 4 AS attempts, ts AS created_at
+  FROM arrived WHERE NOT too_late
+), n AS (
+  SELECT *, count(*) OVER (PARTITION BY organisation_id, import_id) AS n FROM e QUALIFY row_number() OVER (PARTITION BY organisation_id, import_id ORDER BY created_at DESC, id DESC) = 1
+)
+SELECT organisation_id, import_id, n, status, CASE WHEN status IN ('queued', 'running') OR (status = 'failed' AND attempts < 3) THEN 'pending' WHEN status = 'failed' THEN 'failed' ELSE 'done' END AS state,
+  (SELECT count(*) FROM arrived WHERE too_late) AS late
+FROM n"""
+
+
+def status_events(rows):
+    i = F.col("event_id")
+    status = F.element_at(F.array(*map(F.lit, ("queued", "running", "succeeded", "failed"))), (i % 4 + 1).cast("int")).alias("status")
+    payload = F.concat(F.lit('{"import_batch_id":"'), (i % 30).cast("string"), F.lit('"}')).alias("payload")
+    return rows.select(i.alias("id"), (F.col("user_id") % 4).alias("organisation_id"), status, (i % 4).alias("attempts"), F.lit(3).cast("long").alias("max_attempts"), F.col("ts").cast("timestamp").alias("created_at"), payload)
 
 
 @query("st5_import_states", STATES)
 def st5(spark, d):
-    i = F.col("event_id")
-    e = event_stream(spark, d).select(i.alias("id"), (F.col("user_id") % 4).alias("organisation_id"), F.element_at(F.array(*map(F.lit, ("queued", "running", "succeeded", "failed"))), (i % 4 + 1).cast("int")).alias("status"), (i % 4).alias("attempts"), F.lit(3).cast("long").alias("max_attempts"), F.col("ts").alias("created_at"), F.concat(F.lit('{"import_batch_id":"'), (i % 30).cast("string"), F.lit('"}')).alias("payload"))
-    return J.drained(J.import_states(e), fresh_path(spark, "states"), "complete").select("organisation_id", "import_id", "status", "state")
+    out, late = updated(spark, d, lambda rows: J.import_state_changes(status_events(rows)), J.STATE_KEYS)
+    return J.newest_states(out).select("organisation_id", "import_id", "n", "status", "state").join(late.select("late"))
 
 
 @query("st3_analysis_stream", FEED.replace("{where}", "") + " SELECT id, label, confidence FROM se")
@@ -557,8 +609,13 @@ def tx13(spark, d):
 
 @query("st1_x9_import_stream", UPLOAD + "SELECT source_row, text, external_id, h AS content_hash FROM s")
 def st1(spark, d):
-    """The upload read as a stream and imported by micro-batches, into a table of its own."""
-    store = f"{spark.conf.get('spark.sql.warehouse.dir')}/{fresh('feedback')}"
-    q = J.import_stream(upload_of(event_stream(spark, d)), lambda: known(spark, d), lambda x: x.write.mode("append").parquet(store), f"{store}-checkpoint", organisation_id=1, data_source_id="s2")
-    q.awaitTermination()
+    """The upload read as a stream and imported by micro-batches, into a table and a store of keys of its own."""
+    store, keys = fresh_path(spark, "feedback"), KnownStore(spark, fresh_path(spark, "known"), 64)
+    keys.append(known(spark, d))
+
+    def put(kept):
+        kept.write.mode("append").parquet(store)
+        keys.append(kept)
+
+    J.import_stream(upload_of(event_stream(spark, d)), lambda: keys, put, f"{store}-checkpoint", organisation_id=1, data_source_id="s2").awaitTermination()
     return spark.read.parquet(store).select("source_row", "text", "external_id", "content_hash")

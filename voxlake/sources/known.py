@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import stored
+from .scratch import exists, stored
 
 BY_HASH, BY_ID = "hash", "id"
 #: Rows of an upload whose keys (32 bytes) may be broadcast; beyond, they are shuffled.
@@ -46,8 +46,7 @@ class KnownStore:
 
     def _read(self, organisation_id, kind: str) -> DataFrame | None:
         folder = f"{self.path}/organisation_id={organisation_id}/kind={kind}"
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+        if not exists(self.spark, folder):
             return None
         return self.spark.read.schema("key binary, bucket int").parquet(folder)
 

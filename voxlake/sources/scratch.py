@@ -24,13 +24,44 @@ def fresh_path(spark: SparkSession, what: str = "table") -> str:
     return f"{shared_dir(spark)}/voxlake-{what}-{uuid.uuid4().hex}"
 
 
+#: The tables that ``stored`` has written, by application.
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: computed once, safe when executors go."""
+    """The rows as a Parquet table in the shared folder: computed once, safe when executors go, read column by column.
+
+    The table stays until ``clear`` is called, since frames that read it may be in use."""
     path = fresh_path(df.sparkSession)
+    _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What lies in a folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return [x.getPath().getName() for x in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear(spark: SparkSession) -> int:
+    """Removes all tables that ``stored`` wrote in this application: call it when no frame that reads them is needed."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        remove(spark, path)
+    return len(paths)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The rows over all cores, where their files give fewer partitions than there are cores; otherwise as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
