@@ -29,7 +29,7 @@ def test_four_rows(spark, tmp_path):
 
 def test_aliases_bom_blank_rows_and_latin1(spark, tmp_path):
     rows, extra = upload(spark, tmp_path, "﻿Feedback, ID \nhello,7\n,\nworld,8\n".encode())
-    got = I.validated(rows, extra=extra).collect()
+    got = I.validated(rows, extra=extra).orderBy("source_row").collect()
     assert [(r.text, r.external_id, r.source_row) for r in got] == [("hello", "7", 2), ("world", "8", 4)]
     rows, extra = upload(spark, tmp_path, "comment\ncafé crème\n".encode("latin-1"), "b.csv")
     assert I.validated(rows, extra=extra).first().text == "café crème"

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import analysis as N
@@ -11,6 +9,7 @@ from ..operators import features as T
 from ..operators import ingest as I
 from ..operators import vectors as VEC
 from ..sources import files as S
+from ..sources.scratch import fresh_path
 from . import views as V
 from .evaluation_queries import TOP, docs_vectors, question_vectors
 from .registry import query
@@ -20,7 +19,7 @@ from .views import with_
 
 
 def place(spark, name: str) -> str:
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/files-{name}-{uuid.uuid4().hex}"
+    return fresh_path(spark, f"files-{name}")
 
 
 @query("s1_product_reviews", """SELECT platform, product_category, md5(text) AS h, rating, sentiment_label, date FROM (SELECT 'amazon' AS platform, 'home' AS product_category, trim(trim(source || '. ' || text, '. '), chr(10) || chr(9) || ' ') AS text, (1 + n_chars % 5)::DOUBLE AS rating,
@@ -51,13 +50,23 @@ def s3(spark, d):
     return r.select("review_id", F.md5("text").alias("h"), "rating", F.col("date").cast("string").alias("date"))
 
 
-@query("s4_s5_w16_p3_upload_file", "SELECT event_id::VARCHAR AS external_id, event_type || ' ' || props AS text, CASE WHEN event_id % 9 = 0 THEN 'rating' END AS field FROM events")
+@query("s4_s5_w16_p3_upload_file", """
+WITH sent AS (
+  SELECT event_id, event_id // 5000 AS part, CASE WHEN event_id % 7 = 0 THEN chr(10) ELSE '' END || event_type || CASE WHEN event_id % 5 = 0 THEN ' "x",' || chr(10) ELSE ' ' END || props AS text FROM events
+), numbered AS (
+  SELECT *, CAST(2 + coalesce(sum(1 + length(text) - length(replace(text, chr(10), ''))) OVER (PARTITION BY part ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS source_row
+  FROM sent
+)
+SELECT source_row, event_id::VARCHAR AS external_id, trim(text, ' ' || chr(10)) AS text, CASE WHEN event_id % 9 = 0 THEN 'rating' END AS field FROM numbered""")
 def s4(spark, d):
-    e, path = V.table(spark, d, "events"), place(spark, "upload")
-    i = F.col("event_id")
-    e.select(F.concat(F.lit(" "), "event_type", F.lit(" "), "props").alias("Feedback"), i.cast("string").alias("Ticket_ID"), F.when(i % 9 == 0, "ten").otherwise("4").alias("Stars")).write.option("header", True).option("escape", '"').csv(path)
+    """Files of 5,000 records, of which some cells hold quotes, commas and line feeds: rows have the lines that they begin at."""
+    e, path, i = V.table(spark, d, "events"), place(spark, "upload"), F.col("event_id")
+    text = F.concat(F.when(i % 7 == 0, "\n").otherwise(""), "event_type", F.when(i % 5 == 0, ' "x",\n').otherwise(" "), "props")
+    sent = e.select(F.floor(i / 5000).alias("part"), text.alias("Feedback"), i.cast("string").alias("Ticket_ID"), F.when(i % 9 == 0, "ten").otherwise("4").alias("Stars"), i.alias("nth"))
+    dealt = sent.repartition("part").sortWithinPartitions("part", "nth").drop("nth")
+    dealt.write.partitionBy("part").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     rows, extra = S.read_upload(spark, path)
-    return I.validated(rows, extra=extra).select("external_id", "text", F.col("error.field").alias("field"))
+    return I.validated(rows, extra=extra).select("source_row", "external_id", "text", F.col("error.field").alias("field"))
 
 
 @query("s6_s7_corpus_files", with_("reviews") + f"SELECT platform, count(*) AS n, round(avg(rating), 4) AS rating FROM (SELECT *, {CLEAN} AS c FROM reviews) WHERE length(c) > 15 GROUP BY platform")

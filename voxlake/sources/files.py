@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import BUSINESS_REVIEWS, KEYWORD_FILTER_VERSION, PRODUCT_REVIEWS, TWEETS
+from .scratch import stored
+from .uploads import read_upload  # noqa: F401  one of the readers
 
 
 def read_product_reviews(spark: SparkSession, path: str) -> DataFrame:
@@ -28,22 +30,6 @@ def utf8_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.is_valid_utf8(F.col("content").cast("string")).alias("utf8"), F.sha2("content", 256).alias("source_hash"))
 
 
-def read_upload(spark: SparkSession, path: str, encoding: str | None = None) -> tuple[DataFrame, str]:
-    """The rows of CSV files with ``source_row`` (the line of a record; the header is line 1) and the name of the column for
-    extra cells. Without an encoding: UTF-8 if all the bytes are, else Latin-1. Blank rows are skipped."""
-    if encoding is None:
-        bad = utf8_files(spark, path).where("NOT utf8").limit(1).count()
-        encoding = "ISO-8859-1" if bad else "UTF-8"
-    options = {"header": True, "encoding": encoding, "multiLine": True, "escape": '"', "mode": "PERMISSIVE"}
-    header = [c.lstrip("﻿") for c in spark.read.options(**options).csv(path).columns]
-    schema = ", ".join(f"`{c}` string" for c in header) + ", `_extra` string, `_more` string"
-    rows = spark.read.schema(schema).options(**options | {"header": False, "enforceSchema": True}).csv(path)
-    order = Window.partitionBy(F.col("_metadata.file_path")).orderBy(F.monotonically_increasing_id())
-    rows = rows.withColumn("source_row", F.row_number().over(order)).where("source_row > 1")
-    blank = " AND ".join(f"coalesce(trim(`{c}`), '') = ''" for c in header)
-    return rows.where(f"NOT ({blank})").withColumn("_extra", F.concat_ws("", "_extra", "_more")).drop("_more"), "_extra"
-
-
 def write_corpus(corpus: DataFrame, path: str) -> None:
     corpus.write.mode("overwrite").partitionBy("platform").parquet(path)
 
@@ -66,8 +52,10 @@ def read_keywords(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("filter_version") == KEYWORD_FILTER_VERSION)
 
 
-def write_report(frame: DataFrame, path: str, kind: str = "json") -> None:
-    writer = frame.coalesce(1).write.mode("overwrite")
+def write_report(frame: DataFrame, path: str, kind: str = "json", most_rows: int = 1_000_000) -> None:
+    """A report as one file, where it has at most ``most_rows`` rows (counted first); a larger one has a file a task."""
+    rows = stored(frame)
+    writer = (rows.coalesce(1) if rows.count() <= most_rows else rows).write.mode("overwrite")
     writer.json(path) if kind == "json" else writer.option("header", True).csv(path)
 
 
