@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..schemas import LABELS
+from ..sources.scratch import stored
 from .filters import job_state
+from .percentiles import exact_percentiles, with_percentiles
 
 
 def share(part: Column, whole: Column, digits: int = 1) -> Column:
@@ -69,14 +71,18 @@ def crosstab(df: DataFrame, row: str, column: str, values: list[str]) -> DataFra
 
 
 def length_profile(reviews: DataFrame) -> DataFrame:
-    n = X.words("text")
-    return reviews.groupBy("platform").agg(F.round(F.percentile(n, 0.5), 3).alias("median_words"), F.round(F.avg(n), 3).alias("mean_words"), F.round(F.percentile(n, 0.95), 3).alias("p95_words"))
+    """Words of a review by platform: exact median and 95th percentile, and mean."""
+    sized = stored(reviews.select("platform", X.words("text").alias("_words")))
+    means = sized.groupBy("platform").agg(F.round(F.avg("_words"), 3).alias("mean_words"))
+    at = exact_percentiles(sized, F.col("_words"), {"median_words": 0.5, "p95_words": 0.95}, "platform")
+    return with_percentiles(means, at, "platform").select("platform", F.round("median_words", 3).alias("median_words"), "mean_words", F.round("p95_words", 3).alias("p95_words"))
 
 
 def describe(df: DataFrame, value: str, *keys: str) -> DataFrame:
-    """n, min, median, mean, max of the numbers that are there."""
+    """n, min, exact median, mean, max of the numbers that are there."""
     v = F.when(~F.isnan(F.col(value).cast("double")), F.col(value))
-    return df.groupBy(*keys).agg(F.count(v).alias("n"), F.min(v).alias("min"), F.round(F.percentile(v, 0.5), 6).alias("median"), F.round(F.avg(v), 6).alias("mean"), F.max(v).alias("max"))
+    rest = df.groupBy(*keys).agg(F.count(v).alias("n"), F.min(v).alias("min"), F.round(F.avg(v), 6).alias("mean"), F.max(v).alias("max"))
+    return with_percentiles(rest, exact_percentiles(df, v, {"median": 0.5}, *keys), *keys).select(*keys, "n", "min", F.round("median", 6).alias("median"), "mean", "max")
 
 
 def run_counters(results: DataFrame) -> DataFrame:

@@ -122,10 +122,14 @@ def nearest_members(members: DataFrame, group: str, id_column: str, n: int) -> D
 
 
 def separation(centroid_rows: DataFrame, group: str) -> DataFrame:
-    """Mean cosine of all centroid pairs; lower is better apart. Over groups, not members."""
-    a = centroid_rows.select(F.col(group).alias("a"), F.col("centroid").alias("x"))
-    b = centroid_rows.select(F.col(group).alias("b"), F.col("centroid").alias("y"))
-    return a.join(b, F.col("a") < F.col("b")).agg(F.count("*").alias("pairs"), F.round(F.avg(dot("x", "y") / (norm("x") * norm("y"))), 6).alias("mean_cosine"))
+    """Mean cosine of all centroid pairs; lower is better apart. Centroids of length 0 have no cosine.
+
+    The pairs' cosines add up to half of |sum of unit centroids|^2 less their number, so no pair is ever made."""
+    some = centroid_rows.where(norm("centroid") > 0)
+    parts = normalised(some, "centroid").select(F.posexplode("centroid").alias("pos", "x")).groupBy("pos").agg(F.sum("x").alias("x"))
+    square, n = parts.agg(F.sum(F.col("x") * F.col("x")).alias("square")), some.agg(F.count("*").alias("n"))
+    pairs = F.col("n") * (F.col("n") - 1)
+    return n.join(square).select((pairs / 2).cast("long").alias("pairs"), F.round(F.try_divide(F.col("square") - F.col("n"), pairs), 6).alias("mean_cosine"))
 
 
 def embed(docs: DataFrame, id_column: str, text: str = "text", dims: int = 64, encode=None) -> DataFrame:
