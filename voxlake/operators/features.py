@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.tokenizers import tokenised
 from ..schemas import DETERMINERS, TOP_KEYWORDS
 from ..sources.scratch import spread, stored
 
@@ -62,25 +63,34 @@ def tf_idf_search(queries: DataFrame, weights: DataFrame, k: int, allowed: DataF
     return ranked.join(allowed, "doc", "left_semi") if allowed is not None and post_filter else ranked
 
 
-def keyword_counts(reviews: DataFrame, n: int = TOP_KEYWORDS, text: str = "text", label: str = "sentiment_label") -> DataFrame:
-    """The top phrases of one to three words by bucket (all, and each label), with the bucket's reviews.
+def keyword_counts(reviews: DataFrame, n: int = TOP_KEYWORDS, text: str = "text", label: str = "sentiment_label", tokenizer=None) -> DataFrame:
+    """The top phrases of one to three words by bucket (all, and each label), with the bucket's reviews. ``tokenizer``: a table
+    function that gives a text's phrases instead; they are trimmed and filtered alike.
 
     Raw runs of one and two words are counted before they are made phrases. Their n-th count in a bucket bounds what can be
     at its top from below, so three words are glued only where that is possible: both pairs in them are as frequent, or,
     after a determiner (which a phrase loses), the pair that is left is half as frequent. Nothing at the top is lost."""
-    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[a-z']+"), F.lit(0))
-    rows = spread(reviews.select(label, text)).select(F.col(label).alias("label"), words.alias("a"))
-    rest = lambda k: F.slice("a", k, F.greatest(F.size("a"), F.lit(0))).alias("bc"[k - 2])
-    rows = rows.select("label", F.explode(F.arrays_zip(F.col("a"), rest(2), rest(3))).alias("t")).select("label", "t.*")
-    pair = lambda x, y: F.concat_ws(" ", x, y)
-    raw = stored(rows.select("label", F.explode(F.array("a", F.when(F.col("b").isNotNull(), pair("a", "b")))).alias("raw")).where("raw IS NOT NULL").groupBy("raw", "label").agg(F.count("*").alias("n")))
     both = F.explode(F.array(F.lit("all"), F.col("label"))).alias("bucket")
+    order = Window.partitionBy("bucket").orderBy(F.desc("count"), "word")
+    size = reviews.select(F.explode(F.array(F.lit("all"), F.col(label))).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n_reviews"))
 
     def phrases(counts: DataFrame) -> DataFrame:
         by = counts.select("n", "label", X.phrase("raw").alias("word")).where("word IS NOT NULL").groupBy("word", "label").agg(F.sum("n").alias("n"))
         return by.select("word", "n", both).groupBy("bucket", "word").agg(F.sum("n").alias("count"))
 
-    order = Window.partitionBy("bucket").orderBy(F.desc("count"), "word")
+    def ranked(counts: DataFrame) -> DataFrame:
+        top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+        return top.join(size, "bucket").select("bucket", "word", "count", "n_reviews", F.col("rank").cast("long").alias("rank"))
+
+    if tokenizer is not None:
+        tokens = tokenised(spread(reviews.select(F.col(label).alias("label"), text)), tokenizer, text, "label")
+        return ranked(phrases(tokens.groupBy("label", F.col("token").alias("raw")).agg(F.count("*").alias("n"))))
+    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[a-z']+"), F.lit(0))
+    rows = spread(reviews.select(label, text)).select(F.col(label).alias("label"), words.alias("a"))
+    rest = lambda k: F.slice("a", k, F.greatest(F.size("a"), F.lit(0))).alias("bc"[k - 2])
+    rows = rows.select("label", F.explode(F.arrays_zip(F.col("a"), rest(2), rest(3))).alias("t")).select("label", "t.*")
+    pair = lambda x, y: F.concat_ws(" ", x, y)
+    raw = stored(rows.select("label", F.explode(F.array("a", F.when(F.col("b").isNotNull(), pair("a", "b")))).alias("raw")).where("raw IS NOT NULL").groupBy("raw", "label").agg(F.count("*").alias("n")))
     short = stored(phrases(raw))
     last = short.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).groupBy("bucket").agg(F.when(F.count("*") == n, F.min("count")).otherwise(0).alias("least"))
     last = stored(last)
@@ -91,9 +101,7 @@ def keyword_counts(reviews: DataFrame, n: int = TOP_KEYWORDS, text: str = "text"
     triples = triples.where(F.col("a").isin(list(DETERMINERS)) | (F.col("end_strong") & F.col("begin").isNotNull()))
     long = phrases(triples.select("label", F.concat_ws(" ", "a", "b", "c").alias("raw")).groupBy("raw", "label").agg(F.count("*").alias("n")))
     able = short.join(last.withColumnRenamed("bucket", "k"), F.col("bucket") == F.col("k")).where("2 * count >= least").select("bucket", "word", "count")
-    top = able.union(long).groupBy("bucket", "word").agg(F.sum("count").alias("count")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
-    size = reviews.select(F.explode(F.array(F.lit("all"), F.col(label))).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n_reviews"))
-    return top.join(size, "bucket").select("bucket", "word", "count", "n_reviews", F.col("rank").cast("long").alias("rank"))
+    return ranked(able.union(long).groupBy("bucket", "word").agg(F.sum("count").alias("count")))
 
 
 def keyword_basis(reviews: DataFrame, id_column: str, limit: int = 25_000, seed: str = "42") -> tuple[DataFrame, str]:

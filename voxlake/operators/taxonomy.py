@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..sources.scratch import stored
+from ..functions.tokenizers import tokenised
 from .features import terms
 from .vectors import centroids, dot, norm
 
@@ -76,9 +77,11 @@ def read_taxonomy(spark: SparkSession, path: str, clusters, members) -> tuple[Da
     return spark.read.schema(clusters).json(f"{path}/taxonomy"), spark.read.schema(members).json(f"{path}/merged")
 
 
-def topic_keywords(docs: DataFrame, topic: str = "topic", text: str = "text", n: int = 10, stop_words: list[str] | None = None, least: int = 2) -> DataFrame:
-    """Class-based TF-IDF: tf in the topic times ln(1 + mean words a topic / frequency): topic, rank, term, weight."""
-    found = docs.select(topic, F.explode(terms(text)).alias("term"))
+def topic_keywords(docs: DataFrame, topic: str = "topic", text: str = "text", n: int = 10, stop_words: list[str] | None = None, least: int = 2, tokenizer=None) -> DataFrame:
+    """Class-based TF-IDF: tf in the topic times ln(1 + mean words a topic / frequency): topic, rank, term, weight.
+
+    ``tokenizer``: a table function that gives a text's terms instead of the built-in words and pairs."""
+    found = docs.select(topic, F.explode(terms(text)).alias("term")) if tokenizer is None else tokenised(docs, tokenizer, text, topic).withColumnRenamed("token", "term")
     if stop_words:
         found = found.where(~F.exists(F.split("term", " "), lambda w: w.isin(stop_words)))
     tf = found.groupBy(topic, "term").agg(F.count("*").alias("tf"))

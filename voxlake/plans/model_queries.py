@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from ..functions.tokenizers import Terms
 from ..operators import analysis as N
 from ..operators import models as M
 from ..operators import sampling as S
@@ -194,6 +195,12 @@ def tx4(spark, d):
     return keywords(spark, d).select("source", "term", F.col("rank").cast("long").alias("rank"))
 
 
+@query("k7_topic_tokeniser", KW + "SELECT source, term, rank FROM k")
+def k7(spark, d):
+    kw = Y.topic_keywords(V.table(spark, d, "documents"), "source", stop_words=["the", "of", "and"], tokenizer=Terms)
+    return kw.select("source", "term", F.col("rank").cast("long").alias("rank"))
+
+
 def topics(spark, d):
     kw = keywords(spark, d).groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda s: s["term"]).alias("keywords"))
     n = V.table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("count"))

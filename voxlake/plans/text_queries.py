@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.tokenizers import Phrases
 from ..operators import features as T
 from ..operators import ingest as I
 from ..schemas import DETERMINERS, KEYWORD_STOPWORDS
@@ -116,6 +117,11 @@ def a9(spark, d):
     return T.keyword_counts(V.reviews(spark, d))
 
 
+@query("k7_user_tokeniser", KEYWORDS + "200")
+def k7(spark, d):
+    return T.keyword_counts(V.reviews(spark, d), tokenizer=Phrases)
+
+
 @query("a10_keyword_basis", "SELECT CASE WHEN count(*) <= 500 THEN 'full' ELSE 'sample' END AS basis, count(*) FILTER (CAST('0x' || substr(md5('42:' || doc_id), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE < 500.0::DOUBLE / (SELECT count(*) FROM documents)) AS n FROM documents")
 def a10(spark, d):
     rows, basis = T.keyword_basis(V.reviews(spark, d), "review_id", 500)
