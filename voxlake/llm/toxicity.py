@@ -73,100 +73,141 @@ def plain(word: str) -> str:
 
 
 def parts_of(text: str):
-    """The tokens of a text, in lists of those of about PIECE characters."""
+    """The runs of a text without white space, in lists of those of about PIECE characters."""
     at = 0
     while at < len(text):
         end = text.find(" ", at + PIECE)
         end = len(text) if end < 0 else end
-        yield _TOKEN.findall(text, at, end)
+        yield text[at:end].split()
         at = end
 
 
 def candidates(text: str) -> set[str]:
     """The words of a text and, with a mark, their beginnings."""
     found: set[str] = set()
-    for tokens in parts_of(text):
-        for w in {t.lower() for t in tokens if t[0].isalnum()}:
+    for runs in parts_of(text):
+        for w in {t.lower() for r in set(runs) for t in _TOKEN.findall(r) if t[0].isalnum()}:
             found.add(w)
             found.update(w[:n] + "~" for n in HEAD if n <= len(w))
     return found
 
 
-class Scorer:
-    """Weights of words, kept by word (bounded)."""
+class Tokens(dict):
+    """Numbers of runs without white space. What is known of a run's tokens by themselves are ``rows``, made when it is first
+    seen: those of run n begin at ``begin[n]`` and end at ``begin[n + 1]``."""
+
+    COLUMNS = ("word", "weight", "masked_hits", "you_per_word", "masked_words", "stretched_words", "capital_share", "letters", "shouted_words", "exclamations", "questions", "sign_runs", "entry")
 
     def __init__(self, lexicon: dict[str, float]):
-        self.lexicon, self.known = lexicon, {}
+        self.lexicon, self.entries, self.n_rows = lexicon, {}, 0
+        self.starts = {e[: HEAD[0]] for e in lexicon if e.endswith("~")}
+        self.rows, self.begin = np.zeros((1 << 12, len(self.COLUMNS))), np.zeros(1 << 12, np.int64)
 
     def weight(self, word: str) -> float:
-        w = self.known.get(word)
-        if w is None:
-            if len(self.known) > 500_000:
-                self.known.clear()
-            w = max([self.lexicon.get(word, 0.0), *(self.lexicon.get(word[:n] + "~", 0.0) for n in HEAD if n <= len(word))])
-            self.known[word] = w
-        return w
+        own = self.lexicon.get(word, 0.0)
+        if word[: HEAD[0]] in self.starts:
+            own = max([own, *(self.lexicon.get(word[:n] + "~", 0.0) for n in HEAD if n <= len(word))])
+        return own
+
+    def row(self, token: str) -> tuple:
+        if not token[0].isalnum():
+            return (0,) * 9 + ("!" in token, "?" in token, len(token) > 1, -1)
+        low = token.lower()
+        own, masked, covered, stretched = self.weight(low), False, False, bool(_STRETCH.search(low))
+        if stretched or not low.isalpha():
+            bare = plain(low)
+            covered = bare != low and any(map(str.isalpha, low))
+            if bare != low and own == 0 and (w := self.weight(bare)) > 0:
+                own, masked = w, True
+            elif own == 0:  # words that only a sign joins
+                own = max(map(self.weight, _SIGNS.split(low)))
+        entry = self.entries.setdefault(low[:6], len(self.entries)) if own > 0 else -1
+        capitals = sum(map(str.isupper, token)) if low != token else 0
+        return (1, own, masked, low in YOU, covered, stretched and low.isalpha(), capitals, len(token), len(token) > 2 and token.isupper(), 0, 0, 0, entry)
+
+    def __missing__(self, run: str) -> int:
+        new = [self.row(t) for t in ([run] if run.isalpha() else _TOKEN.findall(run))]
+        n, end = len(self), self.n_rows + len(new)
+        if end > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros((max(end, len(self.rows)), len(self.COLUMNS)))])
+        if n + 2 > len(self.begin):
+            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
+        if new:
+            self.rows[self.n_rows : end] = new
+        self.begin[n + 1], self.n_rows, self[run] = end, end, n
+        return n
+
+    def of(self, runs: list[str]) -> np.ndarray:
+        """The rows of all tokens of some runs, in order."""
+        found = np.fromiter(map(self.__getitem__, runs), np.int64, len(runs))
+        size = self.begin[found + 1] - self.begin[found]
+        return self.rows[np.repeat(self.begin[found] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+
+
+class Scorer:
+    """Features of texts. What is known of tokens is kept from text to text, up to MOST_TOKENS of them."""
+
+    MOST_TOKENS = 300_000
+
+    def __init__(self, lexicon: dict[str, float]):
+        self.lexicon, self.tokens = lexicon, Tokens(lexicon)
 
     def features(self, text: str | None) -> np.ndarray:
-        out = dict.fromkeys(FEATURES, 0.0)
-        words = letters = 0
-        distinct: set[str] = set()
-        tail_hit = np.zeros(0)
-        last_you, waiting = -NEAR - 1, np.zeros(0, np.int64)
-        for tokens in parts_of(text or ""):
-            flat = [t for t in tokens if t[0].isalnum()]
-            signs = [t for t in tokens if not t[0].isalnum()]
-            low = [t.lower() for t in flat]
-            own = np.fromiter(map(self.weight, low), float, len(low))
-            you = np.fromiter((w in YOU for w in low), bool, len(low))
-            masked = np.zeros(len(low), bool)
-            for i in [i for i, w in enumerate(low) if not w.isalpha() or _STRETCH.search(w)]:
-                bare = plain(low[i])
-                out["masked_words"] += bare != low[i] and any(map(str.isalpha, low[i]))
-                out["stretched_words"] += bool(_STRETCH.search(low[i])) and low[i].isalpha()
-                if bare != low[i] and own[i] == 0 and (w := self.weight(bare)) > 0:
-                    own[i], masked[i] = w, True
-                elif own[i] == 0:  # words that only a sign joins
-                    own[i] = max(map(self.weight, _SIGNS.split(low[i])))
+        names = Tokens.COLUMNS
+        total, out, words, distinct = np.zeros(len(names)), dict.fromkeys(FEATURES, 0.0), 0, set()
+        tail, last_you, waiting = np.zeros(0), -NEAR - 1, np.zeros(0, np.int64)
+        for runs in parts_of(text or ""):
+            if len(self.tokens) > self.MOST_TOKENS:
+                distinct = {("part", words, d) for d in distinct}  # entries are numbered anew: those of parts before stay apart
+                self.tokens = Tokens(self.lexicon)
+            rows = self.tokens.of(runs)
+            total += rows.sum(0)
+            rows = rows[rows[:, 0] > 0]
+            own, you = rows[:, 1], rows[:, 3] > 0
             hit = own > 0
-            distinct.update(low[i][:6] for i in np.flatnonzero(hit))
-            out["hits"] += hit.sum()
-            out["weight"] += own.sum()
-            out["strongest"] = max(out["strongest"], own.max(initial=0.0))
-            out["masked_hits"] += masked.sum()
-            out["you_per_word"] += you.sum()
-            place = np.arange(words, words + len(low))
+            place = np.arange(words, words + len(rows))
             yous = np.append(last_you, place[you])
             if hit.any():
-                before = yous[np.searchsorted(yous, place[hit], "right") - 1]
-                nxt = np.append(yous, 1 << 60)[np.searchsorted(yous, place[hit])]
-                close = (place[hit] - before <= NEAR) | (nxt - place[hit] <= NEAR)
+                out["hits"] += hit.sum()
+                out["strongest"] = max(out["strongest"], own.max())
+                distinct.update(np.unique(rows[hit, -1]).tolist())
+                at = place[hit]
+                before = yous[np.searchsorted(yous, at, "right") - 1]
+                after = np.append(yous, 1 << 60)[np.searchsorted(yous, at)]
+                close = (at - before <= NEAR) | (after - at <= NEAR)
                 out["near_you"] += close.sum()
             if you.any():  # hits of the part before, close to this part's first
                 out["near_you"] += (place[you][0] - waiting <= NEAR).sum()
-            waiting = place[hit][~close] if hit.any() else waiting[:0] if you.any() else waiting
+            waiting = at[~close] if hit.any() else waiting[:0] if you.any() else waiting
             last_you = int(yous[-1])
-            run = np.concatenate([tail_hit, own])
-            sums = np.cumsum(run)
-            sums[WINDOW:] -= sums[:-WINDOW].copy()
-            out["densest_stretch"] = max(out["densest_stretch"], sums.max(initial=0.0))
-            tail_hit = run[-WINDOW + 1 :]
-            out["capital_share"] += sum(map(str.isupper, "".join(flat)))
-            out["shouted_words"] += sum(len(t) > 2 and t.isupper() for t in flat)
-            for s in signs:
-                out["exclamations"] += "!" in s
-                out["questions"] += "?" in s
-                out["sign_runs"] += len(s) > 1
-            words += len(low)
-            letters += sum(map(len, flat))
-        n = max(1, words)
+            run = np.concatenate([tail, own])
+            if hit.any():
+                sums = np.cumsum(run)
+                sums[WINDOW:] -= sums[:-WINDOW].copy()
+                out["densest_stretch"] = max(out["densest_stretch"], sums.max())
+            tail = run[-WINDOW + 1 :]
+            words += len(rows)
+        out |= {name: total[k] for k, name in enumerate(names) if name in out and name != "word"}
+        n, letters = max(1, words), total[names.index("letters")]
         out["near_you_per_hit"] = out["near_you"] / max(1.0, out["hits"])
         out["hits_per_word"], out["weight_per_word"] = out["hits"] / n, out["weight"] / n
         for c in ("you_per_word", "shouted_words", "exclamations", "questions", "sign_runs", "masked_words", "stretched_words"):
             out[c] /= n
         out["capital_share"] /= max(1, letters)
         out["distinct_hits"], out["letters_per_word"], out["log_words"] = float(len(distinct)), letters / n, float(np.log1p(words))
-        return np.array([out[c] for c in FEATURES])
+        return np.array([out[c] for c in FEATURES], float)
+
+
+_KEPT: dict[int, Scorer] = {}
+
+
+def kept_scorer(lexicon: dict[str, float]) -> Scorer:
+    """The scorer of a worker: what it knows of tokens serves its later tasks with the same lexicon."""
+    key = hash(tuple(sorted(lexicon.items())))
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = Scorer(lexicon)
+    return _KEPT[key]
 
 
 def features(docs: DataFrame, lexicon: dict[str, float], *keep: str) -> DataFrame:
@@ -174,7 +215,7 @@ def features(docs: DataFrame, lexicon: dict[str, float], *keep: str) -> DataFram
     rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
 
     def run(batches):
-        scorer = Scorer(lexicon)
+        scorer = kept_scorer(lexicon)
         for b in slices(batches):
             x = [scorer.features(t) for t in b.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([v.tolist() for v in x], pa.list_(pa.float64()))], names=[*keep, "features"])
