@@ -1,5 +1,6 @@
 import pytest
 
+from voxlake.llm import html_text as H
 from voxlake.llm.html_text import _flag, _measure, extract_pages, main_text, parse
 
 P1, P2, P3 = (f"Paragraph {k} of the article has quite a few words, commas, and more text to read on." for k in "abc")
@@ -120,3 +121,37 @@ def test_precision_and_recall_over_built_pages():
         got, want = Counter(main_text(page).split()), Counter(" ".join(paragraphs).split())
         hit, found, meant = hit + (got & want).total(), found + got.total(), meant + want.total()
     assert hit / found > 0.99 and hit / meant > 0.99, (hit / found, hit / meant)
+
+
+LONG = "A sentence of the article, long enough to be dense among all the tags of the page. " * 4
+
+
+def test_attributes_are_read_as_such():
+    """Words inside values don't hide or name a part, other attributes' names don't, and a slash closes nothing."""
+    for tag in ('section aria-label="Finding hidden gems"', 'div title="a hidden fact"', "div data-id=comments", 'div data-class="footer"', "div title='class=\"menu\"'", 'div data-style="display:none"'):
+        assert H.main_text(f"<body><p>{LONG}</p><{tag}><p>Kept text.</p></{tag.split()[0]}></body>").endswith("Kept text."), tag
+    for tag in ("div hidden", "div HIDDEN=''", 'div style="color:red; Display : none"', "div aria-hidden=true", "div class=comments", "ul role='navigation'", 'div CLASS="site-footer"'):
+        assert H.main_text(f"<body><p>{LONG}</p><{tag}><p>Gone.</p></{tag.split()[0]}></body>") == LONG.strip(), tag
+    assert H.attributes("a='1' B = \"x y\" c d=e/f a=2 href=/home/") == {"a": "1", "b": "x y", "c": "", "d": "e/f", "href": "/home/"}
+    page = f"<body><div><a href=/home/>Home</a><p>{LONG}</p></div></body>"
+    assert H.parse(page)[1][3].kids == ["Home"]
+
+
+def test_ids_alone_drop_only_what_isnt_dense():
+    links = "".join(f"<li><a href='/{k}'>Link {k}</a></li>" for k in range(8))
+    page = f"<body><div><p>{LONG}</p><h2 id='share'>Share of markets</h2><p>{LONG}</p><div id='search'><p>{LONG}About search.</p></div></div><div id='sidebar'><ul>{links}</ul></div></body>"
+    text = H.main_text(page)
+    assert "Share of markets" in text and "About search." in text and "Link 3" not in text
+
+
+def test_many_unclosed_and_stray_tags_are_linear():
+    import time
+
+    def seconds(n):
+        page = "<p>" + "<b>" * n + "</i>" * n + "x<div>" + "<b>" * n + "<h2>t</h2>" * n + "<li>y" * n
+        began = time.process_time()
+        assert H.parse(page)[0].tag == "html"
+        return time.process_time() - began
+
+    seconds(1000)
+    assert min(seconds(16_000) for _ in range(3)) < 14 * max(0.01, min(seconds(4_000) for _ in range(3)))

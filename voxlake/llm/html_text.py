@@ -10,7 +10,8 @@ path join it. Elements that are never article text (navigation, footer, aside, s
 densities but give no text. Forms, and elements of which a whole class, id or role token is a name for boilerplate
 ("comments", "cookie-banner", "site-search"; not "comments-open", "has-sidebar" or "search-result-page"), give none either, unless they hold most of the
 page's text: then the name is taken for one of the page, and the densities decide. Only names for reader comments stand
-however long the comments are. A page of which nothing is left is read again by its densities alone.
+however long the comments are. Another id alone (any heading has one) says so only of parts that are mostly links or less dense than
+the page; that of a heading says nothing. A page of which nothing is left is read again by its densities alone.
 
 Blocks are the runs of text between block elements or line breaks; white space in a block becomes one blank.
 
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
 from html import unescape
 
 import pyarrow as pa
@@ -35,8 +37,9 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|[^<]+|<",
     re.S,
 )
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+#: One attribute: a name and, if any, its value with or without quotes.
+_ATTRIBUTE = re.compile(r"([^\s=>/\"'][^\s=>/]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*)))?")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _LETTERS = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -59,6 +62,7 @@ COMMENTS = frozenset("comment comments commentlist discussion disqus replies res
 #: The share of a page's text from which a part's name is taken for one of the page.
 MOST = 0.6
 KEPT = frozenset("html body main article".split())
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: What a start tag ends, up to the elements that hold it in.
 _ENDS = {
     **dict.fromkeys(BLOCK - {"br", "hr", "li", "dd", "dt", "td", "th", "tr", "option", "body", "html"}, (frozenset({"p"}), frozenset("article section div td th li table blockquote main body form aside".split()))),
@@ -78,7 +82,9 @@ class _Node:
         self.density = 0.0
 
 
-NAMED, SURE = 1, 2
+#: How sure an element itself says that it isn't article text. What only its id says holds where its density agrees: ids are
+#: the anchors of headings and parts, whatever these are about.
+BY_ID, NAMED, SURE = 1, 2, 3
 
 
 def _token_says(token: str) -> int:
@@ -91,22 +97,57 @@ def _token_says(token: str) -> int:
     return SURE if any(w in COMMENTS for w in words) else NAMED
 
 
-def _says(tag: str, attrs: str) -> int:
-    """0, NAMED or SURE: whether an element isn't article text by its tag, its class, id and role tokens, or being hidden."""
+def attributes(text: str) -> dict[str, str]:
+    """The attributes of a start tag by name in lower case; the first of a name counts."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(text):
+        found.setdefault(m[1].lower(), unescape(m[2] or m[3] or m[4] or ""))
+    return found
+
+
+def _names(value: str) -> int:
+    return max((_token_says(re.sub(r"([a-z])([A-Z])", r"\1-\2", t).lower()) for t in value.split()), default=0)
+
+
+def _says(tag: str, text: str) -> int:
+    """0, BY_ID, NAMED or SURE: whether an element isn't article text by its tag, its class, role and id, or being hidden."""
     if tag in NEVER:
         return SURE
-    if tag in KEPT or not attrs:
+    if tag in KEPT or not text:
         return NAMED if tag == "form" else 0
-    if _HIDDEN.search(attrs):
+    has = attributes(text)
+    if "hidden" in has or has.get("aria-hidden", "").strip().lower() == "true" or _NO_DISPLAY.search(has.get("style", "")):
         return SURE
-    tokens = (t for m in _NAMED.finditer(attrs) for t in (m[1] or m[2] or m[3] or "").split())
-    return max((_token_says(re.sub(r"([a-z])([A-Z])", r"\1-\2", t).lower()) for t in tokens), default=0) or (NAMED if tag == "form" else 0)
+    by_id = 0 if tag in HEADINGS else _names(has.get("id", ""))
+    by_id = BY_ID if by_id == NAMED else by_id  # ids for reader comments stand, as other names for them do
+    return max(_names(has.get("class", "")), _names(has.get("role", "")), by_id) or (NAMED if tag == "form" else 0)
+
+
+class _Open:
+    """The open elements, and at which places those of each tag are, so that no end tag has to look through them."""
+
+    def __init__(self, root: _Node):
+        self.stack, self.places = [root], defaultdict(list)
+
+    def push(self, node: _Node) -> None:
+        self.places[node.tag].append(len(self.stack))
+        self.stack.append(node)
+
+    def last(self, tags) -> int:
+        """The place of the innermost open element of some tags; 0 without one."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    def cut(self, at: int) -> None:
+        for node in self.stack[at:]:
+            self.places[node.tag].pop()
+        del self.stack[at:]
 
 
 def parse(html: str) -> tuple[_Node, list[_Node]]:
-    """The body (or the root, without one) and all nodes in page order."""
+    """The body (or the root, without one) and all nodes in page order. Linear in the page, whatever its tags."""
     root = _Node("html", None, 0)
-    nodes, stack, body, at = [root], [root], None, 0
+    nodes, open_, body, at = [root], _Open(root), None, 0
+    stack = open_.stack
     while at < len(html):
         m = _TOKEN.match(html, at)
         at = m.end()
@@ -117,42 +158,34 @@ def parse(html: str) -> tuple[_Node, list[_Node]]:
             continue
         tag, attrs = tag.lower(), m[3] if m[2] else m[6]
         if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    if tag not in ("body", "html"):
-                        del stack[k:]
-                    break
-            else:
-                if tag in BLOCK:
-                    stack[-1].kids.append(None)
+            if place := open_.last((tag,)):
+                if tag not in ("body", "html"):
+                    open_.cut(place)
+            elif tag in BLOCK:
+                stack[-1].kids.append(None)
             continue
         if tag == "html":
             continue
         if tag == "body":
             if body is None:
-                del stack[1:]
+                open_.cut(1)
                 body = _Node(tag, root, 0)
                 root.kids.append(body)
                 nodes.append(body)
-                stack.append(body)
+                open_.push(body)
             continue
         if tag in _ENDS:
             ends, holds = _ENDS[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in ends:
-                    del stack[k:]
-                    break
-                if stack[k].tag in holds:
-                    break
+            if (place := open_.last(ends)) > open_.last(holds):
+                open_.cut(place)
         node = _Node(tag, stack[-1], _says(tag, attrs or ""))
         stack[-1].kids.append(node)
         nodes.append(node)
         if tag in RAW:
             end = _RAW_END[tag].search(html, at)
             at = end.start() if end else len(html)
-            stack.append(node)
-        elif tag not in VOID and not (attrs or "").endswith("/"):
-            stack.append(node)
+        if tag not in VOID:  # a slash at the end of a start tag means nothing in HTML
+            open_.push(node)
     return body or root, nodes
 
 
@@ -165,8 +198,10 @@ def _flag(nodes: list[_Node], by_names: bool) -> None:
             sure.add(id(n))
         else:
             text += n.chars - sum(k.chars for k in n.kids if isinstance(k, _Node))
+    usual = nodes[0].chars / max(1, nodes[0].tags)
     for n in nodes:
-        n.never = id(n) in sure or n.parent is not None and n.parent.never or by_names and n.own == NAMED and n.chars < MOST * text
+        named = n.own == NAMED or n.own == BY_ID and (n.density < usual or 2 * n.link_chars > n.chars)
+        n.never = id(n) in sure or n.parent is not None and n.parent.never or by_names and named and n.chars < MOST * text
 
 
 def _measure(nodes: list[_Node], body: _Node) -> None:
