@@ -4,7 +4,7 @@ Entities are e-mail addresses, phone numbers, card numbers (13 to 19 digits), so
 addresses, hexadecimal secrets and access keys, and person names (after a title, after a word such as "Contact:" or "Dear"
 before two capitalised words, or a known given name before a capitalised word; a third word of a name is taken where one of
 the first two is a known given name). A found name part stands for the person wherever it is a whole, capitalised word of
-the same text, unless the text also has it in lower case as a common word.
+the same text (a common word only before other words than it is a common word before, or inside a sentence).
 
 Each distinct entity, in its canonical form (lower case, no separators, ASCII digits, a phone number's last ten digits, name
 part by name part), gets one surrogate in the whole corpus, so mentions of one entity stay mentions of one; a mention then
@@ -24,6 +24,7 @@ other columns as they are. Texts are scanned whole. Only the texts that can hold
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 import secrets
 import unicodedata
@@ -54,7 +55,11 @@ GIVEN = {
     ).split(),
 }
 #: Words after which two or three capitalised words are a name.
-CUES = "Contact Attn Dear Signed Sincerely Regards Author Patient Customer Employee Applicant Kontakt Autor Auteur Paciente Cliente Employé".split() + ["[Nn]ame(?: is)?", "[Nn]amed", "Nom", "Nombre", "Verfasser"]
+CUES = "Contact Attn Dear Signed Sincerely Regards Author Patient Customer Employee Applicant Kontakt Autor Auteur Paciente Cliente Employé".split() + [
+    "[Nn]ame(?: is)?", "[Nn]amed", "Nom", "Nombre", "Verfasser", "I['’]m", "I am", "Ask", "Meet", "Thanks", "Ich bin", "Ich heiße", "Je suis", "Je m['’]appelle", "Soy", "Me llamo",
+]
+#: Words that begin a sentence behind a name and are never a further part of it; particles of names (de, la, von) aren't here.
+FUNCTION = frozenset("the a an and or but if in on at to he she it we they this that these those is was der die das und ein eine er sie les un une et il elle y".split())
 #: Syllables and endings that surrogate names are made of, by script.
 STEMS = {
     "latin": "al ber cor dan el fen gar hol is jor kel lam mar nor or pel quin ros sal tor ul ven wil yor zan".split(),
@@ -79,12 +84,14 @@ def _any_of(words) -> str:
 _ALL = lambda d: _any_of(sorted({w for ws in d.values() for w in ws}))
 _CAP = r"[^\W\d_][\w'’-]*"
 _ENTITY = re.compile(
-    r"(?P<email>(?<![\w.%+-])[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
+    r"(?P<email>(?<![\w.%+-])[\w.%+-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,})"
     r"|(?P<secret>(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![0-9A-Za-z]))"
     r"|(?P<iban>(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z]))"
     r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d))"
+    r"|(?P<ip6>(?<![\w:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:]))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
-    r"|(?P<phone>(?<![\w+])(?:\+?\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<!\w)\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\d.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-]))"
+    r"|(?P<phone>(?<![\w+])(?:\+?\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<!\w)\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\d.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])"
+    r"|(?<![\w.+-])0(?:\d{8,11}|\d{1,4}(?P<gap>[ ./-])\d{2,8}(?:(?P=gap)\d{2,8}){0,4})(?![\w-])|(?<![\w.,+-])[2-9]\d{9}(?![\w-]|[.,]\d))"
     r"|(?P<card>(?<!\d)\d(?:[ -]?\d){12,18}(?!\d))"
     rf"|(?P<titled>(?<!\w)(?P<title>{_ALL(TITLES)})\.?[ ]+(?P<one>{_CAP})(?:[ ]+(?P<two>{_CAP})(?:[ ]+(?P<three>{_CAP}))?)?)"
     rf"|(?P<cued>(?<!\w)(?:{'|'.join(CUES)})(?: ?[:,])?[ ]+(?P<first>{_CAP})[ ]+(?P<second>{_CAP})(?:[ ]+(?P<third>{_CAP}))?)"
@@ -104,8 +111,15 @@ def _ascii_digits(s: str) -> str:
     return s if s.isascii() else "".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in s)
 
 
+_OPENS = re.compile(r"(?:^|[.!?:;\n\"'“”«»(¿¡-])\s*$")
+_NEXT = re.compile(r"\W+(\w+)")
+
+
 def _again(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
-    """The further mentions of the name parts found: whole words that aren't within another entity."""
+    """The further mentions of the name parts found: whole words that aren't within another entity.
+
+    A part may be a common word too (the text has it in lower case). Where such a word opens a sentence, it is left only
+    before a word that it has been seen before in lower case (``green people``: ``Green people``, not ``Green said``)."""
     names: dict[str, str] = {}
     for _, _, kind, canon in found:
         if kind.startswith("name") and (len(canon) > 1 or _script(canon) == "han"):
@@ -113,6 +127,7 @@ def _again(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int,
     if not names:
         return []
     words = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(map(re.escape, names), key=lambda w: (-len(w), w)))})(?!\w)", re.I)
+    follower = lambda m: (n[1].lower() if (n := _NEXT.match(text, m.end())) else "")
     hits, common, at = [], set(), 0
     for m in words.finditer(text):
         while at < len(found) and found[at][1] <= m.start():
@@ -121,10 +136,12 @@ def _again(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int,
         if canon not in names or at < len(found) and found[at][0] < m.end():
             continue
         if m[0][0].isupper() or _script(m[0]) == "han":
-            hits.append((m.start(), m.end(), names[canon], canon))
+            hits.append((m, canon))
         elif canon not in _GENDER:
-            common.add(canon)
-    return [h for h in hits if h[3] not in common]
+            common.add((canon, follower(m)))
+    seen = {c for c, _ in common}
+    opens = lambda m: _OPENS.search(text, max(0, m.start() - 16), m.start()) is not None
+    return [(m.start(), m.end(), names[c], c) for m, c in hits if c not in seen or (c, follower(m)) not in common or not opens(m)]
 
 
 _PARTS = {"titled": ("one", "two", "three"), "cued": ("first", "second", "third"), "named": ("given", "last", "more")}
@@ -136,14 +153,24 @@ def name_of(word: str) -> str:
     return name.lower() if len(name.lower()) == len(name) else name
 
 
+def ip6(raw: str) -> str | None:
+    """The short form of an IPv6 address that says something: three groups at least, and a digit (``std::dec`` has none)."""
+    try:
+        address = ipaddress.IPv6Address(raw)
+    except ValueError:
+        return None
+    return address.compressed if sum(map(bool, raw.split(":"))) >= 3 and any(map(str.isdecimal, raw)) else None
+
+
 def mentions(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form) of each entity part, in order, none overlapping."""
     found = []
     for m in _ENTITY.finditer(text):
-        kind = next(k for k in ("email", "secret", "iban", "ip", "ssn", "phone", "card", "titled", "cued", "named") if m[k] is not None)
+        kind = next(k for k in ("email", "secret", "iban", "ip", "ip6", "ssn", "phone", "card", "titled", "cued", "named") if m[k] is not None)
         if kind in _PARTS:
             parts = [g for g in _PARTS[kind] if m[g] is not None]
             parts = parts[: next((i for i, g in enumerate(parts) if not m[g][0].isupper() and _script(m[g]) != "han"), len(parts))]
+            parts = parts[: next((i for i, g in enumerate(parts) if i and m[g].lower() in FUNCTION), len(parts))]
             if kind != "titled" and len(parts) < 2:
                 continue
             if len(parts) == 3 and not (m[parts[0]].lower() in _GENDER or m[parts[1]].lower() in _GENDER):
@@ -153,6 +180,11 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
                 gender = "n" if not first else _GENDER.get(name_of(m[g]), _TITLE.get(m["title"], "n") if kind == "titled" else "n")
                 name = name_of(m[g])
                 found.append((m.start(g), m.start(g) + len(name), f"name_{gender}", name))
+        elif kind == "ip6":
+            if address := ip6(m[0]):
+                found.append((m.start(), m.end(), "ip", address))
+        elif kind == "phone" and not 9 <= sum(map(str.isdecimal, m[0])) <= 17:
+            continue  # a date or another number with a leading zero
         elif kind in ("email", "ip"):
             found.append((m.start(), m.end(), kind, m[0].lower() if kind == "email" else _ascii_digits(m[0])))
         else:
@@ -224,6 +256,8 @@ def candidate(key: bytes, kind: str, canon: str, attempt: int) -> str:
             at = head.end() if head else 0
             return canon[:at] + _pattern(canon[at:] + "x" * longer, rnd)
         return "".join("0123456789abcdef"[rnd.below(16)] for _ in canon + "0" * longer)
+    if kind == "ip" and ":" in canon:
+        return f"fd{rnd.below(256):02x}:" + ":".join(f"{rnd.below(65536):x}" for _ in range(7 if not longer else 5)) + (f"::{rnd.below(65535) + 1:x}" if longer else "")
     if kind == "ip":
         return ".".join(str(1 + rnd.below(254)) for _ in range(4)) if not longer else "fd00:" + ":".join(f"{rnd.below(65536):04x}" for _ in range(7))
     if kind == "iban":
@@ -236,6 +270,8 @@ def candidate(key: bytes, kind: str, canon: str, attempt: int) -> str:
             out = next(out[:-1] + d for d in "0123456789" if _luhn(out[:-1] + d) == 0)
         return out
     if kind in ("phone", "ssn"):
+        if kind == "phone" and canon[0] == "0":  # a national number keeps its leading zero
+            return "0" + str(1 + rnd.below(9)) + _pattern(canon[2:] + "0" * longer, rnd)
         return str(2 + rnd.below(8)) + _pattern(canon[1:] + "0" * longer, rnd)
     script, gender = _script(canon), kind[-1]
     stems = STEMS[script]
