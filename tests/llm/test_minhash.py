@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from voxlake.llm.minhash import PathJoin, _blocks, common_counts, near_duplicates
+from voxlake.llm.minhash import PathJoin, _blocks, common_counts, first_of_groups, near_duplicates
 
 
 def own_set(text, k):
@@ -81,3 +81,16 @@ def test_sets_in_blocks_of_few_bytes(spark):
     got = {r.doc_id: r.component_id for r in near_duplicates(df, PathJoin(words=3, block_bytes=1500)).collect()}
     want = {i: c for i, _, c, _ in brute(rows, 3)}
     assert got == want
+
+
+def test_first_of_groups_with_shared_ids(spark):
+    """Of copies under one doc_id one stays, another text under it isn't taken for a copy, rows without an id stay."""
+    long = [" ".join(f"w{(k * 7 + j) % 90 + 100 * k}" for j in range(60)) for k in range(4)]
+    rows = [(1, long[0]), (1, long[0]), (2, long[0]), (2, long[1]), (3, long[1] + " more"), (4, long[2]), (4, long[2] + " end"), (5, long[3]), (None, long[0]), (None, None), (6, ""), (6, None)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, _key string")
+    got = first_of_groups(df.drop("_key").repartition(3)).collect()
+    groups = {k: [r.text for r in got if r.doc_id is not None and r.text and r.text.startswith(long[k][:40])] for k in range(4)}
+    assert [len(g) for g in groups.values()] == [1, 1, 1, 1] and len(got) == 4 + 2 + 2
+    same = first_of_groups(df.drop("_key").where("doc_id IN (1, 2)").limit(3)).collect()
+    assert len(same) == 1
+    assert first_of_groups(df.drop("_key").limit(0)).count() == 0

@@ -56,3 +56,22 @@ def test_stages_against_plain_python(spark, tmp_path):
             assert len(after) == len(seen["mix_sources"]) and all(fst.decode(r.piece_ids) == texts[r.doc_id] for r in docs.collect())
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert Counter(r.doc_id for r in whole.collect()) == Counter(r[0] for r in seen["sentencepiece"])
+
+
+def test_odd_tables(spark, tmp_path):
+    """Repeated rows leave one document, extra columns pass through, an empty table gives no row."""
+    words = "the of and with this that thing tion being there where house"
+    rows = [(1, words + " copy", "en", "s0", 9), (1, words + " copy", "en", "s0", 9), (2, words + " copy", "en", "s1", 9), (3, "le les de être où très eau bien " * 3, "fr", None, 8), (4, None, None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, some in {"some": rows, "none": []}.items():
+        df = spark.createDataFrame(some, schema).selectExpr("*", "'x' AS score", "1 AS component")
+        df.write.parquet(str(tmp_path / name / "documents.parquet"))
+        docs = spark.read.parquet(str(tmp_path / name / "documents.parquet"))
+        for stage, f in corpus_pipeline.STAGES[:3]:
+            docs = f(spark, docs, str(tmp_path / name))
+            assert docs.columns == df.columns
+            docs.write.parquet(str(tmp_path / name / stage))
+            docs = spark.read.parquet(str(tmp_path / name / stage))
+        left = [r.doc_id for r in docs.collect()]
+        assert sorted(left) == ([1, 3] if some else [])
+        assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path / name)).collect()} <= set(left)

@@ -325,11 +325,29 @@ def near_duplicates(docs: DataFrame, p: PathJoin = PathJoin()) -> DataFrame:
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
 
 
-def first_of_groups(docs: DataFrame, p: PathJoin = PathJoin()) -> DataFrame:
-    """The rows of ``docs`` without those whose doc_id is a near-duplicate of a smaller one."""
-    gone = stored(near_duplicates(docs, p).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct())
+def _without(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    gone = stored(gone.select(F.col("doc_id").alias("_gone")).distinct())
     gone = F.broadcast(gone) if gone.count() <= SMALL else gone
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
+    return rows.join(gone, F.col(key).cast("long") == F.col("_gone"), "left_anti")
+
+
+def first_of_groups(docs: DataFrame, p: PathJoin = PathJoin()) -> DataFrame:
+    """One row of each group of near-duplicates: that of the smallest doc_id. Rows without a doc_id stay.
+
+    Rows that share a doc_id are documents of their own, with keys of their own beyond the largest doc_id while groups are
+    made, so that of copies under one id one stays, and another text under it is not taken for a copy."""
+    ids = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("_id"))
+    shared = stored(ids.agg(F.count("*").alias("_n")).where("_n > 1").select("_id"))
+    if shared.isEmpty():
+        return _without(docs, "doc_id", near_duplicates(docs, p).where("NOT kept"))
+    most = docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0]
+    own = F.col("doc_id").cast("long") == F.col("_id")
+    again = docs.join(shared, own, "left_semi").withColumn("_key", F.lit(most + 1) + F.monotonically_increasing_id())
+    keyed = stored(docs.join(shared, own, "left_anti").withColumn("_key", F.col("doc_id").cast("long")).unionByName(again))
+    groups = stored(near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), p).where("doc_id IS NOT NULL").select("doc_id", "component_id"))
+    named = groups.join(keyed.select("_key", F.col("doc_id").cast("long").alias("_id")), F.col("doc_id") == F.col("_key"))
+    first = named.groupBy("component_id").agg(F.min(F.struct("_id", "_key"))["_key"].alias("_first")).select("_first")
+    return _without(keyed, "_key", groups.join(first, F.col("doc_id") == F.col("_first"), "left_anti")).select(*docs.columns)
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
