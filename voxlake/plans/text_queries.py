@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..functions.tokenizers import Phrases
 from ..operators import features as T
 from ..operators import ingest as I
+from ..operators import search_index as SI
 from ..schemas import DETERMINERS, KEYWORD_STOPWORDS
 from ..sources.known import KnownStore
 from ..sources.scratch import fresh_path, stored
@@ -61,6 +62,16 @@ def t4(spark, d):
     return T.tf_idf_search(queries, w, 5, allowed).select("query_id", "doc", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query("t4_stored_index", SEARCH.replace("{where}", " AND w.doc IN (SELECT doc_id FROM documents WHERE lang = 'en')"))
+def t4_index(spark, d):
+    """The same answers from a stored index, by the blocks that can hold one of them."""
+    w, path = stored(weights(spark, d)), fresh_path(spark, "index")
+    SI.build(w, path)
+    allowed = V.table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("doc"))
+    found, _ = SI.search(spark, path, w.where("doc % 20 = 0").withColumnRenamed("doc", "query_id"), 5, allowed)
+    return found.select("query_id", "doc", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("t4_tf_idf_search_post_filter", SEARCH.replace("{where}", "") + " WHERE k.doc IN (SELECT doc_id FROM documents WHERE lang = 'en')")
 def t4_post(spark, d):
     w = stored(weights(spark, d))
