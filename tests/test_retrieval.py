@@ -133,3 +133,26 @@ def test_topics_by_platform_are_fitted_once(spark):
             if r.platform == p:
                 groups.setdefault(r.topic, set()).add(r.doc_id % 6)
         assert all(len(g) == 1 for t, g in groups.items() if t >= 0) and any(t >= 0 for t in groups)
+
+
+def test_density_topics_recover_planted_clusters(spark):
+    """Clusters of unequal size come out whole, noise stays out, whatever the layout."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows, truth = [], {}
+    for c, size in enumerate((120, 40, 12)):
+        centre = rng.normal(size=24)
+        for _ in range(size):
+            truth[len(rows)] = c
+            rows.append((len(rows), [float(x) for x in centre + rng.normal(size=24) * 0.35]))
+    for _ in range(30):
+        truth[len(rows)] = -1
+        rows.append((len(rows), [float(x) for x in rng.normal(size=24)]))
+    rows.append((999, [0.0] * 24))
+    df = spark.createDataFrame(rows, "doc_id long, vector array<double>")
+    got = {r.doc_id: r.topic for r in Y.density_topics(df.repartition(5), k=6, least_cosine=0.7, least_size=8).collect()}
+    assert len(got) == len(rows) and got[999] == -1
+    starts = {0: 0, 1: 120, 2: 160, -1: -1}
+    assert np.mean([got[i] == starts[c] for i, c in truth.items()]) > 0.99
+    assert Y.density_topics(df.limit(3), k=6).where("topic = -1 AND NOT core").count() == 3 and Y.density_topics(df.limit(0)).count() == 0

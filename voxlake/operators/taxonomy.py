@@ -13,7 +13,7 @@ from ..functions import text as X
 from ..sources.scratch import stored
 from ..functions.tokenizers import tokenised
 from .features import terms
-from .vectors import centroids, dot, norm
+from .vectors import centroids, dot, norm, normalised, top_k
 
 MAX_TOPICS = 2000
 
@@ -66,6 +66,45 @@ def discover_by_platform(vectors: DataFrame, k: int, platform: str = "platform",
     return reduce(DataFrame.union, parts) if parts else vectors.withColumn("topic", F.lit(None).cast("int"))
 
 
+def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id and label (the smallest id that undirected edges (a, b) reach): the least label around, then the label's label,
+    until nothing changes. A round is a stored table."""
+    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = stored(nodes.select("id", F.col("id").alias("label")))
+    while True:
+        around = both.join(labels, F.col("a") == F.col("id")).groupBy("b").agg(F.min("label").alias("near"))
+        step = stored(labels.join(around, F.col("id") == F.col("b"), "left").select("id", "label", F.least("label", F.coalesce("near", "label")).alias("low")))
+        jump = step.select(F.col("id").alias("at"), F.col("low").alias("next"))
+        after = stored(step.join(jump, F.col("low") == F.col("at")).select("id", F.least("low", "next").alias("label"), (F.least("low", "next") != F.col("label")).alias("changed")))
+        labels = after.select("id", "label")
+        if after.where("changed").isEmpty():
+            return labels
+
+
+def density_topics(vectors: DataFrame, k: int = 8, least_cosine: float = 0.5, least_size: int = 5) -> DataFrame:
+    """doc_id, core and topic (the smallest doc_id of its dense part, or -1) of each of the vectors (doc_id, vector).
+
+    A document is dense where its k-th nearest neighbour (exact, by cosine, ids breaking ties) has at least ``least_cosine``.
+    Dense neighbours that near belong together; another document goes to the nearest dense one among its neighbours, if it
+    is that near. Parts of fewer than ``least_size`` documents, and what is near none, are noise. Sizes and number of the
+    topics follow from the data."""
+    unit = stored(normalised(vectors.select("doc_id", "vector").where(norm("vector") > 0), "vector"))
+    found = top_k(unit.withColumnRenamed("doc_id", "query_id"), unit, k + 1).where("query_id <> doc_id")
+    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    near = stored(found.select("query_id", "doc_id", "score").withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= k))
+    core = stored(near.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where((F.col("n") == k) & (F.col("least") >= least_cosine)).select(F.col("query_id").alias("id")))
+    close = near.where(F.col("score") >= least_cosine).join(core, F.col("doc_id") == F.col("id"), "left_semi")
+    links = close.join(core, F.col("query_id") == F.col("id"), "left_semi").select(F.col("query_id").alias("a"), F.col("doc_id").alias("b"))
+    parts = stored(_components(core, links))
+    edge = close.join(core, F.col("query_id") == F.col("id"), "left_anti").groupBy("query_id").agg(F.min_by("doc_id", "nth").alias("to"))
+    edge = edge.join(parts, F.col("to") == F.col("id")).select(F.col("query_id").alias("id"), "label", F.lit(False).alias("core"))
+    placed = stored(parts.withColumn("core", F.lit(True)).unionByName(edge))
+    large = placed.groupBy("label").agg(F.count("*").alias("size")).where(F.col("size") >= least_size).select(F.col("label").alias("topic"))
+    kept = placed.join(large, F.col("label") == F.col("topic"))
+    rows = vectors.select("doc_id").join(placed.select("id", "core"), F.col("doc_id") == F.col("id"), "left").drop("id").join(kept.select("id", "topic"), F.col("doc_id") == F.col("id"), "left")
+    return rows.select("doc_id", F.coalesce("core", F.lit(False)).alias("core"), F.coalesce("topic", F.lit(-1)).alias("topic"))
+
+
 def write_taxonomy(clusters: DataFrame, members: DataFrame, path: str) -> None:
     """The discovered taxonomy and which topics it was merged from, as JSON lines in two folders."""
     clusters.write.mode("overwrite").json(f"{path}/taxonomy")

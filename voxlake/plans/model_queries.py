@@ -163,6 +163,34 @@ def tx2(spark, d):
     return Y.discover(v, 12, 60, least_cosine=0.1).groupBy("topic").agg(F.count("*").alias("n"))
 
 
+@query("tx2_density_topics", """
+WITH RECURSIVE v AS (
+  SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings
+), near AS (
+  SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.e, b.e) AS score FROM v a JOIN v b ON a.id <> b.id
+  QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY score DESC, b.id) <= 8
+), core AS (
+  SELECT a AS id FROM near GROUP BY a HAVING count(*) = 8 AND min(score) >= 0.5
+), links AS (
+  SELECT a, b FROM near WHERE score >= 0.5 AND a IN (FROM core) AND b IN (FROM core)
+), both_ways AS (
+  SELECT a, b FROM links UNION SELECT b, a FROM links
+), reach AS (
+  SELECT id, id AS other FROM core UNION SELECT reach.id, both_ways.b FROM reach JOIN both_ways ON both_ways.a = reach.other
+), parts AS (
+  SELECT id, min(other) AS label FROM reach GROUP BY id
+), edge AS (
+  SELECT a AS id, arg_max(b, (score, -b)) AS nearest FROM near WHERE score >= 0.5 AND a NOT IN (FROM core) AND b IN (FROM core) GROUP BY a
+), placed AS (
+  SELECT id, label, true AS core FROM parts UNION ALL SELECT edge.id, label, false FROM edge JOIN parts ON parts.id = nearest
+), sized AS (
+  SELECT *, count(*) OVER (PARTITION BY label) AS size FROM placed
+)
+SELECT v.id AS doc_id, coalesce(core, false) AS core, CASE WHEN size >= 5 THEN label ELSE -1 END AS topic FROM v LEFT JOIN sized USING (id)""")
+def tx2_density(spark, d):
+    return Y.density_topics(docs_vectors(spark, d))
+
+
 @query("tx2_by_platform", "SELECT label % 3 AS platform, CAST(count(*) AS BIGINT) AS n FROM embeddings GROUP BY 1")
 def tx2_by_platform(spark, d):
     """Every platform's documents on their own, each row in one of its topics or none (-1)."""
