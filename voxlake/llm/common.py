@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.scratch import shared_dir, stored  # noqa: F401  the operators take them from here
+
 #: The white space of every word definition here: space and U+0009 to U+000D.
 WS = "\\x20\\x09-\\x0D"
 WORD = f"[^{WS}]+"
@@ -29,25 +28,6 @@ def in_arrow(df: DataFrame, f, schema: str) -> DataFrame:
     return df.mapInArrow(f, schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir. A folder of our own, only where that is unset and all runs on one machine."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        if not (sc.master == "local" or sc.master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(named)
-    return named
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: computed once, safe when executors go, read column by column."""
-    path = f"{shared_dir(df.sparkSession)}/voxlake-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def slices(batches, rows: int = 256):
     """Arrow batches cut small, so that a worker's results are as small."""
     for batch in batches:
