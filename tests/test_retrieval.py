@@ -156,3 +156,16 @@ def test_density_topics_recover_planted_clusters(spark):
     starts = {0: 0, 1: 120, 2: 160, -1: -1}
     assert np.mean([got[i] == starts[c] for i, c in truth.items()]) > 0.99
     assert Y.density_topics(df.limit(3), k=6).where("topic = -1 AND NOT core").count() == 3 and Y.density_topics(df.limit(0)).count() == 0
+
+
+def test_embeddings_by_default_and_by_a_users_encoder(spark):
+    import zlib
+
+    df = spark.createDataFrame([(1, "Good good bad"), (2, ""), (3, None), (4, "good")], "id long, text string")
+    got = {r.doc_id: r.vector for r in VEC.embed(df, "id", dims=16).collect()}
+    want = np.zeros(16)
+    for w in ("good", "good", "bad"):
+        want[zlib.crc32(w.encode()) % 16] += 1 if zlib.crc32(w.encode()) & 0x10000 else -1
+    assert np.allclose(got[1], want / np.linalg.norm(want)) and not any(got[2]) and not any(got[3])
+    own = {r.doc_id: r.vector for r in VEC.embed(df, "id", encode=lambda texts: [[len(t), 1.0] for t in texts]).collect()}
+    assert np.allclose(own[4], np.array([4, 1]) / np.sqrt(17)) and own[2] == [0.0, 1.0]

@@ -571,10 +571,29 @@ def st3(spark, d):
     return spark.read.parquet(store).select("id", "label", "confidence")
 
 
-@query("v1_embed")
+#: The default embedding from its definition: each word's crc32 (over its bytes) names a place and a sign.
+@query("v1_embed", """
+WITH crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc
+), words AS (
+  SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\S+')) AS word FROM documents
+), coded AS (
+  SELECT word, hex(encode(word)) AS x FROM (SELECT DISTINCT word FROM words)
+), hashed AS (
+  SELECT word, xor(4294967295, list_reduce([4294967295] || list_transform(range(0, length(x) // 2), lambda p: CAST('0x' || substr(x, CAST(2 * p + 1 AS BIGINT), 2) AS BIGINT)),
+    lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]))) AS h
+  FROM coded, crc_table
+), sums AS (
+  SELECT doc_id, h % 64 AS pos, CAST(sum(CASE WHEN h & 65536 > 0 THEN 1 ELSE -1 END) AS DOUBLE) AS x FROM words JOIN hashed USING (word) GROUP BY ALL
+), lengths AS (
+  SELECT doc_id, sqrt(sum(x * x)) AS length, sum((pos + 1) * x) AS mix FROM sums GROUP BY 1
+)
+SELECT doc_id, CASE WHEN coalesce(length, 0) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS length, CAST(64 AS BIGINT) AS dims, round(coalesce(CASE WHEN length > 0 THEN mix / length END, 0.0), 6) AS mix
+FROM documents LEFT JOIN lengths USING (doc_id)""")
 def v1(spark, d):
     e = VEC.embed(V.table(spark, d, "documents"), "doc_id")
-    return e.select("doc_id", F.round(VEC.norm("vector"), 6).alias("length"), F.size("vector").cast("long").alias("dims"))
+    mix = F.aggregate(F.transform("vector", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return e.select("doc_id", F.round(VEC.norm("vector"), 6).alias("length"), F.size("vector").cast("long").alias("dims"), F.round(mix, 6).alias("mix"))
 
 
 @query("v8_approximate_neighbours")
