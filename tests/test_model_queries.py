@@ -4,6 +4,7 @@ import pytest
 
 from voxlake.operators import models as M
 from voxlake.plans import model_queries as Q
+from voxlake.plans.registry import ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -56,3 +57,17 @@ def test_analyse_keeps_reviews_without_a_vector(spark, folder):
     assert len(rows) == 60 and all(r.label and r.status == "ok" for r in rows.values())
     assert all(r.skipped == "no vector" and r.category is None for i, r in rows.items() if i >= 10)
     assert all(r.skipped is None and r.category for i, r in rows.items() if i < 10)
+
+
+def test_retriever_and_its_sql_round_halves_alike(spark, tmp_path):
+    """A score of 0.36265, of which four decimals are shown."""
+    import duckdb
+
+    vectors = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [0.36265, 0.0]), (2, [0.41235, 0.0])]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<double>").selectExpr("*", "1 AS label").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(i, "plain text", "en", "src0", 10) for i, _ in vectors], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    for t in ("embeddings", "documents"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    want = {tuple(r) for r in con.execute(ORACLES["k4_x5_retriever"]).fetchall()}
+    assert {tuple(r) for r in Q.k4(spark, str(tmp_path)).collect()} == want and (20, "ok", None, "0:1.0,2:0.4124,1:0.3627") in want
