@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..sources.scratch import stored
 from ..functions.tokenizers import tokenised
-from .features import terms
+from .features import folded, terms
 from .vectors import centroids, dot, norm, normalised, top_k
 
 MAX_TOPICS = 2000
@@ -120,14 +120,18 @@ def topic_keywords(docs: DataFrame, topic: str = "topic", text: str = "text", n:
     """Class-based TF-IDF: tf in the topic times ln(1 + mean words a topic / frequency): topic, rank, term, weight.
 
     ``tokenizer``: a table function that gives a text's terms instead of the built-in words and pairs."""
-    found = docs.select(topic, F.explode(terms(text)).alias("term")) if tokenizer is None else tokenised(docs, tokenizer, text, topic).withColumnRenamed("token", "term")
-    if stop_words:
-        found = found.where(~F.exists(F.split("term", " "), lambda w: w.isin(stop_words)))
-    tf = found.groupBy(topic, "term").agg(F.count("*").alias("tf"))
-    total = tf.groupBy("term").agg(F.sum("tf").alias("f")).where(F.col("f") >= least)
+    if tokenizer is None:
+        parts = folded(docs, terms(text, False), topic, without=stop_words)
+    else:
+        parts = tokenised(docs, tokenizer, text, topic).groupBy(topic, F.col("token").alias("term")).agg(F.count("*").alias("n"))
+        if stop_words:
+            parts = parts.where(~F.exists(F.split("term", " "), lambda w: w.isin(stop_words)))
+    # dealt by term once: a topic's count and the sum over the topics need no other shuffle
+    tf = parts.repartition("term").groupBy(topic, "term").agg(F.sum("n").alias("tf")).withColumn("f", F.sum("tf").over(Window.partitionBy("term")))
+    tf = stored(tf)
     mean = tf.agg((F.sum("tf") / F.countDistinct(topic)).alias("mean"))
     w = F.round(F.col("tf") * F.log(1 + F.col("mean") / F.col("f")), 6)
-    scored = tf.join(total, "term").join(F.broadcast(mean)).select(topic, "term", w.alias("weight"))
+    scored = tf.where(F.col("f") >= least).join(F.broadcast(mean)).select(topic, "term", w.alias("weight"))
     order = Window.partitionBy(topic).orderBy(F.desc("weight"), "term")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
