@@ -71,3 +71,29 @@ def test_retriever_and_its_sql_round_halves_alike(spark, tmp_path):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
     want = {tuple(r) for r in con.execute(ORACLES["k4_x5_retriever"]).fetchall()}
     assert {tuple(r) for r in Q.k4(spark, str(tmp_path)).collect()} == want and (20, "ok", None, "0:1.0,2:0.4124,1:0.3627") in want
+
+
+def test_a_fit_has_no_more_partitions_than_cores(spark, monkeypatch):
+    """What a pass of a fit sends grows with its partitions."""
+    seen = []
+
+    class Fit:
+        def fit(self, rows):
+            seen.append(rows.rdd.getNumPartitions())
+            return self
+
+        def transform(self, rows):
+            return rows.withColumn("prediction", rows["label"])
+
+    monkeypatch.setattr(M, "classifier", lambda *a: Fit())
+    rows = spark.range(0, 90, 1, 30).selectExpr("id", "CAST(id % 3 AS DOUBLE) AS label", "CAST(id DIV 3 % 3 AS INT) AS fold")
+    M.tuned(rows, "nb", grid=(0.1,))
+    M.cross_validated(rows, {"nb": 0.1}, 3)
+    assert len(seen) == 6 and max(seen) <= spark.sparkContext.defaultParallelism
+
+
+def test_terms_are_made_after_the_split(spark, folder, monkeypatch):
+    columns, split = [], Q.S.split
+    monkeypatch.setattr(Q.S, "split", lambda df, *a, **kw: columns.append(df.columns) or split(df, *a, **kw))
+    train, test = Q.parted(spark, folder, 3)
+    assert columns == [["doc_id", "text", "sentiment_label"]] and train.count() == 48 and test.count() == 12 and "terms" not in train.columns
