@@ -66,3 +66,17 @@ def test_odd_queries(spark, index):
     assert SI.search(spark, path, none, 3)[0].count() == 0 and SI.search(spark, path, none.limit(0), 3)[0].count() == 0
     few = w.where(F.col("doc") == 3).withColumnRenamed("doc", "query_id")
     assert SI.search(spark, path, few, 3, spark.createDataFrame([(3,)], "doc long"))[0].count() == 1
+
+
+@pytest.mark.parametrize("most", [2_000_000, 0])
+def test_no_posting_is_a_row_and_many_queries_share_a_range(spark, index, monkeypatch, most):
+    monkeypatch.setattr(SI, "SMALL_QUERIES", most)
+    w, path = index
+    queries = w.where("doc % 20 = 0 AND doc < 2000").withColumnRenamed("doc", "query_id")
+    usual = answers(SI.search(spark, path, queries, 5)[0])
+    monkeypatch.setattr(SI.SP, "BLOCK", 3)
+    monkeypatch.setattr(SI.SP, "AT_ONCE", 2)
+    found, _ = SI.search(spark, path, queries, 5)
+    assert answers(found) == usual and len(usual) == 48
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "explode(postings" not in plan and ", doc#" not in plan.split("hashpartitioning(query_id")[1][:12]
