@@ -169,3 +169,18 @@ def test_embeddings_by_default_and_by_a_users_encoder(spark):
     assert np.allclose(got[1], want / np.linalg.norm(want)) and not any(got[2]) and not any(got[3])
     own = {r.doc_id: r.vector for r in VEC.embed(df, "id", encode=lambda texts: [[len(t), 1.0] for t in texts]).collect()}
     assert np.allclose(own[4], np.array([4, 1]) / np.sqrt(17)) and own[2] == [0.0, 1.0]
+
+
+def test_a_task_keeps_the_best_of_all_its_tiles(spark):
+    rng = np.random.default_rng(5)
+    s = rng.integers(-3, 4, (9, 60)).astype(float)  # many ties
+    best = VEC.Best(9, 4)
+    for at in range(0, 60, 7):
+        best.add(s[:, at : at + 7], np.arange(at, min(at + 7, 60)), np.arange(9))
+    best.add(s[4:6, :3] - 9, np.arange(100, 103), np.array([4, 5]))
+    want = [(r, i) for r in range(9) for i in sorted(range(60), key=lambda i: (-s[r, i], i))[:4]]
+    assert list(zip(best.rows.tolist(), best.ids.tolist(), strict=True)) == want
+    x = spark.createDataFrame([(k, [float(v) for v in rng.integers(-2, 3, 4)]) for k in range(500)], "doc_id long, vector array<double>")
+    met = VEC._packed(x.where("doc_id < 20").withColumnRenamed("doc_id", "query_id"), 2).crossJoin(x.groupBy((x.doc_id % 9).alias("tile")).agg(F.collect_list(F.struct("doc_id", "vector")).alias("docs")))
+    ranked = VEC._best(met.coalesce(1), 3)
+    assert ranked.count() == 60
