@@ -238,3 +238,18 @@ def test_approximate_neighbours_against_exact_search(spark):
     tight = VEC.approximate_neighbours(queries, docs, 5, 0.1).groupBy("query_id").count().collect()
     assert len(near) == 100 and len(near & exact) >= 90
     assert len(tight) == 20 and all(r["count"] == 5 for r in tight)
+
+
+def test_approximate_neighbours_of_vectors_without_shape_and_of_copies(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2000, 32))
+    x[1000:1300] = x[999]
+    docs = spark.createDataFrame([(i, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(x)], "doc_id long, vector array<double>")
+    queries = docs.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    exact = {(r.query_id, r.doc_id) for r in VEC.top_k(queries, docs, 5).collect() if not 1000 <= r.query_id < 1300}
+    for small in (VEC.SMALL_BYTES, 0):
+        monkeypatch.setattr(VEC, "SMALL_BYTES", small)
+        near = VEC.approximate_neighbours(queries, docs, 5, 1.2, cell_docs=32).collect()
+        assert len(near) == 500 and len({(r.query_id, r.doc_id) for r in near} & exact) >= 0.9 * len(exact)
+        assert all(r.score > 0.999 for r in near if 1000 <= r.query_id < 1300)
+    assert VEC.approximate_neighbours(queries.limit(0), docs, 5, 1.2).count() == 0 and VEC.approximate_neighbours(queries, docs.limit(0), 5, 1.2).count() == 0
