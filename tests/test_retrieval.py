@@ -184,3 +184,21 @@ def test_a_task_keeps_the_best_of_all_its_tiles(spark):
     met = VEC._packed(x.where("doc_id < 20").withColumnRenamed("doc_id", "query_id"), 2).crossJoin(x.groupBy((x.doc_id % 9).alias("tile")).agg(F.collect_list(F.struct("doc_id", "vector")).alias("docs")))
     ranked = VEC._best(met.coalesce(1), 3)
     assert ranked.count() == 60
+
+
+@pytest.mark.parametrize(("told", "held"), [(200_000, 1_000_000), (0, 5), (3, 5)])
+def test_keywords_are_the_same_whatever_tasks_are_told_and_hold(spark, monkeypatch, told, held):
+    monkeypatch.setattr(T, "TOLD", told)
+    monkeypatch.setattr(T, "HELD", held)
+    rnd = random.Random(8)
+    words = ["the", "a", "every", "room", "was", "too", "cold", "staff", "nice", *(f"{x}{y}" for x in "bcd" for y in "efgh")]
+    rows = [(" ".join(rnd.choices(words, weights=[9, 5, 2, 6, 5, 4, 4, 3, 3, *[1] * 12], k=rnd.randint(0, 30))), rnd.choice(["negative", "positive"])) for _ in range(150)]
+    df = spark.createDataFrame(rows, "text string, sentiment_label string").repartition(5)
+    assert {(r.bucket, r.word, r["count"], r["rank"]) for r in T.keyword_counts(df, 6).collect()} == brute_keywords(rows, 6)
+
+
+def test_pairs_of_rare_words_are_not_counted(spark):
+    rows = spark.createDataFrame([("p", "the good room was good and rare"), ("p", "good room")], "label string, text string")
+    some = {r.raw: r.n for r in T.runs(rows, 2, {"good": True, "room": True}).collect()}
+    assert some == {"the good": 1, "good room": 2}
+    assert {r.raw for r in T.runs(rows, 3, {"good room": False}).collect()} == {"the good room"}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import numpy as np
@@ -20,6 +21,8 @@ from . import sparse as SP
 SMALL_QUERIES = 2_000_000
 #: Texts that are taken from an Arrow batch at a time, and different terms that a task holds before it hands on their counts.
 AT_ONCE, HELD = 256, 1_000_000
+#: Frequent words or pairs that tasks may be told of; where there are more, longer runs are counted whatever they hold.
+TOLD = 200_000
 
 
 def terms(c: str = "text", bigrams: bool = True) -> Column:
@@ -126,13 +129,55 @@ def tf_idf_search(queries: DataFrame, weights: DataFrame, k: int, allowed: DataF
     return ranked.join(allowed, "doc", "left_semi") if allowed is not None and post_filter else ranked
 
 
+def runs(rows: DataFrame, length: int, known: dict[str, bool] | None = None) -> DataFrame:
+    """label, raw and n: runs of so many words of letters and apostrophes in texts (label, text in lower case), added up where
+    the texts stand. ``known``: the shorter runs that longer ones may end in, and whether one may also begin with them if it
+    is the longer for it; one that begins with a determiner only has to end in one of them. None lets all be counted."""
+    find, first = re.compile(r"[a-z']+").findall, frozenset(DETERMINERS)
+    kind = to_arrow_type(rows.schema["label"].dataType)
+    ends = None if known is None else frozenset(x.rsplit(" ", 1)[-1] for x in known)
+
+    def made(w):
+        if length == 1:
+            return w
+        if known is None:
+            return map(" ".join, zip(*(w[k:] for k in range(length)), strict=False))
+        if length == 2:
+            return [f"{a} {b}" for a, b in zip(w, w[1:], strict=False) if b in known and (a in first or (known[b] and known.get(a, False)))]
+        pairs = [known.get(f"{a} {b}") if b in ends else None for a, b in zip(w, w[1:], strict=False)]
+        return [f"{a} {b} {c}" for a, b, c, x, y in zip(w, w[1:], w[2:], pairs, pairs[1:], strict=False) if y is not None and (a in first or (x and y))]
+
+    def counts(held):
+        for label, c in held.items():
+            items = list(c.items())
+            for at in range(0, len(items), 50_000):
+                part = items[at : at + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([label] * len(part), kind), pa.array([t for t, _ in part], pa.string()), pa.array([n for _, n in part], pa.int64())], names=["label", "raw", "n"])
+
+    def run(batches):
+        held: dict = {}
+        for b in batches:
+            for at in range(0, b.num_rows, AT_ONCE):
+                part = b.slice(at, AT_ONCE)
+                for label, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    held.setdefault(label, Counter()).update(made(find(t)))
+                if sum(map(len, held.values())) > HELD:
+                    yield from counts(held)
+                    held = {}
+        yield from counts(held)
+
+    found = rows.mapInArrow(run, f"label {rows.schema['label'].dataType.simpleString()}, raw string, n long")
+    return found.groupBy("raw", "label").agg(F.sum("n").alias("n"))
+
+
 def keyword_counts(reviews: DataFrame, n: int = TOP_KEYWORDS, text: str = "text", label: str = "sentiment_label", tokenizer=None) -> DataFrame:
     """The top phrases of one to three words by bucket (all, and each label), with the bucket's reviews. ``tokenizer``: a table
     function that gives a text's phrases instead; they are trimmed and filtered alike.
 
-    Raw runs of one and two words are counted before they are made phrases. Their n-th count in a bucket bounds what can be
-    at its top from below, so three words are glued only where that is possible: both pairs in them are as frequent, or,
-    after a determiner (which a phrase loses), the pair that is left is half as frequent. Nothing at the top is lost."""
+    Words are counted first. Their n-th count in a bucket bounds what can be at its top from below, so pairs are counted only
+    where that is possible: a phrase stands at most twice as often as its words (without a determiner and after one), so both
+    are half as frequent, or, after a determiner (which a phrase loses), the word that is left. Three words likewise: both
+    pairs in them are as frequent, or the pair that is left half as frequent. Nothing at the top is lost."""
     both = F.explode(F.array(F.lit("all"), F.col("label"))).alias("bucket")
     order = Window.partitionBy("bucket").orderBy(F.desc("count"), "word")
     size = reviews.select(F.explode(F.array(F.lit("all"), F.col(label))).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n_reviews"))
@@ -148,22 +193,25 @@ def keyword_counts(reviews: DataFrame, n: int = TOP_KEYWORDS, text: str = "text"
     if tokenizer is not None:
         tokens = tokenised(spread(reviews.select(F.col(label).alias("label"), text)), tokenizer, text, "label")
         return ranked(phrases(tokens.groupBy("label", F.col("token").alias("raw")).agg(F.count("*").alias("n"))))
-    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[a-z']+"), F.lit(0))
-    rows = spread(reviews.select(label, text)).select(F.col(label).alias("label"), words.alias("a"))
-    rest = lambda k: F.slice("a", k, F.greatest(F.size("a"), F.lit(0))).alias("bc"[k - 2])
-    rows = rows.select("label", F.explode(F.arrays_zip(F.col("a"), rest(2), rest(3))).alias("t")).select("label", "t.*")
-    pair = lambda x, y: F.concat_ws(" ", x, y)
-    raw = stored(rows.select("label", F.explode(F.array("a", F.when(F.col("b").isNotNull(), pair("a", "b")))).alias("raw")).where("raw IS NOT NULL").groupBy("raw", "label").agg(F.count("*").alias("n")))
-    short = stored(phrases(raw))
-    last = short.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).groupBy("bucket").agg(F.when(F.count("*") == n, F.min("count")).otherwise(0).alias("least"))
-    last = stored(last)
-    pairs = raw.where(F.instr("raw", " ") > 0).select("raw", "n", both).groupBy("raw", "bucket").agg(F.sum("n").alias("n")).join(last.withColumnRenamed("bucket", "k"), F.col("bucket") == F.col("k"))
-    often = stored(pairs.where("2 * n >= least").groupBy("raw").agg(F.max(F.expr("n >= least")).alias("strong")))
-    triples = rows.where("c IS NOT NULL").join(often.select(F.col("raw").alias("end"), F.col("strong").alias("end_strong")), pair("b", "c") == F.col("end"))
-    triples = triples.join(often.where("strong").select(F.col("raw").alias("begin")), pair("a", "b") == F.col("begin"), "left")
-    triples = triples.where(F.col("a").isin(list(DETERMINERS)) | (F.col("end_strong") & F.col("begin").isNotNull()))
-    long = phrases(triples.select("label", F.concat_ws(" ", "a", "b", "c").alias("raw")).groupBy("raw", "label").agg(F.count("*").alias("n")))
-    able = short.join(last.withColumnRenamed("bucket", "k"), F.col("bucket") == F.col("k")).where("2 * count >= least").select("bucket", "word", "count")
+    rows = spread(reviews.select(F.col(label).alias("label"), F.lower(F.col(text)).alias("text")).where("text IS NOT NULL"))
+
+    def least_of(counts: DataFrame) -> DataFrame:
+        """The n-th count of each bucket, 0 where there are fewer."""
+        last = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+        return stored(last.groupBy(F.col("bucket").alias("k")).agg(F.when(F.count("*") == n, F.min("count")).otherwise(0).alias("least")))
+
+    def often(raw: DataFrame, last: DataFrame, strong: str) -> dict[str, bool] | None:
+        """Runs that are half as frequent as a bucket's n-th phrase, and whether ``strong`` holds too; None of more than TOLD."""
+        by = raw.select("raw", "n", both).groupBy("raw", "bucket").agg(F.sum("n").alias("n")).join(last, F.col("bucket") == F.col("k")).where("2 * n >= least")
+        found = by.groupBy("raw").agg(F.max(F.expr(strong)).alias("strong")).limit(TOLD + 1).collect()
+        return {r.raw: r.strong for r in found} if len(found) <= TOLD else None
+
+    single = stored(runs(rows, 1))
+    pairs = stored(runs(rows, 2, often(single, least_of(phrases(single)), "true")))
+    short = stored(phrases(single.union(pairs)))
+    last = least_of(short)
+    long = phrases(runs(rows, 3, often(pairs, last, "n >= least")))
+    able = short.join(last, F.col("bucket") == F.col("k")).where("2 * count >= least").select("bucket", "word", "count")
     return ranked(able.union(long).groupBy("bucket", "word").agg(F.sum("count").alias("count")))
 
 
