@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from voxlake.operators import features as T
 from voxlake.operators import taxonomy as Y
@@ -55,3 +56,15 @@ def test_topic_keywords_shuffle_counts_once(spark, rows, monkeypatch):
     df = spark.createDataFrame(rows, "id long, topic string, text string").where("topic IS NOT NULL")
     got = Y.topic_keywords(df, "topic", n=3, stop_words=["the"]).collect()
     assert len(got) == 9 and len(plans) == 1 and plans[0].count("Exchange hashpartitioning") == 1 and "Generate" not in plans[0]
+
+
+def test_all_terms_without_a_sort_and_one_grouping_of_documents(spark):
+    docs = spark.createDataFrame([(1, "red red blue green"), (2, "red blue blue"), (3, "green grey")], "id long, text string")
+    counts = T.term_counts(docs, "id", bigrams=False)
+    words = T.vocabulary(counts, size=None)
+    assert {r.term for r in words.collect()} == {"red", "blue", "green"} == {r.term for r in T.vocabulary(counts).collect()}
+    assert "Sort" not in words._jdf.queryExecution().optimizedPlan().toString() and "Limit" not in words._jdf.queryExecution().optimizedPlan().toString()
+    w = T.tf_idf(counts, words, 3, True).groupBy("doc").agg(F.count("*").alias("n"), F.round(F.max("weight"), 6).alias("heaviest"), F.round(F.sum("weight"), 6).alias("total"))
+    digest = T.weight_digest(T.raw_tf_idf(counts, words, 3, True))
+    assert sorted(map(tuple, digest.collect())) == sorted(map(tuple, w.collect()))
+    assert digest._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("hashpartitioning(doc") == 1

@@ -100,21 +100,32 @@ def term_counts(docs: DataFrame, id_column: str, bigrams: bool = True, text: str
     return counts.groupBy("doc", "term").agg(F.sum("tf").alias("tf"))
 
 
-def vocabulary(counts: DataFrame, min_df: int = 2, size: int = 50_000) -> DataFrame:
-    """The most frequent terms that enough documents have: term, df, total."""
+def vocabulary(counts: DataFrame, min_df: int = 2, size: int | None = 50_000) -> DataFrame:
+    """The most frequent terms that enough documents have: term, df, total. Without ``size`` all of them, in no order."""
     v = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df)
-    return v.orderBy(F.desc("total"), "term").limit(size)
+    return v if size is None else v.orderBy(F.desc("total"), "term").limit(size)
 
 
 def tf_idf(counts: DataFrame, vocab: DataFrame, n_docs: int, sublinear: bool = False) -> DataFrame:
     """doc, term, weight: smoothed idf, rows of unit length."""
-    tf = 1 + F.log(F.col("tf").cast("double")) if sublinear else F.col("tf").cast("double")
-    idf = F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0
-    raw = counts.join(vocab, "term").select("doc", "term", (tf * idf).alias("w"))
+    raw = raw_tf_idf(counts, vocab, n_docs, sublinear)
     length = raw.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     return raw.join(length, "doc").select("doc", "term", (F.col("w") / F.col("length")).alias("weight"))
 
 
+def raw_tf_idf(counts: DataFrame, vocab: DataFrame, n_docs: int, sublinear: bool = False) -> DataFrame:
+    """doc, term and w: the weights of ``tf_idf`` before rows are brought to unit length."""
+    tf = 1 + F.log(F.col("tf").cast("double")) if sublinear else F.col("tf").cast("double")
+    idf = F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0
+    return counts.join(vocab, "term").select("doc", "term", (tf * idf).alias("w"))
+
+
+def weight_digest(raw: DataFrame) -> DataFrame:
+    """doc, n, heaviest and total of ``tf_idf``'s weights: a document's length and its sums come from one grouping."""
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")))
+    return raw.groupBy("doc").agg(F.count("*").alias("n"), F.round(F.max("w") / length, 6).alias("heaviest"), F.round(F.sum("w") / length, 6).alias("total"))
+
+
 def tf_idf_search(queries: DataFrame, weights: DataFrame, k: int, allowed: DataFrame | None = None, post_filter: bool = False) -> DataFrame:
     """query_id, doc, score, rank: cosine by an equi-join on terms. ``queries``: query_id, term, weight. ``allowed`` holds the
     documents (doc) that a filter leaves: before the top-k, or after it with ``post_filter`` (which can give fewer than k).
