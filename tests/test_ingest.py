@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from voxlake.functions import text as X
 from voxlake.operators import ingest as I
+from voxlake.schemas import DATE_PATTERNS
 from voxlake.sources import files as S
 
 
@@ -120,3 +121,11 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "store")).where("organisation_id = 1").count() == 2
     batches = spark.createDataFrame([(1, 1, "h", "completed", 1), (2, 1, "h", "completed", 2), (3, 1, "h", "failed", 3), (4, 2, "h", "completed", 4)], "id long, organisation_id long, source_hash string, status string, created_at long")
     assert [r.id for r in I.seen_file(batches, "h", organisation_id=1).collect()] == [2]
+
+
+def test_dates_are_read_as_by_their_patterns_alone(spark):
+    values = [a + b + c for a in ("2026/02/01", "2026-02-01", "01/02/2026", "13/02/2026", "02/13/2026", "31-12-2026", "2026-02-30", "12026-02-01", "+12026-02-01", "-2026-02-01", "+2026/02/01", "1/2/2026", "01/02/26", "2026-2-1", "٢٠٢٦-02-01", "yesterday", "") for b in ("", " 10:11:12", "T10:11:12Z", " 10:11", " 1:2:3") for c in ("", "x", " ")]
+    rows = spark.createDataFrame([(v,) for v in values], "v string")
+    plain = F.coalesce(F.when(F.col("v").rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"), F.try_to_timestamp("v")), *(F.try_to_timestamp("v", F.lit(p)) for p in DATE_PATTERNS))
+    out = rows.select("v", X.parse_time("v").cast("string").alias("a"), plain.cast("string").alias("b")).collect()
+    assert [(r.v, r.a) for r in out] == [(r.v, r.b) for r in out] and 10 < sum(r.a is not None for r in out) < len(out)

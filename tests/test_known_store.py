@@ -3,9 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from voxlake.functions import text as X
 from voxlake.operators import ingest as I
+from voxlake.plans import text_queries as Q
 from voxlake.sources.known import BY_HASH, KnownStore, hash_key
 
 SCHEMA = "organisation_id long, data_source_id string, external_id string, content_hash string"
@@ -104,3 +106,33 @@ def test_what_is_kept_is_known_next_time(spark, tmp_path):
     assert kept(put(rows, store)) == [] and kept(put(rows, store, org=2)) == kept(first)
     assert kept(put(upload(spark, [(2, "new", "1"), (3, "newer", None)]), store)) == [(3, "newer", None)]
     assert kept(put(upload(spark, [(2, "new", "1")]), store, source="s2")) == [(2, "new", "1")]
+
+
+def test_an_upload_is_validated_once(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    rows = Q.upload_of(spark.range(1000).selectExpr("id AS event_id", "'click' AS event_type")).withColumn("Comment", counted("Comment"))
+    empty = spark.createDataFrame([], SCHEMA)
+    monkeypatch.setattr(Q, "upload", lambda spark, d: rows)
+    monkeypatch.setattr(Q, "known", lambda spark, d: empty)
+    out = Q.x9_store(spark, "").collect()
+    assert len(out) > 100 and not any(r.again for r in out) and seen.value == 1000
+
+
+def test_what_follows_reads_ranked_rows_and_null_ids_pass_by(spark, tmp_path, monkeypatch):
+    known, store = history(spark, 500), KnownStore(spark, str(tmp_path / "k"), 4)
+    store.append(known)
+    monkeypatch.setattr(I, "BROADCAST_ROWS", 10)
+    rows = upload(spark, [(i + 2, f"text {i % 900}", None if i % 3 else f"e{i}") for i in range(1200)])
+    for held in (known, store):
+        kept = put(rows, held).kept
+        plan = kept._jdf.queryExecution().optimizedPlan().toString()
+        anti = plan[plan.index("Join LeftAnti, (external_id") :].split("\n")
+        assert "Window" not in plan
+        assert "isnotnull(external_id" in "".join(anti[1:3])  # no task gets all rows without an id
+        assert "min_by" in plan[: plan.index("Join LeftAnti, (external_id")]

@@ -103,9 +103,11 @@ def import_rows(rows: DataFrame, known: DataFrame | KnownStore, *, organisation_
     rows = stored(rows)  # the report, the counters and the kept rows all read it
     few = rows.count() <= BROADCAST_ROWS
     good = rows.where("error IS NULL").drop("error").withColumn("content_hash", X.content_hash("text"))
-    once = first_by_external_id(good)
+    once = stored(first_by_external_id(good))  # hashed and ranked once for all that follows
     ids, hashes = _met(once, known, organisation_id, data_source_id, few)
-    kept = first_by_hash(once.join(ids, "external_id", "left_anti").join(hashes, "content_hash", "left_anti").select(*once.columns))
+    # rows without an id pass by the join, since null would be a hot key; a hash is known with all its rows, so that the first of each do
+    new = once.where("external_id IS NOT NULL").join(ids, "external_id", "left_anti").select(*once.columns).unionByName(once.where("external_id IS NULL"))
+    kept = first_by_hash(new).join(hashes, "content_hash", "left_anti").select(*once.columns)
     kept = kept.withColumns({"organisation_id": F.lit(organisation_id), "data_source_id": F.lit(data_source_id), "import_batch_id": F.lit(import_batch_id)})
     kept = kept.withColumn("metadata", F.to_json(F.struct("source_row", "platform")))
     count = lambda df, name: df.agg(F.count("*").alias("n")).withColumn("what", F.lit(name))
