@@ -37,6 +37,27 @@ def test_wrong_prediction_count_fails_rows(spark):
     assert {r.status for r in rows} == {"failed"}
 
 
+def test_each_text_is_scored_once_in_small_batches(spark):
+    texts, large = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def make():
+        def run(batch):
+            texts.add(len(batch))
+            large.add(int(len(batch) > 1000))
+            return [{"negative": 0.9, "neutral": 0.1} for _ in batch]
+
+        return run
+
+    items = spark.range(2500).coalesce(1).selectExpr("id", "concat('text ', id) AS text", "CASE WHEN id % 2 = 0 THEN array(1.0D, 0.0D) END AS vector")
+    cats = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "key string, vector array<double>")
+    before = spark.conf.get(N.ARROW_ROWS)
+    rows = N.analyse(items, N.sentiment_udf(make, "v1"), cats, "vector").collect()
+    assert (texts.value, large.value, len(rows)) == (2500, 0, 2500) and spark.conf.get(N.ARROW_ROWS) == before
+    assert {(r.id % 2, r.category, r.skipped, r.scores["neutral"]) for r in rows} == {(0, "a", None, 0.1), (1, None, "no vector", 0.1)}
+    only = items.select(N.sentiment_udf(make, "v1")("text").alias("s")).where("s.error IS NULL").collect()
+    assert len(only) == 2500 and large.value == 0
+
+
 @pytest.mark.parametrize(("score", "classified"), [(0.35, True), (0.3499, False)])
 def test_threshold_is_inclusive_and_keeps_candidates(spark, score, classified):
     items = spark.createDataFrame([(1, [score, math.sqrt(1 - score**2)])], "id long, vector array<double>")
