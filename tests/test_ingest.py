@@ -129,3 +129,16 @@ def test_dates_are_read_as_by_their_patterns_alone(spark):
     plain = F.coalesce(F.when(F.col("v").rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"), F.try_to_timestamp("v")), *(F.try_to_timestamp("v", F.lit(p)) for p in DATE_PATTERNS))
     out = rows.select("v", X.parse_time("v").cast("string").alias("a"), plain.cast("string").alias("b")).collect()
     assert [(r.v, r.a) for r in out] == [(r.v, r.b) for r in out] and 10 < sum(r.a is not None for r in out) < len(out)
+
+
+def test_tweets_and_their_sql_agree_on_empty_and_null_texts(spark, tmp_path):
+    import hashlib
+
+    from voxlake.plans import file_queries as Q
+
+    texts = ["", None, " ", '"', ',"\n\r', "x,\n" * 700_000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    want = {(str(i), None if t is None else hashlib.md5(t.encode()).hexdigest()) for i, t in enumerate(texts)}
+    assert {(r.review_id, r.h) for r in Q.s3(spark, str(tmp_path)).collect()} == want
+    (tmp_path / "raw.csv").write_text('text,airline_sentiment,tweet_id\n"",neutral,1\n,neutral,2\n')
+    assert {(r.tweet_id, r.text) for r in S.read_tweets(spark, str(tmp_path / "raw.csv")).collect()} == {("1", ""), ("2", None)}

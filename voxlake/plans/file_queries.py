@@ -45,7 +45,7 @@ def s3(spark, d):
     docs, path = V.table(spark, d, "documents"), place(spark, "tweets")
     i = F.col("doc_id")
     label = F.element_at(F.array(*map(F.lit, ("negative", "neutral", "positive"))), (i % 3 + 1).cast("int"))
-    docs.select("text", label.alias("airline_sentiment"), F.lit("2015-02-24 11:35:52 -0800").alias("tweet_created"), i.cast("string").alias("tweet_id")).write.option("header", True).option("escape", '"').option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    docs.select("text", label.alias("airline_sentiment"), F.lit("2015-02-24 11:35:52 -0800").alias("tweet_created"), i.cast("string").alias("tweet_id")).write.option("header", True).option("escape", '"').option("quoteAll", True).option("nullValue", S.NULL_CELL).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     r = I.standard_tweets(S.read_tweets(spark, path))
     return r.select("review_id", F.md5("text").alias("h"), "rating", F.col("date").cast("string").alias("date"))
 

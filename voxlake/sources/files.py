@@ -19,9 +19,14 @@ def read_business_reviews(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BUSINESS_REVIEWS).option("mode", "DROPMALFORMED").json(path)
 
 
+#: What a null cell is written as where all cells are quoted: a code point that is no character, so that no text is it.
+NULL_CELL = "\ufdd0"
+
+
 def read_tweets(spark: SparkSession, path: str) -> DataFrame:
+    """A quoted cell without characters is an empty text; one without quotes, or with NULL_CELL, is null."""
     names = [c.split()[0] for c in TWEETS.split(", ")]
-    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("nullValue", NULL_CELL).csv(path)
     return rows.select(*(F.col(n) if n in rows.columns else F.lit(None).cast("string").alias(n) for n in names))
 
 
