@@ -97,3 +97,17 @@ def test_terms_are_made_after_the_split(spark, folder, monkeypatch):
     monkeypatch.setattr(Q.S, "split", lambda df, *a, **kw: columns.append(df.columns) or split(df, *a, **kw))
     train, test = Q.parted(spark, folder, 3)
     assert columns == [["doc_id", "text", "sentiment_label"]] and train.count() == 48 and test.count() == 12 and "terms" not in train.columns
+
+
+def test_audit_of_texts_without_a_direction(spark, tmp_path):
+    """Texts without words, and null, have a zero vector, for which there is no cosine: they are in no topic."""
+    from voxlake.operators import taxonomy as Y
+
+    texts = ["good food here", "late train again", "", None, " \n"]
+    rows = [(i, texts[i % 5], "en", "src0") for i in range(150)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {w for r in Q.tx13(spark, str(tmp_path)).collect() for w in r.keywords.split("|")} == {"good", "food", "here", "good food", "food here", "late", "train", "again", "late train", "train again"}
+    found = Y.discover(Q.VEC.embed(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), "doc_id"), 6, 30)
+    assert sorted(r.doc_id for r in found.collect()) == list(range(150)) and {r.doc_id % 5 for r in found.where("topic = -1").collect()} == {2, 3, 4}
+    nothing = spark.createDataFrame([(1, [0.0, 0.0]), (2, [float("nan"), 1.0]), (3, None)], "doc_id long, vector array<double>")
+    assert sorted((r.doc_id, r.topic) for r in Y.discover(nothing, 2, 30).collect()) == [(1, -1), (2, -1), (3, -1)]

@@ -25,15 +25,22 @@ def least_topic_size(n) -> Column:
 
 
 def clustered(vectors: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """doc_id, vector in; with topic (a k-means cluster by cosine), its members and the cosine to its centre, as a table."""
+    """doc_id, vector in; with topic (a k-means cluster by cosine), its members and the cosine to its centre, as a table. A
+    vector without a direction (null, zero or not finite, as of a text without words) is in no cluster: topic -1, no members."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = vectors.withColumn("features", array_to_vector(F.transform("vector", lambda x: x.cast("double"))))
+    given = stored(vectors.withColumn("_length", norm("vector")))
+    some = F.coalesce((F.col("_length") > 0) & (F.col("_length") < float("inf")), F.lit(False))
+    none = given.where(~some).drop("_length").withColumns({"topic": F.lit(-1), "members": F.lit(0).cast("long"), "cosine": F.lit(0.0)})
+    rows = given.where(some).drop("_length")
+    if rows.isEmpty():
+        return stored(none)
+    rows = rows.withColumn("features", array_to_vector(F.transform("vector", lambda x: x.cast("double"))))
     rows = stored(KMeans(k=k, seed=seed, distanceMeasure="cosine", featuresCol="features", predictionCol="topic").fit(rows).transform(rows).drop("features"))
     c = centroids(rows, "topic", "vector").join(rows.groupBy("topic").agg(F.count("*").alias("members")), "topic")
     near = dot("vector", "centroid") / (norm("vector") * norm("centroid"))
-    return stored(rows.join(c, "topic").withColumn("cosine", near).drop("centroid"))
+    return stored(rows.join(c, "topic").withColumn("cosine", near).drop("centroid").unionByName(none))
 
 
 def topics_of(found: DataFrame, least_size: int, least_cosine: float = 0.0) -> DataFrame:
@@ -50,7 +57,7 @@ def discover(vectors: DataFrame, k: int, least_size: int, wanted: int = 5, floor
     """``cluster`` with half the least size again and again until there are enough topics or the floor is met. The clusters
     are the same at every size, so they are fitted once."""
     found = clustered(vectors, k, seed)
-    sizes = found.groupBy("topic").agg(F.count_if(F.col("cosine") >= least_cosine).alias("near"), F.max("members").alias("members")).where("near > 0")
+    sizes = found.where("topic >= 0").groupBy("topic").agg(F.count_if(F.col("cosine") >= least_cosine).alias("near"), F.max("members").alias("members")).where("near > 0")
     while least_size > floor and sizes.where(F.col("members") >= least_size).count() < wanted:
         least_size = max(floor, least_size // 2)
     return topics_of(found, least_size, least_cosine)
