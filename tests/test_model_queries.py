@@ -111,3 +111,38 @@ def test_audit_of_texts_without_a_direction(spark, tmp_path):
     assert sorted(r.doc_id for r in found.collect()) == list(range(150)) and {r.doc_id % 5 for r in found.where("topic = -1").collect()} == {2, 3, 4}
     nothing = spark.createDataFrame([(1, [0.0, 0.0]), (2, [float("nan"), 1.0]), (3, None)], "doc_id long, vector array<double>")
     assert sorted((r.doc_id, r.topic) for r in Y.discover(nothing, 2, 30).collect()) == [(1, -1), (2, -1), (3, -1)]
+
+
+def test_split_and_folds_do_not_shuffle_texts(spark):
+    df = spark.range(300).selectExpr("id", "concat('long text ', id) AS text", "concat('l', id % 3) AS label")
+    dealt = Q.S.folds(Q.S.split(df, {"train": 0.8, "test": 0.2}, "id", "label"), 5, "id", "label")
+    plan = dealt._jdf.queryExecution().optimizedPlan().toString()
+    assert dealt.count() == 300 and all("text" not in line for line in plan.splitlines() if "Window" in line or "Aggregate" in line)
+    ranked = Q.S.class_ranks(df, "label", "id").selectExpr("id", "IF(_rank <= floor(_size * 0.8 + 0.5), 'train', 'test') AS wanted")
+    assert dealt.join(ranked, "id").where("split <> wanted").isEmpty()
+
+
+def test_a_vocabulary_of_a_sketch_is_that_of_all_terms(spark, monkeypatch):
+    from collections import Counter
+
+    monkeypatch.setattr(M, "HELD", 120)
+    monkeypatch.setattr(M, "KEPT", 40)
+    monkeypatch.setattr(M, "CELLS", 1 << 12)
+    docs = [[f"w{(i * k) % (7 + k)}" for k in range(1, 30)] + [f"rare{i}", f"two{i // 2}"] for i in range(200)]
+    total, df = Counter(t for d in docs for t in d), Counter(t for d in docs for t in set(d))
+    want = sorted((t for t in df if df[t] >= 2), key=lambda t: (-total[t], t))[:25]
+    train = spark.createDataFrame([(d,) for d in docs], "terms array<string>")
+    assert M.features(train, size=25).stages[0].vocabulary == want
+    words = train.selectExpr("0 AS key", "array_join(terms, '\n') AS words")
+    assert M.terms_in_reach(words, 25, 2).mean() < 0.1 and M.terms_in_reach(words, 25_000, 2).all()
+
+
+def test_naive_bayes_on_means_is_that_on_rows(spark):
+    from pyspark.ml.linalg import Vectors
+
+    rows = spark.createDataFrame([(i, float(i % 3), i % 4, Vectors.dense([i % 5, i % 7, (i % 3) * 2.0])) for i in range(60)], ["id", "label", "fold", "features"])
+    means = M.class_means(rows)
+    for fold in (None, 2):
+        one, two = M.fitted(rows, [("nb", 0.1)], fold)[0], M.fitted(rows, [("nb", 0.1)], fold, means)[0]
+        assert abs(one.theta.toArray() - two.theta.toArray()).max() < 1e-12 and abs(one.pi.toArray() - two.pi.toArray()).max() < 1e-12
+    assert means.count() == 12 and M.tuned(rows, "nb", 4, means=means) == M.tuned(rows, "nb", 4)

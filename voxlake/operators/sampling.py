@@ -53,20 +53,36 @@ def _parts(shares: dict, rank: Column, size: Column) -> Column:
     return rule
 
 
+#: Classes whose parts' ends are broadcast.
+FEW_CLASSES = 1000
+
+
+def _dealt(df: DataFrame, name: str, part: Column, id_column: str, label: str, seed: str) -> DataFrame:
+    """``df`` with the part of each row, which ``part`` makes of ``_rank`` and ``_size``, in ``name``. A part is a run of a
+    class's ranks, so its last draw and id tell its rows: only ids and labels are ranked, and wide rows are not shuffled. Where
+    there are very many classes the rows themselves are ranked."""
+    if df.select(label).distinct().limit(FEW_CLASSES + 1).count() > FEW_CLASSES:
+        return class_ranks(df, label, id_column, seed).withColumn(name, part).drop("_rank", "_size")
+    own = F.struct(draw(id_column, seed).alias("draw"), F.col(id_column).alias("id"))
+    ranked = class_ranks(df.select(id_column, label), label, id_column, seed).select(F.col(label).alias("_label"), part.alias("part"), own.alias("at"))
+    lasts = ranked.groupBy("_label", "part").agg(F.max("at").alias("last"))
+    ends = lasts.groupBy("_label").agg(F.array_sort(F.collect_list(F.struct("last", "part"))).alias("_ends"))
+    joined = df.withColumn("_own", own).join(F.broadcast(ends), F.col(label).eqNullSafe(F.col("_label")))
+    return joined.withColumn(name, F.filter("_ends", lambda x: F.col("_own") <= x["last"])[0]["part"]).drop("_own", "_label", "_ends")
+
+
 def split(df: DataFrame, shares: dict, id_column: str, label: str, seed: str = "42") -> DataFrame:
     """A stratified ``split`` column: each class's parts are within one row of its share, on any layout.
 
     A share can be split again, as in ``{"train": 0.7, "rest": (0.3, {"val": 0.5, "test": 0.5})}``."""
-    ranked = class_ranks(df, label, id_column, seed)
-    return ranked.withColumn("split", _parts(shares, F.col("_rank"), F.col("_size"))).drop("_rank", "_size")
+    return _dealt(df, "split", _parts(shares, F.col("_rank"), F.col("_size")), id_column, label, seed)
 
 
 def folds(df: DataFrame, k: int, id_column: str, label: str, seed: str = "42") -> DataFrame:
     """A stratified ``fold`` column from 0: runs of a class's ranks, whose sizes differ by one at most, the longer first."""
-    ranked = class_ranks(df, label, id_column, f"fold:{seed}")
     short, longer, at = F.floor(F.col("_size") / k), F.col("_size") % k, F.col("_rank") - 1
     fold = F.when(at < longer * (short + 1), F.floor(at / (short + 1))).otherwise(longer + F.floor((at - longer * (short + 1)) / F.greatest(short, F.lit(1))))
-    return ranked.withColumn("fold", fold.cast("int")).drop("_rank", "_size")
+    return _dealt(df, "fold", fold.cast("int"), id_column, label, f"fold:{seed}")
 
 
 def hash_split(df: DataFrame, shares: dict[str, float], id_column: str, seed: str = "42") -> DataFrame:
