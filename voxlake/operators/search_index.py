@@ -23,7 +23,7 @@ from .vectors import best_of
 #: Weights of queries that are broadcast; more of them are sent to parts of the ranges.
 SMALL_QUERIES = 2_000_000
 #: Ranges whose heads lie in one row.
-HEADS = 64
+HEADS = 16
 
 
 def build(weights: DataFrame, path: str, range_docs: int = 1024) -> None:
