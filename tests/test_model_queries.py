@@ -143,6 +143,29 @@ def test_naive_bayes_on_means_is_that_on_rows(spark):
     rows = spark.createDataFrame([(i, float(i % 3), i % 4, Vectors.dense([i % 5, i % 7, (i % 3) * 2.0])) for i in range(60)], ["id", "label", "fold", "features"])
     means = M.class_means(rows)
     for fold in (None, 2):
-        one, two = M.fitted(rows, [("nb", 0.1)], fold)[0], M.fitted(rows, [("nb", 0.1)], fold, means)[0]
+        one, two = M.fitted(rows, [("nb", 0.1, fold)])[0], M.fitted(rows, [("nb", 0.1, fold)], means)[0]
         assert abs(one.theta.toArray() - two.theta.toArray()).max() < 1e-12 and abs(one.pi.toArray() - two.pi.toArray()).max() < 1e-12
     assert means.count() == 12 and M.tuned(rows, "nb", 4, means=means) == M.tuned(rows, "nb", 4)
+
+
+def test_fits_run_at_once_in_partitions_of_their_own(spark, monkeypatch):
+    import threading
+
+    here, seen = threading.Barrier(4, timeout=60), []
+
+    class Fit:
+        def __init__(self, kind, value, n):
+            self.value = value
+
+        def fit(self, rows):
+            here.wait()
+            seen.append(rows.rdd.getNumPartitions())
+            return self.value
+
+    monkeypatch.setattr(M, "classifier", Fit)
+    rows = spark.range(0, 90, 1, 30).selectExpr("id", "CAST(id % 3 AS DOUBLE) AS label", "CAST(id DIV 3 % 3 AS INT) AS fold")
+    fits = [("lr", float(value), fold) for fold in range(2) for value in range(4)]
+    assert M.fitted(rows, fits) == [value for _, value, _ in fits] and seen == [1] * 8
+    monkeypatch.setattr(M, "FIT_ROWS", 90)
+    here = threading.Barrier(1)
+    assert M.fitted(rows, fits[:2]) == [0.0, 1.0] and seen[8:] == [spark.sparkContext.defaultParallelism] * 2
